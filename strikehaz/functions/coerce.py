@@ -25,9 +25,14 @@ def day(c: Column) -> Column:
     return c.try_cast("timestamp_ntz").cast("date")
 
 
+def strip(c: Column) -> Column:
+    """Trim every kind of white space, not only blanks."""
+    return F.trim(c.cast("string"), F.lit(" \t\n\r\f\x0b\u00a0"))
+
+
 def tidy_upper(c: Column) -> Column:
     """Trim and upper-case; null stays null."""
-    return F.upper(F.trim(c.cast("string")))
+    return F.upper(strip(c))
 
 
 def token_if_missing(c: Column, token: str) -> Column:

@@ -1 +1,14 @@
 """Whole queries assembled from the operators."""
+
+import importlib
+
+MODULES = ["strike_queries", "monitoring_queries", "space_queries", "activity_queries"]
+
+
+def all_queries():
+    """Every registered plan by name."""
+    from strikehaz.plans.registry import QUERIES
+
+    for module in MODULES:
+        importlib.import_module(f"strikehaz.plans.{module}")
+    return dict(QUERIES)
