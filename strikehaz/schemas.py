@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    BooleanType, DateType, DoubleType, IntegerType, StringType, StructField, StructType, TimestampNTZType, TimestampType,
+)
 
 from strikehaz.fixed_values import STRIKE_ALIASES
 
@@ -12,8 +14,15 @@ _STRIKE_DOUBLES = [
 ]
 
 
+_TYPES = {
+    "STRING": StringType(), "DOUBLE": DoubleType(), "INT": IntegerType(), "BOOLEAN": BooleanType(), "DATE": DateType(),
+    "TIMESTAMP": TimestampType(), "TIMESTAMP_NTZ": TimestampNTZType(),
+}
+
+
 def _struct(text: str) -> StructType:
-    return StructType.fromDDL(text)
+    """'name TYPE, ...' -> StructType, without needing a session."""
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in (f.split() for f in text.split(","))])
 
 
 STRIKES = _struct(", ".join(
