@@ -18,16 +18,26 @@ def _along(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Colum
     return F.greatest(F.least(t, F.lit(1.0)), F.lit(0.0))
 
 
-def edge_distance_km(lon: Column, lat: Column, lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Kilometres from a point to an edge: planar inside one region, else to the edge point nearest in a local plane."""
-    p, a, b = geo.placed(lon, lat), geo.placed(lon1, lat1), geo.placed(lon2, lat2)
-    t = _along(p["x"], p["y"], a["x"], a["y"], b["x"], b["y"])
-    planar = F.hypot(p["x"] - (a["x"] + (b["x"] - a["x"]) * t), p["y"] - (a["y"] + (b["y"] - a["y"]) * t)) / 1000
-    shrink = F.cos(F.radians(lat))
-    s = _along(lon * shrink, lat, lon1 * shrink, lat1, lon2 * shrink, lat2)
-    free = geo.geodesic_km(lon, lat, lon1 + (lon2 - lon1) * s, lat1 + (lat2 - lat1) * s)
-    same = (p["region"] == a["region"]) & (p["region"] == b["region"])
-    return F.when(same, planar).otherwise(free)
+def with_edge_distance_km(pairs: DataFrame) -> DataFrame:
+    """Adds `_d`, the distance of (lon, lat) to the edge (lon1, lat1)-(lon2, lat2).
+
+    Planar inside one region, else geodesic to the edge point nearest in a local plane.
+    """
+    c = F.col
+    placed = pairs.withColumns({
+        "_p": geo.placed(c("lon"), c("lat")), "_s": geo.placed(c("lon1"), c("lat1")), "_e": geo.placed(c("lon2"), c("lat2")),
+    })
+    p, s, e = c("_p"), c("_s"), c("_e")
+    same = F.coalesce((p["region"] == s["region"]) & (p["region"] == e["region"]), F.lit(False))
+    shrink = F.cos(F.radians("lat"))
+    t = F.when(same, _along(p["x"], p["y"], s["x"], s["y"], e["x"], e["y"])).otherwise(
+        _along(c("lon") * shrink, c("lat"), c("lon1") * shrink, c("lat1"), c("lon2") * shrink, c("lat2"))
+    )
+    planar = F.hypot(p["x"] - (s["x"] + (e["x"] - s["x"]) * c("_t")), p["y"] - (s["y"] + (e["y"] - s["y"]) * c("_t"))) / 1000
+    free = geo.geodesic_km(
+        c("lon"), c("lat"), c("lon1") + (c("lon2") - c("lon1")) * c("_t"), c("lat1") + (c("lat2") - c("lat1")) * c("_t")
+    )
+    return placed.withColumn("_same", same).withColumn("_t", t).withColumn("_d", F.when(c("_same"), planar).otherwise(free))
 
 
 def nearest_edge_distance(points: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
@@ -42,9 +52,8 @@ def nearest_edge_distance(points: DataFrame, edges: DataFrame, id_col: str) -> D
     spots = edges.select(
         *e, ((e[0] + e[2]) / 2).alias("_slon"), ((e[1] + e[3]) / 2).alias("_slat"), F.lit(0).alias("_sid")
     ).distinct()
-    exact = edge_distance_km(F.col("lon"), F.col("lat"), *e)
     located = points.select(id_col, F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
-    hits = branch_and_bound(located.select("lon", "lat"), spots, exact, slack_km=geo.MARGIN * longest / 2)
+    hits = branch_and_bound(located.select("lon", "lat"), spots, with_edge_distance_km, slack_km=geo.MARGIN * longest / 2)
     return located.join(hits, ["lon", "lat"], "left").select(id_col, F.col("_hit.d").alias("distance_km"))
 
 

@@ -9,6 +9,7 @@ antimeridian and widen to whole rows near the poles.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,12 +77,15 @@ def within_radius(
         "_cell", F.explode(_cap_cells(F.col(right_lon), F.col(right_lat), radius_km))
     )
     keep = [c for c in l.columns if not c.startswith("_")] + [c for c in right.columns]
-    return (
-        l.join(r, "_cell")
-        .withColumn("distance_km", geo.distance_km(F.col("_p"), F.col("_q")))
-        .where(F.col("distance_km") <= radius_km)
-        .select(*keep, "distance_km")
-    )
+    met = l.join(r, "_cell").where(_close(radius_km, left_lon, left_lat, right_lon, right_lat))
+    return met.withColumn("distance_km", geo.distance_km(F.col("_p"), F.col("_q"))).where(
+        F.col("distance_km") <= radius_km
+    ).select(*keep, "distance_km")
+
+
+def _close(radius_km: float, lon1: str, lat1: str, lon2: str, lat2: str) -> Column:
+    """Great-circle bound that no pair in range can miss; spares the exact distance for the corners of the cells."""
+    return geo.great_circle_km(F.col(lon1), F.col(lat1), F.col(lon2), F.col(lat2)) <= radius_km * geo.MARGIN + 0.001
 
 
 def site_links(airports: DataFrame, sites: DataFrame, radius_km: float = COVERAGE_RADIUS_KM) -> DataFrame:
@@ -153,13 +157,19 @@ def nearest(
         sites.where(valid_coordinates(F.col("latitude"), F.col("longitude")))
         .groupBy(F.col("longitude").alias("_slon"), F.col("latitude").alias("_slat")).agg(F.min(id_col).alias("_sid"))
     )
-    exact = geo.distance_km(geo.placed(F.col("lon"), F.col("lat")), geo.placed(F.col("_slon"), F.col("_slat")))
+    spots = spots.withColumn("_q", geo.placed(F.col("_slon"), F.col("_slat")))
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        here = pairs.withColumn("_p", geo.placed(F.col("lon"), F.col("lat")))
+        return here.withColumn("_d", geo.distance_km(F.col("_p"), F.col("_q")))
+
     hits = branch_and_bound(points.select(F.col(lon).alias("lon"), F.col(lat).alias("lat")), spots, exact)
     return hits.select("lon", "lat", F.col("_hit.id").alias(f"nearest_{id_col}"), F.col("_hit.d").alias("distance_km"))
 
 
 def branch_and_bound(
-    points: DataFrame, spots: DataFrame, exact: Column, *, slack_km: float = 0.0, levels: tuple[float, ...] = (10.0, 1.0, 0.1),
+    points: DataFrame, spots: DataFrame, exact: Callable[[DataFrame], DataFrame], *, slack_km: float = 0.0,
+    levels: tuple[float, ...] = (10.0, 1.0, 0.1),
 ) -> DataFrame:
     """(lon, lat, _hit struct(d, id)): the spot with the least `exact` distance per distinct point.
 
@@ -169,8 +179,8 @@ def branch_and_bound(
     bound are dropped before their spots are ever paired.  A cell has at most
     100 children (648 at the root), so no array here grows with the data.
 
-    `spots`: _slon, _slat, _sid and whatever `exact` reads; `slack_km` is how
-    much nearer than its anchor (_slon, _slat) a spot can be.
+    `spots`: _slon, _slat, _sid and whatever `exact` reads to add `_d`;
+    `slack_km` is how much nearer than its anchor (_slon, _slat) a spot can be.
     """
     p = points.where(valid_coordinates(F.col("lat"), F.col("lon"))).distinct()
     keys = [f"_k{i}" for i in range(len(levels))]
@@ -207,11 +217,8 @@ def branch_and_bound(
         alive = F.filter(F.col("_cells"), lambda c: c["low"] <= F.col("_best"))
         state = state.select("lon", "lat", *keys[:level], F.explode(alive).alias("_cell"))
         state = state.select("lon", "lat", *keys[:level], F.col("_cell.key").alias(keys[level]))
-    return (
-        state.join(spots, keys)
-        .select("lon", "lat", F.struct(exact.alias("d"), F.col("_sid").alias("id")).alias("_hit"))
-        .groupBy("lon", "lat").agg(F.min("_hit").alias("_hit"))
-    )
+    pairs = exact(state.join(spots, keys))
+    return pairs.groupBy("lon", "lat").agg(F.min(F.struct(F.col("_d").alias("d"), F.col("_sid").alias("id"))).alias("_hit"))
 
 
 def nearest_site(queries: DataFrame, sites: DataFrame, id_col: str) -> DataFrame:

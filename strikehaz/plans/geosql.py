@@ -46,48 +46,21 @@ def placed_cte(name: str, source: str, lon: str, lat: str, keep: str) -> str:
     )
 
 
-def lambert(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
+def geodesic_ctes(source: str, out: str, lon1="lon1", lat1="lat1", lon2="lon2", lat2="lat2") -> str:
+    """CTE chain adding geodesic_km to the rows of `source` (Thomas' second-order form)."""
     f = geo.F_WGS84
-    b1, b2 = f"atan({1 - f!r} * tan(radians({lat1})))", f"atan({1 - f!r} * tan(radians({lat2})))"
-    h = f"(pow(sin(({b2} - {b1}) / 2), 2) + cos({b1}) * cos({b2}) * pow(sin(radians({lon2} - {lon1}) / 2), 2))"
-    s = f"(2 * asin(sqrt(least({h}, 1e0))))"
-    p, q = f"(({b1} + {b2}) / 2)", f"(({b2} - {b1}) / 2)"
-    x = f"(({s} - sin({s})) * pow(sin({p}) * cos({q}) / cos({s} / 2), 2))"
-    y = f"(({s} + sin({s})) * pow(cos({p}) * sin({q}) / sin({s} / 2), 2))"
-    return f"CASE WHEN {s} = 0 THEN 0e0 ELSE {geo.A / 1000!r} * ({s} - {f / 2!r} * ({x} + {y})) END"
-
-
-def geodesic_ctes(source: str, out: str, lon1="lon1", lat1="lat1", lon2="lon2", lat2="lat2", rounds: int = geo.VINCENTY_ROUNDS) -> str:
-    """CTE chain adding geodesic_km to the rows of `source` (Vincenty, fixed rounds)."""
-    f = geo.F_WGS84
-    ctes = [
-        f"{out}_0 AS (SELECT *, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2, dl AS lam, 1e0 AS step, "
-        f"0e0 AS sigma, 0e0 AS ss, 1e0 AS cs, 0e0 AS c2a, 0e0 AS c2m FROM "
-        f"(SELECT *, atan({1 - f!r} * tan(radians({lat1}))) AS u1, atan({1 - f!r} * tan(radians({lat2}))) AS u2, "
-        f"radians({lon2} - {lon1}) AS dl FROM {source}))"
-    ]
-    for i in range(rounds):
-        prev = f"{out}_{i}"
-        ss = "sqrt(pow(c2 * sin(lam), 2) + pow(c1 * s2 - s1 * c2 * cos(lam), 2))"
-        step1 = f"(SELECT * REPLACE ({ss} AS ss, s1 * s2 + c1 * c2 * cos(lam) AS cs) FROM {prev})"
-        step2 = f"(SELECT *, CASE WHEN ss = 0 THEN 0e0 ELSE c1 * c2 * sin(lam) / greatest(ss, 1e-300) END AS sa FROM {step1})"
-        step3 = f"(SELECT * REPLACE (1 - sa * sa AS c2a, atan2(ss, cs) AS sigma) FROM {step2})"
-        step4 = f"(SELECT * REPLACE (CASE WHEN c2a < 1e-14 THEN 0e0 ELSE cs - 2 * s1 * s2 / greatest(c2a, 1e-14) END AS c2m) FROM {step3})"
-        step5 = f"(SELECT *, {f / 16!r} * c2a * (4 + {f!r} * (4 - 3 * c2a)) AS cc FROM {step4})"
-        lam = f"dl + (1 - cc) * {f!r} * sa * (sigma + cc * ss * (c2m + cc * cs * (2 * c2m * c2m - 1)))"
-        ctes.append(
-            f"{out}_{i + 1} AS (SELECT * EXCLUDE (sa, cc, nl) REPLACE (abs(nl - lam) AS step, nl AS lam) FROM (SELECT *, {lam} AS nl FROM {step5}))"
-        )
-    last = f"{out}_{rounds}"
-    usq = f"c2a * {1 / (1 - f) ** 2 - 1!r}"
-    ctes.append(
-        f"{out} AS (SELECT *, CASE WHEN {lon1} = {lon2} AND {lat1} = {lat2} THEN 0e0 WHEN step < 1e-9 THEN {geo.A * (1 - f) / 1000!r} * ba * (sigma - bb * ss * "
-        f"(c2m + bb / 4 * (cs * (2 * c2m * c2m - 1) - bb / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3)))) "
-        f"ELSE {lambert(lon1, lat1, lon2, lat2)} END AS geodesic_km FROM (SELECT *, "
-        f"1 + usq / 16384 * (4096 + usq * (usq * (320 - 175 * usq) - 768)) AS ba, usq / 1024 * (256 + usq * (usq * (74 - 47 * usq) - 128)) AS bb "
-        f"FROM (SELECT *, {usq} AS usq FROM {last})))"
+    t1, t2 = [f"atan({1 - f!r} * tan(radians({lat})))" for lat in (lat1, lat2)]
+    second = "gx * (ga + (gr - (ga + ge) / 2) * gx) + gy * (ge * gy - 2 * gq) + gq * gx * gy"
+    return (
+        f"{out}_1 AS (SELECT *, ({t1} + {t2}) / 2 AS gm, ({t2} - {t1}) / 2 AS gt, radians({lon2} - {lon1}) / 2 AS gl FROM {source}), "
+        f"{out}_2 AS (SELECT *, greatest(least(pow(sin(gt), 2) + pow(sin(gl), 2) * (pow(cos(gt), 2) - pow(sin(gm), 2)), 1), 0) AS gh FROM {out}_1), "
+        f"{out}_3 AS (SELECT *, 2 * asin(sqrt(gh)) AS gd, 2 * pow(sin(gm) * cos(gt), 2) / greatest(1 - gh, 1e-15) AS gu, "
+        f"2 * pow(sin(gt) * cos(gm), 2) / nullif(gh, 0) AS gw, 2 * (2 * gh - 1) AS ge FROM {out}_2), "
+        f"{out}_4 AS (SELECT *, gd / greatest(sin(gd), 1e-15) AS gr, gu + gw AS gx, gu - gw AS gy FROM {out}_3), "
+        f"{out}_5 AS (SELECT *, 4 * gr * gr AS gq, -4 * gr * gr * ge AS ga FROM {out}_4), "
+        f"{out} AS (SELECT * EXCLUDE (gm, gt, gl, gh, gd, gu, gw, ge, gr, gx, gy, gq, ga), CASE WHEN gh = 0 THEN 0e0 ELSE "
+        f"{geo.A / 1000!r} * sin(gd) * (gr - {f / 4!r} * (gr * gx - gy) + {f ** 2 / 64!r} * ({second})) END AS geodesic_km FROM {out}_5)"
     )
-    return ", ".join(ctes)
 
 
 def pair_distance_ctes(left: str, right: str, out: str = "pairs", on: str | None = None) -> str:
