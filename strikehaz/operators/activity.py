@@ -14,6 +14,7 @@ from strikehaz.functions.names import species_group
 from strikehaz.functions.times import local_to_utc, micros
 from strikehaz.operators.spatial import nearest, within_radius
 from strikehaz.operators.temporal import HOUR, latest_before, lookback_sums
+from strikehaz.session import durable
 
 GROUPS = ["large_bird", "waterfowl", "gull", "raptor"]
 TYPED = {"nocturnal_flight_call": "3d", "visible_migration": "7d", "capture": "7d"}
@@ -131,16 +132,17 @@ def activity_features(
     instants = asked.select("lon", "lat", "at").distinct()
     places = instants.select("lon", "lat").distinct()
     stations = sites.select("site_id", "longitude", "latitude")
-    pairs = within_radius(places, stations, float(max([*radii, coverage_radius_km])))
+    # read twice or more below, so their lineage is cut once
+    pairs = durable(within_radius(places, stations, float(max([*radii, coverage_radius_km]))))
     covered = F.col("distance_km") <= coverage_radius_km
     density = pairs.groupBy("lon", "lat").agg(
         *[F.count_if(F.col("distance_km") <= r).alias(f"number_of_sites_within_{r}_km") for r in radii],
         F.count_if(covered).alias("_covered"),
     )
-    closest = nearest(places, stations).withColumnRenamed("distance_km", "distance_to_nearest_site_km")
+    closest = durable(nearest(places, stations)).withColumnRenamed("distance_km", "distance_to_nearest_site_km")
 
     reach = instants.join(pairs.where(covered).select("lon", "lat", "site_id"), ["lon", "lat"])
-    measures = session_measures(counts)
+    measures = durable(session_measures(counts))
     week = ["effort_rows", "hours", "heading_weight", *[f"axis_{i}" for i in range(4)], *[f"birds_{g}" for g in GROUPS]]
     values = {"rows": list(fv.WINDOWS_HOURS), "birds": list(fv.WINDOWS_HOURS)}
     values |= {v: ["7d"] for v in week}

@@ -25,7 +25,7 @@ def with_edge_distance_km(pairs: DataFrame) -> DataFrame:
     """
     c = F.col
     placed = pairs.withColumns({
-        "_p": geo.placed(c("lon"), c("lat")), "_s": geo.placed(c("lon1"), c("lat1")), "_e": geo.placed(c("lon2"), c("lat2")),
+        "_p": geo.placed("lon", "lat"), "_s": geo.placed("lon1", "lat1"), "_e": geo.placed("lon2", "lat2"),
     })
     p, s, e = c("_p"), c("_s"), c("_e")
     same = F.coalesce((p["region"] == s["region"]) & (p["region"] == e["region"]), F.lit(False))
@@ -34,9 +34,7 @@ def with_edge_distance_km(pairs: DataFrame) -> DataFrame:
         _along(c("lon") * shrink, c("lat"), c("lon1") * shrink, c("lat1"), c("lon2") * shrink, c("lat2"))
     )
     planar = F.hypot(p["x"] - (s["x"] + (e["x"] - s["x"]) * c("_t")), p["y"] - (s["y"] + (e["y"] - s["y"]) * c("_t"))) / 1000
-    free = geo.geodesic_km(
-        c("lon"), c("lat"), c("lon1") + (c("lon2") - c("lon1")) * c("_t"), c("lat1") + (c("lat2") - c("lat1")) * c("_t")
-    )
+    free = geo.geodesic_km("lon", "lat", "(lon1 + (lon2 - lon1) * _t)", "(lat1 + (lat2 - lat1) * _t)")
     return placed.withColumn("_same", same).withColumn("_t", t).withColumn("_d", F.when(c("_same"), planar).otherwise(free))
 
 
@@ -48,7 +46,7 @@ def nearest_edge_distance(points: DataFrame, edges: DataFrame, id_col: str) -> D
     exact however long edges are (short ones prune better).
     """
     e = [F.col(c) for c in ("lon1", "lat1", "lon2", "lat2")]
-    longest = edges.agg(F.max(geo.great_circle_km(*e))).first()[0] or 0.0
+    longest = edges.agg(F.expr(f"max({geo.great_circle('lon1', 'lat1', 'lon2', 'lat2')})")).first()[0] or 0.0
     spots = edges.select(
         *e, ((e[0] + e[2]) / 2).alias("_slon"), ((e[1] + e[3]) / 2).alias("_slat"), F.lit(0).alias("_sid")
     ).distinct()
@@ -69,7 +67,7 @@ def area_within(points: DataFrame, cells: DataFrame, id_col: str, radius_km: flo
     )
     located = points.select(id_col, F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
     return located.join(areas, ["lon", "lat"], "left").select(
-        id_col, F.when(geo.region(F.col("lon"), F.col("lat")).isNotNull(), F.coalesce("area", F.lit(0.0))).alias("area_km2")
+        id_col, F.when(geo.region("lon", "lat").isNotNull(), F.coalesce("area", F.lit(0.0))).alias("area_km2")
     )
 
 

@@ -86,12 +86,12 @@ def geojson_features(df: DataFrame, lon: str = "longitude", lat: str = "latitude
 
 def geo_table(df: DataFrame, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
     """Adds the point as WKT."""
-    return df.withColumn("geometry_wkt", geo.point_wkt(F.col(lon), F.col(lat)))
+    return df.withColumn("geometry_wkt", geo.point_wkt(lon, lat))
 
 
 def buffer_layer(airports: DataFrame, radius_km: float, corners: int = 64) -> DataFrame:
     """Airports with their planar buffer as WKT; outside the regions a null polygon and the reason."""
-    located = airports.withColumn("_p", geo.placed(F.col("longitude"), F.col("latitude")))
+    located = airports.withColumn("_p", geo.placed("longitude", "latitude"))
     ring = located.withColumn("ring", geo.buffer_ring(F.col("_p"), radius_km, corners))
     return ring.select(
         *airports.columns, "ring", geo.ring_wkt(F.col("ring")).alias("geometry_wkt"),

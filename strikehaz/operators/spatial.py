@@ -24,39 +24,33 @@ def _bands(radius_km: float) -> int:
     return max(1, int(180 / (geo.MARGIN * radius_km / geo.KM_PER_DEGREE)))
 
 
-def _columns_in(band: Column, bands: int) -> Column:
+def _columns_in(band: str, bands: int) -> str:
     """Cells in a latitude band: a parabola in the band number, close to cos(lat) and exact in integers."""
-    offset = band * 2 + 1 - bands
-    return F.greatest(F.lit(1), F.floor((F.lit(bands * bands) - offset * offset) * 2 / bands))
+    return f"greatest(1L, CAST(floor(2 * ({bands * bands} - pow(2 * {band} + 1 - {bands}, 2)) / {bands}) AS BIGINT))"
 
 
-def _home_cell(lon: Column, lat: Column, radius_km: float) -> Column:
+def _home_cell(lon: str, lat: str, radius_km: float) -> Column:
     bands = _bands(radius_km)
-    band = F.least(F.floor((lat + 90) * (bands / 180)), F.lit(bands - 1))
+    band = f"least(floor(({lat} + 90) * {bands / 180}D), {bands - 1})"
     columns = _columns_in(band, bands)
-    column = F.pmod(F.floor((lon + 180) / 360 * columns), columns)
-    return band * 10_000_000 + column
+    return F.expr(f"{band} * 10000000L + pmod(floor(({lon} + 180) / 360 * {columns}), {columns})")
 
 
-def _cap_cells(lon: Column, lat: Column, radius_km: float) -> Column:
+def _cap_cells(lon: str, lat: str, radius_km: float) -> Column:
     """Array of every cell touched by the cap of MARGIN * radius around the point."""
     bands = _bands(radius_km)
     angle = geo.MARGIN * radius_km / geo.EARTH_KM
     degrees = math.degrees(angle)
-    reach = F.when(F.abs(lat) + degrees >= 89.9, F.lit(180.0)).otherwise(
-        F.degrees(F.asin(F.least(F.lit(math.sin(angle)) / F.cos(F.radians(lat)), F.lit(1.0)))) + 1e-9
+    reach = (
+        f"CASE WHEN abs({lat}) + {degrees}D >= 89.9D THEN 180D "
+        f"ELSE degrees(asin(least({math.sin(min(angle, math.pi / 2))}D / cos(radians({lat})), 1D))) + 1e-9D END"
     )
-    low = F.greatest(F.floor((lat - degrees + 90) * (bands / 180)), F.lit(0))
-    high = F.least(F.floor((lat + degrees + 90) * (bands / 180)), F.lit(bands - 1))
-
-    def cells_of(band: Column) -> Column:
-        columns = _columns_in(band, bands)
-        first = F.floor((lon - reach + 180) / 360 * columns)
-        last = F.floor((lon + reach + 180) / 360 * columns)
-        last = F.least(last, first + columns - 1)
-        return F.transform(F.sequence(first, last), lambda c: band * 10_000_000 + F.pmod(c, columns))
-
-    return F.flatten(F.transform(F.sequence(low, high), cells_of))
+    low = f"greatest(floor(({lat} - {degrees}D + 90) * {bands / 180}D), 0)"
+    high = f"least(floor(({lat} + {degrees}D + 90) * {bands / 180}D), {bands - 1})"
+    columns = _columns_in("b", bands)
+    first = f"floor(({lon} - ({reach}) + 180) / 360 * {columns})"
+    last = f"least(floor(({lon} + ({reach}) + 180) / 360 * {columns}), {first} + {columns} - 1)"
+    return F.expr(f"flatten(transform(sequence({low}, {high}), b -> transform(sequence({first}, {last}), c -> b * 10000000L + pmod(c, {columns}))))")
 
 
 def within_radius(
@@ -70,22 +64,22 @@ def within_radius(
     """
     l = left.where(valid_coordinates(F.col(left_lat), F.col(left_lon)))
     r = right.where(valid_coordinates(F.col(right_lat), F.col(right_lon)))
-    l = l.withColumn("_p", geo.placed(F.col(left_lon), F.col(left_lat))).withColumn(
-        "_cell", _home_cell(F.col(left_lon), F.col(left_lat), radius_km)
+    l = l.withColumn("_p", geo.placed(left_lon, left_lat)).withColumn(
+        "_cell", _home_cell(left_lon, left_lat, radius_km)
     )
-    r = r.withColumn("_q", geo.placed(F.col(right_lon), F.col(right_lat))).withColumn(
-        "_cell", F.explode(_cap_cells(F.col(right_lon), F.col(right_lat), radius_km))
+    r = r.withColumn("_q", geo.placed(right_lon, right_lat)).withColumn(
+        "_cell", F.explode(_cap_cells(right_lon, right_lat, radius_km))
     )
     keep = [c for c in l.columns if not c.startswith("_")] + [c for c in right.columns]
     met = l.join(r, "_cell").where(_close(radius_km, left_lon, left_lat, right_lon, right_lat))
-    return met.withColumn("distance_km", geo.distance_km(F.col("_p"), F.col("_q"))).where(
+    return met.withColumn("distance_km", geo.distance_km("_p", "_q")).where(
         F.col("distance_km") <= radius_km
     ).select(*keep, "distance_km")
 
 
 def _close(radius_km: float, lon1: str, lat1: str, lon2: str, lat2: str) -> Column:
     """Great-circle bound that no pair in range can miss; spares the exact distance for the corners of the cells."""
-    return geo.great_circle_km(F.col(lon1), F.col(lat1), F.col(lon2), F.col(lat2)) <= radius_km * geo.MARGIN + 0.001
+    return F.expr(f"{geo.great_circle(lon1, lat1, lon2, lat2)} <= {radius_km * geo.MARGIN + 0.001}D")
 
 
 def site_links(airports: DataFrame, sites: DataFrame, radius_km: float = COVERAGE_RADIUS_KM) -> DataFrame:
@@ -136,6 +130,11 @@ def distance_weighted_total(
 
 # --- nearest neighbour (J7) ------------------------------------------------------
 
+def _depth(n_spots: int) -> tuple[float, ...]:
+    """Cell sizes in degrees: deeper trees for more spots, so the last cells stay small."""
+    return (10.0,) if n_spots <= 1_000 else (10.0, 1.0) if n_spots <= 100_000 else (10.0, 1.0, 0.1)
+
+
 def _tree_key(lon: Column, lat: Column, size: float) -> Column:
     return F.floor((lat + 90) / size) * int(360 / size + 1) + F.floor((lon + 180) / size)
 
@@ -157,11 +156,11 @@ def nearest(
         sites.where(valid_coordinates(F.col("latitude"), F.col("longitude")))
         .groupBy(F.col("longitude").alias("_slon"), F.col("latitude").alias("_slat")).agg(F.min(id_col).alias("_sid"))
     )
-    spots = spots.withColumn("_q", geo.placed(F.col("_slon"), F.col("_slat")))
+    spots = spots.withColumn("_q", geo.placed("_slon", "_slat"))
 
     def exact(pairs: DataFrame) -> DataFrame:
-        here = pairs.withColumn("_p", geo.placed(F.col("lon"), F.col("lat")))
-        return here.withColumn("_d", geo.distance_km(F.col("_p"), F.col("_q")))
+        here = pairs.withColumn("_p", geo.placed("lon", "lat"))
+        return here.withColumn("_d", geo.distance_km("_p", "_q"))
 
     hits = branch_and_bound(points.select(F.col(lon).alias("lon"), F.col(lat).alias("lat")), spots, exact)
     return hits.select("lon", "lat", F.col("_hit.id").alias(f"nearest_{id_col}"), F.col("_hit.d").alias("distance_km"))
@@ -169,7 +168,7 @@ def nearest(
 
 def branch_and_bound(
     points: DataFrame, spots: DataFrame, exact: Callable[[DataFrame], DataFrame], *, slack_km: float = 0.0,
-    levels: tuple[float, ...] = (10.0, 1.0, 0.1),
+    levels: tuple[float, ...] | None = None,
 ) -> DataFrame:
     """(lon, lat, _hit struct(d, id)): the spot with the least `exact` distance per distinct point.
 
@@ -177,12 +176,14 @@ def branch_and_bound(
     offers an upper bound (distance to one spot in it) and a lower bound
     (distance to its far side); cells whose lower bound exceeds the best upper
     bound are dropped before their spots are ever paired.  A cell has at most
-    100 children (648 at the root), so no array here grows with the data.
+    100 children (648 at the root), so no array here grows with the data.  The
+    tree depth follows the number of spots.
 
     `spots`: _slon, _slat, _sid and whatever `exact` reads to add `_d`;
     `slack_km` is how much nearer than its anchor (_slon, _slat) a spot can be.
     """
     p = points.where(valid_coordinates(F.col("lat"), F.col("lon"))).distinct()
+    levels = levels or _depth(spots.count())
     keys = [f"_k{i}" for i in range(len(levels))]
     for key, size in zip(keys, levels):
         spots = spots.withColumn(key, _tree_key(F.col("_slon"), F.col("_slat"), size))
@@ -196,25 +197,21 @@ def branch_and_bound(
         )
         return cells.groupBy(*keys[:level]).agg(F.collect_list(member).alias("_cells"))
 
-    def bounded(cells: Column, size: float) -> Column:
+    def bounded(size: float) -> Column:
         inner = geo.KM_PER_DEGREE * size * 0.7072 + slack_km
-        return F.transform(cells, lambda c: F.struct(
-            c["key"].alias("key"),
-            ((geo.great_circle_km(F.col("lon"), F.col("lat"), c["clon"], c["clat"]) - inner) / geo.MARGIN).alias("low"),
-            (geo.great_circle_km(F.col("lon"), F.col("lat"), c["rlon"], c["rlat"]) * geo.MARGIN).alias("high"),
-        ))
+        low = f"({geo.great_circle('lon', 'lat', 'c.clon', 'c.clat')} - {inner}D) / {geo.MARGIN}D"
+        high = f"{geo.great_circle('lon', 'lat', 'c.rlon', 'c.rlat')} * {geo.MARGIN}D"
+        return F.expr(f"transform(_cells, c -> named_struct('key', c.key, 'low', {low}, 'high', {high}))")
 
     here = Window.partitionBy("lon", "lat")
     state = p.withColumn("_cells", children(0).scalar())
     for level, size in enumerate(levels):
         if level:
             state = state.join(children(level), keys[:level])
-        state = state.withColumn("_cells", bounded(F.col("_cells"), size)).withColumn(
-            "_best", F.array_min(F.transform(F.col("_cells"), lambda c: c["high"]))
-        )
+        state = state.withColumn("_cells", bounded(size)).withColumn("_best", F.expr("array_min(_cells.high)"))
         if level:
             state = state.withColumn("_best", F.min("_best").over(here))
-        alive = F.filter(F.col("_cells"), lambda c: c["low"] <= F.col("_best"))
+        alive = F.expr("filter(_cells, c -> c.low <= _best)")
         state = state.select("lon", "lat", *keys[:level], F.explode(alive).alias("_cell"))
         state = state.select("lon", "lat", *keys[:level], F.col("_cell.key").alias(keys[level]))
     pairs = exact(state.join(spots, keys))

@@ -96,7 +96,7 @@ def incidents_with_activity(
     found = rows.join(lookup, ["_species", "_month"], "left")
     matched = F.col("n_candidates").isNotNull()
     monitored = F.col("count_per_hour").isNotNull()
-    distance = geo.geodesic_km(F.col("_lon"), F.col("_lat"), F.lit(float(station_lon)), F.lit(float(station_lat)))
+    distance = geo.geodesic_km("_lon", "_lat", f"({float(station_lon)}D)", f"({float(station_lat)}D)")
     return found.select(
         "record_id",
         F.lit(source_dataset).alias("source_dataset"),

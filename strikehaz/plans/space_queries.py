@@ -28,12 +28,12 @@ def pair_distance(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     met = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
-    airports = view(spark, sf_dir, "airports").select("airport_id", geo.placed(F.col("longitude"), F.col("latitude")).alias("_a"))
-    sites = view(spark, sf_dir, "sites").select("site_id", geo.placed(F.col("longitude"), F.col("latitude")).alias("_s"))
+    airports = view(spark, sf_dir, "airports").select("airport_id", geo.placed("longitude", "latitude").alias("_a"))
+    sites = view(spark, sf_dir, "sites").select("site_id", geo.placed("longitude", "latitude").alias("_s"))
     pairs = met.join(airports, met.o_custkey == airports.airport_id).join(sites, met.l_suppkey == sites.site_id)
     return pairs.select(
-        "airport_id", "site_id", F.round(geo.distance_km(F.col("_a"), F.col("_s")), 3).alias("distance_km"),
-        geo.distance_method(F.col("_a"), F.col("_s")).alias("method"), geo.distance_crs(F.col("_a"), F.col("_s")).alias("crs"),
+        "airport_id", "site_id", F.round(geo.distance_km("_a", "_s"), 3).alias("distance_km"),
+        geo.distance_method("_a", "_s").alias("method"), geo.distance_crs("_a", "_s").alias("crs"),
     )
 
 
@@ -89,9 +89,8 @@ def _cell_sql(lat: str, lon: str, rows: int, cols: int, r: int) -> str:
   round(degrees(asin((CAST(floor((sin(radians(latitude)) + 1) / 2 * 1024) AS BIGINT) + 5e-1) / 1024 * 2 - 1)), 6) AS center_lat FROM v_airports""")
 def grid_cells(spark, sf_dir):
     """Cell keys at both resolutions and a cell centre."""
-    lat, lon = F.col("latitude"), F.col("longitude")
-    cells = view(spark, sf_dir, "airports").select("airport_id", geo.cell(lat, lon, 5).alias("cell_r5"), geo.cell(lat, lon, 7).alias("cell_r7"))
-    return cells.select("*", F.round(geo.cell_center(F.col("cell_r5"))[0], 6).alias("center_lat"))
+    cells = view(spark, sf_dir, "airports").select("airport_id", geo.cell("latitude", "longitude", 5).alias("cell_r5"), geo.cell("latitude", "longitude", 7).alias("cell_r7"))
+    return cells.select("*", F.round(geo.cell_center("cell_r5")[0], 6).alias("center_lat"))
 
 
 @query("cell_totals", with_views("counts", "sites") + f""" SELECT {_cell_sql('latitude', 'longitude', 1024, 2048, 5)} AS cell_r5, CAST(sum("count") AS BIGINT) AS "count"
@@ -100,7 +99,7 @@ def cell_totals(spark, sf_dir):
     """Counts summed per cell, rows without a place left out."""
     per_site = view(spark, sf_dir, "counts").groupBy("site_id").agg(F.sum("count").alias("count"))
     located = per_site.join(view(spark, sf_dir, "sites"), "site_id", "left")
-    return spatial.cell_totals(located.withColumn("cell_r5", geo.cell(F.col("latitude"), F.col("longitude"), 5)), ["count"], "cell_r5")
+    return spatial.cell_totals(located.withColumn("cell_r5", geo.cell("latitude", "longitude", 5)), ["count"], "cell_r5")
 
 
 @query("cell_distances")
@@ -108,12 +107,11 @@ def cell_distances(spark, sf_dir):
     """Geodesic kilometres between the cells of each order's airport and supplier site."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    lat, lon = F.col("latitude"), F.col("longitude")
-    a = view(spark, sf_dir, "airports").select(F.col("airport_id").alias("o_custkey"), geo.cell(lat, lon).alias("cell_a"))
-    s = view(spark, sf_dir, "sites").select(F.col("site_id").alias("l_suppkey"), geo.cell(lat, lon).alias("cell_b"))
+    a = view(spark, sf_dir, "airports").select(F.col("airport_id").alias("o_custkey"), geo.cell("latitude", "longitude").alias("cell_a"))
+    s = view(spark, sf_dir, "sites").select(F.col("site_id").alias("l_suppkey"), geo.cell("latitude", "longitude").alias("cell_b"))
     met = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(a, "o_custkey").join(s, "l_suppkey")
     cells = met.select("cell_a", "cell_b").distinct()
-    return cells.select("cell_a", "cell_b", F.round(geo.cell_distance_km(F.col("cell_a"), F.col("cell_b")), 3).alias("distance_km"))
+    return cells.select("cell_a", "cell_b", F.round(geo.cell_distance_km("cell_a", "cell_b"), 3).alias("distance_km"))
 
 
 @query("buffer_polygons", PLACED + """ SELECT airport_id, reg IS NOT NULL AS has_polygon, CASE WHEN reg IS NULL THEN 'outside supported CRS regions (conus, europe)' END AS buffer_unavailable_reason,
@@ -161,7 +159,7 @@ def habitat_distance(spark, sf_dir):
         lon.alias("lon1"), lat.alias("lat1"), F.least(lon + size / 100, F.lit(-66.0)).alias("lon2"), F.least(lat + size / 50, F.lit(50.0)).alias("lat2")
     )
     airports = view(spark, sf_dir, "airports")
-    inside = airports.where(geo.region(F.col("longitude"), F.col("latitude")) == "conus")
+    inside = airports.where(geo.region("longitude", "latitude") == "conus")
     return habitat.nearest_edge_distance(inside, edges, "airport_id").withColumn("distance_km", F.round("distance_km", 3))
 
 
