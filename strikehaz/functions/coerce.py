@@ -9,8 +9,11 @@ _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _CLOCK = r"^\s*(\d+):([0-5]?\d)\s*$"
 
 
-def number(c: Column) -> Column:
-    """Text or number -> DOUBLE; unparseable text and NaN -> null."""
+def number(c: Column | str) -> Column:
+    """Text or number -> DOUBLE; unparseable text and NaN -> null (S4).  A plain name is a column."""
+    if isinstance(c, str):
+        t = f"CAST(`{c}` AS STRING)"
+        return F.expr(f"CASE WHEN {t} RLIKE r'{_NUMBER}' THEN nanvl(TRY_CAST(trim({t}) AS DOUBLE), NULL) END")
     as_text = c.cast("string")
     value = F.when(as_text.rlike(_NUMBER), F.trim(as_text).try_cast("double"))
     return F.when(~F.isnan(value), value)
@@ -30,8 +33,10 @@ def strip(c: Column) -> Column:
     return F.trim(c.cast("string"), F.lit(" \t\n\r\f\x0b\u00a0"))
 
 
-def tidy_upper(c: Column) -> Column:
-    """Trim and upper-case; null stays null."""
+def tidy_upper(c: Column | str) -> Column:
+    """Trim and upper-case; null stays null (X1).  A plain name is a column."""
+    if isinstance(c, str):
+        return F.expr(f"upper(trim(BOTH ' \\t\\n\\r\\f\\u000b\\u00a0' FROM CAST(`{c}` AS STRING)))")
     return F.upper(strip(c))
 
 

@@ -43,8 +43,8 @@ class Encoder:
 
 def fit_dense(train: DataFrame, numeric: list[str], categorical: list[str], threshold: int = fv.RARE_THRESHOLD) -> Encoder:
     """Median impute and standardise; bucket rare, one-hot, unseen categories all zero (M5)."""
-    frequent = frequent_categories(train, categorical, threshold)
-    ready = _filled(bucket_rare(train, frequent, categorical), categorical, fv.MISSING_TOKEN)
+    frequent = durable(frequent_categories(train, categorical, threshold))
+    ready = durable(_filled(bucket_rare(train, frequent, categorical), categorical, fv.MISSING_TOKEN))
     imputed = [f"{c}__n" for c in numeric]
     stages = Pipeline(stages=[
         Imputer(strategy="median", inputCols=numeric, outputCols=imputed),
@@ -62,8 +62,8 @@ def fit_dense(train: DataFrame, numeric: list[str], categorical: list[str], thre
 
 def fit_tree(train: DataFrame, numeric: list[str], categorical: list[str], threshold: int = fv.RARE_THRESHOLD) -> Encoder:
     """Indexed categories with a missing token, numerics with an explicit missing indicator (M6)."""
-    frequent = frequent_categories(train, categorical, threshold)
-    ready = _filled(bucket_rare(train, frequent, categorical), categorical, fv.MISSING_TOKEN)
+    frequent = durable(frequent_categories(train, categorical, threshold))
+    ready = durable(_filled(bucket_rare(train, frequent, categorical), categorical, fv.MISSING_TOKEN))
     imputed = [f"{c}__n" for c in numeric]
     indexer = StringIndexer(inputCols=categorical, outputCols=[f"{c}__i" for c in categorical], handleInvalid="keep")
     imputer = Imputer(strategy="median", inputCols=numeric, outputCols=imputed)
@@ -93,10 +93,10 @@ def probability(column: str = "probability") -> Column:
 
 def fit_logistic(encoded: DataFrame, label: str = "y", max_iter: int = 100):
     """Balanced logistic regression with unit ridge penalty (M7)."""
-    n = encoded.count()
+    rows = durable(balanced_weights(encoded, label).select("features", label, "weight"))
     return LogisticRegression(
-        featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter, regParam=1.0 / max(n, 1), standardization=False
-    ).fit(balanced_weights(encoded, label))
+        featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter, regParam=1.0 / max(rows.count(), 1), standardization=False
+    ).fit(rows)
 
 
 def _bins(encoder: Encoder) -> int:
@@ -112,6 +112,7 @@ def fit_gbt(
     rows = balanced_weights(encoder.transform(train), label).withColumn("_v", F.lit(False)).unionByName(
         encoder.transform(validation).withColumns({"weight": F.lit(1.0), "_v": F.lit(True)})
     )
+    rows = durable(rows.select("features", label, "weight", "_v"))
     return GBTClassifier(
         featuresCol="features", labelCol=label, weightCol="weight", validationIndicatorCol="_v", maxDepth=depth, stepSize=step,
         minInstancesPerNode=min_rows, maxIter=iterations, maxBins=_bins(encoder), seed=seed,
@@ -141,6 +142,7 @@ def search_gbt(
 def fit_severity(train: DataFrame, validation: DataFrame, encoder: Encoder, label: str = "y", depth: int = 5, iterations: int = 100, seed: int = 42):
     """Boosted regressor on the 0-3 severity score (M9)."""
     rows = encoder.transform(train).withColumn("_v", F.lit(False)).unionByName(encoder.transform(validation).withColumn("_v", F.lit(True)))
+    rows = durable(rows.select("features", label, "_v"))
     return GBTRegressor(
         featuresCol="features", labelCol=label, validationIndicatorCol="_v", maxDepth=depth, maxIter=iterations,
         maxBins=_bins(encoder), seed=seed,

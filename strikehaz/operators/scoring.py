@@ -36,20 +36,22 @@ def check_fields(columns, id_col: str = "scenario_id") -> None:
         raise ValueError(f"Scenario fields missing: {missing}; not recognised: {unknown}")
 
 
-def scenario_violations(scenarios: DataFrame, seen: DataFrame, ranges: DataFrame, id_col: str = "scenario_id") -> DataFrame:
+def scenario_violations(
+    scenarios: DataFrame, seen: DataFrame, ranges: DataFrame, id_col: str = "scenario_id", checked: list[str] = TEXT_FIELDS,
+) -> DataFrame:
     """(id, is_valid, n_violations, violations) per scenario.
 
-    A number must be present, numeric and inside the training range; a category
-    must have been seen in training, null being allowed.  Fields unknown to
-    `ranges` or `seen` are not restricted.  All fields are checked in one pass
-    and one join; `ranges` has one row per numeric field.
+    A number must be present, numeric and inside the training range (`ranges`,
+    one row per restricted field); a category of a `checked` field must have
+    been seen in training, null being allowed.  All fields are checked in one
+    pass and one join.
     """
     check_fields(scenarios.columns, id_col)
     limits = ranges.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("low", "high")))).alias("m")).scalar()
     with_limits = scenarios.withColumn("_limits", limits)
 
     def numeric_problem(f: str) -> Column:
-        value, limit = number(F.col(f)), F.try_element_at(F.col("_limits"), F.lit(f))
+        value, limit = number(f), F.try_element_at(F.col("_limits"), F.lit(f))
         return (
             F.when(F.col(f).isNull(), f"{f}: missing").when(value.isNull(), f"{f}: not numeric")
             .when((value < limit["low"]) | (value > limit["high"]), f"{f}: outside training range")
@@ -58,13 +60,10 @@ def scenario_violations(scenarios: DataFrame, seen: DataFrame, ranges: DataFrame
     numeric = with_limits.select(
         id_col, F.explode(F.array(*[numeric_problem(f) for f in fv.SCENARIO_NUMERIC])).alias("problem")
     ).where(F.col("problem").isNotNull())
-    cells = F.array(*[F.struct(F.lit(f).alias("column"), F.col(f).cast("string").alias("value")) for f in TEXT_FIELDS])
+    cells = F.array(*[F.struct(F.lit(f).alias("column"), F.col(f).cast("string").alias("value")) for f in checked])
     long = scenarios.select(id_col, F.inline(cells)).where(F.col("value").isNotNull())
     # check each distinct value once, however many scenarios repeat it
-    restricted = seen.select("column").distinct()
-    unseen = long.select("column", "value").distinct().join(restricted, "column", "left_semi").join(
-        seen, ["column", "value"], "left_anti"
-    )
+    unseen = long.select("column", "value").distinct().join(seen, ["column", "value"], "left_anti")
     categorical = long.join(unseen, ["column", "value"], "left_semi").select(
         id_col, F.concat("column", F.lit(": never seen in training")).alias("problem")
     )

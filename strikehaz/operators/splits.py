@@ -131,12 +131,27 @@ def frequent_categories(train: DataFrame, columns: list[str], threshold: int = f
     ).select("column", "value")
 
 
+#: Frequent values up to this many are compared in place; a larger table is joined.
+SMALL_DICTIONARY = 50_000
+
+
 def bucket_rare(df: DataFrame, frequent: DataFrame, columns: list[str]) -> DataFrame:
-    """Values not in `frequent` become 'rare_other'; null stays null."""
+    """Values not in `frequent` become 'rare_other'; null stays null.
+
+    A dictionary of measured small size becomes a hash-set test without any
+    shuffle; otherwise each column meets its values in a join.
+    """
+    kept = frequent.limit(SMALL_DICTIONARY + 1).collect()
+    if len(kept) <= SMALL_DICTIONARY:
+        values = {c: [r["value"] for r in kept if r["column"] == c] for c in columns}
+        return df.withColumns({
+            c: F.when(F.col(c).isNull() | F.col(c).cast("string").isin(values[c]), F.col(c).cast("string")).otherwise(fv.RARE_TOKEN)
+            for c in columns
+        })
     for c in columns:
-        kept = frequent.where(F.col("column") == c).select(F.col("value").alias("_value"))
+        words = frequent.where(F.col("column") == c).select(F.col("value").alias("_value"))
         text = F.col(c).cast("string")
-        df = df.join(kept, text == F.col("_value"), "left").withColumn(
+        df = df.join(words, text == F.col("_value"), "left").withColumn(
             c, F.when(text.isNull() | F.col("_value").isNotNull(), text).otherwise(fv.RARE_TOKEN)
         ).drop("_value")
     return df

@@ -14,8 +14,8 @@ from strikehaz.functions.coerce import moment, number, tidy_upper
 def normalise_raw(raw: DataFrame) -> DataFrame:
     """Trim and upper-case the text columns, coerce the numeric ones and the date; others untouched (P5)."""
     have = set(raw.columns)
-    changes = {c: tidy_upper(F.col(c)) for c in fv.RAW_TEXT if c in have}
-    changes |= {c: number(F.col(c)) for c in fv.RAW_NUMERIC if c in have}
+    changes = {c: tidy_upper(c) for c in fv.RAW_TEXT if c in have}
+    changes |= {c: number(c) for c in fv.RAW_NUMERIC if c in have}
     if "INCIDENT_DATE" in have:
         changes["INCIDENT_DATE"] = moment(F.col("INCIDENT_DATE"))
     return raw.withColumns(changes)
