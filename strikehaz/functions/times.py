@@ -14,8 +14,6 @@ from strikehaz.functions.coerce import clock_minutes, day, moment
 #: Region ids the JVM also knows; pseudo entries of the tz database are left out.
 ZONES = sorted(zoneinfo.available_timezones() - {"Factory", "localtime", "posixrules"})
 
-_ZONE_ARRAY = "array(" + ", ".join(f"'{z}'" for z in ZONES) + ")"
-
 
 def hours_from_clock(c: Column) -> Column:
     """'55:30' or '1,018:12' -> hours as DOUBLE; hours may exceed 24."""
@@ -43,9 +41,9 @@ def local_to_utc(date: Column, clock: Column, zone: Column) -> Column:
     minutes = F.when(clock.isNull(), F.lit(0)).otherwise(clock_minutes(clock))
     midnight = day(date).cast("timestamp_ntz")
     local = F.when(minutes < 24 * 60, midnight + F.make_dt_interval(mins=minutes))
-    known = F.array_contains(F.expr(_ZONE_ARRAY), F.coalesce(zone, F.lit("UTC")))
-    usable = F.when(known, F.coalesce(zone, F.lit("UTC"))).otherwise("UTC")
-    return F.when(known, F.to_utc_timestamp(local.cast("timestamp"), usable))
+    zone = F.coalesce(zone, F.lit("UTC"))
+    known = zone.isin(ZONES)
+    return F.when(known, F.to_utc_timestamp(local.cast("timestamp"), F.when(known, zone).otherwise("UTC")))
 
 
 def micros(ts: Column) -> Column:

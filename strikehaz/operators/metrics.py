@@ -155,8 +155,7 @@ def regression_metrics(pred: DataFrame, y: str = "y", p: str = "p", by: list[str
 
 def calibration_curve(pred: DataFrame, n_bins: int = 10, y: str = "y", p: str = "p", by: list[str] | None = None) -> DataFrame:
     """Uniform bins: mean score and observed rate; an edge value belongs to the lower bin, empty bins vanish."""
-    edges = F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
-    bin_of = F.size(F.filter(edges, lambda e: e < F.col(p)))
+    bin_of = F.expr(f"size(filter({_doubles([i / n_bins for i in range(1, n_bins)])}, e -> e < `{p}`))")
     return pred.groupBy(*(by or []), bin_of.alias("bin")).agg(
         F.count("*").alias("n"), F.avg(p).alias("mean_predicted"), F.avg(F.col(y).cast("double")).alias("observed_rate")
     )
@@ -174,6 +173,11 @@ def risk_deciles(pred: DataFrame, id_col: str, n_bins: int = 10, y: str = "y", p
     )
 
 
+def _doubles(values: list[float]) -> str:
+    """SQL array literal of exact doubles."""
+    return "array(" + ", ".join(f"{v!r}D" for v in values) + ")"
+
+
 def threshold_scan(pred: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """The 199 candidate thresholds with their confusion counts.
 
@@ -183,7 +187,7 @@ def threshold_scan(pred: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     lo, hi, k = fv.THRESHOLD_LOW, fv.THRESHOLD_HIGH, fv.THRESHOLD_COUNT
     step = (hi - lo) / (k - 1)
     grid = [lo + i * step for i in range(k - 1)] + [hi]
-    passed = F.size(F.filter(F.array(*[F.lit(t) for t in grid]), lambda t: t <= F.col(p)))
+    passed = F.expr(f"size(filter({_doubles(grid)}, t -> t <= `{p}`))")
     pos = F.col(y) == 1
     levels = pred.groupBy(passed.alias("level")).agg(F.count_if(pos).alias("pos"), F.count_if(~pos).alias("neg"))
     spark = pred.sparkSession
@@ -230,7 +234,7 @@ def _poisson_steps(limit: int = 12) -> list[float]:
 
 def poisson_weight(u: Column) -> Column:
     """Poisson(1) draw of a uniform number in [0, 1)."""
-    return F.size(F.filter(F.array(*[F.lit(b) for b in _poisson_steps()]), lambda b: b <= u))
+    return F.size(F.filter(F.expr(_doubles(_poisson_steps())), lambda b: b <= u))
 
 
 def hashed_uniform(row_id: Column, resample: Column, seed: int = 42) -> Column:
@@ -258,9 +262,10 @@ def bootstrap_ci(
         lambda b: F.struct(b.alias("resample"), poisson_weight(uniform(F.col("_id"), b)).alias("w")),
     )
     kept = F.filter(draws, lambda d: d["w"] > 0)
-    weighted = pred.select(F.col(id_col).alias("_id"), F.col(y).alias("y"), F.col(p).cast("double").alias("p")).select(
-        "y", "p", F.inline(kept)
-    )
+    # each row becomes hundreds, so the narrow input is spread over all cores first
+    cores = pred.sparkSession.sparkContext.defaultParallelism
+    narrow = pred.select(F.col(id_col).alias("_id"), F.col(y).alias("y"), F.col(p).cast("double").alias("p")).repartition(cores)
+    weighted = narrow.select("y", "p", F.inline(kept))
     hist = score_histogram(weighted, "y", "p", ["resample"], weight="w")
     per = _metric_by(hist, metric, ["resample"]).where(F.col("value").isNotNull())
     alpha = 1 - confidence

@@ -53,6 +53,16 @@ def _cap_cells(lon: str, lat: str, radius_km: float) -> Column:
     return F.expr(f"flatten(transform(sequence({low}, {high}), b -> transform(sequence({first}, {last}), c -> b * 10000000L + pmod(c, {columns}))))")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Narrow rows over all cores before heavy per-row work; small shuffles would otherwise be merged into one task.
+
+    Hashing the hash keeps this exchange from being dropped as a repeat of an earlier one on the same columns.
+    """
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, F.xxhash64(*by))
+
+
 def within_radius(
     left: DataFrame, right: DataFrame, radius_km: float, *,
     left_lon: str = "lon", left_lat: str = "lat", right_lon: str = "longitude", right_lat: str = "latitude",
@@ -62,7 +72,7 @@ def within_radius(
     Rows without usable coordinates pair with nothing.  Callers reduce repeated
     left locations to distinct ones first, so a busy place costs one row here.
     """
-    l = left.where(valid_coordinates(F.col(left_lat), F.col(left_lon)))
+    l = spread(left.where(valid_coordinates(F.col(left_lat), F.col(left_lon))), left_lon, left_lat)
     r = right.where(valid_coordinates(F.col(right_lat), F.col(right_lon)))
     l = l.withColumn("_p", geo.placed(left_lon, left_lat)).withColumn(
         "_cell", _home_cell(left_lon, left_lat, radius_km)
@@ -132,13 +142,28 @@ def distance_weighted_total(
 
 def _depth(n_spots: int) -> tuple[float, ...]:
     """Cell sizes in degrees: deeper trees for more spots, so the last cells stay small."""
-    return (10.0,) if n_spots <= 1_000 else (10.0, 1.0) if n_spots <= 100_000 else (10.0, 1.0, 0.1)
+    return (10.0,) if n_spots <= 200 else (10.0, 1.0) if n_spots <= 20_000 else (10.0, 1.0, 0.1)
 
 
 def _tree_key(lon: Column, lat: Column, size: float) -> Column:
     return F.floor((lat + 90) / size) * int(360 / size + 1) + F.floor((lon + 180) / size)
 
 
+def _axes(lon: str, lat: str) -> tuple[str, str, str]:
+    """Unit vector of a point; arcs between these need no further trigonometry than one acos."""
+    return f"cos(radians({lat})) * cos(radians({lon}))", f"cos(radians({lat})) * sin(radians({lon}))", f"sin(radians({lat}))"
+
+
+def _unit(lon: str, lat: str) -> Column:
+    x, y, z = _axes(lon, lat)
+    return F.expr(f"named_struct('x', {x}, 'y', {y}, 'z', {z})")
+
+
+def _arc(v: str) -> str:
+    """Great-circle kilometres from the row's point to a unit vector, to about 10 cm."""
+    return f"{geo.EARTH_KM}D * acos(greatest(least(_ux * {v}.x + _uy * {v}.y + _uz * {v}.z, 1D), -1D))"
+
+
 def _tree_center(key: Column, size: float) -> tuple[Column, Column]:
     width = int(360 / size + 1)
     row, column = F.floor(key / width), key % width
@@ -182,7 +207,7 @@ def branch_and_bound(
     `spots`: _slon, _slat, _sid and whatever `exact` reads to add `_d`;
     `slack_km` is how much nearer than its anchor (_slon, _slat) a spot can be.
     """
-    p = points.where(valid_coordinates(F.col("lat"), F.col("lon"))).distinct()
+    p = spread(points.where(valid_coordinates(F.col("lat"), F.col("lon"))).distinct(), "lon", "lat")
     levels = levels or _depth(spots.count())
     keys = [f"_k{i}" for i in range(len(levels))]
     for key, size in zip(keys, levels):
@@ -191,20 +216,19 @@ def branch_and_bound(
     def children(level: int) -> DataFrame:
         cells = spots.groupBy(*keys[: level + 1]).agg(F.min(F.struct("_slon", "_slat")).alias("_rep"))
         clon, clat = _tree_center(F.col(keys[level]), levels[level])
-        member = F.struct(
-            F.col(keys[level]).alias("key"), F.col("_rep._slon").alias("rlon"), F.col("_rep._slat").alias("rlat"),
-            clon.alias("clon"), clat.alias("clat"),
-        )
+        cells = cells.withColumns({"_clon": clon, "_clat": clat}).withColumns({"_c": _unit("_clon", "_clat"), "_r": _unit("_rep._slon", "_rep._slat")})
+        member = F.struct(F.col(keys[level]).alias("key"), F.col("_c").alias("c"), F.col("_r").alias("r"))
         return cells.groupBy(*keys[:level]).agg(F.collect_list(member).alias("_cells"))
 
     def bounded(size: float) -> Column:
         inner = geo.KM_PER_DEGREE * size * 0.7072 + slack_km
-        low = f"({geo.great_circle('lon', 'lat', 'c.clon', 'c.clat')} - {inner}D) / {geo.MARGIN}D"
-        high = f"{geo.great_circle('lon', 'lat', 'c.rlon', 'c.rlat')} * {geo.MARGIN}D"
-        return F.expr(f"transform(_cells, c -> named_struct('key', c.key, 'low', {low}, 'high', {high}))")
+        low = f"({_arc('m.c')} - {inner}D) / {geo.MARGIN}D - 0.001D"
+        high = f"{_arc('m.r')} * {geo.MARGIN}D + 0.001D"
+        return F.expr(f"transform(_cells, m -> named_struct('key', m.key, 'low', {low}, 'high', {high}))")
 
     here = Window.partitionBy("lon", "lat")
-    state = p.withColumn("_cells", children(0).scalar())
+    ux, uy, uz = [f"_u{axis}" for axis in "xyz"]  # plain columns: struct fields would be recomputed per cell
+    state = p.withColumns({n: F.expr(e) for n, e in zip((ux, uy, uz), _axes("lon", "lat"))}).withColumn("_cells", children(0).scalar())
     for level, size in enumerate(levels):
         if level:
             state = state.join(children(level), keys[:level])
@@ -212,8 +236,8 @@ def branch_and_bound(
         if level:
             state = state.withColumn("_best", F.min("_best").over(here))
         alive = F.expr("filter(_cells, c -> c.low <= _best)")
-        state = state.select("lon", "lat", *keys[:level], F.explode(alive).alias("_cell"))
-        state = state.select("lon", "lat", *keys[:level], F.col("_cell.key").alias(keys[level]))
+        state = state.select("lon", "lat", ux, uy, uz, *keys[:level], F.explode(alive).alias("_cell"))
+        state = state.select("lon", "lat", ux, uy, uz, *keys[:level], F.col("_cell.key").alias(keys[level]))
     pairs = exact(state.join(spots, keys))
     return pairs.groupBy("lon", "lat").agg(F.min(F.struct(F.col("_d").alias("d"), F.col("_sid").alias("id"))).alias("_hit"))
 
