@@ -126,7 +126,8 @@ def _geodesic(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
         return f"transform(array({value}), {name} -> {body})[0]"
 
     inner = let(arc, "a", let(parts, "p", let(terms, "g", length)))
-    return let(angles, "v", let(chord, "c", f"CASE WHEN c.h > 0 THEN {inner} ELSE 0D END"))
+    known = f"{lon1} + {lat1} + {lon2} + {lat2} IS NOT NULL"
+    return f"CASE WHEN {known} THEN " + let(angles, "v", let(chord, "c", f"CASE WHEN c.h > 0 THEN {inner} ELSE 0D END")) + " END"
 
 
 def geodesic_km(lon1: str, lat1: str, lon2: str, lat2: str) -> Column:
