@@ -34,25 +34,30 @@ def wide_counts_to_long(wide: DataFrame, order_by: list[str] | None = None) -> D
     })
     if "count_id" in meta:
         return long
-    # number inside each (species column, first ordering value), then shift by everything before it
+    # Numbered inside small groups (species column, first and second ordering value); the groups before
+    # each one are summed level by level, so neither a busy site nor a busy species is numbered in one task.
     position = F.create_map(*chain.from_iterable((F.lit(c), F.lit(i)) for i, c in enumerate(species)))
-    lead, *rest = order_by or meta
+    order = order_by or meta
+    levels = ["_pos", *order[:2]]
     long = long.withColumn("_pos", position[F.col("species_common_name")])
-    sizes = long.groupBy("_pos", lead).agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("_pos").orderBy(lead).rowsBetween(Window.unboundedPreceding, -1)
-    columns_before = Window.orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)  # one row per header column
-    starts = sizes.groupBy("_pos").agg(F.sum("_n").alias("_n")).select(
-        "_pos", F.coalesce(F.sum("_n").over(columns_before), F.lit(0)).alias("_start")
-    )
-    shifts = sizes.withColumn("_inside", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).join(starts, "_pos").select(
-        "_pos", F.col(lead).alias("_lead"), (F.col("_inside") + F.col("_start")).alias("_shift")
-    )
-    inside = Window.partitionBy("_pos", lead).orderBy(*(rest or [lead]))
-    numbered = long.withColumn("_row", F.row_number().over(inside) - 1).withColumnRenamed("_pos", "_p")
+    sizes = long.groupBy(*levels).agg(F.count("*").alias("_n"))
+    keys = [f"_k{i}" for i in range(len(levels))]
+    shifts = sizes.select(*[F.col(c).alias(k) for c, k in zip(levels, keys)], "_n")
+    for depth in range(len(keys)):
+        part, last = keys[:depth], keys[depth]
+        groups = shifts.groupBy(*[F.col(k).alias(f"_j{k}") for k in (*part, last)]).agg(F.sum("_n").alias("_t"))
+        before = Window.partitionBy(*[f"_j{k}" for k in part]).orderBy(f"_j{last}").rowsBetween(Window.unboundedPreceding, -1)
+        totals = groups.withColumn(f"_shift{depth}", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
+        same = [F.col(k).eqNullSafe(F.col(f"_j{k}")) for k in (*part, last)]
+        shifts = shifts.join(totals, same).drop(*[f"_j{k}" for k in (*part, last)])
+    shift = sum((F.col(f"_shift{d}") for d in range(len(keys))), F.lit(0))
+    shifts = shifts.select(*keys, shift.alias("_shift"))
+    inside = Window.partitionBy(*levels).orderBy(*(order[2:] or order[:1]))
+    numbered = long.withColumn("_row", F.row_number().over(inside) - 1)
     return (
-        numbered.join(shifts, (F.col("_p") == F.col("_pos")) & F.col(lead).eqNullSafe(F.col("_lead")))
+        numbered.join(shifts, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(levels, keys)])
         .withColumn("count_id", F.format_string("WIDE%06d", F.col("_row") + F.col("_shift")))
-        .drop("_p", "_pos", "_row", "_lead", "_inside", "_start", "_shift")
+        .drop("_pos", "_row", "_shift", *keys)
     )
 
 

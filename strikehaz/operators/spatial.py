@@ -141,8 +141,9 @@ def distance_weighted_total(
 # --- nearest neighbour (J7) ------------------------------------------------------
 
 def _depth(n_spots: int) -> tuple[float, ...]:
-    """Cell sizes in degrees: deeper trees for more spots, so the last cells stay small."""
-    return (10.0,) if n_spots <= 200 else (10.0, 1.0) if n_spots <= 20_000 else (10.0, 1.0, 0.1)
+    """Cell sizes in degrees: deeper trees for more spots, so the last cells stay small even where spots crowd."""
+    steps = [(200, 10.0), (20_000, 1.0), (2_000_000, 0.1), (200_000_000, 0.01)]
+    return (*[size for i, (_, size) in enumerate(steps) if i == 0 or n_spots > steps[i - 1][0]], *([0.001] if n_spots > steps[-1][0] else []))
 
 
 def _tree_key(lon: Column, lat: Column, size: float) -> Column:

@@ -43,9 +43,12 @@ def lookback_sums(
     window labels wanted; `windows` gives their lengths in microseconds.  Output:
     one row per `group_by` with `<value>_<label>`; instants that meet nothing
     still appear, with zeros, so callers decide between null and 0 by a row count.
+
+    A smaller `step` spreads a busy key's instants over more groups at the price
+    of more copies of its (already aggregated) measures.
     """
     span = max(windows.values())
-    step = step or span
+    step = step or max(span // 7, 1)
     seen = _copied(measures.where(F.col(ts).isNotNull()), ts, span, step).select(
         key, "_chunk", F.col(ts).alias("_ts"), F.lit(1).alias("_kind"),
         *[F.lit(None).cast(instants.schema[c].dataType).alias(f"_g_{c}") for c in group_by],
@@ -79,7 +82,7 @@ def lookback_sums(
 
 
 def latest_before(
-    instants: DataFrame, events: DataFrame, *, key: str, at: str, ts: str, step: int = 28 * 24 * HOUR,
+    instants: DataFrame, events: DataFrame, *, key: str, at: str, ts: str, step: int = 7 * 24 * HOUR,
 ) -> DataFrame:
     """Instants with `latest`: the last event of the key strictly before `at`, however old.
 
