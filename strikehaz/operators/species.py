@@ -15,8 +15,8 @@ from strikehaz.functions.names import join_key, plain_names
 def species_risk(strikes: DataFrame, species_col: str = "species", severity_col: str = "predicted_severity", fold_case: bool = False) -> DataFrame:
     """Per species: strikes, mean severity and mean * log1p(n).
 
-    The reference keys on the exact spelling; `fold_case` merges spellings
-    first, which is what a case-insensitive join wants.
+    Keyed on the exact spelling; `fold_case` merges spellings first, which is
+    what a case-insensitive join wants.
     """
     key = F.upper(species_col) if fold_case else F.col(species_col)
     return strikes.where(F.col(species_col).isNotNull()).groupBy(key.alias("species")).agg(

@@ -9,11 +9,12 @@ from strikehaz.fixed_values import CROSSTAB_METRICS, MONTHS
 from strikehaz.operators import reshape, species, targets
 from strikehaz.plans import geosql
 from strikehaz.plans.registry import query
-from strikehaz.plans.views import table, view, with_views
+from strikehaz.plans.views import COMMON, table, view, with_views
 from strikehaz.sources import monitoring
 
 YEARS = monitoring.YEARS
 STATION = (-76.0, 39.2)
+WIDE_SPECIES = [*COMMON, "Hoopoe"]
 
 
 def moves_by(spark, sf_dir, *keys: str, value=None) -> DataFrame:
@@ -73,15 +74,14 @@ def season_pooled(spark, sf_dir):
 def wide_sessions(spark, sf_dir) -> DataFrame:
     """Counts as a wide export: one row per session, one column per species."""
     counts = view(spark, sf_dir, "counts").where(F.col("species_common_name").isNotNull())
-    names = ["Canada Goose", "Mallard", "Herring Gull", "Common Buzzard", "Barn Swallow", "Hoopoe"]
     keys = ["site_id", "count_date", "start_time_local", "count_type"]
-    return counts.groupBy(*keys).pivot("species_common_name", names).agg(F.sum("count"))
+    return counts.groupBy(*keys).pivot("species_common_name", WIDE_SPECIES).agg(F.sum("count"))
 
 
 @query("wide_to_long_counts", with_views("counts") + """,
 s AS (SELECT site_id, count_date, start_time_local, count_type, species_common_name, sum("count") AS c FROM v_counts
-  WHERE species_common_name IN ('Canada Goose','Mallard','Herring Gull','Common Buzzard','Barn Swallow','Hoopoe') GROUP BY ALL),
-k AS (SELECT *, list_position(['Canada Goose','Mallard','Herring Gull','Common Buzzard','Barn Swallow','Hoopoe'], species_common_name) AS pos FROM s WHERE c > 0)
+  WHERE species_common_name IS NOT NULL GROUP BY ALL),
+k AS (SELECT *, list_position([""" + ", ".join(f"'{n}'" for n in WIDE_SPECIES) + """], species_common_name) AS pos FROM s WHERE c > 0)
 SELECT site_id, strftime(count_date, '%Y-%m-%d') AS day, start_time_local, count_type, species_common_name, CAST(c AS DOUBLE) AS "count",
   'WIDE' || lpad(CAST(row_number() OVER (ORDER BY pos, site_id NULLS FIRST, count_date NULLS FIRST, start_time_local NULLS FIRST, count_type NULLS FIRST) - 1 AS VARCHAR), 6, '0') AS count_id FROM k""")
 def wide_to_long_counts(spark, sf_dir):
@@ -322,14 +322,16 @@ def join_quality(spark, sf_dir):
 
 @query("local_risk_merge", _ANNUAL + _NEWEST + """,
 a AS (SELECT species, sum(c) / sum(hours) AS act FROM v WHERE rn = 1 AND hours > 0 GROUP BY 1),
-r AS (SELECT upper(concat(p_type, ' ', p_brand)) AS k, count(*) AS n, avg(p_size) AS m FROM part WHERE p_size % 2 = 0 AND p_brand <> 'Brand#11' GROUP BY 1)
+r AS (SELECT upper(concat(p_type, ' ', replace(p_brand, '#1', '#9'))) AS k, count(*) AS n, avg(p_size) AS m FROM part GROUP BY 1)
 SELECT a.species, round(act, 6) AS local_activity, n AS n_strikes, round(m * ln(1 + n), 6) AS risk_score, n IS NOT NULL AS matched_species, round(m * ln(1 + n) * act, 6) AS local_risk_contribution
 FROM a LEFT JOIN r ON r.k = upper(a.species)""")
 def local_risk_merge(spark, sf_dir):
     """Every local species with its risk where one exists, matched across spellings."""
     merged = monitoring.merge_annual(monitoring.annual_long(annual_lines(spark, sf_dir)))
-    part = table(spark, sf_dir, "part").where("p_size % 2 = 0 AND p_brand <> 'Brand#11'")
-    risk = species.species_risk(part.select(F.lower(F.concat_ws(" ", "p_type", "p_brand")).alias("species"), F.col("p_size").alias("predicted_severity")), fold_case=True)
+    # brands starting #1 are spelled differently on the national side and stay unmatched
+    label = F.lower(F.concat_ws(" ", "p_type", F.replace("p_brand", F.lit("#1"), F.lit("#9"))))
+    part = table(spark, sf_dir, "part").select(label.alias("species"), F.col("p_size").alias("predicted_severity"))
+    risk = species.species_risk(part, fold_case=True)
     out = species.local_risk(species.pooled_activity(merged), risk)
     return out.select(
         "species", F.round("local_activity", 6).alias("local_activity"), "n_strikes", F.round("risk_score", 6).alias("risk_score"),

@@ -66,14 +66,16 @@ def sites_within_radii(spark, sf_dir):
 @query("distance_weighted_total", with_views("airports", "sites", "counts") + ", "
        + geosql.placed_cte("a", "v_airports", "longitude", "latitude", "airport_id") + ", "
        + geosql.placed_cte("s", "v_sites", "longitude", "latitude", "site_id") + ", " + geosql.pair_distance_ctes("a", "s") + """,
-b AS (SELECT site_id, sum("count") AS v FROM v_counts GROUP BY 1 HAVING count(*) % 3 <> 0)
+b AS (SELECT site_id, CASE WHEN min("count") >= 0 THEN sum("count") END AS v FROM v_counts GROUP BY 1)
 SELECT airport_id, CASE WHEN count(distance_km) > 0 THEN round(coalesce(sum(v * pow(5e-1, distance_km / 50)), 0), 5) END AS weighted_total, count(distance_km) AS n_sites_used,
   round(coalesce(sum(pow(5e-1, distance_km / 50)), 0), 6) AS total_weight
 FROM v_airports LEFT JOIN (SELECT airport_id, site_id, distance_km FROM pairs WHERE distance_km <= 250) USING (airport_id) LEFT JOIN b USING (site_id) GROUP BY 1""")
 def distance_weighted_total(spark, sf_dir):
     """Site totals weighted by half-life decay around every airport."""
-    totals = view(spark, sf_dir, "counts").groupBy("site_id").agg(F.sum("count").alias("value"), F.count("*").alias("n")).where("n % 3 <> 0")
-    values = view(spark, sf_dir, "sites").join(totals.drop("n"), "site_id", "left")
+    # a site with a negative count has no usable total: its value is null, its weight still counts
+    total = F.when(F.min("count") >= 0, F.sum("count"))
+    totals = view(spark, sf_dir, "counts").groupBy("site_id").agg(total.alias("value"))
+    values = view(spark, sf_dir, "sites").join(totals, "site_id", "left")
     out = spatial.distance_weighted_total(view(spark, sf_dir, "airports"), values, "airport_id")
     return out.withColumns({"weighted_total": F.round("weighted_total", 5), "total_weight": F.round("total_weight", 6)})
 
@@ -143,7 +145,7 @@ def habitat_area(spark, sf_dir):
     return out.withColumn("area_km2", F.round("area_km2", 6))
 
 
-@query("habitat_distance", PLACED + """, h AS (SELECT DISTINCT -125 + ((p_partkey * 29) % 590) / 10e0 AS hlon, 24 + ((p_partkey * 43) % 260) / 10e0 AS hlat, p_size FROM part WHERE p_brand = 'Brand#12'),
+@query("habitat_distance", PLACED + """, h AS (SELECT DISTINCT -125 + ((p_partkey * 29) % 590) / 10e0 AS hlon, 24 + ((p_partkey * 43) % 260) / 10e0 AS hlat, p_size FROM part),
 h2 AS (SELECT hlon AS lon_a, hlat AS lat_a, least(hlon + p_size / 100e0, -66) AS lon_b, least(hlat + p_size / 50e0, 50) AS lat_b FROM h), """
        + geosql.placed_cte("pa", "h2", "lon_a", "lat_a", "lon_a, lat_a, lon_b, lat_b") + ", "
        + geosql.placed_cte("pb", "h2", "lon_b", "lat_b", "lon_a, lat_a, lon_b, lat_b") + """,
@@ -155,7 +157,7 @@ def habitat_distance(spark, sf_dir):
     """Kilometres to the nearest edge of a linear layer for the airports of the layer's region."""
     k, size = F.col("p_partkey"), F.col("p_size")
     lon, lat = -125 + (k * 29 % 590) / 10, 24 + (k * 43 % 260) / 10
-    edges = table(spark, sf_dir, "part").where("p_brand = 'Brand#12'").select(
+    edges = table(spark, sf_dir, "part").select(
         lon.alias("lon1"), lat.alias("lat1"), F.least(lon + size / 100, F.lit(-66.0)).alias("lon2"), F.least(lat + size / 50, F.lit(50.0)).alias("lat2")
     )
     airports = view(spark, sf_dir, "airports")
