@@ -187,7 +187,12 @@ def threshold_scan(pred: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     lo, hi, k = fv.THRESHOLD_LOW, fv.THRESHOLD_HIGH, fv.THRESHOLD_COUNT
     step = (hi - lo) / (k - 1)
     grid = [lo + i * step for i in range(k - 1)] + [hi]
-    passed = F.expr(f"size(filter({_doubles(grid)}, t -> t <= `{p}`))")
+    # candidates at or below the score: the even spacing gives the position, its neighbours settle rounding
+    guess = f"CAST(least(greatest(floor((`{p}` - {lo!r}D) / {step!r}D) + 1, 0), {k}) AS INT)"
+    table = _doubles(grid)
+    passed = F.expr(
+        f"{guess} + CASE WHEN get({table}, {guess}) <= `{p}` THEN 1 WHEN get({table}, {guess} - 1) > `{p}` THEN -1 ELSE 0 END"
+    )
     pos = F.col(y) == 1
     levels = pred.groupBy(passed.alias("level")).agg(F.count_if(pos).alias("pos"), F.count_if(~pos).alias("neg"))
     spark = pred.sparkSession
