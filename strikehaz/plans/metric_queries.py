@@ -60,7 +60,8 @@ def holdouts(spark, sf_dir):
     return out
 
 
-@query("stratified_split")
+@query("stratified_split", with_views("scores") + """, n AS (SELECT y, count(*) AS n, CAST(floor(count(*) * 8e-1) AS BIGINT) AS cut FROM v_scores WHERE y IS NOT NULL GROUP BY 1)
+SELECT y, 'train' AS split, cut AS n FROM n UNION ALL SELECT y, 'test', n - cut FROM n""")
 def stratified_split(spark, sf_dir):
     """80/20 within each label, fixed by a seeded hash (U8)."""
     rows = view(spark, sf_dir, "scores").where(F.col("y").isNotNull())

@@ -104,7 +104,17 @@ def cell_totals(spark, sf_dir):
     return spatial.cell_totals(located.withColumn("cell_r5", geo.cell("latitude", "longitude", 5)), ["count"], "cell_r5")
 
 
-@query("cell_distances")
+def _center_sql(cell: str, i: int) -> str:
+    lat = f"degrees(asin((CAST(split_part({cell}, '_', 2) AS DOUBLE) + 5e-1) / 1024 * 2 - 1))"
+    lon = f"((CAST(split_part({cell}, '_', 3) AS DOUBLE) + 5e-1) / 2048 * 360 - 180)"
+    return f"{lat} AS lat{i}, {lon} AS lon{i}"
+
+
+@query("cell_distances", with_views("airports", "sites") + f""", ca AS (SELECT airport_id, {_cell_sql('latitude', 'longitude', 1024, 2048, 5)} AS cell_a FROM v_airports),
+cb AS (SELECT site_id, {_cell_sql('latitude', 'longitude', 1024, 2048, 5)} AS cell_b FROM v_sites),
+m AS (SELECT DISTINCT cell_a, cell_b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN ca ON airport_id = o_custkey JOIN cb ON site_id = l_suppkey),
+e AS (SELECT cell_a, cell_b, {_center_sql('cell_a', 1)}, {_center_sql('cell_b', 2)} FROM m), {geosql.geodesic_ctes('e', 'g')}
+SELECT cell_a, cell_b, round(geodesic_km, 3) AS distance_km FROM g""")
 def cell_distances(spark, sf_dir):
     """Geodesic kilometres between the cells of each order's airport and supplier site."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
