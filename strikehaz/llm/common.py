@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import gc
+import tempfile
+import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +27,26 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored_table(df: DataFrame) -> DataFrame:
+    """Like `stored`, as a compressed Parquet table: for wide rows that are read several times by column.
+
+    The table stays in the checkpoint folder, which its owner clears.
+    """
+    spark = df.sparkSession
+    folder = checkpoint_dir(spark)
+    if folder is None:
+        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,8 +61,26 @@ def remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def small_batches(df: DataFrame, rows: int = 256) -> DataFrame:
-    """Arrow batches of few rows from here on: texts can be very long."""
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def _ship(spark: SparkSession) -> None:
+    """Hand this package to Spark once for each application; executors need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parents[2]
+    folder = _shipped[sc.applicationId] = tempfile.TemporaryDirectory()  # the driver's own, which Spark's file server reads; gone at exit
+    archive = f"{folder.name}/strikehaz_llm.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in [top / "strikehaz/__init__.py", top / "strikehaz/session.py", *sorted((top / "strikehaz/llm").glob("*.py"))]:
+            z.write(path, path.relative_to(top))
+    sc.addPyFile(archive)
+
+
+def for_python(df: DataFrame, rows: int = 256) -> DataFrame:
+    """Ready for mapInArrow: the package is on the executors, and batches have few rows since texts can be very long."""
+    _ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
 

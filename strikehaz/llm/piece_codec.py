@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strikehaz.llm.common import rows_of, small_batches, whole_text
+from strikehaz.llm.common import rows_of, for_python, whole_text
 
 SPACE = "▁"
 WORDS_KEPT = 300_000  # encoded words a worker remembers before it starts anew; no effect on results
@@ -212,4 +212,4 @@ def encoded(docs: DataFrame, path: str, keep: bool = True, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], list(rows))
 
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).cast("binary").alias("text"))
-    return small_batches(read).mapInArrow(run, schema)
+    return for_python(read).mapInArrow(run, schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strikehaz.llm.common import remainder, rows_of, small_batches, stored, whole_text
+from strikehaz.llm.common import remainder, rows_of, for_python, stored, whole_text
 
 WORDS_KEPT = 300_000  # scored words a worker remembers before it starts anew; no effect on results
 THRESHOLD = 0.3
@@ -111,7 +111,7 @@ def trained(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
             weights, bias = fit([t for _, t, _ in found], np.array([y for _, _, y in found]), settings)
             yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
 
-    model = small_batches(rows.repartition(1)).mapInArrow(run, "weights binary, bias double").first()
+    model = for_python(rows.repartition(1)).mapInArrow(run, "weights binary, bias double").first()
     if model is None:
         return np.zeros(settings.buckets), 0.0
     return np.frombuffer(bytes(model.weights)), float(model.bias)
@@ -160,7 +160,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], settings: Settings
                 ["doc_id", "held_out", "score", "predicted"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", 5) == 0).alias("held_out"), whole_text().cast("binary").alias("text"))
-    return small_batches(read).mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return for_python(read).mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: tuple[np.ndarray, float], settings: Settings = Settings(), threshold: float = THRESHOLD) -> DataFrame:
@@ -173,4 +173,4 @@ def accepted(docs: DataFrame, model: tuple[np.ndarray, float], settings: Setting
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array([scorer(t or b"") >= threshold for t in texts], pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return for_python(docs).mapInArrow(run, docs.schema)

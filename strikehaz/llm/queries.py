@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikehaz.llm import exact_dedup, piece_codec, quality, url_filters
+from strikehaz.llm import decontaminate, exact_dedup, piece_codec, quality, simhash, substring_dedup, url_filters
 from strikehaz.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,24 @@ def op4_quality(spark, sf_dir):
     return quality.scored(docs, quality.trained(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op6_substring_dedup")
+def op6_substring_dedup(spark, sf_dir):
+    """What is left of every document without passages of 13 words that an earlier one has."""
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents"), keep=False)
+
+
+@query("op7_decontaminate")
+def op7_decontaminate(spark, sf_dir):
+    """Benchmark items that every document holds."""
+    return decontaminate.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_simhash")
+def op8_simhash(spark, sf_dir):
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op10_exact_dedup", """
     WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
     g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
