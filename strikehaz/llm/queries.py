@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikehaz.llm import decontaminate, exact_dedup, piece_codec, quality, simhash, substring_dedup, url_filters
+from strikehaz.llm import decontaminate, exact_dedup, lm_score, piece_codec, quality, simhash, substring_dedup, url_filters
 from strikehaz.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,12 @@ def op2_sentencepiece(spark, sf_dir):
     return piece_codec.encoded(table(spark, sf_dir, "documents"), piece_model(), keep=False)
 
 
+@query("op3_lm_score")
+def op3_lm_score(spark, sf_dir):
+    """Log probability of every document under the unigram base and the bigram model."""
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 @query("op4_quality")
 def op4_quality(spark, sf_dir):
     """Quality score of every document."""
