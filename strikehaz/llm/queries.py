@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikehaz.llm import decontaminate, exact_dedup, lm_score, piece_codec, quality, simhash, substring_dedup, url_filters
+from strikehaz.llm import decontaminate, exact_dedup, licenses, lm_score, piece_codec, quality, simhash, substring_dedup, tool_calls, url_filters
 from strikehaz.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,47 @@ def op4_quality(spark, sf_dir):
     return quality.scored(docs, quality.trained(docs, table(spark, sf_dir, "labels")))
 
 
+def _license_sql() -> str:
+    rows = ", ".join(f"('{name}', '{text}')" for name, text in licenses.TEMPLATES)
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    size = len(licenses.TEMPLATES)
+    return f"""
+    WITH templates(license, text) AS (VALUES {rows}),
+    kinds AS (SELECT license, term, count(*) AS n FROM (SELECT license, unnest(regexp_extract_all({lower.format('text')}, '{licenses.TERM}')) AS term FROM templates) GROUP BY ALL),
+    idf AS (SELECT term, ln({size + 1}e0 / (count(*) + 1)) + 1 AS idf FROM kinds GROUP BY term),
+    sides AS (SELECT license, term, n * idf / sqrt(sum(n * n * idf * idf) OVER (PARTITION BY license)) AS share FROM kinds JOIN idf USING (term)),
+    files AS (SELECT doc_id, coalesce(source, '') || '/' || (doc_id // 1000) || '/' || (doc_id // 100) AS directory,
+        CASE WHEN doc_id % 8 = 0 THEN 'COPYING.' ELSE 'text.' END || doc_id AS name, coalesce(text, '') AS text FROM documents),
+    units AS (SELECT doc_id, unnest(list_distinct(list_concat(string_split(text, chr(10)), CASE WHEN doc_id % 8 = 0 THEN [text] ELSE [] END))) AS unit,
+        text FROM files WHERE regexp_matches(text, '{licenses.KEYWORDS}')),
+    kept AS (SELECT doc_id, unit FROM units WHERE regexp_matches(unit, '{licenses.KEYWORDS}')),
+    terms AS (SELECT unit, term, count(*) AS n FROM (SELECT unit, unnest(regexp_extract_all({lower.format('unit')}, '{licenses.TERM}')) AS term
+        FROM (SELECT DISTINCT unit FROM kept)) GROUP BY ALL),
+    own AS (SELECT unit, term, n * coalesce(idf, ln({size + 1}e0) + 1) AS weight FROM terms LEFT JOIN idf USING (term)),
+    norms AS (SELECT unit, sqrt(sum(weight * weight)) AS length FROM own GROUP BY unit),
+    scores AS (SELECT unit, license, round(sum(weight * share) / any_value(length), 6) AS score FROM own JOIN sides USING (term) JOIN norms USING (unit) GROUP BY unit, license),
+    ranked AS (SELECT doc_id, license, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS r FROM kept JOIN scores USING (unit) WHERE score >= 0.6),
+    marked AS (SELECT doc_id, directory, directory || '/' || name AS path, license AS own_license, score AS own_score
+        FROM files LEFT JOIN (SELECT * FROM ranked WHERE r = 1) USING (doc_id)),
+    declared AS (SELECT directory AS ancestor, own_license AS declared FROM (SELECT *, row_number() OVER (PARTITION BY directory ORDER BY own_score DESC, own_license, path) AS r
+        FROM marked WHERE doc_id % 8 = 0 AND own_license IS NOT NULL) WHERE r = 1),
+    ancestors AS (SELECT DISTINCT directory, unnest(range(0, len(string_split(directory, '/')) + 1)) AS depth FROM marked),
+    nearest AS (SELECT directory, max(depth) AS depth FROM ancestors JOIN declared ON ancestor = array_to_string(list_slice(string_split(directory, '/'), 1, depth), '/') GROUP BY directory),
+    found AS (SELECT directory, ancestor, declared FROM nearest JOIN declared ON ancestor = array_to_string(list_slice(string_split(directory, '/'), 1, depth), '/'))
+    SELECT doc_id, path, own_license, own_score, coalesce(own_license, declared) AS license, CASE WHEN own_license IS NULL THEN ancestor END AS inherited_from
+    FROM marked LEFT JOIN found USING (directory)"""
+
+
+@query("op5_license_scan", _license_sql())
+def op5_license_scan(spark, sf_dir):
+    """License of every document: its own, or that of the nearest directory; every eighth document is a license file."""
+    files = table(spark, sf_dir, "documents").select(
+        "doc_id", "text",
+        F.concat_ws("/", F.coalesce("source", F.lit("")), F.expr("doc_id div 1000"), F.expr("doc_id div 100"),
+                    F.concat(F.when(F.col("doc_id") % 8 == 0, "COPYING.").otherwise("text."), F.col("doc_id").cast("string"))).alias("path"))
+    return licenses.licenses(files, licenses.template_table(spark))
+
+
 @query("op6_substring_dedup")
 def op6_substring_dedup(spark, sf_dir):
     """What is left of every document without passages of 13 words that an earlier one has."""
@@ -85,6 +126,43 @@ def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Every user turn asks the tool `answer`, the next assistant turn answers; a system turn sets the tool up.
+TOOLS = [("answer", "text", "string", True), ("answer", "words", "integer", True), ("answer", "quoted", "string", False), ("setup", "text", "string", True), ("setup", "mode", "string", True)]
+
+
+@query("op9_tool_calls", """
+    WITH turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, conv_id || ':' || turn AS id,
+            lead(CASE WHEN role = 'assistant' THEN turn END) OVER w AS answer_turn, lead(CASE WHEN role = 'assistant' THEN coalesce(text, '') END) OVER w AS answer
+        FROM (SELECT DISTINCT * FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    calls AS (SELECT *, CASE role WHEN 'user' THEN 'answer' ELSE 'setup' END AS name FROM turns WHERE role IN ('user', 'system')),
+    shown AS (SELECT *, CASE WHEN role = 'system' THEN 'missing mode' WHEN strpos(text, '.') > 0 AND length(text) % 7 = 0 THEN 'words is no integer' ELSE '' END AS faults,
+        CASE role WHEN 'system' THEN '{"text":' || to_json(text) || '}'
+            ELSE '{' || CASE WHEN strpos(text, ',') > 0 THEN '"quoted":' || to_json(substr(text, 1, strpos(text, ',') - 1)) || ',' ELSE '' END
+                || '"text":' || to_json(text) || ',"words":' || CASE WHEN strpos(text, '.') > 0 AND length(text) % 7 = 0 THEN '"many"' ELSE len(string_split(text, ' '))::VARCHAR END || '}' END AS arguments
+        FROM calls)
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, id) AS step, id AS call_id, turn, CASE WHEN role = 'user' THEN answer_turn END AS result_turn,
+        CASE WHEN faults <> '' THEN 'invalid' WHEN role = 'user' AND answer_turn IS NOT NULL THEN 'ok' ELSE 'unanswered' END AS status, faults,
+        '{"arguments":' || arguments || ',"call_id":' || to_json(id) || ',"conv_id":' || conv_id || ',"name":"' || name || '","result":'
+            || CASE WHEN role = 'user' AND answer IS NOT NULL THEN to_json(answer)::VARCHAR ELSE 'null' END || '}' AS json
+    FROM shown""")
+def op9_tool_calls(spark, sf_dir):
+    """Turns as tool calls with their results, in order, checked and as JSON."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    own = F.concat_ws(":", "conv_id", "turn")
+    text = F.col("text")
+    many = F.when((F.instr(text, ".") > 0) & (F.length(text) % 7 == 0), F.lit('"many"')).otherwise(F.size(F.split(text, " ")).cast("string"))
+    quoted = F.when(F.instr(text, ",") > 0, F.to_json(F.struct(F.substring_index(text, ",", 1).alias("quoted"))).substr(F.lit(2), F.length(text) * 6 + 20))
+    plain = F.to_json(F.struct("text"))
+    asked = F.concat(F.lit('{"words":'), many, F.lit(","), plain.substr(F.lit(2), F.length(plain) - 2), F.coalesce(F.concat(F.lit(","), quoted), F.lit("}")))
+    calls = turns.where(F.col("role").isin("user", "system")).select(
+        "conv_id", own.alias("call_id"), "turn", F.when(F.col("role") == "user", "answer").otherwise("setup").alias("name"),
+        F.when(F.col("role") == "user", asked).otherwise(plain).alias("arguments"),
+        F.array(F.concat_ws(":", "conv_id", F.col("turn") - 2)).alias("after"))
+    results = turns.where(F.col("role") == "assistant").select("conv_id", F.concat_ws(":", "conv_id", F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    answers = results.join(calls.where("name = 'answer'").select("conv_id", "call_id"), ["conv_id", "call_id"], "left_semi")
+    return tool_calls.linked_calls(calls, answers, spark.createDataFrame(TOOLS, "name string, parameter string, kind string, required boolean"))
+
+
 @query("op10_exact_dedup", """
     WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
     g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
