@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strikehaz.llm.common import rows_of, for_python, stored, whole_text
+from strikehaz.llm.common import for_python, mixed, rows_of, stored, whole_text
 from strikehaz.llm.components import components
 
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, fixed value of the binary Golay code
@@ -105,20 +105,18 @@ def majority(hashes: np.ndarray) -> int:
     return sum(1 << int(b) for b in np.nonzero(2 * ones > len(hashes))[0])
 
 
-def fingerprint(text: bytes, size: int = 3) -> int:
-    return majority(shingle_hashes(text.lower().split(), size))
-
-
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, print): the fingerprint of every row's whole text as a signed 64-bit number."""
+    """(doc_id, print, other): two fingerprints of every row's whole text as signed 64-bit numbers, the second from mixed hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in rows_of(batches, "doc_id", "text"):
-            prints = np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints)], ["doc_id", "print"])
+            hashes = [shingle_hashes(t.lower().split(), size) for t in texts]
+            prints = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+            others = np.array([majority(mixed(h)) for h in hashes], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints), pa.array(others)], ["doc_id", "print", "other"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("text"))
-    return for_python(read).mapInArrow(run, "doc_id bigint, print bigint")
+    return for_python(read).mapInArrow(run, "doc_id bigint, print bigint, other bigint")
 
 
 def near(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +236,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = RADIUS, bucket
     Keys, links and components are those of distinct fingerprints, so copies of one text are
     one node however many there are.
     """
-    prints = stored(fingerprints(docs, size))
+    prints = stored(fingerprints(docs, size).drop("other"))
     firsts = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
     for_python(docs, 100_000)
     found = components(stored(links(prints, radius, bucket)))
@@ -255,14 +253,14 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def verified_links(ids: list[int], prints: np.ndarray, texts: list[bytes], radius: int, least: float, size: int = 5) -> list[tuple[int, int]]:
-    """Links between texts of one block that are similar enough, joined in chains like `near`."""
+    """Links between texts of one block that are similar enough, joined in chains like `near`; `prints` has both fingerprints of each."""
     sets = [np.unique(shingle_hashes(t.lower().split(), size)) for t in texts]
     left, found = list(range(len(ids))), []
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and left:
             x = queue.pop()
-            close = np.bitwise_count(prints[left] ^ prints[x]) <= radius
+            close = (np.bitwise_count(prints[left] ^ prints[x]) <= radius).any(axis=1)
             met = {y for y, c in zip(left, close.tolist()) if c and similarity(sets[x], sets[y]) >= least}
             if met:
                 found += [(ids[x], ids[y]) for y in met]
@@ -276,28 +274,34 @@ def near_kept(docs: DataFrame, least: float = 0.8, radius: int = 14, block: int
 
     Two documents are linked if their distinct five-word shingles (A-Z lower-cased) have a
     Jaccard similarity of `least` or more; of each component the smallest id stays.
-    Candidates are the documents whose fingerprints over word pairs share a Golay key and differ
-    in at most `radius` bits, in a chain; the similarity of candidates is computed exactly.
+    Candidates are the documents whose fingerprints over word pairs, or a second set of them, share a Golay key and
+    differ in at most `radius` bits, in a chain; the similarity of candidates is computed exactly.
     Texts without words are equal to each other.  Rows with a null id are never dropped; rows
     that share an id stay or go together.  Fingerprints miss some similar pairs; tests state how many.
     """
     prints = stored(fingerprints(docs.where("doc_id IS NOT NULL"), 2))
     for_python(docs, 100_000)
-    chained = components(stored(links(prints, radius))).toDF("print", "label")
-    shared = prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    clusters = shared.join(chained, "print", "full").select("print", F.coalesce("label", "print").alias("label"))
-    members = stored(prints.join(clusters, "print").select("doc_id", "print", "label"))
+    chains = None
+    for own in ("print", "other"):
+        firsts = stored(prints.groupBy(own).agg(F.min("doc_id").alias("first")))
+        same = prints.join(firsts, own).select("doc_id", "first")
+        found = stored(links(prints.select(F.col(own).alias("print")), radius))
+        u, v = (firsts.select(F.col(own).alias(x), F.col("first").alias(f"{x}_first")) for x in "uv")
+        chained = same.union(found.join(u, "u").join(v, "v").select("u_first", "v_first"))
+        chains = chained if chains is None else chains.union(chained)
+    clusters = components(chains).toDF("doc_id", "label")
+    members = stored(prints.join(clusters, "doc_id"))
     for_python(docs, 500)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark, held = None, []
 
         def found() -> pa.RecordBatch:
-            ids, own, texts = zip(*held)
-            pairs = verified_links(list(ids), np.array(own, np.int64).view(np.uint64), list(texts), radius, least)
+            ids, own, other, texts = zip(*held)
+            pairs = verified_links(list(ids), np.array([own, other], np.int64).T.view(np.uint64), list(texts), radius, least)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-        for columns in rows_of(batches, "mark", "doc_id", "print", "text"):
+        for columns in rows_of(batches, "mark", "doc_id", "print", "other", "text"):
             for m, *row in zip(*columns):
                 if held and m != mark:
                     yield found()
@@ -307,9 +311,9 @@ def near_kept(docs: DataFrame, least: float = 0.8, radius: int = 14, block: int
         if held:
             yield found()
 
-    texts = docs.select("doc_id", whole_text().cast("binary").alias("text")).join(members, "doc_id")
-    dealt = in_blocks(members, "label", "doc_id", block).select("mark", "doc_id", "print")
-    rows = dealt.join(texts.select("doc_id", "text"), "doc_id").repartition("mark").sortWithinPartitions("mark", "doc_id")
+    texts = docs.select("doc_id", whole_text().cast("binary").alias("text"))
+    dealt = in_blocks(members, "label", "doc_id", block).select("mark", "doc_id", "print", "other")
+    rows = dealt.join(texts, "doc_id").repartition("mark").sortWithinPartitions("mark", "doc_id")
     classes = components(rows.mapInArrow(verify, "u bigint, v bigint"))
     gone = classes.where("node <> label").select(F.col("node").alias("__gone"))
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
