@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strikehaz.llm.common import rows_of, for_python, whole_text
+from strikehaz.llm.common import for_python, rows_of, whole_text
 
 SPACE = "▁"
-WORDS_KEPT = 300_000  # encoded words a worker remembers before it starts anew; no effect on results
+WORDS_KEPT = 250_000  # encoded words a task remembers before it forgets the older half; no effect on results
 
 
 class PieceModel:
@@ -87,31 +87,28 @@ class PieceModel:
 
     def word(self, text: str) -> list[int]:
         """Ids of a text with at most one space mark, at its start."""
-        last: list[tuple[int, int]] = []  # token that ends the prefix, and its length; (-1, 1) for a character without piece
-        ending: dict[int, list[tuple[int, int]]] = {}
-        for end, match in self.found.iter(text):
-            ending.setdefault(end, []).append(match)
-        for end in range(len(text)):
-            chosen = (-1, 1)
-            for token, size in ending.get(end, ()):
-                before = end - size
-                if before >= 0 and last[before][0] >= 0:
-                    fits = self._fits(last[before][0], token) and self._stands(token)
-                else:
-                    fits = self._stands(token)
-                if fits:
-                    chosen = (token, size)
-                    break
-            last.append(chosen)
+        last = [-1] * len(text)  # token that ends the prefix; -1 for a character without piece
+        sizes = [1] * len(text)
+        pairs, alone = self._pairs, self._single
+        for end, (token, size) in self.found.iter(text):
+            if last[end] >= 0:
+                continue
+            before = end - size
+            left = last[before] if before >= 0 else -1
+            fits = pairs.get((left, token)) if left >= 0 else alone.get(token)
+            if fits is None:
+                fits = self._fits(left, token) if left >= 0 else self._stands(token)
+            if fits:
+                last[end] = token
+                sizes[end] = size
         ids: list[int] = []
         end = len(text) - 1
         while end >= 0:
-            token, size = last[end]
-            if token >= 0:
-                ids.append(token)
+            if last[end] >= 0:
+                ids.append(last[end])
             else:
                 ids.extend(self.byte[b] for b in reversed(text[end].encode()))
-            end -= size
+            end -= sizes[end]
         return ids[::-1]
 
     def spaces(self, count: int) -> list[int]:
@@ -170,6 +167,30 @@ def model_at(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+class Words:
+    """Encoded parts of texts; remembers those met lately."""
+
+    def __init__(self, model: PieceModel):
+        self.model = model
+        self.known: dict[str, tuple[str, bytes, int]] = {}
+        self.older: dict[str, tuple[str, bytes, int]] = {}
+
+    def __call__(self, text: str) -> list[tuple[str, bytes, int]]:
+        """(ids joined by commas, decoded bytes, number of ids) of each part."""
+        parts = self.model.parts(text)
+        if len(self.known) >= WORDS_KEPT:
+            self.known, self.older = {}, self.known
+        known = self.known
+        for part in parts:
+            if part not in known:
+                got = self.older.get(part)
+                if got is None:
+                    ids = self.model.part(part)
+                    got = (",".join(map(str, ids)), self.model.raw(ids), len(ids))
+                known[part] = got
+        return [known[part] for part in parts]
+
+
 def encoded(docs: DataFrame, path: str, keep: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]): one row for each input row.
 
@@ -181,32 +202,19 @@ def encoded(docs: DataFrame, path: str, keep: bool = True, id_col: str = "doc_id
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = model_at(path), {}
+        words = Words(model_at(path))
         for doc_ids, texts in rows_of(batches, "doc_id", "text"):
             rows: dict[str, list] = {name.split()[0]: [] for name in schema.split(", ")}
             for doc_id, text in zip(doc_ids, texts):
-                written, raw, count = [], [], 0
-                every: list[int] = []
-                for part in model.parts(text.decode("utf-8", "replace")):
-                    got = known.get(part)
-                    if got is None:
-                        if len(known) >= WORDS_KEPT:
-                            known.clear()
-                        ids = model.part(part)
-                        got = known[part] = (",".join(map(str, ids)), model.raw(ids), len(ids), ids)
-                    written.append(got[0])
-                    raw.append(got[1])
-                    count += got[2]
-                    if keep:
-                        every.extend(got[3])
-                plain = b"".join(raw)
+                got = words(text.decode("utf-8", "replace"))
+                plain = b"".join([g[1] for g in got])
                 plain = (plain[1:] if plain.startswith(b" ") else plain).decode("utf-8", "replace")
                 rows["doc_id"].append(doc_id)
-                rows["n_tokens"].append(count)
-                rows["ids_sha256"].append(hashlib.sha256(",".join(written).encode()).hexdigest())
+                rows["n_tokens"].append(sum([g[2] for g in got]))
+                rows["ids_sha256"].append(hashlib.sha256(",".join([g[0] for g in got]).encode()).hexdigest())
                 rows["decoded_sha256"].append(hashlib.sha256(plain.encode()).hexdigest())
                 if keep:
-                    rows["ids"].append(every)
+                    rows["ids"].append([int(i) for g in got for i in g[0].split(",")])
                     rows["decoded"].append(plain)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], list(rows))
