@@ -201,12 +201,12 @@ PRESETS = {
 }
 
 # --- fixed values: activity index wording ------------------------------------
-BASIS_NO_COVERAGE = "no_monitoring_coverage"
+BASIS_NO_COVERAGE = "no_trektellen_coverage"
 BASIS_NO_RECENT = "no_recent_observations"
 BASIS_RATE = "effort_normalized_7d_rate_with_coverage_adjustment"
-CAVEAT_NO_COVERAGE = "No monitoring sites are configured for this query."
+CAVEAT_NO_COVERAGE = "No Trektellen monitoring sites are configured for this query."
 CAVEAT_NO_RECENT = (
-    "No observation session occurred in the previous 7 days within the configured radius - "
+    "No Trektellen observation session occurred in the previous 7 days within the configured radius - "
     "absence of data, not zero activity."
 )
 CAVEAT_DISTANCE = "Nearest monitoring site is farther than the configured coverage radius."

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_CLOCK = r"^\s*(\d+):([0-5]?\d)\s*$"
+_CLOCK = r"^\s*0*(\d{1,6}):([0-5]?\d)\s*$"  # more hours than fit are malformed
+_MONTH_FIRST = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})(?:[ T]+(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?))?\s*$"
 
 
 def number(c: Column | str) -> Column:
@@ -20,12 +21,20 @@ def number(c: Column | str) -> Column:
 
 
 def moment(c: Column) -> Column:
-    """Text, date or timestamp -> TIMESTAMP_NTZ, null when it does not parse."""
-    return c.try_cast("timestamp_ntz")
+    """Text, date or timestamp -> TIMESTAMP_NTZ, null when it does not parse.
+
+    ISO dates and times, and the exported month-first form `6/1/2021` with or without a clock.
+    """
+    text = c.cast("string")
+    parts = [F.regexp_extract(text, _MONTH_FIRST, k) for k in range(1, 5)]
+    clock = F.when(parts[3] == "", F.lit("0:00")).otherwise(parts[3])
+    iso = F.concat_ws("-", parts[2], F.lpad(parts[0], 2, "0"), F.lpad(parts[1], 2, "0"))
+    turned = F.concat(iso, F.lit(" "), F.when(F.instr(clock, ":") == 2, F.concat(F.lit("0"), clock)).otherwise(clock))
+    return F.when(text.rlike(_MONTH_FIRST), turned.try_cast("timestamp_ntz")).otherwise(c.try_cast("timestamp_ntz"))
 
 
 def day(c: Column) -> Column:
-    return c.try_cast("timestamp_ntz").cast("date")
+    return moment(c).cast("date")
 
 
 def strip(c: Column) -> Column:
@@ -40,17 +49,16 @@ def tidy_upper(c: Column | str) -> Column:
     return F.upper(strip(c))
 
 
-def token_if_missing(c: Column, token: str) -> Column:
-    """Null or blank text -> token."""
-    text = c.cast("string")
-    return F.when(text.isNull() | (F.trim(text) == ""), F.lit(token)).otherwise(text)
-
-
 def valid_coordinates(lat: Column, lon: Column) -> Column:
     """Present, numeric and inside [-90, 90] x [-180, 180], bounds included."""
     return F.coalesce(number(lat).between(-90, 90) & number(lon).between(-180, 180), F.lit(False))
 
 
+def on_globe(lat: Column, lon: Column) -> Column:
+    """The same test for columns that are numbers already, without the way through text."""
+    return F.coalesce(lat.try_cast("double").between(-90, 90) & lon.try_cast("double").between(-180, 180), F.lit(False))
+
+
 def valid_timestamp(c: Column) -> Column:
     """Parses as a date or timestamp."""
     return moment(c).isNotNull()
@@ -78,8 +86,3 @@ def clock_minutes(c: Column) -> Column:
 def end_not_before_start(start: Column, end: Column) -> Column:
     """Same-day 'HH:MM' range; crossing midnight or missing -> false."""
     return F.coalesce(clock_minutes(end) >= clock_minutes(start), F.lit(False))
-
-
-def ratio(numerator: Column, denominator: Column) -> Column:
-    """numerator / denominator, null unless the denominator is positive."""
-    return F.when(denominator > 0, numerator / denominator)

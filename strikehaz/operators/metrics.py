@@ -165,8 +165,9 @@ def risk_deciles(pred: DataFrame, id_col: str, n_bins: int = 10, y: str = "y", p
     """Equal-count bins in score order with edges floor(i * N / n).
 
     Ties at an edge are settled by id, neutrally with respect to the label.
+    Rows without a score have no decile and do not count towards N.
     """
-    scored = ranked(pred.select(id_col, y, p), p, id_col)
+    scored = ranked(pred.where(F.col(p).isNotNull()).select(id_col, y, p), p, id_col)
     decile = F.floor((F.lit(n_bins) * (F.col("rank") + 1) - 1) / F.col("n_total")) + 1
     return scored.groupBy(decile.cast("int").alias("risk_decile")).agg(
         F.count("*").alias("n"), F.avg(p).alias("predicted_mean_probability"), F.avg(F.col(y).cast("double")).alias("observed_damage_rate")
@@ -227,13 +228,13 @@ def tune_threshold(pred: DataFrame, objective: str = "f1", y: str = "y", p: str
 
 # --- bootstrap -------------------------------------------------------------------
 
-def _poisson_steps(limit: int = 12) -> list[float]:
-    """Upper bounds of the Poisson(1) inverse distribution."""
+def _poisson_steps() -> list[float]:
+    """Upper bounds of the Poisson(1) inverse distribution, as far as doubles tell them apart."""
     term, total, out = math.exp(-1), 0.0, []
-    for k in range(limit):
+    while total + term > total:
         total += term
         out.append(total)
-        term /= k + 1
+        term /= len(out)
     return out
 
 
@@ -267,9 +268,8 @@ def bootstrap_ci(
         lambda b: F.struct(b.alias("resample"), poisson_weight(uniform(F.col("_id"), b)).alias("w")),
     )
     kept = F.filter(draws, lambda d: d["w"] > 0)
-    # each row becomes hundreds, so the narrow input is spread over all cores first
-    cores = pred.sparkSession.sparkContext.defaultParallelism
-    narrow = pred.select(F.col(id_col).alias("_id"), F.col(y).alias("y"), F.col(p).cast("double").alias("p")).repartition(cores)
+    # each row becomes hundreds, so the narrow input is dealt out evenly first
+    narrow = pred.select(F.col(id_col).alias("_id"), F.col(y).alias("y"), F.col(p).cast("double").alias("p")).hint("rebalance")
     weighted = narrow.select("y", "p", F.inline(kept))
     hist = score_histogram(weighted, "y", "p", ["resample"], weight="w")
     per = _metric_by(hist, metric, ["resample"]).where(F.col("value").isNotNull())

@@ -64,11 +64,11 @@ def wide_counts_to_long(wide: DataFrame, order_by: list[str] | None = None) -> D
 def with_rates(wide: DataFrame, effort: DataFrame, key_cols: list[str], periods: list[str], period: str) -> DataFrame:
     """Long (key, period, count, observation_hours, monitored, count_per_hour).
 
-    `effort` is (period, observation_hours) with one row per period column, so it
-    is never longer than the header.  No effort means no rate, not a zero rate.
+    `effort` is (period, observation_hours) with one row per period column; the join strategy
+    is left to measured sizes.  No effort means no rate, not a zero rate.
     """
     long = wide.select(*key_cols, *periods).unpivot(key_cols, periods, period, "count")
-    joined = long.join(F.broadcast(effort), period, "left")
+    joined = long.join(effort, period, "left")
     monitored = F.coalesce(F.col("observation_hours") > 0, F.lit(False))
     return joined.select(
         *key_cols, period, F.col("count").cast("double").alias("count"), "observation_hours",

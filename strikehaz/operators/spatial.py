@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from strikehaz.fixed_values import COVERAGE_RADIUS_KM, HALF_LIFE_KM, RADII_KM
 from strikehaz.functions import geo
-from strikehaz.functions.coerce import valid_coordinates
+from strikehaz.functions.coerce import on_globe
 
 
 def _bands(radius_km: float) -> int:
@@ -72,8 +72,8 @@ def within_radius(
     Rows without usable coordinates pair with nothing.  Callers reduce repeated
     left locations to distinct ones first, so a busy place costs one row here.
     """
-    l = spread(left.where(valid_coordinates(F.col(left_lat), F.col(left_lon))), left_lon, left_lat)
-    r = right.where(valid_coordinates(F.col(right_lat), F.col(right_lon)))
+    l = spread(left.where(on_globe(F.col(left_lat), F.col(left_lon))), left_lon, left_lat)
+    r = right.where(on_globe(F.col(right_lat), F.col(right_lon)))
     l = l.withColumn("_p", geo.placed(left_lon, left_lat)).withColumn(
         "_cell", _home_cell(left_lon, left_lat, radius_km)
     )
@@ -179,7 +179,7 @@ def nearest(
     Equal distances go to the smallest id.
     """
     spots = (
-        sites.where(valid_coordinates(F.col("latitude"), F.col("longitude")))
+        sites.where(on_globe(F.col("latitude"), F.col("longitude")))
         .groupBy(F.col("longitude").alias("_slon"), F.col("latitude").alias("_slat")).agg(F.min(id_col).alias("_sid"))
     )
     spots = spots.withColumn("_q", geo.placed("_slon", "_slat"))
@@ -208,7 +208,7 @@ def branch_and_bound(
     `spots`: _slon, _slat, _sid and whatever `exact` reads to add `_d`;
     `slack_km` is how much nearer than its anchor (_slon, _slat) a spot can be.
     """
-    p = spread(points.where(valid_coordinates(F.col("lat"), F.col("lon"))).distinct(), "lon", "lat")
+    p = spread(points.where(on_globe(F.col("lat"), F.col("lon"))).distinct(), "lon", "lat")
     levels = levels or _depth(spots.count())
     keys = [f"_k{i}" for i in range(len(levels))]
     for key, size in zip(keys, levels):

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from strikehaz import fixed_values as fv
 from strikehaz.functions.coerce import moment, number
 from strikehaz.functions.times import micros
-from strikehaz.operators.ordered import running_totals
+from strikehaz.operators.ordered import null_safe, running_totals
 
 
 def chronological_split(
@@ -46,7 +46,7 @@ def chronological_split(
     settled = placed.where(~F.col("_tied")).select(*df.columns, F.col("_label").alias("split"))
     # the cut rows: one instant can hold very many, so they are ordered by (id % 4096, id) in slices
     tied = placed.where("_tied").withColumn("_id", _sortable(df, id_col))
-    spread = tied.withColumn("_part", F.pmod("_id", F.lit(4096)))
+    spread = tied.withColumn("_part", F.coalesce(F.pmod("_id", F.lit(4096)), F.lit(-1)))  # rows without an id come first
     sizes = spread.groupBy("_at", "_part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("_at").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("_at", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_shift"))
@@ -98,23 +98,21 @@ def holdout_by_coverage(df: DataFrame, column: str = "monitoring_available") ->
 
 
 def stratified_split(df: DataFrame, label_col: str, id_col: str, train_fraction: float, seed: int = 42) -> DataFrame:
-    """`df` with `split`, the same fraction of each label, order fixed by a seeded hash of the id (U8).
+    """`df` with `split`, the same fraction of each label, order fixed by a seeded hash of the id (U8); null is a label.
 
     The cut is the hash value below which floor(n * fraction) rows of the label
     fall, found on the histogram of hash prefixes; only rows sharing the prefix
     at the cut are numbered.
     """
     hashed = df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed))).withColumn("_prefix", F.shiftright("_h", 40))
-    hist = hashed.groupBy(label_col, "_prefix").agg(F.count("*").alias("n"))
-    totals = running_totals(hist, ["_prefix"], ["n"], by=[label_col])
+    hist = hashed.groupBy(F.col(label_col).alias("_label"), F.col("_prefix").alias("_at")).agg(F.count("*").alias("n"))
     cut = F.floor(F.col("all_n") * F.lit(train_fraction))
+    totals = running_totals(hist, ["_at"], ["n"], by=["_label"]).select("_label", "_at", "below_n", cut.alias("_cut"))
     # 2^24 prefixes: a label of 1e12 rows still numbers only ~60,000 rows per group
     inside = Window.partitionBy(label_col, "_prefix").orderBy("_h", id_col)
-    return (
-        hashed.withColumn("_row", F.row_number().over(inside) - 1)
-        .join(totals.select(label_col, "_prefix", "below_n", cut.alias("_cut")), [label_col, "_prefix"])
-        .select(*df.columns, F.when(F.col("_row") + F.col("below_n") < F.col("_cut"), "train").otherwise("test").alias("split"))
-    )
+    numbered = hashed.withColumn("_row", F.row_number().over(inside) - 1)
+    return numbered.join(totals, null_safe(numbered, totals, {label_col: "_label", "_prefix": "_at"})).select(
+        *[numbered[c] for c in df.columns], F.when(F.col("_row") + F.col("below_n") < F.col("_cut"), "train").otherwise("test").alias("split"))
 
 
 # --- encoders fitted on the training split only -------------------------------------
@@ -131,23 +129,8 @@ def frequent_categories(train: DataFrame, columns: list[str], threshold: int = f
     ).select("column", "value")
 
 
-#: Frequent values up to this many are compared in place; a larger table is joined.
-SMALL_DICTIONARY = 50_000
-
-
 def bucket_rare(df: DataFrame, frequent: DataFrame, columns: list[str]) -> DataFrame:
-    """Values not in `frequent` become 'rare_other'; null stays null.
-
-    A dictionary of measured small size becomes a hash-set test without any
-    shuffle; otherwise each column meets its values in a join.
-    """
-    kept = frequent.limit(SMALL_DICTIONARY + 1).collect()
-    if len(kept) <= SMALL_DICTIONARY:
-        values = {c: [r["value"] for r in kept if r["column"] == c] for c in columns}
-        return df.withColumns({
-            c: F.when(F.col(c).isNull() | F.col(c).cast("string").isin(values[c]), F.col(c).cast("string")).otherwise(fv.RARE_TOKEN)
-            for c in columns
-        })
+    """Values not in `frequent` become 'rare_other'; null stays null (G31).  Each column meets its values in a join."""
     for c in columns:
         words = frequent.where(F.col("column") == c).select(F.col("value").alias("_value"))
         text = F.col(c).cast("string")

@@ -4,7 +4,8 @@ Observations and query instants are merged into one ordered stream per key and
 time chunk; running totals (or the last value) are read off at the instants.
 No query-observation pair is ever produced.  A chunk is one maximal window
 longer than its step, observations are copied to the few chunks they can
-matter in, so a busy key splits by time and no state crosses chunks.
+matter in, so a busy key splits by time and no state crosses chunks.  Equal
+(key, instant) pairs are asked for once.
 """
 
 from __future__ import annotations
@@ -44,41 +45,43 @@ def lookback_sums(
     one row per `group_by` with `<value>_<label>`; instants that meet nothing
     still appear, with zeros, so callers decide between null and 0 by a row count.
 
-    A smaller `step` spreads a busy key's instants over more groups at the price
-    of more copies of its (already aggregated) measures.
+    Totals depend on (key, instant) only, so these are reduced to distinct pairs before
+    the stream is built: many places that ask for one busy key at one time are one mark.  A
+    smaller `step` spreads a busy key's instants over more groups at the price of more
+    copies of its (already aggregated) measures.
     """
     span = max(windows.values())
-    step = step or max(span // 7, 1)
+    step = step or span
     seen = _copied(measures.where(F.col(ts).isNotNull()), ts, span, step).select(
-        key, "_chunk", F.col(ts).alias("_ts"), F.lit(1).alias("_kind"),
-        *[F.lit(None).cast(instants.schema[c].dataType).alias(f"_g_{c}") for c in group_by],
+        F.col(key).alias("_key"), "_chunk", F.col(ts).alias("_ts"), F.lit(1).alias("_kind"), F.lit(None).cast(instants.schema[at].dataType).alias("_at"),
         F.lit(None).cast("string").alias("_mark"), *[F.col(v).cast("double").alias(v) for v in values],
     )
     edges = F.array(
-        F.struct(F.lit("now").alias("mark"), F.col(at).alias("ts")),
-        *[F.struct(F.lit(label).alias("mark"), (F.col(at) - length).alias("ts")) for label, length in windows.items()],
+        F.struct(F.lit("now").alias("mark"), F.col("_at").alias("ts")),
+        *[F.struct(F.lit(label).alias("mark"), (F.col("_at") - length).alias("ts")) for label, length in windows.items()],
     )
+    pairs = instants.select(F.col(key).alias("_key"), F.col(at).alias("_at")).distinct()
     marks = (
-        instants.withColumn("_chunk", _chunk(F.col(at) - span, step)).withColumn("_edge", F.explode(edges))
+        pairs.withColumn("_chunk", _chunk(F.col("_at") - span, step)).withColumn("_edge", F.explode(edges))
         .select(
-            key, "_chunk", F.col("_edge.ts").alias("_ts"), F.lit(0).alias("_kind"),
-            *[F.col(c).alias(f"_g_{c}") for c in group_by], F.col("_edge.mark").alias("_mark"),
+            "_key", "_chunk", F.col("_edge.ts").alias("_ts"), F.lit(0).alias("_kind"), "_at", F.col("_edge.mark").alias("_mark"),
             *[F.lit(None).cast("double").alias(v) for v in values],
         )
     )
-    order = Window.partitionBy(key, "_chunk").orderBy("_ts", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("_key", "_chunk").orderBy("_ts", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     running = seen.unionByName(marks).select(
-        "_kind", "_mark", *[f"_g_{c}" for c in group_by],
-        *[F.coalesce(F.sum(v).over(order), F.lit(0.0)).alias(v) for v in values],
+        "_kind", "_mark", "_key", "_at", *[F.coalesce(F.sum(v).over(order), F.lit(0.0)).alias(v) for v in values],
     ).where(F.col("_kind") == 0)
 
     def total(value: str, label: str) -> Column:
         signed = F.when(F.col("_mark") == "now", F.col(value)).when(F.col("_mark") == label, -F.col(value))
         return F.sum(signed).alias(f"{value}_{label}")
 
-    return running.groupBy(*[F.col(f"_g_{c}").alias(c) for c in group_by]).agg(
-        *[total(v, label) for v, labels in values.items() for label in labels]
-    )
+    names = [f"{v}_{label}" for v, labels in values.items() for label in labels]
+    totals = running.groupBy("_key", "_at").agg(*[total(v, label) for v, labels in values.items() for label in labels])
+    asked = instants.select(*group_by, F.col(key).alias("_asked_key"), F.col(at).alias("_asked_at"))
+    same = F.col("_asked_key").eqNullSafe(F.col("_key")) & F.col("_asked_at").eqNullSafe(F.col("_at"))
+    return asked.join(totals, same).groupBy(*group_by).agg(*[F.sum(n).alias(n) for n in names])
 
 
 def latest_before(
@@ -118,6 +121,8 @@ def asof_within(
     step = step or max(max_age, 24 * HOUR)
     cols = instants.columns
     reach = max_age * (2 if either_side else 1)
+    asked = instants
+    instants = asked.select(key, at).distinct()  # the answer depends on these alone
     seen = _copied(observations.where(F.col(ts).isNotNull()), ts, reach, step).select(
         key, "_chunk", F.col(ts).alias("_ts"), F.lit(0).alias("_kind"),
         F.struct(F.col(ts).alias("_at"), *payload).alias("_seen"),
@@ -135,4 +140,6 @@ def asof_within(
         best, age = F.when(later, F.col("_next")).otherwise(F.col("_prior")), F.when(later, gap).otherwise(age)
     found = both.where("_kind = 1").withColumn("hit", best).withColumn("age", age)
     fresh = F.col("age") <= max_age
-    return found.select(*cols, F.when(fresh, F.col("hit")).alias("hit"), F.when(fresh, F.col("age")).alias("age"))
+    answers = found.select(
+        F.col(key).alias("_of"), F.col(at).alias("_when"), F.when(fresh, F.col("hit")).alias("hit"), F.when(fresh, F.col("age")).alias("age"))
+    return asked.join(answers, F.col(key).eqNullSafe(F.col("_of")) & F.col(at).eqNullSafe(F.col("_when"))).select(*cols, "hit", "age")

@@ -89,7 +89,7 @@ def feature_rows(spark, sf_dir):
 
 @query("activity_index", _FEATURES + """SELECT query_id, CASE WHEN b7 IS NOT NULL AND rate IS NOT NULL THEN round(tanh(ln(1 + greatest(rate, 0)) / 4) * (5e-1 + 5e-1 * score), 4) END AS activity_index,
   CASE WHEN b7 IS NULL OR rate IS NULL THEN 'no_recent_observations' ELSE 'effort_normalized_7d_rate_with_coverage_adjustment' END AS activity_index_basis,
-  CASE WHEN b7 IS NULL OR rate IS NULL THEN 'No observation session occurred in the previous 7 days within the configured radius - absence of data, not zero activity.'
+  CASE WHEN b7 IS NULL OR rate IS NULL THEN 'No Trektellen observation session occurred in the previous 7 days within the configured radius - absence of data, not zero activity.'
   WHEN far THEN 'Nearest monitoring site is farther than the configured coverage radius.' WHEN low THEN 'Fewer than the recommended number of monitoring sites are within range.' END AS coverage_caveat FROM f""")
 def activity_index(spark, sf_dir):
     """Coverage-adjusted index with basis and caveat for every query."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,24 +26,30 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """Shared checkpoint folder of the cluster; on a local master without one, a scratch folder."""
+_scratch: list[tempfile.TemporaryDirectory] = []
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Shared checkpoint folder, from the context or `spark.checkpoint.dir`.
+
+    A cluster must have one: without it this fails at once.  A local master, where the driver is
+    the only machine, gets a folder that goes with the process.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not configured and sc.master.startswith("local"):
-        configured = tempfile.mkdtemp(prefix="strikehaz-checkpoint-")
-    if configured:
-        sc.setCheckpointDir(configured)
-    return configured
+    if not configured:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
+        _scratch.append(tempfile.TemporaryDirectory(prefix="strikehaz-checkpoint-", ignore_cleanup_errors=True))
+        configured = _scratch[-1].name
+    sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir() or configured
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a result that is read more than once.
-
-    Reliable checkpoint in the shared folder when there is one; without one the
-    plan is returned as it is and is recomputed, never kept on executors only.
-    """
-    return df.checkpoint(eager=True) if checkpoint_dir(df.sparkSession) else df
+    """Cut the lineage of a result that is read more than once: a reliable checkpoint in the shared folder."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

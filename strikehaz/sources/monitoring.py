@@ -23,7 +23,7 @@ def padded(df: DataFrame, schema: StructType) -> DataFrame:
             return F.lit(None).cast(f.dataType).alias(f.name)
         kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
         if kind in ("double", "integer"):
-            return number(c).cast(f.dataType).alias(f.name)
+            return number(c).try_cast(f.dataType).alias(f.name)
         if kind == "date":
             return day(c).alias(f.name)
         return c.try_cast(f.dataType).alias(f.name)
@@ -83,13 +83,6 @@ def season_long(table: DataFrame) -> DataFrame:
 # --- annual totals text ---------------------------------------------------------
 
 YEARS = list(range(2016, 2026))  # fixed column set of the layout
-_TEN = r"((?:\d+\s+){9}\d+)"
-# fixed layout: number, name, ten yearly counts, total, average, ringed, retraps, max (year)
-SPECIES_LINE = rf"^\s*\d+\s+(.+?)\s+{_TEN}\s+(\d+)\s+([\d.]+)\s+(\d+)\s+(\d+)\s+(\d+)\s*\((\d{{4}})\)\s*$"
-TOTALS_LINE = rf"^\s*Totals\s+{_TEN}\s+(\d+)\s+([\d.]+)\s+(\d+)\s+(\d+)\s*$"
-HOURS_LINE = r"^\s*Observation hours\s+(.+)$"
-
-
 def read_annual_text(spark: SparkSession, path: str, pattern: str = "*annual*.txt") -> DataFrame:
     """Extracted text files as (line, source_file, modified), newest file last when ordered."""
     lines = spark.read.option("pathGlobFilter", pattern).text(path)
@@ -99,33 +92,52 @@ def read_annual_text(spark: SparkSession, path: str, pattern: str = "*annual*.tx
     )
 
 
-def _field(pattern: str, group: int, kind: str) -> Column:
-    return F.regexp_extract("line", pattern, group).try_cast(kind)
+def _words(line: Column) -> Column:
+    """The words of a line; an opening bracket starts a new one."""
+    return F.split(F.trim(F.regexp_replace(line, r"\(", " (")), r"\s+")
+
+
+def _all_whole(words: Column) -> Column:
+    return F.forall(words, lambda w: w.rlike(r"^\d+$"))
+
+
+def _from_right(words: Column, back: int) -> Column:
+    """The word `back` places before the end, 1 for the last."""
+    return F.get(words, F.size(words) - back)
 
 
 def annual_species(lines: DataFrame) -> DataFrame:
-    """Species rows of the annual text, wide: one column per year plus career figures."""
-    p = SPECIES_LINE
-    counts = F.split(F.trim(F.regexp_extract("line", p, 2)), r"\s+")
+    """Species rows of the annual text, wide: one column per year plus career figures.
+
+    Number, name, one count for each year, then total, average, newly ringed, retraps, best count
+    and its year in brackets.  The figures are read from the right, what is left is number and name.
+    """
+    w, tail, years = F.col("_w"), 6, len(YEARS)
     carried = [c for c in lines.columns if c != "line"]
-    return lines.where(F.col("line").rlike(p)).select(
-        F.trim(F.regexp_extract("line", p, 1)).alias("species"),
-        *[F.get(counts, F.lit(i)).try_cast("bigint").alias(f"year_{y}") for i, y in enumerate(YEARS)],
-        _field(p, 3, "bigint").alias("total"), _field(p, 4, "double").alias("average"),
-        _field(p, 5, "bigint").alias("newly_ringed"), _field(p, 6, "bigint").alias("retraps"),
-        _field(p, 7, "bigint").alias("year_max_count"), _field(p, 8, "int").alias("year_max_year"), *carried,
+    named = F.greatest(F.size(w) - tail - years, F.lit(1))  # words of number and name
+    figures = F.array_append(F.slice(w, named + 1, years + 1), _from_right(w, 4))
+    whole = _all_whole(F.concat(figures, F.array(_from_right(w, 3), _from_right(w, 2))))
+    fits = (named > 1) & F.get(w, F.lit(0)).rlike(r"^\d+$") & _from_right(w, 1).rlike(r"^\(\d{4}\)$") & _from_right(w, 5).rlike(r"^[\d.]+$")
+    rows = lines.withColumn("_w", _words(F.col("line"))).where(F.when(fits, whole))
+    return rows.select(
+        F.array_join(F.slice(w, 2, named - 1), " ").alias("species"),
+        *[_from_right(w, tail + years - i).try_cast("bigint").alias(f"year_{y}") for i, y in enumerate(YEARS)],
+        _from_right(w, 6).try_cast("bigint").alias("total"), _from_right(w, 5).try_cast("double").alias("average"),
+        _from_right(w, 4).try_cast("bigint").alias("newly_ringed"), _from_right(w, 3).try_cast("bigint").alias("retraps"),
+        _from_right(w, 2).try_cast("bigint").alias("year_max_count"), F.substring(_from_right(w, 1), 2, 4).try_cast("int").alias("year_max_year"), *carried,
     )
 
 
 def annual_totals(lines: DataFrame) -> DataFrame:
-    """The totals row of each file."""
-    p = TOTALS_LINE
-    counts = F.split(F.trim(F.regexp_extract("line", p, 1)), r"\s+")
+    """The totals row of each file: its label, one count for each year, total, average, newly ringed, retraps."""
+    w, years = F.col("_w"), len(YEARS)
     carried = [c for c in lines.columns if c != "line"]
-    return lines.where(F.col("line").rlike(p)).select(
-        *[F.get(counts, F.lit(i)).try_cast("bigint").alias(f"year_{y}") for i, y in enumerate(YEARS)],
-        _field(p, 2, "bigint").alias("total"), _field(p, 3, "double").alias("average"),
-        _field(p, 4, "bigint").alias("newly_ringed"), _field(p, 5, "bigint").alias("retraps"), *carried,
+    fits = (F.size(w) == years + 5) & (F.get(w, F.lit(0)) == "Totals") & F.get(w, F.lit(years + 2)).rlike(r"^[\d.]+$")
+    whole = _all_whole(F.concat(F.slice(w, 2, years + 1), F.slice(w, years + 4, 2)))
+    return lines.withColumn("_w", _words(F.col("line"))).where(F.when(fits, whole)).select(
+        *[F.get(w, F.lit(i + 1)).try_cast("bigint").alias(f"year_{y}") for i, y in enumerate(YEARS)],
+        F.get(w, F.lit(years + 1)).try_cast("bigint").alias("total"), F.get(w, F.lit(years + 2)).try_cast("double").alias("average"),
+        F.get(w, F.lit(years + 3)).try_cast("bigint").alias("newly_ringed"), F.get(w, F.lit(years + 4)).try_cast("bigint").alias("retraps"), *carried,
     )
 
 
@@ -135,8 +147,9 @@ def annual_effort(lines: DataFrame) -> DataFrame:
     The row lists only monitored years, then total and average, so tokens are
     aligned from the right: the last year sits third from the end.
     """
-    tokens = F.regexp_extract_all(F.regexp_extract("line", HOURS_LINE, 1), F.lit(r"([\d,]+:\d{2})"), F.lit(1))
-    rows = lines.where(F.col("line").rlike(HOURS_LINE)).select(
+    words = _words(F.col("line"))
+    tokens = F.filter(words, lambda w: w.rlike(r"^[\d,]+:\d{2}$"))
+    rows = lines.where((F.get(words, F.lit(0)) == "Observation") & (F.get(words, F.lit(1)) == "hours")).select(
         "source_file", F.posexplode(F.reverse(tokens)).alias("back", "token")
     )
     return rows.where(F.col("back").between(2, len(YEARS) + 1)).select(

@@ -69,22 +69,25 @@ def canonical_strikes(raw: DataFrame, aliases: dict[str, list[str]] = STRIKE_ALI
     return StrikeScan(raw.select(*columns), raw, resolved, missing_fields(resolved))
 
 
-def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with every column as text; blanks are null, a byte-order mark on the header goes."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+def read_text_csv(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    """CSV with every column as text; blanks are null, a byte-order mark on the header goes.
+
+    `line_breaks` allows them inside quotes; such a file can't be split and is read by one task.
+    """
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=line_breaks, escape='"')
     return raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
 
 
-def scan_strikes(spark: SparkSession, path: str) -> StrikeScan:
+def scan_strikes(spark: SparkSession, path: str, line_breaks: bool = False) -> StrikeScan:
     """Read a strike export: CSV text or the Parquet staging copy."""
     if path.lower().endswith(".csv"):
-        return canonical_strikes(read_text_csv(spark, path))
+        return canonical_strikes(read_text_csv(spark, path, line_breaks))
     if path.lower().endswith(".parquet"):
         return canonical_strikes(spark.read.parquet(path))
     raise ValueError(f"Unsupported strike format: {path} (expected .csv or .parquet)")
 
 
-def stage_raw(spark: SparkSession, csv_path: str, parquet_path: str, force: bool = False) -> DataFrame:
+def stage_raw(spark: SparkSession, csv_path: str, parquet_path: str, force: bool = False, line_breaks: bool = False) -> DataFrame:
     """Parse the text once, then read the Parquet copy with column pruning."""
     if not force:
         try:
@@ -92,5 +95,5 @@ def stage_raw(spark: SparkSession, csv_path: str, parquet_path: str, force: bool
         except Exception as error:  # the staging table is not there yet
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-    read_text_csv(spark, csv_path).write.mode("overwrite").parquet(parquet_path)
+    read_text_csv(spark, csv_path, line_breaks).write.mode("overwrite").parquet(parquet_path)
     return spark.read.parquet(parquet_path)

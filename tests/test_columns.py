@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strikehaz.functions import coerce, geo, names, times
+from strikehaz.schemas import COUNTS
+from strikehaz.sources import monitoring
 
 
 def values(df):
@@ -21,6 +23,16 @@ def test_numbers_and_dates_never_throw(spark):
     assert [r[0] for r in df.select(coerce.number("s")).collect()] == by_column
     dates = spark.createDataFrame([("2021-06-01",), ("soon",), (None,)], "s string").select(coerce.moment(F.col("s")))
     assert [r[0] is not None for r in dates.collect()] == [True, False, False]
+    exported = [("06/01/2021",), ("6/1/2021 0:00",), ("6/1/2021 14:05:09",), ("13/01/2021",), ("6/31/2021",)]
+    got = [r[0] for r in spark.createDataFrame(exported, "s string").select(coerce.moment(F.col("s"))).collect()]
+    assert got == [datetime(2021, 6, 1), datetime(2021, 6, 1), datetime(2021, 6, 1, 14, 5, 9), None, None]
+
+
+def test_values_that_overflow_become_null(spark):
+    df = spark.createDataFrame([("99999999:00", "3000000000"), ("000012:30", "7")], "clock string, n string")
+    assert [r[0] for r in df.select(coerce.clock_minutes(F.col("clock"))).collect()] == [None, 750]
+    counts = monitoring.padded(df.withColumnRenamed("n", "count"), COUNTS)
+    assert [r[0] for r in counts.select("count").collect()] == [None, 7]
 
 
 def test_tidy_upper_strips_all_white_space(spark):

@@ -113,7 +113,7 @@ def test_activity_without_sessions_or_sites(spark):
         q, spark.createDataFrame([], SITES), spark.createDataFrame([], COUNTS), id_col="qid"
     )).first()
     assert row.monitoring_available is False and row.data_coverage_score == 0.0
-    assert row.activity_index_basis == "no_monitoring_coverage" and row.number_of_sites_within_50_km is None
+    assert row.activity_index_basis == "no_trektellen_coverage" and row.number_of_sites_within_50_km is None
 
 
 @pytest.mark.parametrize("step_days", [14, 1])

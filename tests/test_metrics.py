@@ -22,15 +22,27 @@ def _rows(n, seed, ties=20):
     return out
 
 
-@pytest.fixture(params=[False, True], ids=["one-window", "slices"])
+@pytest.fixture(params=[200_000, 3], ids=["one-slice", "many-slices"])
 def sliced(request, monkeypatch):
-    """Run with the small-histogram path and with the sliced one."""
-    if request.param:
-        monkeypatch.setattr(ordered, "SMALL_HISTOGRAM", 0)
-        monkeypatch.setattr(ordered, "SLICES", 7)
+    """Run with one slice and with many."""
+    monkeypatch.setattr(ordered, "SLICE_ROWS", request.param)
     return request.param
 
 
+def test_null_groups_scores_ids_and_labels_are_kept(spark, sliced):
+    hist = spark.createDataFrame([(None, 1.0, 2), (None, 2.0, 3), ("a", 1.0, 5), ("a", None, 7)], "g string, k double, n long")
+    got = {(r.g, r.k): (r.below_n, r.all_n) for r in ordered.running_totals(hist, ["k"], ["n"], ["g"]).collect()}
+    assert got == {(None, 1.0): (0, 5), (None, 2.0): (2, 5), ("a", None): (0, 12), ("a", 1.0): (7, 12)}
+    pred = spark.createDataFrame([(None if i % 5 == 0 else i, i % 2, None if i % 2 else i / 100) for i in range(100)], "id long, y int, p double")
+    deciles = {r.risk_decile: r.n for r in metrics.risk_deciles(pred, "id").collect()}
+    assert deciles == {d: 5 for d in range(1, 11)}
+    days = spark.createDataFrame([(None if i % 3 == 0 else i, "6/1/2021" if i < 50 else "2021-06-02", None if i % 4 == 0 else "x") for i in range(60)], "id long, d string, label string")
+    parts = splits.chronological_split(days, "d", "id", 0.5, 0.25).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in parts} == {"train": 30, "validation": 15, "test": 15}
+    strata = splits.stratified_split(days, "label", "id", 0.8).groupBy("label", "split").count().collect()
+    assert {(r["label"], r["split"]): r["count"] for r in strata} == {(None, "train"): 12, (None, "test"): 3, ("x", "train"): 36, ("x", "test"): 9}
+
+
 def test_auc_and_average_precision_equal_definitions(spark, sliced):
     rows = _rows(400, 1)
     pos, neg = [p for y, p in rows if y], [p for y, p in rows if not y]
@@ -110,13 +122,11 @@ def test_holdouts_and_year_split(spark):
     assert [r.a for r in splits.holdout_latest_year(df, "d").where("held_out").collect()] == ["C"]
 
 
-def test_rare_categories_fit_on_train_only(spark, monkeypatch):
+def test_rare_categories_fit_on_train_only(spark):
     train = spark.createDataFrame([("A",)] * 10 + [("B",)] * 3 + [("C",)], "c string")
     other = spark.createDataFrame([("A",), ("B",), ("Z",), (None,)], "c string")
     frequent = splits.frequent_categories(train, ["c"], 5)
     expected = ["A", "rare_other", "rare_other", None]
-    assert [r.c for r in splits.bucket_rare(other, frequent, ["c"]).collect()] == expected
-    monkeypatch.setattr(splits, "SMALL_DICTIONARY", 0)
     joined = [r.c for r in splits.bucket_rare(other, frequent, ["c"]).collect()]
     assert sorted(joined, key=str) == sorted(expected, key=str)
 
