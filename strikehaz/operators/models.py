@@ -38,7 +38,12 @@ class Encoder:
 
     def transform(self, df: DataFrame) -> DataFrame:
         bucketed = _filled(bucket_rare(df, self.frequent, self.categorical), self.categorical, fv.MISSING_TOKEN)
-        return self.stages.transform(bucketed)
+        return self.stages.transform(_marked(bucketed, self.numeric))
+
+
+def _marked(df: DataFrame, numeric: list[str]) -> DataFrame:
+    """`df` with a 0/1 column <name>__m for each numeric one: whether it is missing."""
+    return df.withColumns({f"{c}__m": (F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("double") for c in numeric})
 
 
 def fit_dense(train: DataFrame, numeric: list[str], categorical: list[str], threshold: int = fv.RARE_THRESHOLD) -> Encoder:
@@ -61,15 +66,15 @@ def fit_dense(train: DataFrame, numeric: list[str], categorical: list[str], thre
 
 
 def fit_tree(train: DataFrame, numeric: list[str], categorical: list[str], threshold: int = fv.RARE_THRESHOLD) -> Encoder:
-    """Indexed categories with a missing token, numerics with an explicit missing indicator (M6)."""
+    """Indexed categories with a missing token; numerics at their median where missing, beside an indicator of that (M6)."""
     frequent = durable(frequent_categories(train, categorical, threshold))
-    ready = durable(_filled(bucket_rare(train, frequent, categorical), categorical, fv.MISSING_TOKEN))
-    imputed = [f"{c}__n" for c in numeric]
+    ready = durable(_marked(_filled(bucket_rare(train, frequent, categorical), categorical, fv.MISSING_TOKEN), numeric))
+    imputed, missing = [f"{c}__n" for c in numeric], [f"{c}__m" for c in numeric]
     indexer = StringIndexer(inputCols=categorical, outputCols=[f"{c}__i" for c in categorical], handleInvalid="keep")
     imputer = Imputer(strategy="median", inputCols=numeric, outputCols=imputed)
-    assembler = VectorAssembler(inputCols=[*[f"{c}__i" for c in categorical], *imputed], outputCol="features")
+    assembler = VectorAssembler(inputCols=[*[f"{c}__i" for c in categorical], *imputed, *missing], outputCol="features")
     stages = Pipeline(stages=[imputer, indexer, assembler]).fit(ready)
-    return Encoder(numeric, categorical, frequent, stages, [*categorical, *numeric])
+    return Encoder(numeric, categorical, frequent, stages, [*categorical, *numeric, *[f"{c}_missing" for c in numeric]])
 
 
 def balanced_weights(train: DataFrame, label: str = "y") -> DataFrame:
@@ -104,36 +109,45 @@ def _bins(encoder: Encoder) -> int:
     return max(32, *[len(v) + 2 for v in indexer.labelsArray])
 
 
-def fit_gbt(
-    train: DataFrame, validation: DataFrame, encoder: Encoder, label: str = "y", depth: int = 5, step: float = 0.1,
-    min_rows: int = 1, iterations: int = 100, seed: int = 42,
-):
-    """Balanced boosted trees stopping early on the validation rows (M7, M8)."""
+def _gbt_rows(train: DataFrame, validation: DataFrame, encoder: Encoder, label: str) -> DataFrame:
+    """Encoded, weighted rows of both splits, materialised once."""
     rows = balanced_weights(encoder.transform(train), label).withColumn("_v", F.lit(False)).unionByName(
-        encoder.transform(validation).withColumns({"weight": F.lit(1.0), "_v": F.lit(True)})
-    )
-    rows = durable(rows.select("features", label, "weight", "_v"))
+        encoder.transform(validation).withColumns({"weight": F.lit(1.0), "_v": F.lit(True)}), allowMissingColumns=True)
+    return durable(rows.select("features", label, "weight", "_v"))
+
+
+def _boosted(rows: DataFrame, encoder: Encoder, label: str, depth: int, step: float, min_rows: int, iterations: int, seed: int):
     return GBTClassifier(
         featuresCol="features", labelCol=label, weightCol="weight", validationIndicatorCol="_v", maxDepth=depth, stepSize=step,
         minInstancesPerNode=min_rows, maxIter=iterations, maxBins=_bins(encoder), seed=seed,
     ).fit(rows)
 
 
+def fit_gbt(
+    train: DataFrame, validation: DataFrame, encoder: Encoder, label: str = "y", depth: int = 5, step: float = 0.1,
+    min_rows: int = 1, iterations: int = 100, seed: int = 42,
+):
+    """Balanced boosted trees stopping early on the validation rows (M7, M8)."""
+    return _boosted(_gbt_rows(train, validation, encoder, label), encoder, label, depth, step, min_rows, iterations, seed)
+
+
 def search_gbt(
     train: DataFrame, validation: DataFrame, encoder: Encoder, grid: dict[str, list] = fv.GBT_GRID, label: str = "y",
     iterations: int = 100, seed: int = 42,
 ):
-    """(best model, search rows): every grid point, least validation log loss wins (M8).
+    """(best model, search rows): every grid point with its validation log loss, ROC-AUC and trees kept; least log loss wins (M8).
 
     MLlib has no leaf penalty; the grid's `l2` is used as the minimum rows per
-    leaf, the regulariser it does have.
+    leaf, the regulariser it does have.  Rows are encoded once for the whole grid.
     """
+    data = _gbt_rows(train, validation, encoder, label)
+    held = data.where("_v").select("features", label)
     best, rows = None, []
     for depth, step, l2 in product(grid["depth"], grid["learning_rate"], grid["l2"]):
-        model = fit_gbt(train, validation, encoder, label, depth, step, int(l2), iterations, seed)
-        scored = model.transform(encoder.transform(validation)).select(F.col(label).alias("y"), probability().alias("p"))
-        loss = log_loss(scored).first()[0]
-        rows.append({"depth": depth, "learning_rate": step, "min_rows": int(l2), "trees": model.getNumTrees, "val_logloss": loss})
+        model = _boosted(data, encoder, label, depth, step, int(l2), iterations, seed)
+        scored = durable(model.transform(held).select(F.col(label).alias("y"), probability().alias("p")))
+        loss, auc = log_loss(scored).first()[0], rank_metrics(scored).first()["roc_auc"]
+        rows.append({"depth": depth, "learning_rate": step, "min_rows": int(l2), "trees": model.getNumTrees, "val_logloss": loss, "val_roc_auc": auc})
         if best is None or loss < best[0]:
             best = (loss, model)
     return best[1], rows
@@ -151,9 +165,6 @@ def fit_severity(train: DataFrame, validation: DataFrame, encoder: Encoder, labe
 
 # --- calibration -----------------------------------------------------------------
 
-SCORE_STEPS = 10_000
-
-
 @dataclass
 class Calibration:
     """Chosen method with its parameters and the validation Brier scores compared."""
@@ -182,12 +193,11 @@ def _calibrated(df, p, out, method, slope, intercept, isotonic) -> DataFrame:
 def select_calibration(validation: DataFrame, y: str = "y", p: str = "p", min_isotonic: int = fv.ISOTONIC_MIN_ROWS) -> Calibration:
     """Raw, Platt or isotonic, whichever has the least validation Brier score.
 
-    Fits read a histogram of at most SCORE_STEPS + 1 scores with label weights,
-    so they see a bounded table however large the validation split is.
+    Fits read the scores as they are, one row per distinct score and label with its count as weight;
+    isotonic pools violators inside score ranges before the blocks meet.
     """
-    step = F.round(F.col(p).cast("double") * SCORE_STEPS) / SCORE_STEPS
-    hist = validation.groupBy(step.alias("s"), F.col(y).cast("double").alias("label")).agg(F.count("*").cast("double").alias("w"))
-    hist = hist.withColumn("features", array_to_vector(F.array("s")))
+    hist = validation.groupBy(F.col(p).cast("double").alias("s"), F.col(y).cast("double").alias("label")).agg(F.count("*").cast("double").alias("w"))
+    hist = durable(hist.withColumn("features", array_to_vector(F.array("s"))))
     n = int(hist.agg(F.sum("w")).first()[0])
     platt = LogisticRegression(labelCol="label", weightCol="w", regParam=1.0 / n, standardization=False).fit(hist)
     slope, intercept = float(platt.coefficients[0]), float(platt.intercept)

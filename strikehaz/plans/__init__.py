@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["strike_queries", "monitoring_queries", "space_queries", "activity_queries", "metric_queries", "layer_queries", "model_queries"]
+MODULES = ["strike_queries", "monitoring_queries", "space_queries", "activity_queries", "metric_queries", "layer_queries", "model_queries", "source_queries"]
 
 
 def all_queries():

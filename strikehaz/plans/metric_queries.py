@@ -69,8 +69,8 @@ def stratified_split(spark, sf_dir):
 
 
 @query("rare_categories", with_views("raw") + """,
-f AS (SELECT AIRCRAFT AS v FROM v_raw WHERE TRY_CAST(INCIDENT_YEAR AS INT) <= 2019 GROUP BY 1 HAVING count(*) >= 100),
-g AS (SELECT PRECIPITATION AS v FROM v_raw WHERE TRY_CAST(INCIDENT_YEAR AS INT) <= 2019 AND PRECIPITATION IS NOT NULL GROUP BY 1 HAVING count(*) >= 100)
+f AS (SELECT AIRCRAFT AS v FROM v_raw WHERE TRY_CAST(INCIDENT_YEAR AS INT) <= 2019 GROUP BY 1 HAVING count(*) >= 20),
+g AS (SELECT PRECIPITATION AS v FROM v_raw WHERE TRY_CAST(INCIDENT_YEAR AS INT) <= 2019 AND PRECIPITATION IS NOT NULL GROUP BY 1 HAVING count(*) >= 20)
 SELECT INDEX_NR AS record_id, CASE WHEN AIRCRAFT IS NULL OR AIRCRAFT IN (SELECT v FROM f) THEN AIRCRAFT ELSE 'rare_other' END AS aircraft,
   CASE WHEN PRECIPITATION IS NULL OR PRECIPITATION IN (SELECT v FROM g) THEN PRECIPITATION ELSE 'rare_other' END AS precipitation FROM v_raw""")
 def rare_categories(spark, sf_dir):
@@ -78,7 +78,7 @@ def rare_categories(spark, sf_dir):
     raw = view(spark, sf_dir, "raw")
     train = splits.year_split(raw, "INCIDENT_YEAR").where("split = 'train'")
     columns = ["AIRCRAFT", "PRECIPITATION"]
-    frequent = splits.frequent_categories(train, columns, 100)
+    frequent = splits.frequent_categories(train, columns)
     return splits.bucket_rare(raw, frequent, columns).select(
         F.col("INDEX_NR").alias("record_id"), F.col("AIRCRAFT").alias("aircraft"), F.col("PRECIPITATION").alias("precipitation")
     )
@@ -284,7 +284,7 @@ def _lcg(row_id, resample):
 
 
 _STEPS = metrics._poisson_steps()
-_BOOT = SCORES + f""", d AS (SELECT b, y, p, CAST(len(list_filter([{', '.join(repr(x) for x in _STEPS)}], lambda q: q <= ((id * 1103515245 + b * 12345) % 2147483648) / 2147483648e0)) AS BIGINT) AS w FROM s CROSS JOIN range(1, 51) t(b)),
+_BOOT = SCORES + f""", d AS (SELECT b, y, p, CAST(len(list_filter([{', '.join(repr(x) for x in _STEPS)}], lambda q: q <= ((id * 1103515245 + b * 12345) % 2147483648) / 2147483648e0)) AS BIGINT) AS w FROM s CROSS JOIN range(1, 501) t(b)),
 h AS (SELECT b, p, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM d WHERE w > 0 GROUP BY 1, 2),
 c AS (SELECT b, pos, neg, coalesce(sum(neg) OVER (PARTITION BY b ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bn, sum(pos) OVER (PARTITION BY b) AS ap, sum(neg) OVER (PARTITION BY b) AS an FROM h),
 v AS (SELECT b, sum(pos * (bn + neg / 2) / (ap * an)) AS value FROM c GROUP BY 1),
@@ -294,15 +294,15 @@ v AS (SELECT b, sum(pos * (bn + neg / 2) / (ap * an)) AS value FROM c GROUP BY 1
 @query("bootstrap_ci", _BOOT + RANKED.split("AS (SELECT * FROM v_scores WHERE y IS NOT NULL),")[1].replace("h AS", "h2 AS").replace("FROM h)", "FROM h2)").replace("c AS (SELECT p, pos", "c2 AS (SELECT p, pos").replace("FROM c)", "FROM c2)") + """
 SELECT 'roc_auc' AS metric, true AS available, round(max(auc), 9) AS point_estimate, round(quantile_cont(value, 25e-3), 9) AS ci_low, round(quantile_cont(value, 975e-3), 9) AS ci_high, 95e-2 AS confidence_level, count(value) AS n_resamples_used FROM v, a""")
 def bootstrap_ci(spark, sf_dir):
-    """Percentile interval of the AUC over 50 Poisson resamples with arithmetic draws."""
-    out = metrics.bootstrap_ci(scored(spark, sf_dir), "id", "roc_auc", n_resamples=50, uniform=_lcg)
+    """Percentile interval of the AUC over 500 Poisson resamples with arithmetic draws."""
+    out = metrics.bootstrap_ci(scored(spark, sf_dir), "id", "roc_auc", n_resamples=500, uniform=_lcg)
     return out.withColumns({c: F.round(c, 9) for c in ("point_estimate", "ci_low", "ci_high")})
 
 
 @query("bootstrap_brier")
 def bootstrap_brier(spark, sf_dir):
     """Resample-mean variant with its refusal rules, hashed draws."""
-    return metrics.bootstrap_ci(scored(spark, sf_dir), "id", "brier", n_resamples=50, variant="resample_mean")
+    return metrics.bootstrap_ci(scored(spark, sf_dir), "id", "brier", n_resamples=500, variant="resample_mean")
 
 
 @query("risk_bands", SCORES.replace(", s AS (SELECT * FROM v_scores WHERE y IS NOT NULL)", "") + """
@@ -322,20 +322,20 @@ def scenario_rows(spark, sf_dir):
 
 @query("scenario_validity", with_views("raw") + """,
 t AS (SELECT *, TRY_CAST(INCIDENT_YEAR AS INT) AS yr FROM v_raw), tv AS (SELECT * FROM t WHERE yr <= 2022), r AS (SELECT * FROM t WHERE yr <= 2019),
-l AS (SELECT min(TRY_CAST(HEIGHT AS DOUBLE)) AS h0, max(TRY_CAST(HEIGHT AS DOUBLE)) AS h1, min(TRY_CAST(SPEED AS DOUBLE)) AS s0, max(TRY_CAST(SPEED AS DOUBLE)) AS s1 FROM r WHERE upper(SKY) = 'OVERCAST'),
+l AS (SELECT min(TRY_CAST(HEIGHT AS DOUBLE)) AS h0, max(TRY_CAST(HEIGHT AS DOUBLE)) AS h1, min(TRY_CAST(SPEED AS DOUBLE)) AS s0, max(TRY_CAST(SPEED AS DOUBLE)) AS s1 FROM r),
 p AS (SELECT INDEX_NR AS id, 'height_agl_ft: missing' AS v FROM v_raw WHERE TRY_CAST(HEIGHT AS DOUBLE) IS NULL
 UNION ALL SELECT INDEX_NR, 'speed_ias_knots: missing' FROM v_raw WHERE TRY_CAST(SPEED AS DOUBLE) IS NULL
 UNION ALL SELECT INDEX_NR, 'engine_count: missing' FROM v_raw WHERE TRY_CAST(NUM_ENGS AS DOUBLE) IS NULL
 UNION ALL SELECT INDEX_NR, 'month: missing' FROM v_raw WHERE INCIDENT_MONTH IS NULL
 UNION ALL SELECT INDEX_NR, 'height_agl_ft: outside training range' FROM v_raw, l WHERE TRY_CAST(HEIGHT AS DOUBLE) < h0 OR TRY_CAST(HEIGHT AS DOUBLE) > h1
 UNION ALL SELECT INDEX_NR, 'speed_ias_knots: outside training range' FROM v_raw, l WHERE TRY_CAST(SPEED AS DOUBLE) < s0 OR TRY_CAST(SPEED AS DOUBLE) > s1
-UNION ALL SELECT INDEX_NR, 'aircraft_type: never seen in training' FROM v_raw WHERE AIRCRAFT NOT IN (SELECT AIRCRAFT FROM r WHERE upper(SKY) = 'OVERCAST')
-UNION ALL SELECT INDEX_NR, 'engine_type: never seen in training' FROM v_raw WHERE TYPE_ENG IS NOT NULL AND TYPE_ENG NOT IN (SELECT TYPE_ENG FROM r WHERE upper(SKY) = 'OVERCAST' AND TYPE_ENG IS NOT NULL)),
+UNION ALL SELECT INDEX_NR, 'aircraft_type: never seen in training' FROM v_raw WHERE AIRCRAFT NOT IN (SELECT AIRCRAFT FROM r)
+UNION ALL SELECT INDEX_NR, 'engine_type: never seen in training' FROM v_raw WHERE TYPE_ENG IS NOT NULL AND TYPE_ENG NOT IN (SELECT TYPE_ENG FROM r WHERE TYPE_ENG IS NOT NULL)),
 g AS (SELECT id, count(*) AS n, string_agg(v, '; ' ORDER BY v) AS vs FROM p GROUP BY 1)
 SELECT INDEX_NR AS scenario_id, n IS NULL AS is_valid, coalesce(n, 0) AS n_violations, coalesce(vs, '') AS violations FROM v_raw LEFT JOIN g ON id = INDEX_NR""")
 def scenario_validity(spark, sf_dir):
-    """Whole scenario table against categories and ranges of a training slice."""
-    rows = splits.year_split(labelled_raw(spark, sf_dir), "INCIDENT_YEAR").where("split = 'train' AND SKY = 'OVERCAST'")
+    """Whole scenario table against categories and ranges of the training rows."""
+    rows = splits.year_split(labelled_raw(spark, sf_dir), "INCIDENT_YEAR").where("split = 'train'")
     train = features.operational_core(rows).frame
     seen = splits.seen_categories(train, ["aircraft_type", "engine_type"])
     ranges = splits.numeric_ranges(train, ["height_agl_ft", "speed_ias_knots"])

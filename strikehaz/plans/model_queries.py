@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strikehaz.operators import features, metrics, models, scoring, splits
+from strikehaz.operators import features, metrics, models, scoring, splits, targets
 from strikehaz.operators.species import species_risk
 from strikehaz.plans.registry import query
 from strikehaz.plans.strike_queries import labelled_raw
@@ -17,8 +17,8 @@ TREES = 5
 
 
 def framed(spark, sf_dir, builder=features.operational_core, target="damage_binary"):
-    """(feature set, train, validation, test) of the labelled strikes with `y`, `id` and `region`."""
-    rows = splits.year_split(labelled_raw(spark, sf_dir).where(F.col(target).isNotNull()), "INCIDENT_YEAR")
+    """(feature set, train, validation, test) of the principal population's labelled strikes with `y`, `id` and `region`."""
+    rows = splits.year_split(targets.principal_population(labelled_raw(spark, sf_dir)).where(F.col(target).isNotNull()), "INCIDENT_YEAR")
     keyed = rows.withColumns({"y": F.col(target).cast("double"), "id": F.col("INDEX_NR").cast("bigint"), "region": F.col("FAAREGION")})
     built = builder(keyed, ["id", "y", "region", "split"])
     parts = [built.frame.where(F.col("split") == s) for s in ("train", "validation", "test")]
@@ -34,7 +34,7 @@ def _gbt(spark, sf_dir):
 def _logistic(spark, sf_dir, builder=features.operational_core):
     built, train, validation, test = framed(spark, sf_dir, builder)
     encoder = models.fit_dense(train, built.numeric, built.categorical)
-    return models.fit_logistic(encoder.transform(train), max_iter=20), encoder, train, validation, test
+    return models.fit_logistic(encoder.transform(train)), encoder, train, validation, test
 
 
 @query("logistic_scores")
@@ -67,10 +67,10 @@ def gbt_scores(spark, sf_dir):
 
 @query("gbt_search")
 def gbt_search(spark, sf_dir):
-    """Validation log loss of a small grid (M8)."""
+    """Validation log loss and ROC-AUC of the grid's shallowest and deepest trees (M8)."""
     built, train, validation, _ = framed(spark, sf_dir)
     encoder = models.fit_tree(train, built.numeric, built.categorical)
-    _, rows = models.search_gbt(train, validation, encoder, {"depth": [2, 4], "learning_rate": [0.1], "l2": [3]}, iterations=3)
+    _, rows = models.search_gbt(train, validation, encoder, {"depth": [4, 8], "learning_rate": [0.1], "l2": [3, 6]}, iterations=TREES)
     return spark.createDataFrame(rows)
 
 
@@ -79,7 +79,7 @@ def calibrated_scores(spark, sf_dir):
     """Batch scoring: calibrated on validation, class, band and note per test row."""
     model, encoder, _, validation, test = _logistic(spark, sf_dir)
     scored = model.transform(encoder.transform(validation)).select("y", models.probability().alias("p"))
-    calibration = models.select_calibration(scored, min_isotonic=500)
+    calibration = models.select_calibration(scored)
     return models.score_batch(model, encoder, test, calibration, 0.5, ["id", "y"])
 
 
@@ -88,7 +88,7 @@ def calibration_choice(spark, sf_dir):
     """Validation Brier score of each calibration method."""
     model, encoder, _, validation, _ = _logistic(spark, sf_dir)
     scored = model.transform(encoder.transform(validation)).select("y", models.probability().alias("p"))
-    chosen = models.select_calibration(scored, min_isotonic=500)
+    chosen = models.select_calibration(scored)
     return spark.createDataFrame([(m, b, m == chosen.method) for m, b in chosen.brier.items()], "method string, brier double, selected boolean")
 
 
@@ -160,7 +160,7 @@ def strike_scenario_scores(spark, sf_dir):
     """Every strike of the test years scored next to the six named scenarios."""
     model, encoder, _, validation, test = _logistic(spark, sf_dir)
     scored = model.transform(encoder.transform(validation)).select("y", models.probability().alias("p"))
-    calibration = models.select_calibration(scored, min_isotonic=500)
+    calibration = models.select_calibration(scored)
     presets = features.operational_core(scoring.scenario_to_raw(scoring.preset_scenarios(spark)), ["scenario_id"]).frame
     rows = test.select(F.col("id").cast("string").alias("scenario_id"), *encoder.numeric, *encoder.categorical).unionByName(
         presets.select("scenario_id", *encoder.numeric, *encoder.categorical)

@@ -9,7 +9,7 @@ from strikehaz.functions import coerce
 from strikehaz.functions.names import is_large_bird, species_common_name, species_group
 from strikehaz.operators import eda, quality, species, targets
 from strikehaz.plans.registry import query
-from strikehaz.plans.views import SCIENTIFIC, sql, table, view, with_views
+from strikehaz.plans.views import SCIENTIFIC, column_names, sql, table, view, with_views
 from strikehaz.schemas import AIRPORT_DAY
 from strikehaz.sources.strikes import canonical_strikes
 
@@ -236,14 +236,10 @@ def duplicate_keys(spark, sf_dir):
 
 
 @query("missingness", with_views("raw") + "SELECT c AS \"column\", n AS n_missing, round(n * 100e0 / t, 2) AS pct_missing FROM ("
-       + " UNION ALL ".join(
-           f"SELECT '{c}' AS c, count(*) FILTER (WHERE {c} IS NULL) AS n, count(*) AS t FROM v_raw"
-           for c in ["INDEX_NR", "INCIDENT_YEAR", "OPERATOR", "TYPE_ENG", "ENG_2_POS", "PRECIPITATION", "SPEED", "INDICATED_DAMAGE", "DAMAGE_LEVEL", "LATITUDE"]
-       ) + ")")
+       + " UNION ALL ".join(f"SELECT '{c}' AS c, count(*) FILTER (WHERE {c} IS NULL) AS n, count(*) AS t FROM v_raw" for c in column_names("raw")) + ")")
 def missingness(spark, sf_dir):
-    """Null counts and shares per column in one pass."""
-    kept = ["INDEX_NR", "INCIDENT_YEAR", "OPERATOR", "TYPE_ENG", "ENG_2_POS", "PRECIPITATION", "SPEED", "INDICATED_DAMAGE", "DAMAGE_LEVEL", "LATITUDE"]
-    return quality.missingness(view(spark, sf_dir, "raw").select(*kept))
+    """Null counts and shares of every column in one pass."""
+    return quality.missingness(view(spark, sf_dir, "raw"))
 
 
 @query("value_counts", with_views("raw") + """

@@ -170,6 +170,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, source).selectExpr(*[f"{e} AS `{c}`" for c, e in columns.items()])
 
 
+def column_names(name: str) -> list[str]:
+    """Columns of a view in order."""
+    return list(_SPARK_VIEWS[name][1])
+
+
 def sql(name: str) -> str:
     """The same view as a parenthesised SQL sub-select."""
     source, columns = _DUCK_VIEWS[name]
