@@ -61,7 +61,8 @@ def session_measures(counts: DataFrame, tie_break: str = "count_id") -> DataFram
         F.sum(F.when(facing, weight)).alias("heading_weight"),
         *[signed(a, b).alias(f"axis_{i}") for i, (a, b) in enumerate(axes)],
         F.count_if(F.coalesce(F.col("observer_effort_available"), F.lit(False))).alias("effort_rows"),
-        F.min_by(number(F.col("observation_hours")), F.col(tie_break)).alias("hours"),
+        # whole millionths of an hour: sums and differences of them are exact
+        F.round(F.min_by(number(F.col("observation_hours")), F.col(tie_break)) * 1e6).alias("hours"),
     )
     sums = [n for n in per_session.columns if n not in ("site_id", "ts", "count_date", "start_time_local")]
     return per_session.groupBy("site_id", "ts").agg(*[F.sum(n).alias(n) for n in sums])
@@ -83,7 +84,7 @@ def lookback_totals(
     asked = _query_frame(queries, id_col, at_col)
     instants = asked.select("lon", "lat", "at").distinct()
     pairs = within_radius(instants.select("lon", "lat").distinct(), sites.select("site_id", "longitude", "latitude"), radius_km)
-    reach = instants.join(pairs.select("lon", "lat", "site_id"), ["lon", "lat"])
+    reach = durable(instants.join(pairs.select("lon", "lat", "site_id"), ["lon", "lat"]))
     labels = list(windows_hours)
     sums = lookback_sums(
         reach, session_measures(counts), key="site_id", at="at", ts="ts", group_by=["lon", "lat", "at"],
@@ -98,9 +99,8 @@ def lookback_totals(
 def species_richness(reach: DataFrame, counts: DataFrame, hours: int = 168) -> DataFrame:
     """Distinct species over the look-back window per (lon, lat, at).
 
-    Counts are first reduced to (site, species, day) with their first and last
-    instant; only the two edge days of a window need those, the days between
-    count whole.
+    Days that lie wholly inside the window give one row with their set of species; only
+    the two edge days are met species by species, by their first and last instant.
     """
     span = hours * HOUR
     key = F.coalesce("species_scientific_name", "species_common_name")
@@ -108,13 +108,15 @@ def species_richness(reach: DataFrame, counts: DataFrame, hours: int = 168) -> D
     daily = counts.where(F.col("count_timestamp_utc").isNotNull() & key.isNotNull()).groupBy(
         "site_id", F.floor(ts / F.lit(DAY)).alias("_day"), key.alias("_species")
     ).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
-    days = F.sequence(F.floor((F.col("at") - span) / F.lit(DAY)), F.floor(F.col("at") / F.lit(DAY)))
-    hit = (F.col("_first") < F.col("at")) & (F.col("_last") >= F.col("at") - span)
-    return (
-        reach.select("lon", "lat", "at", "site_id", F.explode(days).alias("_day"))
-        .join(daily, ["site_id", "_day"]).where(hit)
-        .groupBy("lon", "lat", "at").agg(F.count_distinct("_species").alias("richness"))
-    )
+    sets = daily.groupBy("site_id", "_day").agg(
+        F.collect_list("_species").alias("_all"), F.collect_list(F.struct("_species", "_first", "_last")).alias("_each"))
+    first, last = F.floor((F.col("at") - span) / F.lit(DAY)), F.floor(F.col("at") / F.lit(DAY))
+    days = reach.select("lon", "lat", "at", "site_id", F.explode(F.sequence(first, last)).alias("_day"))
+    edge = (F.col("_day") == first) | (F.col("_day") == last)
+    inside = F.filter("_each", lambda e: (e["_first"] < F.col("at")) & (e["_last"] >= F.col("at") - span))
+    met = F.when(edge, F.transform(inside, lambda e: e["_species"])).otherwise(F.col("_all"))
+    found = days.join(sets, ["site_id", "_day"]).select("lon", "lat", "at", met.alias("_met")).where(F.size("_met") > 0)
+    return found.groupBy("lon", "lat", "at").agg(F.size(F.array_distinct(F.flatten(F.collect_list("_met")))).cast("bigint").alias("richness"))
 
 
 def activity_features(
@@ -141,7 +143,7 @@ def activity_features(
     )
     closest = durable(nearest(places, stations)).withColumnRenamed("distance_km", "distance_to_nearest_site_km")
 
-    reach = instants.join(pairs.where(covered).select("lon", "lat", "site_id"), ["lon", "lat"])
+    reach = durable(instants.join(pairs.where(covered).select("lon", "lat", "site_id"), ["lon", "lat"]))
     measures = durable(session_measures(counts))
     week = ["effort_rows", "hours", "heading_weight", *[f"axis_{i}" for i in range(4)], *[f"birds_{g}" for g in GROUPS]]
     values = {"rows": list(fv.WINDOWS_HOURS), "birds": list(fv.WINDOWS_HOURS)}
@@ -196,7 +198,7 @@ def _feature_columns(radii, coverage_radius_km, half_life_km, low_coverage_sites
         *[F.when(available, F.coalesce(n, F.lit(0))).alias(n) for n in counted],
         age,
         *[F.when(had[k], F.col(f"birds_{k}")).alias(f"total_birds_previous_{k}") for k in fv.WINDOWS_HOURS],
-        F.when(week & (F.col("hours_7d") > 1e-9), F.col("birds_7d") / F.col("hours_7d"))
+        F.when(week & (F.col("hours_7d") > 0), F.col("birds_7d") / (F.col("hours_7d") / 1e6))
         .alias("birds_per_observation_hour_previous_7d"),
         F.when(week, F.coalesce("richness", F.lit(0))).alias("species_richness_previous_7d"),
         *[F.when(week, F.col(f"birds_{g}_7d")).alias(f"{g}_count_previous_7d") for g in GROUPS],
