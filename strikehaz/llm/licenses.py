@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikehaz.llm.common import LOWER, UPPER, whole_text
+from strikehaz.llm.common import LOWER, UPPER, stored, whole_text
 
 #: Lines and files without such a word are no license statements and are not compared.
 KEYWORDS = "(?i)licen[cs]e|copyright|spdx|released under|all rights reserved"
@@ -32,7 +32,7 @@ def _terms(text: Column) -> Column:
 
 
 def cosines(units: DataFrame, templates: DataFrame) -> DataFrame:
-    """(unit, license, score): best template of each distinct text in `unit` that shares a term with any.
+    """(unit_key, license, score): best template of each distinct text (unit_key, unit) that shares a term with any.
 
     Weights are counts times idf = ln((1 + T) / (1 + df)) + 1 over the T templates; terms of no
     template have df 0 and only lengthen a unit's vector.  Of equal scores the smallest name counts.
@@ -43,13 +43,14 @@ def cosines(units: DataFrame, templates: DataFrame) -> DataFrame:
     weighted = kinds.join(idf, "term").withColumn("weight", F.col("n") * F.col("idf"))
     norms = weighted.groupBy("license").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     sides = weighted.join(norms, "license").select("license", "term", (F.col("weight") / F.col("norm")).alias("share"))
-    found = units.select("unit").distinct().select("unit", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("n"))
-    own = found.join(idf, "term", "left").withColumn("weight", F.col("n") * F.coalesce("idf", F.log(size + 1) + 1))
-    length = own.groupBy("unit").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
-    dots = own.join(sides, "term").groupBy("unit", "license").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
-    scored = dots.join(length, "unit").select("unit", "license", F.round(F.col("dot") / F.col("length"), 6).alias("score"))
-    best = scored.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
-    return best.select("unit", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
+    texts = units.select("unit_key", "unit").dropDuplicates(["unit_key"])
+    found = texts.select("unit_key", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("unit_key", "term").agg(F.count("*").alias("n"))
+    own = stored(found.join(idf, "term", "left").withColumn("weight", F.col("n") * F.coalesce("idf", F.log(size + 1) + 1)))
+    length = own.groupBy("unit_key").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
+    dots = own.join(sides, "term").groupBy("unit_key", "license").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
+    scored = dots.join(length, "unit_key").select("unit_key", "license", F.round(F.col("dot") / F.col("length"), 6).alias("score"))
+    best = scored.groupBy("unit_key").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
+    return best.select("unit_key", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
 
 def licenses(files: DataFrame, templates: DataFrame, least: float = 0.6, id_col: str = "doc_id") -> DataFrame:
@@ -71,14 +72,15 @@ def licenses(files: DataFrame, templates: DataFrame, least: float = 0.6, id_col:
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(KEYWORDS))
     whole = F.when(F.col("path").rlike(LICENSE_FILE), F.array("text")).otherwise(F.array().cast("array<string>"))
     units = read.where(F.col("text").rlike(KEYWORDS)).select(*key, F.explode(F.array_union(lines, whole)).alias("unit"))
+    units = stored(units.withColumn("unit_key", F.unhex(F.md5(F.col("unit").cast("binary")))))
     matched = cosines(units, templates).where(F.col("score") >= least)
     own = (
-        units.join(matched, "unit").groupBy(*key).agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("own"))
+        units.drop("unit").join(matched, "unit_key").groupBy(*key).agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("own"))
         .select(F.col("doc_id").alias("id"), F.col("path").alias("at"), F.col("version").alias("of"), F.col("own.license").alias("own_license"), (-F.col("own.s")).alias("own_score"))
     )
     directory = F.regexp_replace("path", "/?[^/]*$", "")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("path") == F.col("at")) & (F.col("version") == F.col("of"))
-    marked = read.select(*key, directory.alias("directory")).distinct().join(own, same, "left").drop("id", "at", "of")
+    marked = stored(read.select(*key, directory.alias("directory")).distinct().join(own, same, "left").drop("id", "at", "of"))
     declared = (
         marked.where(F.col("path").rlike(LICENSE_FILE) & F.col("own_license").isNotNull())
         .groupBy("directory").agg(F.min(F.struct((-F.col("own_score")).alias("s"), "own_license", "path")).alias("d"))
