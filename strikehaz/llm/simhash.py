@@ -19,11 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strikehaz.llm.common import for_python, mixed, rows_of, stored, whole_text
+from strikehaz.llm.common import for_python, mixed, released, rows_of, stored, whole_text
 from strikehaz.llm.components import components
 
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, fixed value of the binary Golay code
 WIDTHS = (22, 21, 21)
+PAIRS = 3  # of segments
 RADIUS = 3
 BUCKET = 20_000  # fingerprints compared at once; fuller keys are dealt out in blocks
 SMALL = 24
@@ -119,8 +120,13 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return for_python(read).mapInArrow(run, "doc_id bigint, print bigint, other bigint")
 
 
+def distance(some: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Differing bits of each row of fingerprints."""
+    return np.bitwise_count(some ^ one).sum(axis=1, dtype=np.int64)
+
+
 def near(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join all fingerprints of a bucket within the radius, directly or in a chain.
+    """Links that join all rows of fingerprints of a bucket within the radius, directly or in a chain.
 
     Breadth-first: each reached one is compared with those not reached yet, so a bucket of
     close copies gives as many links as it has members, not all pairs.
@@ -131,7 +137,7 @@ def near(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            close = np.bitwise_count(prints[left] ^ prints[x]) <= radius
+            close = distance(prints[left], prints[x]) <= radius
             if close.any():
                 met = left[close]
                 left = left[~close]
@@ -143,7 +149,7 @@ def near(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links_in_buckets(marks: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside each run of equal marks."""
+    """Links (row numbers) inside each run of equal marks."""
     edges = np.flatnonzero(np.concatenate([[True], marks[1:] != marks[:-1], [True]]))
     sizes = np.diff(edges)
     end = np.repeat(edges[1:], sizes)
@@ -154,57 +160,63 @@ def links_in_buckets(marks: np.ndarray, prints: np.ndarray, radius: int) -> tupl
         at = at[at + step < end[at]]
         if not len(at):
             break
-        hit = at[np.bitwise_count(prints[at] ^ prints[at + step]) <= radius]
-        us.append(prints[hit])
-        vs.append(prints[hit + step])
+        hit = at[distance(prints[at], prints[at + step]) <= radius]
+        us.append(hit)
+        vs.append(hit + step)
     for k in np.flatnonzero(sizes > SMALL):
-        members = prints[edges[k] : edges[k + 1]]
-        a, b = near(members, radius)
-        us.append(members[a])
-        vs.append(members[b])
-    none = [np.empty(0, np.uint64)]
+        a, b = near(prints[edges[k] : edges[k + 1]], radius)
+        us.append(a + edges[k])
+        vs.append(b + edges[k])
+    none = [np.empty(0, np.int64)]
     return np.concatenate(us or none), np.concatenate(vs or none)
 
 
-def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """(u, v): links whose components are those of all distinct fingerprints within the radius.
+def links(nodes: DataFrame, columns: tuple[str, ...] = ("print",), radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """(u, v): links of nodes whose fingerprints differ in at most `radius` bits, all `columns` together.
+
+    Their components are those of all nodes that share a key of any of the columns and lie within the
+    radius.  With one column that is every pair up to CERTAIN bits; of those farther apart,
+    only the ones that do share a key are linked.
 
     Rows are dealt out by key and sorted, so a task holds one bucket at a time.  A key with more than
-    `bucket` fingerprints is dealt out as pairs of blocks: every two of its fingerprints still
-    meet, in tasks of at most two blocks.  All pairs within CERTAIN bits share a key; of those
-    farther apart, up to `radius`, only the ones that do are linked.
+    `bucket` nodes is dealt out as pairs of blocks: every two of its nodes still
+    meet, in tasks of at most two blocks.
     """
+    schema = "node bigint, " + ", ".join(f"{c} bigint" for c in columns)
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column("print").to_numpy()
-            for start in range(0, len(own), 4096):
-                part = own[start : start + 4096]
-                row, key = fuzzy_keys(part.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(part[row])], ["key", "print"])
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                for number, name in enumerate(columns):
+                    row, key = fuzzy_keys(part.column(name).to_numpy().view(np.uint64))
+                    given = part.take(pa.array(row))
+                    keys = pa.array((key + number * PAIRS * (1 << 24)).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([keys, *(given.column(c) for c in ("node", *columns))], ["key", "node", *columns])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_marks, held_prints = np.empty(0, np.int64), np.empty(0, np.uint64)
+        marks, rows = np.empty(0, np.int64), np.empty((0, 1 + len(columns)), np.int64)
 
-        def found(marks: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-            u, v = links_in_buckets(marks, own, radius)
-            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0).view(np.int64)
+        def found(marks: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+            u, v = links_in_buckets(marks, rows[:, 1:].view(np.uint64), radius)
+            u, v = rows[u, 0], rows[v, 0]
+            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held_marks = np.concatenate([held_marks, batch.column("mark").to_numpy()])
-            held_prints = np.concatenate([held_prints, batch.column("print").to_numpy().view(np.uint64)])
-            cut = int(np.searchsorted(held_marks, held_marks[-1]))  # the last bucket may go on in the next batch
+            marks = np.concatenate([marks, batch.column("mark").to_numpy()])
+            rows = np.concatenate([rows, np.stack([batch.column(c).to_numpy() for c in ("node", *columns)], 1)])
+            cut = int(np.searchsorted(marks, marks[-1]))  # the last bucket may go on in the next batch
             if cut:
-                yield found(held_marks[:cut], held_prints[:cut])
-                held_marks, held_prints = held_marks[cut:], held_prints[cut:]
-        if len(held_marks):
-            yield found(held_marks, held_prints)
-
-    distinct = prints.select("print").distinct()
-    keyed = distinct.mapInArrow(spread, "key int, print bigint")
-    marked = in_blocks(keyed, "key", "print", bucket).select("mark", "print")
+                yield found(marks[:cut], np.ascontiguousarray(rows[:cut]))
+                marks, rows = marks[cut:], rows[cut:]
+        if len(marks):
+            yield found(marks, np.ascontiguousarray(rows))
+
+    keyed = nodes.select("node", *columns).mapInArrow(spread, f"key int, {schema}")
+    marked = in_blocks(keyed, "key", "node", bucket).select("mark", "node", *columns)
     return marked.repartition("mark").sortWithinPartitions("mark").mapInArrow(compare, "u bigint, v bigint")
 
 
@@ -239,7 +251,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = RADIUS, bucket
     prints = stored(fingerprints(docs, size).drop("other"))
     firsts = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
     for_python(docs, 100_000)
-    found = components(stored(links(prints, radius, bucket)))
+    nodes = prints.select(F.col("print").alias("node"), "print").distinct()
+    found = components(stored(links(nodes, ("print",), radius, bucket)))
     labelled = firsts.join(found, firsts["print"] == found["node"], "left").select("print", "first", F.coalesce("label", "print").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     classes = labelled.join(smallest, "label").select("print", "component_id")
@@ -260,7 +273,7 @@ def verified_links(ids: list[int], prints: np.ndarray, texts: list[bytes], radiu
         queue, left = [left[0]], left[1:]
         while queue and left:
             x = queue.pop()
-            close = (np.bitwise_count(prints[left] ^ prints[x]) <= radius).any(axis=1)
+            close = distance(prints[left], prints[x]) <= radius
             met = {y for y, c in zip(left, close.tolist()) if c and similarity(sets[x], sets[y]) >= least}
             if met:
                 found += [(ids[x], ids[y]) for y in met]
@@ -269,28 +282,27 @@ def verified_links(ids: list[int], prints: np.ndarray, texts: list[bytes], radiu
     return found
 
 
-def near_kept(docs: DataFrame, least: float = 0.8, radius: int = 14, block: int = 2000) -> DataFrame:
+def near_kept(docs: DataFrame, least: float = 0.8, radius: int = 26, block: int = 2000) -> DataFrame:
     """The rows of `docs`, all columns, but those similar to one with a smaller id.
 
     Two documents are linked if their distinct five-word shingles (A-Z lower-cased) have a
     Jaccard similarity of `least` or more; of each component the smallest id stays.
-    Candidates are the documents whose fingerprints over word pairs, or a second set of them, share a Golay key and
-    differ in at most `radius` bits, in a chain; the similarity of candidates is computed exactly.
+    Candidates are the documents that share a Golay key of either of two 64-bit fingerprints over word
+    pairs and differ in at most `radius` of their 128 bits, in a chain; the similarity of candidates is computed
+    exactly.  Unrelated texts differ in about 64 bits, so chains stay within families of copies.
     Texts without words are equal to each other.  Rows with a null id are never dropped; rows
     that share an id stay or go together.  Fingerprints miss some similar pairs; tests state how many.
     """
+    spark = docs.sparkSession
     prints = stored(fingerprints(docs.where("doc_id IS NOT NULL"), 2))
     for_python(docs, 100_000)
-    chains = None
-    for own in ("print", "other"):
-        firsts = stored(prints.groupBy(own).agg(F.min("doc_id").alias("first")))
-        same = prints.join(firsts, own).select("doc_id", "first")
-        found = stored(links(prints.select(F.col(own).alias("print")), radius))
-        u, v = (firsts.select(F.col(own).alias(x), F.col("first").alias(f"{x}_first")) for x in "uv")
-        chained = same.union(found.join(u, "u").join(v, "v").select("u_first", "v_first"))
-        chains = chained if chains is None else chains.union(chained)
-    clusters = components(chains).toDF("doc_id", "label")
+    nodes = stored(prints.groupBy("print", "other").agg(F.min("doc_id").alias("node")))
+    found = stored(links(nodes, ("print", "other"), radius))
+    released(spark)
+    same = prints.join(nodes, ["print", "other"]).select("doc_id", "node")
+    clusters = components(same.union(found)).toDF("doc_id", "label")
     members = stored(prints.join(clusters, "doc_id"))
+    released(spark)
     for_python(docs, 500)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,4 +328,5 @@ def near_kept(docs: DataFrame, least: float = 0.8, radius: int = 14, block: int
     rows = dealt.join(texts, "doc_id").repartition("mark").sortWithinPartitions("mark", "doc_id")
     classes = components(rows.mapInArrow(verify, "u bigint, v bigint"))
     gone = classes.where("node <> label").select(F.col("node").alias("__gone"))
+    released(spark)
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
