@@ -3,7 +3,8 @@
 Words are known by 64-bit hashes.  A first pass counts words.  A second deals out all pairs of
 successive words by the first one; each shard gets the counts of the words it needs, builds
 the trie of its training pairs and scores all its pairs, training and held out, against it.
-Scores of a text are the sums over shards.
+What a shard has found for the texts of one batch goes back as one row, and the rows of a batch are
+added up together.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from strikehaz.llm.ngram_trie import BigramTrie
 
 BEGIN = xxhash.xxh64_intdigest(b" begin")  # a blank keeps both apart from words
 END = xxhash.xxh64_intdigest(b" end")
-HELD = 1 << 21  # tokens a task gathers before it sends them
-SHARD = 3_000_000  # tokens of a shard
+HELD = 3_000_000  # tokens a task gathers before it sends them
+SHARD = 8_000_000  # tokens of a shard
+PART = 700_000  # tokens of a shard that are scored at once
+OFTEN = 200  # a context with more than this fraction of all training tokens is frequent at any size
 ADDED = 0.1
 
 
@@ -42,8 +45,8 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, .
             held.append((row, doc_id, out, np.append(word_hashes(words), np.uint64(END))))
             size += len(words) + 1
             if size >= HELD:
-                yield _joined(held)
-                held, size = [], 0
+                joined, held, size = _joined(held), [], 0
+                yield joined
     if held:
         yield _joined(held)
 
@@ -52,7 +55,7 @@ def _joined(held: list[tuple]) -> tuple[np.ndarray, ...]:
     rows, ids, out, words = zip(*held)
     return (
         np.array(rows, np.int64), np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids]), np.array(out),
-        np.concatenate(words), np.repeat(np.arange(len(held)), [len(w) for w in words]))
+        np.concatenate(words), np.repeat(np.arange(len(held), dtype=np.int32), [len(w) for w in words]))
 
 
 def _pairs(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -88,8 +91,11 @@ def _frequent(docs: DataFrame, counts: DataFrame, least: int, texts: int) -> dic
         for *_, words, doc in _gathered(batches):
             before = _pairs(words, doc)
             mine = np.isin(before, codes)
-            pairs, n = np.unique(np.stack([before[mine], words[mine]], 1), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([_signed(pairs[:, 0].copy()), _signed(pairs[:, 1].copy()), pa.array(n)], ["before", "word", "n"])
+            before, words = before[mine], words[mine]
+            order = np.lexsort((words, before))
+            before, words = before[order], words[order]
+            edges = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (words[1:] != words[:-1]), [True]])) if len(words) else np.zeros(1, np.int64)
+            yield pa.RecordBatch.from_arrays([_signed(before[edges[:-1]]), _signed(words[edges[:-1]]), pa.array(np.diff(edges))], ["before", "word", "n"])
 
     pairs = docs.where("NOT held_out").mapInArrow(run, "before bigint, word bigint, n bigint").groupBy("before", "word").agg(F.sum("n").alias("n"))
     kinds = pairs.groupBy("before").agg(F.count("*").alias("t"), F.count(F.when(F.col("n") == 1, 1)).alias("n1"), F.count(F.when(F.col("n") == 2, 1)).alias("n2"))
@@ -100,32 +106,46 @@ def _discount(n1: int, n2: int) -> float:
     return max(0.1, n1 / (n1 + 2 * n2)) if n1 else 0.5
 
 
+def _place(before: np.ndarray, words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Where a pair belongs: by its first word, for frequent first words by both."""
+    place = mixed(before)
+    often = np.isin(before, frequent)
+    place[often] = mixed(place[often] ^ mixed(words[often]))
+    return place
+
+
 def _dealt(docs: DataFrame, shards: int, frequent: np.ndarray) -> DataFrame:
-    """(shard, pairs): pairs of words by the shard of the first; those of frequent ones by both words."""
+    """(shard, source, content): pairs of words by shard; `source` is the batch of texts they come from.
+
+    Ids and held-out marks of a batch's texts come as a row of their own with a negative shard.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         for rows, ids, nulls, out, words, doc in _gathered(batches):
+            source = int(rows[0])
             before = _pairs(words, doc)
-            place = mixed(before)
-            often = np.isin(before, frequent)
-            place[often] = mixed(place[often] ^ mixed(words[often]))
-            shard = ((place >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+            shard = ((_place(before, words, frequent) >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
             edges = np.searchsorted(shard[order], np.arange(shards + 1))
-            names, packed = [], []
+            names, packed = [-1 - (source >> 8) % shards], [packer.compress(pickle.dumps((ids, nulls, out), protocol=5))]
             for k in np.flatnonzero(np.diff(edges)):
                 part = order[edges[k] : edges[k + 1]]
                 part = part[np.argsort(before[part], kind="stable")]
                 context, n = np.unique(before[part], return_counts=True)
                 word, number = np.unique(words[part], return_inverse=True)
-                own, place_ = np.unique(doc[part], return_inverse=True)
-                content = (context, _narrow(n), word, _narrow(number), rows[own], ids[own], nulls[own], out[own], _narrow(place_))
+                own, place = np.unique(doc[part], return_inverse=True)
+                content = (_steps(context), _narrow(n), _steps(word), _narrow(number), own, out[own], _narrow(place))
                 names.append(int(k))
                 packed.append(packer.compress(pickle.dumps(content, protocol=5)))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(packed, pa.binary())], ["shard", "pairs"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.int32()), pa.array([source] * len(names), pa.int64()), pa.array(packed, pa.binary())], ["shard", "source", "content"])
+
+    return docs.mapInArrow(run, "shard int, source bigint, content binary")
 
-    return docs.mapInArrow(run, "shard int, pairs binary")
+
+def _content(packed: bytes) -> tuple:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(packed))
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
@@ -138,50 +158,88 @@ def _wide(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x.T).view({2: np.uint16, 4: np.uint32}[x.shape[0]]).ravel().astype(np.int64)
 
 
-def _unpacked(packed: list[bytes]) -> Iterator[tuple]:
-    unpacker = zstandard.ZstdDecompressor()
-    for p in packed:
-        context, n, word, number, rows, ids, nulls, out, place = pickle.loads(unpacker.decompress(p))
-        yield np.repeat(context, _wide(n)), word[_wide(number)], rows, ids, nulls, out, _wide(place)
-
-
-SCORED = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-
-
-def score_shard(packed: list[bytes], known: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, frequent: dict) -> pa.Table:
-    """Shares of the scores of all texts with pairs in the shard; `known` and `counts` are its training words, sorted."""
-    parts = list(_unpacked(packed))
-    sizes = [len(p[2]) for p in parts]
-    shift = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    before, words = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    rows, ids, nulls, out = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4, 5))
-    doc = np.concatenate([p[6] + s for p, s in zip(parts, shift)])
-    contexts, context = np.unique(before, return_inverse=True)
-    vocabulary, word = np.unique(words, return_inverse=True)
-    at = np.minimum(np.searchsorted(known, vocabulary), max(len(known) - 1, 0))
-    found = known[at] == vocabulary if len(known) else np.zeros(len(vocabulary), bool)
-    count = np.where(found, counts[at], 0) if len(known) else np.zeros(len(vocabulary), np.int64)
-    lower = (count + ADDED) / (tokens + ADDED * (distinct + 1))
-    both, which, times = np.unique(context * len(vocabulary) + word, return_inverse=True, return_counts=True)
-    trained = np.bincount(which, weights=~out[doc], minlength=len(both)).astype(np.int64)
-    kept = trained > 0
-    c, w = both // len(vocabulary), both % len(vocabulary)
-    discount = _discount(int((trained == 1).sum()), int((trained == 2).sum()))
-    trie = BigramTrie(contexts[c[kept]], vocabulary[w[kept]], trained[kept], lower[w[kept]], discount, frequent)
-    logs = trie.logs(contexts, c, vocabulary, w, np.log10(lower)[w])
-    texts, text = np.unique(rows, return_inverse=True)
-    first = np.empty(len(texts), np.int64)
-    first[text] = np.arange(len(rows))
-    text = text[doc]
-
-    def summed(values: np.ndarray) -> np.ndarray:
-        return np.bincount(text, weights=values, minlength=len(texts))
-
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of sorted codes byte by byte."""
+    return np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(len(x), 8).T)
+
+
+def _codes(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(x.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+class Shard:
+    """The pairs of a shard, scored part by part so that only one part is unpacked at a time."""
+
+    def __init__(self, packed: list[bytes], frequent: dict[int, tuple[int, int, float]]):
+        self.packed = packed
+        self.frequent = frequent
+        self.often = np.array(sorted(frequent), np.uint64)
+        heads = [_content(p) for p in packed]
+        self.own = [h[4] for h in heads]
+        self.held_out = np.concatenate([h[5] for h in heads])
+        self.size = sum(h[6].shape[1] for h in heads)
+        self.shift = np.concatenate([[0], np.cumsum([len(o) for o in self.own])])
+
+    def part(self, number: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, second word, text) of the pairs of one part."""
+        found = []
+        for packed, shift in zip(self.packed, self.shift):
+            context, n, word, index, _, _, place = _content(packed)
+            before, words = np.repeat(_codes(context), _wide(n)), _codes(word)[_wide(index)]
+            mine = (_place(before, words, self.often) >> np.uint64(44)) % np.uint64(parts) == number
+            found.append((before[mine], words[mine], shift + _wide(place)[mine]))
+        return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+
+    def scores(self, known: np.ndarray, counts: np.ndarray, tokens: int, distinct: int) -> list[bytes]:
+        """For each batch the shares of its texts: (texts, tokens, known tokens, base, score); `known` are the training words, sorted."""
+        size = len(self.held_out)
+        sums = [np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)]
+        parts = max(1, -(-self.size // PART))
+        for number in range(parts):
+            before, words, text = self.part(number, parts)
+            if not len(text):
+                continue
+            contexts, context = np.unique(before, return_inverse=True)
+            vocabulary, word = np.unique(words, return_inverse=True)
+            count = _looked_up(vocabulary, known, counts)
+            lower = (count + ADDED) / (tokens + ADDED * (distinct + 1))
+            both, which = np.unique(context * len(vocabulary) + word, return_inverse=True)
+            trained = np.bincount(which[~self.held_out[text]], minlength=len(both))
+            kept = trained > 0
+            c, w = both // len(vocabulary), both % len(vocabulary)
+            discount = _discount(int((trained == 1).sum()), int((trained == 2).sum()))
+            trie = BigramTrie(contexts[c[kept]], vocabulary[w[kept]], trained[kept], lower[w[kept]], discount, self.frequent)
+            logs = trie.logs(contexts, c, vocabulary, w, np.log10(lower)[w])
+            sums[0] += np.bincount(text, minlength=size)
+            sums[1] += np.bincount(text[(count > 0)[word]], minlength=size)
+            sums[2] += np.bincount(text, weights=np.log10(lower)[word], minlength=size)
+            sums[3] += np.bincount(text, weights=logs[which], minlength=size)
+        packer = zstandard.ZstdCompressor(level=1)
+        return [
+            packer.compress(pickle.dumps((own, *(x[a:b] for x in sums)), protocol=5))
+            for own, a, b in zip(self.own, self.shift[:-1], self.shift[1:])]
+
+
+def _added_up(part: pa.Table) -> pa.Table:
+    """One row for each text of a batch: ids and marks from the row about it, the sums of all others."""
+    rows = list(zip(part.column("about").to_pylist(), part.column("content").to_pylist()))
+    ids, nulls, out = next(_content(c) for about, c in rows if about)
+    sums = [np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))]
+    for about, content in rows:
+        if not about:
+            own, *shares = _content(content)
+            for total, share in zip(sums, shares):
+                total[own] += share
     return pa.table({
-        "row": texts, "doc_id": pa.array(ids[first], pa.int64(), mask=nulls[first]), "held_out": out[first],
-        "n_tokens": np.bincount(text, minlength=len(texts)).astype(np.int64), "n_known": summed((count > 0)[word].astype(float)).astype(np.int64),
-        "base_score": summed(np.log10(lower)[word]), "score": summed(logs[which]),
-    })
+        "doc_id": pa.array(ids, pa.int64(), mask=nulls), "held_out": out, "n_tokens": sums[0], "n_known": sums[1], "base_score": sums[2], "score": sums[3]})
+
+
+def _looked_up(wanted: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts of the wanted words, 0 for unknown ones."""
+    if not len(known):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return np.where(known[at] == wanted, counts[at], 0)
 
 
 def lm_scores(docs: DataFrame, modulus: int = 10, shard_tokens: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,8 +252,8 @@ def lm_scores(docs: DataFrame, modulus: int = 10, shard_tokens: int = SHARD, id_
     16-bit steps.  Null and empty texts have the end alone; without training rows both scores
     use counts of zero.  Repeated rows get a row each; other columns are not read.
 
-    Shards are as many as the tokens need.  A context with more than half a shard of training tokens is
-    dealt out by both its words, its totals come from a count of their own.
+    Shards are as many as the tokens need and are scored in parts.  A context with more than half a part of
+    training tokens, or than a 200th of all, is dealt out by both its words; its totals come from a count of their own.
     """
     spark = docs.sparkSession
     text = whole_text(text_col).cast("binary")
@@ -206,17 +264,17 @@ def lm_scores(docs: DataFrame, modulus: int = 10, shard_tokens: int = SHARD, id_
     released(spark)
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == _as_long(END), F.col("n"))).alias("texts")).first()
     tokens, distinct, texts = total.n or 0, total.v, total.texts or 0
-    frequent = _frequent(read, counts, shard_tokens // 2, texts)
+    frequent = _frequent(read, counts, max(1, min(shard_tokens // 2, PART // 2, tokens // OFTEN)), texts)
     shards = max(1, -(-tokens * modulus // ((modulus - 1) * shard_tokens)))
     shared = spark.sparkContext.broadcast(frequent)
-    dealt = _dealt(read, shards, np.array(sorted(frequent), np.uint64)).repartition(shards, "shard")
+    dealt = _dealt(read, shards, np.array(sorted(frequent), np.uint64)).repartition(4 * shards, "shard")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, list[np.ndarray]] = {}
-        unpacker = zstandard.ZstdDecompressor()
-        for names, packed in rows_of(batches, "shard", "pairs"):
+        for names, packed in rows_of(batches, "shard", "content"):
             for name, p in zip(names, packed):
-                own.setdefault(name, []).append(pickle.loads(unpacker.decompress(p))[2])
+                if name >= 0:
+                    own.setdefault(name, []).append(_codes(_content(p)[2]))
         for name, parts in own.items():
             word = np.unique(np.concatenate(parts))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), name, np.int32)), _signed(word)], ["shard", "word"])
@@ -225,14 +283,17 @@ def lm_scores(docs: DataFrame, modulus: int = 10, shard_tokens: int = SHARD, id_
     answered = asked.join(counts, "word").select("shard", "word", "n")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = right.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(known)
-        return score_shard(left.column("pairs").to_pylist(), known[order], right.column("n").to_numpy()[order], tokens, distinct, shared.value)
-
-    parts = dealt.groupBy("shard").cogroup(answered.groupBy("shard")).applyInArrow(score, SCORED)
-    return parts.groupBy("row", "doc_id", "held_out").agg(
-        *(F.sum(c).alias(c) for c in ("n_tokens", "n_known")), F.lit(tokens).cast("bigint").alias("train_tokens"),
-        *(F.sum(c).alias(c) for c in ("base_score", "score"))).drop("row")
+        about = not left.num_rows or left.column("shard")[0].as_py() < 0
+        content = left.column("content").to_pylist()
+        if not about:
+            known = right.column("word").to_numpy().view(np.uint64)
+            order = np.argsort(known)
+            content = Shard(content, shared.value).scores(known[order], right.column("n").to_numpy()[order], tokens, distinct)
+        return pa.table({"source": left.column("source"), "about": pa.array([about] * len(content), pa.bool_()), "content": pa.array(content, pa.binary())})
+
+    parts = dealt.groupBy("shard").cogroup(answered.groupBy("shard")).applyInArrow(score, "source bigint, about boolean, content binary")
+    summed = parts.groupBy("source").applyInArrow(_added_up, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def _as_long(code: int) -> int:

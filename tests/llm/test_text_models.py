@@ -57,11 +57,14 @@ def test_scores_equal_the_formula(edge_docs, real_docs, no_docs):
         for (a, _), n in pairs.items():
             seen[a] += n
             after[a] += 1
-        discount = lm_score._discount(sum(n == 1 for n in pairs.values()), sum(n == 2 for n in pairs.values()))
+        usual = lm_score._discount(sum(n == 1 for n in pairs.values()), sum(n == 2 for n in pairs.values()))
+        once, twice = (Counter(a for (a, _), n in pairs.items() if n == k) for k in (1, 2))
+        frequent = max(1, total // lm_score.OFTEN)
 
         def probability(a, b):
             if not seen[a]:
                 return lower(b)
+            discount = lm_score._discount(once[a], twice[a]) if seen[a] >= frequent else usual
             return max(pairs[a, b] - discount, 0) / seen[a] + discount * after[a] / seen[a] * lower(b)
 
         want = sorted(((i is None, i or 0, held, len(ws), sum(counts[w] > 0 for w in ws), total, sum(math.log10(lower(w)) for w in ws),
