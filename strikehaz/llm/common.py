@@ -41,10 +41,15 @@ def stored_table(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def released(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that are no longer referred to."""
+def released(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables of `stored_table` that are used up, and let Spark delete shuffle files of frames no longer referred to."""
+    jvm = spark.sparkContext._jvm
+    for df in tables:
+        folder = jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
+        if folder is not None and folder.getName().startswith("table-"):
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,10 +107,11 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     if len(hashes) < n:
         return np.empty(0, np.uint64)
     size = len(hashes) - n + 1
-    out = np.full(size, n, np.uint64)
-    for k in range(n):
-        out = mixed(out ^ hashes[k : k + size]) + np.uint64(k + 1)
-    return out
+    out = hashes[:size] + np.uint64(n)
+    for k in range(1, n):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += hashes[k : k + size]
+    return mixed(out)
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:

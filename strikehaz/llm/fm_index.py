@@ -55,7 +55,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     while True:
         following = np.concatenate([rank[span:] + 1, np.zeros(min(span, size), np.int64)])[:size]
         keys = rank * (int(rank.max()) + 2) + following
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         ordered = keys[order]
         fresh = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
         if fresh[-1] == size - 1:

@@ -108,7 +108,14 @@ def op5_license_scan(spark, sf_dir):
     return licenses.licenses(files, licenses.template_table(spark))
 
 
-@query("op6_substring_dedup")
+@query("op6_substring_dedup", r"""
+    WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    windows AS (SELECT doc_id, k, array_to_string(list_slice(w, k, k + 12), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 12, 0) + 1)) AS k FROM t)),
+    firsts AS (SELECT g, min(doc_id) AS first FROM windows GROUP BY g),
+    gone AS (SELECT DISTINCT doc_id, k + j AS place FROM (SELECT doc_id, k, unnest(range(0, 13)) AS j FROM windows JOIN firsts USING (g) WHERE first < doc_id)),
+    places AS (SELECT doc_id, w[place] AS word, place FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS place FROM t)),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text, count(*) AS n FROM places ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM t LEFT JOIN kept USING (doc_id)""")
 def op6_substring_dedup(spark, sf_dir):
     """What is left of every document without passages of 13 words that an earlier one has."""
     return substring_dedup.without_repeats(table(spark, sf_dir, "documents"), keep=False)

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,25 +41,31 @@ def anchors(words: list[bytes], window: int) -> np.ndarray:
     return least
 
 
-def stretches(found: np.ndarray, wanted: dict[int, bool]) -> Iterator[tuple[int, int, int, bool]]:
-    """(anchor, first window, number of windows, hot) of the stretches whose anchor is wanted."""
-    if not len(found):
-        return
+def stretches(found: np.ndarray, wanted: np.ndarray, hot: np.ndarray) -> list[tuple[int, int, int, bool]]:
+    """(anchor, first window, number of windows, hot) of the stretches whose anchor is wanted; `wanted` is sorted."""
+    if not len(found) or not len(wanted):
+        return []
     signed = found.view(np.int64)
-    edges = np.flatnonzero(np.concatenate([[True], signed[1:] != signed[:-1], [True]])).tolist()
-    for a, b in zip(edges[:-1], edges[1:]):
-        anchor = int(signed[a])
-        hot = wanted.get(anchor)
-        if hot is None:
-            continue
-        piece = 1 if hot else PIECE
-        for start in range(a, b, piece):
-            yield anchor, start, min(piece, b - start), hot
+    edges = np.flatnonzero(np.concatenate([[True], signed[1:] != signed[:-1], [True]]))
+    own = signed[edges[:-1]]
+    at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
+    kept = wanted[at] == own
+    out = []
+    for anchor, a, b, is_hot in zip(own[kept].tolist(), edges[:-1][kept].tolist(), edges[1:][kept].tolist(), hot[at[kept]].tolist()):
+        piece = 1 if is_hot else PIECE
+        if b - a <= piece:
+            out.append((anchor, a, b - a, is_hot))
+        else:
+            out.extend((anchor, start, min(piece, b - start), is_hot) for start in range(a, b, piece))
+    return out
 
 
-def _table(kinds: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], [n for n, _ in kinds])
+def _table(kinds: list[tuple[str, pa.DataType]], rows: list[tuple], names: list[str] | None = None) -> pa.RecordBatch:
+    """Rows as a batch; `names` are the columns they have, all others are null."""
+    names = names or [n for n, _ in kinds]
+    columns = dict(zip(names, list(zip(*rows)) or [()] * len(names)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[n], k) if n in columns else pa.nulls(len(rows), k) for n, k in kinds], [n for n, _ in kinds])
 
 
 def _shared_anchors(docs: DataFrame, window: int) -> DataFrame:
@@ -72,47 +79,82 @@ def _shared_anchors(docs: DataFrame, window: int) -> DataFrame:
 
     pairs = stored_table(for_python(docs.where("doc_id IS NOT NULL")).mapInArrow(run, "anchor bigint, doc_id bigint"))
     several = pairs.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    return stored_table(pairs.join(several, "anchor"))
+    shared = stored_table(pairs.join(several, "anchor"))
+    released(docs.sparkSession, pairs)
+    return shared
 
 
 CUT = [
     ("doc_id", pa.int64()), ("version", pa.int64()), ("n_words", pa.int64()), ("kept", pa.string()), ("text", pa.binary()),
-    ("anchor", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("hot", pa.bool_()), ("words", pa.binary()),
+    ("anchor", pa.int64()), ("code", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("hot", pa.bool_()), ("words", pa.binary()),
 ]
 CUT_SCHEMA = (
-    "doc_id bigint, version bigint, n_words bigint, kept string, text binary, anchor bigint, start int, windows int, hot boolean, words binary")
+    "doc_id bigint, version bigint, n_words bigint, kept string, text binary, "
+    "anchor bigint, code bigint, start int, windows int, hot boolean, words binary")
+COMBINED = 200_000  # distinct stretches a task holds before it sends them
 
 
 def _cut(docs: DataFrame, shared: DataFrame, window: int, keep: bool) -> DataFrame:
-    """One row for each document, with its text if that is needed and else with its digest, and one for each stretch."""
+    """Three kinds of rows in one table.
+
+    n_words set: a document, with its text if that is needed and else with its digest.  start set: a
+    stretch of a document, by anchor and hash code.  words set: the words of a stretch, once
+    for each task that met it, doc_id being the smallest one there.
+    """
     hot = shared.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot"))
     wanted = (
         shared.join(hot, "anchor", "left").groupBy(F.col("doc_id").alias("id"))
-        .agg(F.collect_list(F.struct("anchor", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
+        .agg(F.collect_list("anchor").alias("wanted"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
-        for columns in rows_of(batches, "doc_id", "version", "text", "wanted"):
-            out: list[tuple] = []
-            for doc_id, version, packed, asked in zip(*columns):
+        met: dict[tuple[int, bytes], list] = {}
+
+        def combined() -> pa.RecordBatch:
+            rows = [(first, anchor, code, count, is_hot, words) for (anchor, words), (first, code, count, is_hot) in met.items()]
+            return _table(CUT, rows, ["doc_id", "anchor", "code", "windows", "hot", "words"])
+
+        for columns in rows_of(batches, "doc_id", "version", "text", "wanted", "hot"):
+            texts: list[tuple] = []
+            places: list[tuple] = []
+            for doc_id, version, packed, asked, hot_ones in zip(*columns):
                 text = unpacker.decompress(packed)
                 words = text.split()
                 if not asked and not keep:
-                    out.append((doc_id, version, len(words), hashlib.sha256(text).hexdigest(), None, None, None, None, None, None))
+                    texts.append((doc_id, version, len(words), hashlib.sha256(text).hexdigest(), None))
                     continue
-                out.append((doc_id, version, len(words), None, packed, None, None, None, None, None))
-                for anchor, start, count, is_hot in stretches(anchors(words, window), {a["anchor"]: a["hot"] for a in asked or ()}):
+                texts.append((doc_id, version, len(words), None, packed))
+                if not asked:
+                    continue
+                wanted_here = np.sort(np.array(asked, np.int64))
+                hot_here = np.isin(wanted_here, np.array(hot_ones, np.int64))
+                for anchor, start, count, is_hot in stretches(anchors(words, window), wanted_here, hot_here):
                     part = b" ".join(words[start : start + count + window - 1])
-                    out.append((doc_id, version, None, None, None, anchor, start, count, is_hot, part))
-            for start in range(0, len(out), 20_000):
-                yield _table(CUT, out[start : start + 20_000])
+                    known = met.get((anchor, part))
+                    if known is None:
+                        known = met[anchor, part] = [doc_id, _signed_hash(part), count, is_hot]
+                    elif doc_id < known[0]:
+                        known[0] = doc_id
+                    places.append((doc_id, version, anchor, known[1], start, count))
+            yield _table(CUT, texts, ["doc_id", "version", "n_words", "kept", "text"])
+            for start in range(0, len(places), 50_000):
+                yield _table(CUT, places[start : start + 50_000], ["doc_id", "version", "anchor", "code", "start", "windows"])
+            if len(met) >= COMBINED:
+                yield combined()
+                met.clear()
+        yield combined()
 
     light = for_python(docs).mapInArrow(_packed, "doc_id bigint, version bigint, text binary")
-    joined = light.join(wanted, light["doc_id"] == wanted["id"], "left").select("doc_id", "version", "text", "wanted")
+    joined = light.join(wanted, light["doc_id"] == wanted["id"], "left").select("doc_id", "version", "text", "wanted", "hot")
     return stored_table(joined.mapInArrow(run, CUT_SCHEMA))
 
 
+def _signed_hash(words: bytes) -> int:
+    code = xxhash.xxh64_intdigest(words)
+    return code - (1 << 64) if code >> 63 else code
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as compressed runs of words with one space between."""
     packer = zstandard.ZstdCompressor(level=1)
@@ -121,54 +163,57 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(texts, pa.binary())], ["doc_id", "version", "text"])
 
 
-def first_owners(texts: list[bytes], owners: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each text, the smallest owner of any text that holds the window, by window."""
+def first_owners(texts: list[bytes], owners: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest owner of any text that holds a window, for all windows of all texts in order, and how many each text has."""
     numbers: dict[bytes, int] = {}
     sequences = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in t.split(b" ")], np.int64) for t in texts]
     index = FMIndex(sequences, len(numbers))
     low, high = index.matching(window)
     owner_at = np.repeat(owners, index.lengths + 1)[index.order]
-    lows = np.unique(low[low >= 0])
+    found = low >= 0
+    lows = np.unique(low[found])
     highs = np.empty(len(index.text) + 1, np.int64)
-    highs[low[low >= 0]] = high[low >= 0]
+    highs[low[found]] = high[found]
     bounds = np.stack([lows, highs[lows]], 1).ravel()  # intervals of different windows never overlap
-    least = np.minimum.reduceat(np.concatenate([owner_at, owner_at[:1]]), bounds)[::2]
     by_low = np.empty(len(index.text) + 1, np.int64)
-    by_low[lows] = least
-    starts = index.ends - index.lengths
-    return [by_low[low[a : a + n - window + 1]] for a, n in zip(starts.tolist(), index.lengths.tolist())]
+    by_low[lows] = np.minimum.reduceat(np.concatenate([owner_at, owner_at[:1]]), bounds)[::2]
+    return by_low[low[found]], index.lengths - window + 1
 
 
 def _repeated(cut: DataFrame, window: int) -> DataFrame:
     """(anchor, code, first, seen): distinct stretches, their first document and its windows that an earlier one has."""
-    rows = cut.where("words IS NOT NULL").select("doc_id", "anchor", "hot", "words", F.xxhash64("words").alias("code"))
-    distinct = rows.groupBy("anchor", "hot", "words", "code").agg(F.min("doc_id").alias("first"))
-    sized = cut.where("words IS NOT NULL").agg(F.sum(F.col("windows") + window - 1)).first()[0] or 0
-    shards = max(1, -(-int(sized) // SHARD_WORDS))
+    rows = cut.where("words IS NOT NULL").select(F.col("doc_id").alias("first"), "anchor", "code", "windows", "hot", "words")
+    size = rows.agg(F.sum(F.col("windows") + window - 1)).first()[0] or 0
+    shards = max(1, -(-int(size) // SHARD_WORDS))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: dict[tuple[int, int, bytes], int] = {}
         shard = None
 
         def found() -> pa.RecordBatch:
-            mins = first_owners([h[2] for h in held], np.array([h[3] for h in held], np.int64), window)
-            seen = [np.packbits(m < h[3], bitorder="little").tobytes() if (m < h[3]).any() else None for m, h in zip(mins, held)]
+            owners = np.array(list(held.values()), np.int64)
+            mins, counts = first_owners([words for _, _, words in held], owners, window)
+            earlier = mins < np.repeat(owners, counts)
+            ends = np.cumsum(counts)
+            seen: list[bytes | None] = [None] * len(held)
+            for k in np.flatnonzero(np.add.reduceat(earlier, ends - counts)).tolist():
+                seen[k] = np.packbits(earlier[ends[k] - counts[k] : ends[k]], bitorder="little").tobytes()
             return _table(
                 [("anchor", pa.int64()), ("code", pa.int64()), ("first", pa.int64()), ("seen", pa.binary())],
-                [(h[0], h[1], h[3], s) for h, s in zip(held, seen)])
+                [(anchor, code, own, s) for (anchor, code, _), own, s in zip(held, owners.tolist(), seen)])
 
         for columns in rows_of(batches, "shard", "anchor", "code", "words", "first"):
-            for row in zip(*columns):
-                if held and row[0] != shard:
+            for name, anchor, code, words, first in zip(*columns):
+                if held and name != shard:
                     yield found()
-                    held = []
-                shard = row[0]
-                held.append(row[1:])
+                    held = {}
+                shard = name
+                held[anchor, code, words] = min(first, held.get((anchor, code, words), first))
         if held:
             yield found()
 
     place = F.when(F.col("hot"), F.xxhash64("words")).otherwise(F.xxhash64("anchor"))
-    dealt = distinct.withColumn("shard", F.pmod(place, F.lit(shards)).cast("int")).select("shard", "anchor", "code", "words", "first")
+    dealt = rows.withColumn("shard", F.pmod(place, F.lit(shards)).cast("int")).select("shard", "anchor", "code", "words", "first")
     dealt = for_python(dealt, 20_000).repartition(shards, "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(search, "anchor bigint, code bigint, first bigint, seen binary")
 
@@ -189,7 +234,7 @@ def without_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     shared = _shared_anchors(read, window)
     released(spark)
     cut = _cut(read, shared, window, keep)
-    released(spark)
+    released(spark, shared)
     gone = _removed(cut, window)
     released(spark)
     texts = cut.where("n_words IS NOT NULL").select("doc_id", "version", "n_words", "kept", "text")
@@ -239,7 +284,7 @@ def covered(parts: list[dict], size: int, window: int) -> np.ndarray:
 
 def _removed(cut: DataFrame, window: int) -> DataFrame:
     """(id, of, parts): the parts of each document whose windows go."""
-    places = cut.where("words IS NOT NULL").select("doc_id", "version", "anchor", "start", "windows", F.xxhash64("words").alias("code"))
+    places = cut.where("start IS NOT NULL").select("doc_id", "version", "anchor", "code", "start", "windows")
     later = F.col("doc_id") > F.col("first")
     gone = (
         places.join(_repeated(cut, window), ["anchor", "code"]).where(later | F.col("seen").isNotNull())
