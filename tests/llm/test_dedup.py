@@ -127,6 +127,28 @@ def test_verified_blocks_cover_a_large_cluster(spark):
     assert [r.doc_id for r in simhash.near_kept(docs, radius=60, block=8).collect()] == [0]
 
 
+def _recall(spark, pairs):
+    """Share of copies (odd ids) that near_kept drops; no two pairs share a word."""
+    rows = [(2 * n + k, " ".join(w)) for n, pair in enumerate(pairs) for k, w in enumerate(pair)]
+    kept = {r.doc_id for r in simhash.near_kept(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(2 * n in kept for n in range(len(pairs)))
+    return 1 - sum(2 * n + 1 in kept for n in range(len(pairs))) / len(pairs)
+
+
+def test_recall_of_near_copies(spark):
+    """Copies with a repeated line, and copies with a paragraph appended at similarity 0.80 to 0.87."""
+    repeated, appended = [], []
+    for size, number in ((60, 300), (300, 300), (1500, 100)):
+        for n in range(number):
+            words = [f"d{size}n{n}w{k}" for k in range(size)]
+            repeated.append((words, words + words[-10:] * (size // 10)))
+            more = int((size - 4) / (0.8 + 0.07 * n / number)) - (size - 4)
+            appended.append((words, words + [f"a{size}n{n}w{k}" for k in range(more)]))
+    found = _recall(spark, repeated), _recall(spark, appended)
+    print("recall of repeated lines and appended paragraphs", found)
+    assert min(found) >= 0.995
+
+
 def test_components_of_a_long_path(spark):
     path = spark.createDataFrame([(k, k + 1) for k in range(1, 60)] + [(100, 101), (7, 7)], "u bigint, v bigint")
     assert {(r.node, r.label) for r in components(path).collect()} == {(k, 1) for k in range(1, 61)} | {(100, 100), (101, 100)}
