@@ -4,7 +4,8 @@ Words are known by 64-bit hashes.  A first pass counts words.  A second deals ou
 successive words by the first one; each shard gets the counts of the words it needs, builds
 the trie of its training pairs and scores all its pairs, training and held out, against it.
 What a shard has found for the texts of one batch goes back as one row, and the rows of a batch are
-added up together.
+added up together.  Between the two, the shards count how many of all training pairs occur once and twice:
+discounts are those of the whole table, whatever shard or part a pair is scored in.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ END = xxhash.xxh64_intdigest(b" end")
 HELD = 3_000_000  # tokens a task gathers before it sends them
 SHARD = 8_000_000  # tokens of a shard
 PART = 700_000  # tokens of a shard that are scored at once
-OFTEN = 200  # a context with more than this fraction of all training tokens is frequent at any size
+OFTEN = 200  # a context with at least this fraction of all training tokens has a discount of its own, at any size
 ADDED = 0.1
 
 
@@ -77,29 +78,50 @@ def _counted(docs: DataFrame) -> DataFrame:
     return stored_table(partial.groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def _frequent(docs: DataFrame, counts: DataFrame, least: int, texts: int) -> dict[int, tuple[int, int, float]]:
-    """(count, words seen after it, discount) of contexts that are too frequent for a shard; at most N / least of them."""
+def _frequent(counts: DataFrame, least: int, texts: int) -> dict[int, int]:
+    """Counts of the contexts that occur `least` times or more; at most N / least of them."""
     often = {r.word & (1 << 64) - 1: r.n for r in counts.where(F.col("n") >= least).collect()}
     often.pop(END, None)
     if texts >= least:
         often[BEGIN] = texts
-    if not often:
-        return {}
-    codes = np.array(sorted(often), np.uint64)
+    return often
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for *_, words, doc in _gathered(batches):
-            before = _pairs(words, doc)
-            mine = np.isin(before, codes)
-            before, words = before[mine], words[mine]
-            order = np.lexsort((words, before))
-            before, words = before[order], words[order]
-            edges = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (words[1:] != words[:-1]), [True]])) if len(words) else np.zeros(1, np.int64)
-            yield pa.RecordBatch.from_arrays([_signed(before[edges[:-1]]), _signed(words[edges[:-1]]), pa.array(np.diff(edges))], ["before", "word", "n"])
 
-    pairs = docs.where("NOT held_out").mapInArrow(run, "before bigint, word bigint, n bigint").groupBy("before", "word").agg(F.sum("n").alias("n"))
-    kinds = pairs.groupBy("before").agg(F.count("*").alias("t"), F.count(F.when(F.col("n") == 1, 1)).alias("n1"), F.count(F.when(F.col("n") == 2, 1)).alias("n2"))
-    return {r.before & (1 << 64) - 1: (often[r.before & (1 << 64) - 1], r.t, _discount(r.n1, r.n2)) for r in kinds.collect()}
+def _pair_kinds(dealt: DataFrame, often: np.ndarray) -> dict[int | None, tuple[int, int, int]]:
+    """(distinct training pairs, those seen once, those seen twice) of each context of `often`, and of all contexts for None.
+
+    Every pair is in one shard only; a shard sends one row for each of these contexts.
+    """
+    shared = dealt.sparkSession.sparkContext.broadcast(often)
+
+    def count(part: pa.Table) -> pa.Table:
+        often, pairs, marks = shared.value, [], []
+        for shard, packed in zip(part.column("shard").to_pylist(), part.column("content").to_pylist()):
+            if shard < 0:
+                continue
+            context, n, word, index, _, held_out, place = _content(packed)
+            before = np.repeat(_codes(context), _wide(n))
+            trained = ~held_out[_wide(place)]
+            before, words = before[trained], _codes(word)[_wide(index)[trained]]
+            mine = np.searchsorted(often, before)
+            mine[~np.isin(before, often)] = len(often)
+            pairs.append(mixed(mixed(before) * np.uint64(0x9E3779B97F4A7C15) + words))
+            marks.append(mine.astype(np.int32))
+        found = np.zeros((3, len(often) + 1), np.int64)
+        if pairs:
+            _, first, seen = np.unique(np.concatenate(pairs), return_index=True, return_counts=True)
+            mark = np.concatenate(marks)[first]
+            for k, chosen in enumerate((seen > 0, seen == 1, seen == 2)):
+                found[k] = np.bincount(mark[chosen], minlength=len(often) + 1)
+        some = np.flatnonzero(found[0])
+        names = np.append(often, np.uint64(0)).view(np.int64)[some]
+        return pa.table({"before": pa.array(names, mask=some == len(often)), **{c: found[k, some] for k, c in enumerate(("t", "n1", "n2"))}})
+
+    kinds = dealt.groupBy("shard").applyInArrow(count, "before bigint, t bigint, n1 bigint, n2 bigint")
+    rows = kinds.groupBy("before").agg(*(F.sum(c).alias(c) for c in ("t", "n1", "n2"))).collect()
+    out = {None if r.before is None else r.before & (1 << 64) - 1: (r.t, r.n1, r.n2) for r in rows}
+    out[None] = tuple(sum(v[k] for v in out.values()) for k in range(3))
+    return out
 
 
 def _discount(n1: int, n2: int) -> float:
@@ -170,10 +192,12 @@ def _codes(x: np.ndarray) -> np.ndarray:
 class Shard:
     """The pairs of a shard, scored part by part so that only one part is unpacked at a time."""
 
-    def __init__(self, packed: list[bytes], frequent: dict[int, tuple[int, int, float]]):
+    def __init__(self, packed: list[bytes], spread: np.ndarray, frequent: dict[int, tuple[int, int, float]], discount: float):
         self.packed = packed
         self.frequent = frequent
+        self.spread = spread
         self.often = np.array(sorted(frequent), np.uint64)
+        self.discount = discount
         heads = [_content(p) for p in packed]
         self.own = [h[4] for h in heads]
         self.held_out = np.concatenate([h[5] for h in heads])
@@ -186,7 +210,7 @@ class Shard:
         for packed, shift in zip(self.packed, self.shift):
             context, n, word, index, _, _, place = _content(packed)
             before, words = np.repeat(_codes(context), _wide(n)), _codes(word)[_wide(index)]
-            mine = (_place(before, words, self.often) >> np.uint64(44)) % np.uint64(parts) == number
+            mine = (_place(before, words, self.spread) >> np.uint64(44)) % np.uint64(parts) == number
             found.append((before[mine], words[mine], shift + _wide(place)[mine]))
         return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
 
@@ -207,8 +231,8 @@ class Shard:
             trained = np.bincount(which[~self.held_out[text]], minlength=len(both))
             kept = trained > 0
             c, w = both // len(vocabulary), both % len(vocabulary)
-            discount = _discount(int((trained == 1).sum()), int((trained == 2).sum()))
-            trie = BigramTrie(contexts[c[kept]], vocabulary[w[kept]], trained[kept], lower[w[kept]], discount, self.frequent)
+            totals = {k: self.frequent[k] for k in contexts[np.isin(contexts, self.often)].tolist()}
+            trie = BigramTrie(contexts[c[kept]], vocabulary[w[kept]], trained[kept], lower[w[kept]], self.discount, totals)
             logs = trie.logs(contexts, c, vocabulary, w, np.log10(lower)[w])
             sums[0] += np.bincount(text, minlength=size)
             sums[1] += np.bincount(text[(count > 0)[word]], minlength=size)
@@ -252,8 +276,9 @@ def lm_scores(docs: DataFrame, modulus: int = 10, shard_tokens: int = SHARD, id_
     16-bit steps.  Null and empty texts have the end alone; without training rows both scores
     use counts of zero.  Repeated rows get a row each; other columns are not read.
 
-    Shards are as many as the tokens need and are scored in parts.  A context with more than half a part of
-    training tokens, or than a 200th of all, is dealt out by both its words; its totals come from a count of their own.
+    The discount is that of all training pairs; a context with a 200th or more of all training tokens has its own.
+    Shards are as many as the tokens need and are scored in parts.  A context with half a part of training tokens
+    or more is dealt out by both its words, which only places the work: no score depends on it.
     """
     spark = docs.sparkSession
     text = whole_text(text_col).cast("binary")
@@ -264,10 +289,16 @@ def lm_scores(docs: DataFrame, modulus: int = 10, shard_tokens: int = SHARD, id_
     released(spark)
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == _as_long(END), F.col("n"))).alias("texts")).first()
     tokens, distinct, texts = total.n or 0, total.v, total.texts or 0
-    frequent = _frequent(read, counts, max(1, min(shard_tokens // 2, PART // 2, tokens // OFTEN)), texts)
+    spread, own = min(shard_tokens // 2, PART // 2), max(1, tokens // OFTEN)
+    often = _frequent(counts, min(spread, own), texts)
+    split = np.array(sorted(c for c, n in often.items() if n >= spread), np.uint64)
     shards = max(1, -(-tokens * modulus // ((modulus - 1) * shard_tokens)))
+    dealt = _dealt(read, shards, split).repartition(4 * shards, "shard")
+    kinds = _pair_kinds(dealt, np.array(sorted(often), np.uint64))
+    released(spark)
+    usual = _discount(*kinds[None][1:])
+    frequent = {c: (n, kinds[c][0], _discount(*kinds[c][1:]) if n >= own else usual) for c, n in often.items() if c in kinds}
     shared = spark.sparkContext.broadcast(frequent)
-    dealt = _dealt(read, shards, np.array(sorted(frequent), np.uint64)).repartition(4 * shards, "shard")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, list[np.ndarray]] = {}
@@ -288,7 +319,7 @@ def lm_scores(docs: DataFrame, modulus: int = 10, shard_tokens: int = SHARD, id_
         if not about:
             known = right.column("word").to_numpy().view(np.uint64)
             order = np.argsort(known)
-            content = Shard(content, shared.value).scores(known[order], right.column("n").to_numpy()[order], tokens, distinct)
+            content = Shard(content, split, shared.value, usual).scores(known[order], right.column("n").to_numpy()[order], tokens, distinct)
         return pa.table({"source": left.column("source"), "about": pa.array([about] * len(content), pa.bool_()), "content": pa.array(content, pa.binary())})
 
     parts = dealt.groupBy("shard").cogroup(answered.groupBy("shard")).applyInArrow(score, "source bigint, about boolean, content binary")

@@ -136,10 +136,11 @@ class BigramTrie:
     """
 
     def __init__(self, contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, lower: np.ndarray, discount: float, totals: dict[int, tuple[int, int, float]]):
-        """Sorted distinct pairs with counts; `lower` is P(w) of each pair, `totals` overrides (c, T, D) of a context."""
-        codes, first, kinds = np.unique(contexts, return_index=True, return_counts=True)
-        number = np.repeat(np.arange(len(codes)), kinds)
-        total = np.add.reduceat(counts, first) if len(first) else np.empty(0, np.int64)
+        """Sorted distinct pairs with counts; `lower` is P(w) of each pair, `totals` overrides (c, T, D) of a context, also of one without pairs here."""
+        codes = np.union1d(contexts, np.array(list(totals), np.uint64))
+        first, number = np.searchsorted(contexts, codes), np.searchsorted(codes, contexts)
+        kinds = np.bincount(number, minlength=len(codes))
+        total = np.bincount(number, weights=counts, minlength=len(codes)).astype(np.int64)
         seen, discounts = kinds.copy(), np.full(len(codes), discount)
         for code, (c, t, d) in totals.items():
             at = int(np.searchsorted(codes, np.uint64(code)))

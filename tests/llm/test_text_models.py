@@ -88,6 +88,15 @@ def test_scores_hold_for_small_shards_and_frequent_contexts(real_docs):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_shards_only_place_work(real_docs, monkeypatch):
+    """Discounts are those of all pairs: scores are the same however the contexts are dealt out."""
+    one = {r.doc_id: r.score for r in lm_score.lm_scores(real_docs).collect()}
+    monkeypatch.setattr(lm_score, "PART", 3000)
+    for tokens in (8000, 400):
+        many = {r.doc_id: r.score for r in lm_score.lm_scores(real_docs, shard_tokens=tokens).collect()}
+        assert one.keys() == many.keys() and all(many[k] == pytest.approx(s, rel=1e-9) for k, s in one.items())
+
+
 def test_frequent_contexts_keep_their_probabilities_normal():
     contexts = np.array([5, 5, 5, 9], np.uint64)
     words, counts, lower = np.array([1, 2, 3, 1], np.uint64), np.array([3, 1, 1, 2]), np.array([0.5, 0.2, 0.2, 0.5])
