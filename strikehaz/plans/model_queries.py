@@ -13,8 +13,6 @@ from strikehaz.operators.species import species_risk
 from strikehaz.plans.registry import query
 from strikehaz.plans.strike_queries import labelled_raw
 
-TREES = 5
-
 
 def framed(spark, sf_dir, builder=features.operational_core, target="damage_binary"):
     """(feature set, train, validation, test) of the principal population's labelled strikes with `y`, `id` and `region`."""
@@ -28,7 +26,7 @@ def framed(spark, sf_dir, builder=features.operational_core, target="damage_bina
 def _gbt(spark, sf_dir):
     built, train, validation, test = framed(spark, sf_dir)
     encoder = models.fit_tree(train, built.numeric, built.categorical)
-    return models.fit_gbt(train, validation, encoder, depth=4, iterations=TREES), encoder, train, validation, test
+    return models.fit_gbt(train, validation, encoder, depth=4), encoder, train, validation, test
 
 
 def _logistic(spark, sf_dir, builder=features.operational_core):
@@ -67,10 +65,10 @@ def gbt_scores(spark, sf_dir):
 
 @query("gbt_search")
 def gbt_search(spark, sf_dir):
-    """Validation log loss and ROC-AUC of the grid's shallowest and deepest trees (M8)."""
+    """Validation log loss and ROC-AUC of every point of the grid (M8)."""
     built, train, validation, _ = framed(spark, sf_dir)
     encoder = models.fit_tree(train, built.numeric, built.categorical)
-    _, rows = models.search_gbt(train, validation, encoder, {"depth": [4, 8], "learning_rate": [0.1], "l2": [3, 6]}, iterations=TREES)
+    _, rows = models.search_gbt(train, validation, encoder)
     return spark.createDataFrame(rows)
 
 
@@ -97,7 +95,7 @@ def severity_scores(spark, sf_dir):
     """Severity regressor and the species ranking over all splits it gives, in-sample as stated."""
     built, train, validation, test = framed(spark, sf_dir, features.severity_with_species, "damage_severity_score")
     encoder = models.fit_tree(train, built.numeric, built.categorical)
-    model = models.fit_severity(train, validation, encoder, depth=4, iterations=TREES)
+    model = models.fit_severity(train, validation, encoder, depth=4)
     everything = train.unionByName(validation).unionByName(test)
     scored = model.transform(encoder.transform(everything.withColumn("SPECIES_NAME", F.col("species"))))
     return species_risk(scored.withColumnRenamed("prediction", "predicted_severity"), "SPECIES_NAME")
@@ -108,7 +106,7 @@ def severity_metrics(spark, sf_dir):
     """RMSE and R2 of the severity regressor on validation and test."""
     built, train, validation, test = framed(spark, sf_dir, features.severity_with_species, "damage_severity_score")
     encoder = models.fit_tree(train, built.numeric, built.categorical)
-    model = models.fit_severity(train, validation, encoder, depth=4, iterations=TREES)
+    model = models.fit_severity(train, validation, encoder, depth=4)
     scored = model.transform(encoder.transform(validation.unionByName(test))).select("split", "y", F.col("prediction").alias("p"))
     return metrics.regression_metrics(scored, by=["split"])
 
@@ -137,13 +135,14 @@ def local_contributions(spark, sf_dir):
 
 @query("permutation_importance")
 def permutation_importance(spark, sf_dir):
-    """AUC lost on validation when a column is shuffled."""
+    """AUC lost on validation when a column is shuffled, for every feature column."""
     model, encoder, _, validation, _ = _logistic(spark, sf_dir)
+    columns = [*encoder.numeric, *encoder.categorical]
 
     def score(df):
         return model.transform(encoder.transform(df)).select("*", models.probability().alias("p"))
 
-    return models.permutation_importance(score, validation, "id", ["height_agl_ft", "phase_of_flight", "sky_condition"], repeats=2)
+    return models.permutation_importance(score, validation, "id", columns)
 
 
 @query("region_slice")

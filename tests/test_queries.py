@@ -1,5 +1,7 @@
 """Registered queries against their SQL on the small tables, and the model bundle round trip."""
 
+import inspect
+
 import pytest
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
@@ -61,3 +63,33 @@ def test_contributions_add_up_and_planted_signal_is_found(spark):
     total = parts.groupBy("id").agg((F.first("base_value") + F.sum("contribution")).alias("z"))
     logit = score(df).select("id", F.log(F.col("p") / (F.lit(1.0) - F.col("p"))).alias("l"))
     assert total.join(logit, "id").agg(F.max(F.abs(F.col("z") - F.col("l")))).first()[0] < 1e-6
+
+
+def test_model_queries_run_the_whole_job(spark, monkeypatch):
+    """All columns, all grid points and the operators' own numbers of trees and repeats reach the operators."""
+    from strikehaz import fixed_values as fv
+    from strikehaz.plans import model_queries
+
+    calls = {}
+
+    def noted(name, out):
+        plain = getattr(models, name)
+
+        def run(*args, **kwargs):
+            bound = inspect.signature(plain).bind(*args, **kwargs)
+            bound.apply_defaults()
+            calls[name] = bound.arguments
+            return out
+
+        monkeypatch.setattr(models, name, run)
+
+    noted("permutation_importance", None)
+    noted("search_gbt", (None, [{"depth": 4}]))
+    noted("fit_gbt", None)
+    model_queries.permutation_importance(spark, SF)
+    model_queries.gbt_search(spark, SF)
+    encoder = model_queries._gbt(spark, SF)[1]
+    assert len(encoder.numeric) + len(encoder.categorical) == 19
+    assert sorted(calls["permutation_importance"]["columns"]) == sorted([*encoder.numeric, *encoder.categorical])
+    assert calls["permutation_importance"]["repeats"] == 5
+    assert calls["search_gbt"]["grid"] == fv.GBT_GRID and calls["search_gbt"]["iterations"] == calls["fit_gbt"]["iterations"] == 100
