@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikehaz.llm import decontaminate, exact_dedup, licenses, lm_score, piece_codec, quality, simhash, substring_dedup, tool_calls, url_filters
+from strikehaz.llm import (
+    decontaminate, exact_dedup, licenses, lm_score, piece_codec, quality, simhash, substring_dedup, tool_calls, url_filters, vector_codes,
+)
 from strikehaz.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +179,30 @@ def op9_tool_calls(spark, sf_dir):
 def op10_exact_dedup(spark, sf_dir):
     """Groups of equal texts, the largest id staying."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max").drop("digest")
+
+
+def _vector_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Lloyd rounds written out: books_k and near_k are the codebooks and assignments before and in round k."""
+    book = f"books_0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v AS c FROM p WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries}))"
+    steps = [book]
+    for k in range(rounds + 1):
+        steps.append(f"""near_{k} AS (SELECT n, part, min(d * 1000 + entry) % 1000 AS entry, min(d * 1000 + entry) // 1000 AS d
+            FROM (SELECT n, p.part, entry, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p JOIN books_{k} b ON b.part = p.part) GROUP BY ALL)""")
+        if k < rounds:
+            steps.append(f"""books_{k + 1} AS (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM books_{k} b LEFT JOIN (SELECT part, entry, list(m ORDER BY i) AS c FROM (
+                SELECT near.part, near.entry, i, floor(sum(v[i]) / count(*))::BIGINT AS m FROM near_{k} near JOIN p USING (n, part), unnest(range(1, len(v) + 1)) AS u(i) GROUP BY ALL) GROUP BY ALL) m
+                ON m.part = b.part AND m.entry = b.entry)""")
+    return f"""
+    WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS (SELECT n, vec_id, part, v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] AS v FROM kept, unnest(range(0, {parts})) AS u(part)),
+    {", ".join(steps)},
+    digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM books_{rounds}),
+    codes AS (SELECT n, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near_{rounds} GROUP BY n)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM codes JOIN kept USING (n), digest"""
+
+
+@query("op13_vector_codes", _vector_sql())
+def op13_vector_codes(spark, sf_dir):
+    """Product codes of all embeddings."""
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
