@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strikehaz.llm import (
-    decontaminate, exact_dedup, licenses, lm_score, piece_codec, quality, simhash, substring_dedup, tool_calls, url_filters, vector_codes,
+    decontaminate, exact_dedup, licenses, lm_score, piece_codec, quality, simhash, spelling, substring_dedup, tool_calls, url_filters, vector_codes,
 )
 from strikehaz.llm.common import table
 
@@ -206,3 +206,32 @@ def _vector_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
 def op13_vector_codes(spark, sf_dir):
     """Product codes of all embeddings."""
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def _spelling_sql() -> str:
+    """Near words by equal words without one place; crc32 byte by byte from its table, which a bitwise rule gives."""
+    table_step = "list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)"
+    return f"""
+    WITH bytes AS MATERIALIZED (SELECT list({table_step} ORDER BY b) AS t FROM (SELECT b::BIGINT AS b FROM unnest(range(0, 256)) AS u(b))),
+    runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY ALL),
+    coded AS (SELECT doc_id, run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs),
+    hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT),
+        lambda c, b: xor(c >> 8, t[1 + xor(c & 255, b)]), 4294967295::BIGINT)) AS h FROM coded, bytes),
+    changed AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed),
+    words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM changed WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+    without AS MATERIALIZED (SELECT word, n, k, substr(word, 1, k) || substr(word, k + 2) AS rest FROM words, unnest(range(0, length(word))) AS u(k)),
+    near AS (SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM without a JOIN without b ON a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM without a JOIN words b ON a.rest = b.word
+        UNION SELECT b.word, a.word, a.n FROM without a JOIN words b ON a.rest = b.word),
+    best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS form, max(other_n) AS form_n FROM near GROUP BY word),
+    formed AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n
+        FROM words LEFT JOIN best USING (word))"""
+
+
+@query("op12_spelling", _spelling_sql().replace("WITH bytes", "WITH RECURSIVE bytes") + """,
+    walk AS (SELECT word, word AS root FROM formed UNION ALL SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.root WHERE f.form IS NOT NULL)
+    SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT w.word, w.root FROM walk w JOIN formed f ON f.word = w.root WHERE f.form IS NULL) USING (word)""")
+def op12_spelling(spark, sf_dir):
+    """Words of all documents with their near words, forms and roots."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
