@@ -212,7 +212,7 @@ def _spelling_sql() -> str:
     """Near words by equal words without one place; crc32 byte by byte from its table, which a bitwise rule gives."""
     table_step = "list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)"
     return f"""
-    WITH bytes AS MATERIALIZED (SELECT list({table_step} ORDER BY b) AS t FROM (SELECT b::BIGINT AS b FROM unnest(range(0, 256)) AS u(b))),
+    WITH RECURSIVE bytes AS MATERIALIZED (SELECT list({table_step} ORDER BY b) AS t FROM (SELECT b::BIGINT AS b FROM unnest(range(0, 256)) AS u(b))),
     runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY ALL),
     coded AS (SELECT doc_id, run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs),
@@ -226,12 +226,12 @@ def _spelling_sql() -> str:
         UNION SELECT b.word, a.word, a.n FROM without a JOIN words b ON a.rest = b.word),
     best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS form, max(other_n) AS form_n FROM near GROUP BY word),
     formed AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n
-        FROM words LEFT JOIN best USING (word))"""
+        FROM words LEFT JOIN best USING (word)),
+    walk AS (SELECT word, word AS root FROM formed UNION ALL SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.root WHERE f.form IS NOT NULL)
+    SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT w.word, w.root FROM walk w JOIN formed f ON f.word = w.root WHERE f.form IS NULL) USING (word)"""
 
 
-@query("op12_spelling", _spelling_sql().replace("WITH bytes", "WITH RECURSIVE bytes") + """,
-    walk AS (SELECT word, word AS root FROM formed UNION ALL SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.root WHERE f.form IS NOT NULL)
-    SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT w.word, w.root FROM walk w JOIN formed f ON f.word = w.root WHERE f.form IS NULL) USING (word)""")
+@query("op12_spelling", _spelling_sql())
 def op12_spelling(spark, sf_dir):
     """Words of all documents with their near words, forms and roots."""
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
