@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strikehaz.llm import (
-    decontaminate, exact_dedup, licenses, lm_score, piece_codec, quality, simhash, spelling, substring_dedup, tool_calls, url_filters, vector_codes,
+    decontaminate, exact_dedup, licenses, lm_score, piece_codec, quality, simhash, spelling, substring_dedup, tool_calls, toxicity, url_filters, vector_codes,
 )
 from strikehaz.llm.common import table
 
@@ -208,6 +208,13 @@ def op13_vector_codes(spark, sf_dir):
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+@query("op11_toxicity")
+def op11_toxicity(spark, sf_dir):
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
+
+
 def _spelling_sql() -> str:
     """Near words by equal words without one place; crc32 byte by byte from its table, which a bitwise rule gives."""
     table_step = "list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)"
