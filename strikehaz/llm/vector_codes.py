@@ -196,7 +196,7 @@ def compressed(vectors: DataFrame, settings: Settings = Settings()) -> tuple[Dat
     if firsts:
         padded = np.zeros((len(firsts), width * settings.parts), np.int64)
         padded[:, :size] = firsts
-        books = np.ascontiguousarray(padded.reshape(-1, settings.parts, width).transpose(1, 0, 2))
+        books = np.ascontiguousarray(padded.reshape(len(firsts), settings.parts, width).transpose(1, 0, 2))
     else:
         books = np.zeros((settings.parts, 1, width), np.int64)
     if width * settings.parts > size:
