@@ -25,10 +25,10 @@ from strikehaz.llm.components import components
 
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, fixed value of the binary Golay code
 WIDTHS = (22, 21, 21)
-PAIRS = 3  # of segments
 RADIUS = 3
 BUCKET = 20_000  # fingerprints compared at once; fuller keys are dealt out in blocks
 SMALL = 24
+SHORT = 50_000  # rows of two numbers that may be broadcast
 CERTAIN = 5  # two of three segments have at most two errors each; farther ones share a key by chance
 BANDS, ROWS = 24, 5  # of least hashes: sets of Jaccard similarity J agree in no band with probability (1 - J^ROWS)^BANDS
 LEAST = np.random.default_rng(11).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -204,7 +204,7 @@ def links_in_buckets(marks: np.ndarray, prints: np.ndarray, radius: int) -> tupl
 def links(nodes: DataFrame, columns: tuple[str, ...] = ("print",), radius: int = RADIUS, bucket: int = BUCKET, bands: str | None = None) -> DataFrame:
     """(u, v): links of nodes whose fingerprints differ in at most `radius` bits, all `columns` together.
 
-    Their components are those of all nodes that share a key of any of the columns and lie within the
+    Their components are those of all nodes that share a key of the first column and lie within the
     radius.  With one column that is every pair up to CERTAIN bits; of those farther apart,
     only the ones that do share a key are linked.  Keys in the array column `bands`, all below zero, count as well.
 
@@ -218,11 +218,9 @@ def links(nodes: DataFrame, columns: tuple[str, ...] = ("print",), radius: int =
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 part = batch.slice(start, 4096)
-                for number, name in enumerate(columns):
-                    row, key = fuzzy_keys(part.column(name).to_numpy().view(np.uint64))
-                    given = part.take(pa.array(row))
-                    keys = pa.array((key + number * PAIRS * (1 << 24)).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([keys, *(given.column(c) for c in ("node", *columns))], ["key", "node", *columns])
+                row, key = fuzzy_keys(part.column(columns[0]).to_numpy().view(np.uint64))
+                given = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), *(given.column(c) for c in ("node", *columns))], ["key", "node", *columns])
                 if bands:
                     lists = part.column(bands)
                     given = part.take(pc.list_parent_indices(lists))
@@ -259,9 +257,13 @@ def in_blocks(rows: DataFrame, group: str, member: str, most: int) -> DataFrame:
 
     Groups of up to `most` rows have one mark.  Larger ones are cut into blocks by the hash of
     the member, and every row goes to all pairs of blocks with its own: tasks stay small, and a
-    group's rows multiply by its size over `most`.
+    group's rows multiply by its size over `most`.  The table of larger groups is broadcast if it
+    was counted to be short; its length changes the plan only.
     """
     full = stored(rows.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > most))
+    released(rows.sparkSession)
+    if full.count() <= SHORT:
+        full = F.broadcast(full)
     blocks = F.ceil(F.col("n") / most).cast("int")
     own = F.pmod(F.xxhash64(member), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.least(own, b).alias("a"), F.greatest(own, b).alias("b")))
@@ -323,13 +325,14 @@ def near_kept(docs: DataFrame, least: float = 0.8, radius: int = 42, block: int
     Jaccard similarity of `least` or more; of each component the smallest id stays.
     Candidates share a key and differ in at most `radius` of the 128 bits of two fingerprints, in a chain; the
     similarity of candidates is computed exactly.  Fingerprints and keys come from the same distinct shingles as the
-    similarity, so a line repeated more often changes none of them.  Keys are the Golay keys of both fingerprints,
-    which far pairs share by chance only, and BANDS keys of ROWS least hashes each, all of which a pair of
+    similarity, so a line repeated more often changes none of them.  Keys are the Golay keys of the first fingerprint,
+    which close pairs share for certain and far ones by chance, and BANDS keys of ROWS least hashes each, all of which a pair of
     similarity 0.8 misses once in 10,000.  Such a pair differs in about 20 bits, unrelated ones in about 64.
     Texts without words are equal to each other.  Rows with a null id are never dropped; rows
     that share an id stay or go together.  Tests state the recall.
     """
     spark = docs.sparkSession
+    released(spark)
     prints = stored(set_prints(docs.where("doc_id IS NOT NULL")))
     for_python(docs, 100_000)
     nodes = stored(prints.groupBy("whole").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("print", "other", "bands"))))
