@@ -31,6 +31,7 @@ SMALL = 24
 SHORT = 50_000  # rows of two numbers that may be broadcast
 CERTAIN = 5  # two of three segments have at most two errors each; farther ones share a key by chance
 BANDS, ROWS = 24, 5  # of least hashes: sets of Jaccard similarity J agree in no band with probability (1 - J^ROWS)^BANDS
+PRINTS = ("print", "other", "third")
 LEAST = np.random.default_rng(11).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -135,19 +136,22 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def set_prints(docs: DataFrame, size: int = 5) -> DataFrame:
-    """(doc_id, whole, print, other, bands): of the distinct shingles of every row's whole text a hash, two fingerprints and the band keys."""
+    """(doc_id, whole, print, other, third, bands): of the distinct shingles of every row's whole text a hash, three fingerprints and the band keys."""
+    names = ["doc_id", "whole", *PRINTS, "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in rows_of(batches, "doc_id", "text"):
             sets = [np.unique(shingle_hashes(t.lower().split(), size)) for t in texts]
             whole = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
-            prints = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
-            others = np.array([majority(mixed(s)) for s in sets], np.uint64).view(np.int64)
+            prints, hashes = [], sets
+            for _ in PRINTS:
+                prints.append(np.array([majority(h) for h in hashes], np.uint64).view(np.int64))
+                hashes = [mixed(h) for h in hashes]
             bands = pa.array([band_keys(s) for s in sets], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(whole), pa.array(prints), pa.array(others), bands], ["doc_id", "whole", "print", "other", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(whole), *map(pa.array, prints), bands], names)
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("text"))
-    return for_python(read).mapInArrow(run, "doc_id bigint, whole bigint, print bigint, other bigint, bands array<int>")
+    return for_python(read).mapInArrow(run, f"doc_id bigint, whole bigint, {', '.join(f'{c} bigint' for c in PRINTS)}, bands array<int>")
 
 
 def distance(some: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -208,7 +212,8 @@ def links(nodes: DataFrame, columns: tuple[str, ...] = ("print",), radius: int =
     radius.  With one column that is every pair up to CERTAIN bits; of those farther apart,
     only the ones that do share a key are linked.  Keys in the array column `bands`, all below zero, count as well.
 
-    Rows are dealt out by key and sorted, so a task holds one bucket at a time.  A key with more than
+    Rows are dealt out by key and sorted, so a task holds one bucket at a time and searches from its
+    smallest node: a group of copies that shares many keys gives much the same links in each.  A key with more than
     `bucket` nodes is dealt out as pairs of blocks: every two of its nodes still
     meet, in tasks of at most two blocks.
     """
@@ -249,7 +254,7 @@ def links(nodes: DataFrame, columns: tuple[str, ...] = ("print",), radius: int =
 
     keyed = nodes.select("node", *columns, *([bands] if bands else [])).mapInArrow(spread, f"key int, {schema}")
     marked = in_blocks(keyed, "key", "node", bucket).select("mark", "node", *columns)
-    return marked.repartition("mark").sortWithinPartitions("mark").mapInArrow(compare, "u bigint, v bigint")
+    return marked.repartition("mark").sortWithinPartitions("mark", "node").mapInArrow(compare, "u bigint, v bigint")
 
 
 def in_blocks(rows: DataFrame, group: str, member: str, most: int) -> DataFrame:
@@ -302,7 +307,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def verified_links(ids: list[int], prints: np.ndarray, texts: list[bytes], radius: int, least: float, size: int = 5) -> list[tuple[int, int]]:
-    """Links between texts of one block that are similar enough, joined in chains like `near`; `prints` has both fingerprints of each."""
+    """Links between texts of one block that are similar enough, joined in chains like `near`; `prints` has the fingerprints of each."""
     sets = [np.unique(shingle_hashes(t.lower().split(), size)) for t in texts]
     left, found = list(range(len(ids))), []
     while len(left) > 1:
@@ -318,16 +323,17 @@ def verified_links(ids: list[int], prints: np.ndarray, texts: list[bytes], radiu
     return found
 
 
-def near_kept(docs: DataFrame, least: float = 0.8, radius: int = 42, block: int = 2000) -> DataFrame:
+def near_kept(docs: DataFrame, least: float = 0.8, radius: int = 54, block: int = 2000) -> DataFrame:
     """The rows of `docs`, all columns, but those similar to one with a smaller id.
 
     Two documents are linked if their distinct five-word shingles (A-Z lower-cased) have a
     Jaccard similarity of `least` or more; of each component the smallest id stays.
-    Candidates share a key and differ in at most `radius` of the 128 bits of two fingerprints, in a chain; the
+    Candidates share a key and differ in at most `radius` of the 192 bits of three fingerprints, in a chain; the
     similarity of candidates is computed exactly.  Fingerprints and keys come from the same distinct shingles as the
     similarity, so a line repeated more often changes none of them.  Keys are the Golay keys of the first fingerprint,
     which close pairs share for certain and far ones by chance, and BANDS keys of ROWS least hashes each, all of which a pair of
-    similarity 0.8 misses once in 10,000.  Such a pair differs in about 20 bits, unrelated ones in about 64.
+    similarity 0.8 misses once in 10,000.  Such a pair differs in 29 bits, give or take 5, unrelated ones in
+    96, give or take 7, so chains of unrelated texts do not form however many there are.
     Texts without words are equal to each other.  Rows with a null id are never dropped; rows
     that share an id stay or go together.  Tests state the recall.
     """
@@ -335,9 +341,9 @@ def near_kept(docs: DataFrame, least: float = 0.8, radius: int = 42, block: int
     released(spark)
     prints = stored(set_prints(docs.where("doc_id IS NOT NULL")))
     for_python(docs, 100_000)
-    nodes = stored(prints.groupBy("whole").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("print", "other", "bands"))))
+    nodes = stored(prints.groupBy("whole").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in (*PRINTS, "bands"))))
     prints = prints.drop("bands")
-    found = stored(links(nodes, ("print", "other"), radius, bands="bands"))
+    found = stored(links(nodes, PRINTS, radius, bands="bands"))
     released(spark)
     same = prints.join(nodes.select("whole", "node"), "whole").select("doc_id", "node")
     clusters = components(same.union(found)).toDF("doc_id", "label")
@@ -349,11 +355,11 @@ def near_kept(docs: DataFrame, least: float = 0.8, radius: int = 42, block: int
         mark, held = None, []
 
         def found() -> pa.RecordBatch:
-            ids, own, other, texts = zip(*held)
-            pairs = verified_links(list(ids), np.array([own, other], np.int64).T.view(np.uint64), list(texts), radius, least)
+            ids, *prints, texts = zip(*held)
+            pairs = verified_links(list(ids), np.ascontiguousarray(np.array(prints, np.int64).T).view(np.uint64), list(texts), radius, least)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-        for columns in rows_of(batches, "mark", "doc_id", "print", "other", "text"):
+        for columns in rows_of(batches, "mark", "doc_id", *PRINTS, "text"):
             for m, *row in zip(*columns):
                 if held and m != mark:
                     yield found()
@@ -364,7 +370,7 @@ def near_kept(docs: DataFrame, least: float = 0.8, radius: int = 42, block: int
             yield found()
 
     texts = docs.select("doc_id", whole_text().cast("binary").alias("text"))
-    dealt = in_blocks(members, "label", "doc_id", block).select("mark", "doc_id", "print", "other")
+    dealt = in_blocks(members, "label", "doc_id", block).select("mark", "doc_id", *PRINTS)
     rows = dealt.join(texts, "doc_id").repartition("mark").sortWithinPartitions("mark", "doc_id")
     classes = components(rows.mapInArrow(verify, "u bigint, v bigint"))
     gone = classes.where("node <> label").select(F.col("node").alias("__gone"))
