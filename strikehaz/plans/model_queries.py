@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strikehaz.operators import features, metrics, models, scoring, splits, targets
+from strikehaz.operators import explain, features, metrics, models, scoring, splits, targets
 from strikehaz.operators.species import species_risk
 from strikehaz.plans.registry import query
 from strikehaz.plans.strike_queries import labelled_raw
@@ -133,6 +133,13 @@ def local_contributions(spark, sf_dir):
     return models.local_contributions(model, encoder, test, train, "id")
 
 
+@query("tree_contributions")
+def tree_contributions(spark, sf_dir):
+    """Three largest Shapley contributions of the boosted trees for every test row."""
+    model, encoder, _, _, test = _gbt(spark, sf_dir)
+    return explain.tree_contributions(model, encoder, test, "id")
+
+
 @query("permutation_importance")
 def permutation_importance(spark, sf_dir):
     """AUC lost on validation when a column is shuffled, for every feature column."""
