@@ -7,9 +7,6 @@ rows (model, y, p); `by` names the model column or columns.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -226,88 +223,7 @@ def tune_threshold(pred: DataFrame, objective: str = "f1", y: str = "y", p: str
     ).select("threshold", F.lit(objective).alias("objective"), "score_at_threshold")
 
 
-# --- bootstrap -------------------------------------------------------------------
-
-def _poisson_steps() -> list[float]:
-    """Upper bounds of the Poisson(1) inverse distribution, as far as doubles tell them apart."""
-    term, total, out = math.exp(-1), 0.0, []
-    while total + term > total:
-        total += term
-        out.append(total)
-        term /= len(out)
-    return out
-
-
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) draw of a uniform number in [0, 1)."""
-    return F.size(F.filter(F.expr(_doubles(_poisson_steps())), lambda b: b <= u))
-
-
-def hashed_uniform(row_id: Column, resample: Column, seed: int = 42) -> Column:
-    """Uniform number fixed by (row, resample, seed): the same on every executor and retry."""
-    return F.pmod(F.xxhash64(row_id, resample, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-
-
-def bootstrap_ci(
-    pred: DataFrame, id_col: str, metric: str = "roc_auc", n_resamples: int = 500, confidence: float = 0.95,
-    variant: str = "full_sample", y: str = "y", p: str = "p", uniform: Callable[[Column, Column], Column] = hashed_uniform,
-) -> DataFrame:
-    """Percentile interval of a metric over Poisson resamples.
-
-    A row enters each resample with a Poisson(1) weight, the distributed form of
-    drawing with replacement; (resample, score) pairs are summed map-side before
-    they are shuffled.  One-class resamples are skipped.  `full_sample` reports
-    the metric of all rows; `resample_mean` reports the mean over resamples and
-    refuses (available = false) below 30 rows, 10 positives or half usable
-    resamples.
-    """
-    if metric not in ("roc_auc", "pr_auc", "brier"):
-        raise ValueError(f"Unknown bootstrap metric '{metric}'")
-    draws = F.transform(
-        F.sequence(F.lit(1), F.lit(n_resamples)),
-        lambda b: F.struct(b.alias("resample"), poisson_weight(uniform(F.col("_id"), b)).alias("w")),
-    )
-    kept = F.filter(draws, lambda d: d["w"] > 0)
-    # each row becomes hundreds, so the narrow input is dealt out evenly first
-    narrow = pred.select(F.col(id_col).alias("_id"), F.col(y).alias("y"), F.col(p).cast("double").alias("p")).hint("rebalance")
-    weighted = narrow.select("y", "p", F.inline(kept))
-    hist = score_histogram(weighted, "y", "p", ["resample"], weight="w")
-    per = _metric_by(hist, metric, ["resample"]).where(F.col("value").isNotNull())
-    alpha = 1 - confidence
-    spread = per.agg(
-        F.count("*").alias("n_resamples_used"), F.avg("value").alias("_mean"),
-        F.percentile("value", alpha / 2).alias("ci_low"), F.percentile("value", 1 - alpha / 2).alias("ci_high"),
-    )
-    whole = _metric_by(score_histogram(pred, y, p).withColumn("_all", F.lit(1)), metric, ["_all"])
-    size = pred.agg(F.struct(F.count("*").alias("n"), F.count_if(F.col(y) == 1).alias("pos")).alias("s")).scalar()
-    out = spread.withColumn("_point", whole.select("value").scalar()).withColumn("_s", size)
-    if variant == "full_sample":
-        available, point = F.col("n_resamples_used") > 0, F.col("_point")
-    elif variant == "resample_mean":
-        available = (F.col("_s.n") >= 30) & (F.col("_s.pos") >= 10) & (F.col("n_resamples_used") >= 0.5 * n_resamples)
-        point = F.col("_mean")
-    else:
-        raise ValueError(f"Unknown bootstrap variant '{variant}'")
-    return out.select(
-        F.lit(metric).alias("metric"), available.alias("available"),
-        *[F.when(available, c).alias(n) for n, c in (("point_estimate", point), ("ci_low", F.col("ci_low")), ("ci_high", F.col("ci_high")))],
-        F.lit(confidence).alias("confidence_level"), "n_resamples_used",
-    )
-
-
-def _metric_by(hist: DataFrame, metric: str, by: list[str]) -> DataFrame:
-    """(by, value) of one metric from a score histogram; one-class groups are null."""
-    both = (F.col("all_pos") > 0) & (F.col("all_neg") > 0)
-    if metric == "brier":
-        sums = hist.groupBy(*by).agg(
-            F.sum(F.col("pos") * F.pow(F.lit(1.0) - F.col("p"), 2) + F.col("neg") * F.pow("p", 2)).alias("_s"),
-            F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"),
-        )
-        return sums.select(*by, F.when(both, F.col("_s") / (F.col("all_pos") + F.col("all_neg"))).alias("value"))
-    table = running_totals(hist, ["p"], ["pos", "neg"], by)
-    auc, ap = _area_terms()
-    return table.groupBy(*by).agg(F.sum(F.when(both, auc if metric == "roc_auc" else ap)).alias("value"))
-
+# --- importances -----------------------------------------------------------------
 
 def grouped_importance(per_column: DataFrame, conceptual: list[str], value_col: str, feature_col: str = "feature") -> DataFrame:
     """Dummy-column importances summed (absolute) per original column, longest prefix first."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strikehaz.operators import features, metrics, scoring, splits
+from strikehaz.operators import bootstrap, features, metrics, scoring, splits
 from strikehaz.plans.registry import query
 from strikehaz.plans.strike_queries import NORMALISED, labelled_raw
 from strikehaz.plans.views import table, view, with_views
@@ -283,7 +283,7 @@ def _lcg(row_id, resample):
     return F.pmod(row_id * 1103515245 + resample * 12345, F.lit(2147483648)) / 2147483648.0
 
 
-_STEPS = metrics._poisson_steps()
+_STEPS = bootstrap._poisson_bounds()
 _BOOT = SCORES + f""", d AS (SELECT b, y, p, CAST(len(list_filter([{', '.join(repr(x) for x in _STEPS)}], lambda q: q <= ((id * 1103515245 + b * 12345) % 2147483648) / 2147483648e0)) AS BIGINT) AS w FROM s CROSS JOIN range(1, 501) t(b)),
 h AS (SELECT b, p, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM d WHERE w > 0 GROUP BY 1, 2),
 c AS (SELECT b, pos, neg, coalesce(sum(neg) OVER (PARTITION BY b ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bn, sum(pos) OVER (PARTITION BY b) AS ap, sum(neg) OVER (PARTITION BY b) AS an FROM h),
@@ -295,14 +295,44 @@ v AS (SELECT b, sum(pos * (bn + neg / 2) / (ap * an)) AS value FROM c GROUP BY 1
 SELECT 'roc_auc' AS metric, true AS available, round(max(auc), 9) AS point_estimate, round(quantile_cont(value, 25e-3), 9) AS ci_low, round(quantile_cont(value, 975e-3), 9) AS ci_high, 95e-2 AS confidence_level, count(value) AS n_resamples_used FROM v, a""")
 def bootstrap_ci(spark, sf_dir):
     """Percentile interval of the AUC over 500 Poisson resamples with arithmetic draws."""
-    out = metrics.bootstrap_ci(scored(spark, sf_dir), "id", "roc_auc", n_resamples=500, uniform=_lcg)
+    out = bootstrap.bootstrap_ci(scored(spark, sf_dir), "id", "roc_auc", n_resamples=500, uniform=_lcg)
     return out.withColumns({c: F.round(c, 9) for c in ("point_estimate", "ci_low", "ci_high")})
 
 
-@query("bootstrap_brier")
+_MEANS = _BOOT.split("h AS (SELECT b, p")[0].rstrip().rstrip(",")
+_REFUSED = """, k AS (SELECT count(*) >= 30 AND sum(y) >= 10 AS enough FROM s), u AS (SELECT enough AND count(value) >= 250 AS available, avg(value) AS mean, quantile_cont(value, 25e-3) AS low, quantile_cont(value, 975e-3) AS high,
+  count(value) AS used FROM v, k GROUP BY enough)
+SELECT '{name}' AS metric, available, CASE WHEN available THEN round(mean, 9) END AS point_estimate, CASE WHEN available THEN round(low, 9) END AS ci_low, CASE WHEN available THEN round(high, 9) END AS ci_high,
+  95e-2 AS confidence_level, used AS n_resamples_used FROM u"""
+
+
+def _resample_mean(spark, sf_dir, metric):
+    out = bootstrap.bootstrap_ci(scored(spark, sf_dir), "id", metric, n_resamples=500, variant="resample_mean", uniform=_lcg)
+    return out.withColumns({c: F.round(c, 9) for c in ("point_estimate", "ci_low", "ci_high")})
+
+
+@query("bootstrap_brier", _MEANS + ", v AS (SELECT b, sum(w * pow(y - p, 2)) / sum(w) AS value FROM d GROUP BY b HAVING sum(w * y) > 0 AND sum(w * (1 - y)) > 0)" + _REFUSED.format(name="brier"))
 def bootstrap_brier(spark, sf_dir):
-    """Resample-mean variant with its refusal rules, hashed draws."""
-    return metrics.bootstrap_ci(scored(spark, sf_dir), "id", "brier", n_resamples=500, variant="resample_mean")
+    """Resample-mean variant with its refusal rules, arithmetic draws."""
+    return _resample_mean(spark, sf_dir, "brier")
+
+
+@query("bootstrap_pr_auc", _MEANS + """, h AS (SELECT b, p, sum(w * y) AS pos, sum(w) AS n FROM d GROUP BY 1, 2),
+c AS (SELECT b, pos, sum(pos) OVER (PARTITION BY b ORDER BY p DESC) AS tp, sum(n) OVER (PARTITION BY b ORDER BY p DESC) AS cn, sum(pos) OVER (PARTITION BY b) AS allp, sum(n) OVER (PARTITION BY b) AS alln FROM h),
+v AS (SELECT b, sum(CASE WHEN pos > 0 THEN pos / allp * tp / cn ELSE 0 END) AS value FROM c WHERE allp > 0 AND alln > allp GROUP BY b)""" + _REFUSED.format(name="pr_auc"))
+def bootstrap_pr_auc(spark, sf_dir):
+    """Average precision over the resamples."""
+    return _resample_mean(spark, sf_dir, "pr_auc")
+
+
+@query("bootstrap_own_metric", _MEANS + ", v AS (SELECT b, sum(w * y * p) / sum(w * y) - sum(w * (1 - y) * p) / sum(w * (1 - y)) AS value FROM d GROUP BY b HAVING sum(w * y) > 0 AND sum(w * (1 - y)) > 0)" + _REFUSED.format(name="score_gap"))
+def bootstrap_own_metric(spark, sf_dir):
+    """A caller's own metric: how much higher the mean score of damaged rows is (F1)."""
+
+    def score_gap(p, pos, neg, below_pos, below_neg, all_pos, all_neg):
+        return (p[:, None] * (pos / all_pos - neg / all_neg)).sum(axis=0)
+
+    return _resample_mean(spark, sf_dir, score_gap)
 
 
 @query("risk_bands", SCORES.replace(", s AS (SELECT * FROM v_scores WHERE y IS NOT NULL)", "") + """

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strikehaz.operators import eda, metrics, ordered, splits
+from strikehaz.operators import bootstrap, eda, metrics, ordered, splits
 
 
 def _frame(spark, rows):
@@ -94,13 +94,66 @@ def test_calibration_edge_goes_down(spark):
 
 def test_bootstrap(spark):
     df = _frame(spark, _rows(300, 9))
-    got = metrics.bootstrap_ci(df, "id", "roc_auc", n_resamples=80).first()
+    got = bootstrap.bootstrap_ci(df, "id", "roc_auc", n_resamples=80).first()
     assert got.ci_low < got.point_estimate < got.ci_high and got.n_resamples_used == 80
-    assert metrics.bootstrap_ci(df, "id", "roc_auc", n_resamples=80).first() == got  # fixed by row and resample
-    few = metrics.bootstrap_ci(_frame(spark, _rows(20, 3)), "id", "brier", 20, variant="resample_mean").first()
+    assert bootstrap.bootstrap_ci(df, "id", "roc_auc", n_resamples=80).first() == got  # fixed by row and resample
+    few = bootstrap.bootstrap_ci(_frame(spark, _rows(20, 3)), "id", "brier", 20, variant="resample_mean").first()
     assert few.available is False and few.point_estimate is None
 
 
+def _plain_resamples(df, name, n):
+    """The metric of all rows and of every resample, row by row."""
+    draws = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda b: bootstrap.poisson_weight(bootstrap.hashed_uniform(F.col("id"), b)))
+    out = []
+    rows = df.select("y", "p", F.concat(F.array(F.lit(1)), draws).alias("w")).collect()
+    for b in range(n + 1):
+        held = [(r.p, 1 if r.y == 1 else 0, r.w[b]) for r in rows]
+        pos, neg = sum(w for _, y, w in held if y), sum(w for _, y, w in held if not y)
+        if not pos or not neg:
+            out.append(None)
+        elif name == "roc_auc":
+            out.append(sum(w * v * ((p > q) + (p == q) / 2) for p, y, w in held if y for q, z, v in held if not z) / (pos * neg))
+        elif name == "pr_auc":
+            total = 0.0
+            for p, y, w in held:
+                if y and w:
+                    above = [(z, v) for q, z, v in held if q >= p]
+                    total += w / pos * sum(v for z, v in above if z) / sum(v for _, v in above)
+            out.append(total)
+        else:
+            out.append(sum(w * (p - y) ** 2 for p, y, w in held) / (pos + neg))
+    return out
+
+
+@pytest.mark.parametrize("name", ["roc_auc", "pr_auc", "brier"])
+@pytest.mark.parametrize("slice_rows", [7, 10_000])
+def test_bootstrap_equals_row_by_row(spark, name, slice_rows):
+    tied = [(y, 0.5) for y in (0, 1, 1, 0, 0) * 9]  # one score held by a third of the rows, over many slices
+    df = _frame(spark, _rows(90, 4) + tied)
+    values, rows, positives = bootstrap.resampled(df, "id", name, 12, slice_rows=slice_rows)
+    want = _plain_resamples(df, name, 12)
+    assert (rows, positives) == (135, df.where("y = 1").count())
+    assert all((w is None and math.isnan(v)) or abs(v - w) < 1e-12 for v, w in zip(values, want))
+
+
+def test_bootstrap_of_a_callers_metric_and_edge_tables(spark):
+    def positives_share(p, pos, neg, below_pos, below_neg, all_pos, all_neg):
+        return pos.sum(axis=0) / (all_pos + all_neg)
+
+    df = _frame(spark, _rows(200, 5))
+    got = bootstrap.bootstrap_ci(df, "id", positives_share, 50, slice_rows=30).first()
+    assert got.metric == "positives_share" and got.ci_low < got.point_estimate < got.ci_high
+    assert abs(got.point_estimate - df.where("y = 1").count() / df.count()) < 1e-12
+    for odd in (df.where("false"), df.where("y = 1"), df.limit(1)):
+        row = bootstrap.bootstrap_ci(odd, "id", "roc_auc", 10).first()
+        assert row.available is False and row.point_estimate is None and row.n_resamples_used == 0
+    holes = spark.createDataFrame([(None, 1, None), (2, None, 0.5), (3, 0, float("nan")), (3, 1, 0.2)] * 20, "id int, y int, p double")
+    for name in bootstrap.METRICS:
+        assert bootstrap.bootstrap_ci(holes, "id", name, 20, slice_rows=9).first().available
+    with pytest.raises(ValueError):
+        bootstrap.bootstrap_ci(df, "id", "kappa", 10)
+
+
 def test_chronological_split(spark, sliced):
     rows = [(i, f"2020-{1 + i % 3:02d}-01") for i in range(100)] + [(1000, None)]
     df = spark.createDataFrame(rows, "id long, d string")
