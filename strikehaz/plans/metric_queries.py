@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strikehaz.functions.coerce import number
 from strikehaz.operators import bootstrap, features, metrics, scoring, splits
 from strikehaz.plans.registry import query
 from strikehaz.plans.strike_queries import NORMALISED, labelled_raw
@@ -84,17 +85,20 @@ def rare_categories(spark, sf_dir):
     )
 
 
+_RAW_TEXT = [raw for field, raw in scoring.fv.SCENARIO_RAW.items() if field not in scoring.fv.SCENARIO_NUMERIC]
+_RAW_NUMBERS = [scoring.fv.SCENARIO_RAW[field] for field in scoring.fv.SCENARIO_NUMERIC]
+
+
 @query("seen_and_ranges", with_views("raw") + """,
 t AS (SELECT * FROM v_raw WHERE TRY_CAST(INCIDENT_YEAR AS INT) <= 2022), r AS (SELECT * FROM t WHERE TRY_CAST(INCIDENT_YEAR AS INT) <= 2019)
-SELECT DISTINCT 'SKY' AS "column", upper(SKY) AS value, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high FROM t
-UNION ALL SELECT DISTINCT 'TYPE_ENG', upper(TYPE_ENG), NULL, NULL FROM t WHERE TYPE_ENG IS NOT NULL
-UNION ALL SELECT 'HEIGHT', NULL, min(TRY_CAST(HEIGHT AS DOUBLE)), max(TRY_CAST(HEIGHT AS DOUBLE)) FROM r
-UNION ALL SELECT 'SPEED', NULL, min(TRY_CAST(SPEED AS DOUBLE)), max(TRY_CAST(SPEED AS DOUBLE)) FROM r""")
+""" + " UNION ALL ".join(f"""SELECT DISTINCT '{c}' AS "column", upper({c}) AS value, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high FROM t WHERE {c} IS NOT NULL""" for c in _RAW_TEXT)
+       + "".join(f" UNION ALL SELECT '{c}', NULL, min(TRY_CAST({c} AS DOUBLE)), max(TRY_CAST({c} AS DOUBLE)) FROM r" for c in _RAW_NUMBERS))
 def seen_and_ranges(spark, sf_dir):
-    """Categories seen in training or validation and numeric training ranges."""
+    """Categories seen in training or validation and numeric training ranges, every field of each kind."""
     rows = splits.year_split(labelled_raw(spark, sf_dir), "INCIDENT_YEAR")
-    seen = splits.seen_categories(rows.where("split <> 'test'"), ["SKY", "TYPE_ENG"])
-    ranges = splits.numeric_ranges(rows.where("split = 'train'"), ["HEIGHT", "SPEED"])
+    seen = splits.seen_categories(rows.where("split <> 'test'"), _RAW_TEXT)
+    numbers = rows.where("split = 'train'").withColumns({c: number(c) for c in _RAW_NUMBERS})
+    ranges = splits.numeric_ranges(numbers, _RAW_NUMBERS)
     none = F.lit(None)
     return seen.select("column", "value", none.cast("double").alias("low"), none.cast("double").alias("high")).unionByName(
         ranges.select("column", none.cast("string").alias("value"), "low", "high")
@@ -350,26 +354,30 @@ def scenario_rows(spark, sf_dir):
     return core.select(F.col("INDEX_NR").alias("scenario_id"), *fields)
 
 
-@query("scenario_validity", with_views("raw") + """,
-t AS (SELECT *, TRY_CAST(INCIDENT_YEAR AS INT) AS yr FROM v_raw), tv AS (SELECT * FROM t WHERE yr <= 2022), r AS (SELECT * FROM t WHERE yr <= 2019),
-l AS (SELECT min(TRY_CAST(HEIGHT AS DOUBLE)) AS h0, max(TRY_CAST(HEIGHT AS DOUBLE)) AS h1, min(TRY_CAST(SPEED AS DOUBLE)) AS s0, max(TRY_CAST(SPEED AS DOUBLE)) AS s1 FROM r),
-p AS (SELECT INDEX_NR AS id, 'height_agl_ft: missing' AS v FROM v_raw WHERE TRY_CAST(HEIGHT AS DOUBLE) IS NULL
-UNION ALL SELECT INDEX_NR, 'speed_ias_knots: missing' FROM v_raw WHERE TRY_CAST(SPEED AS DOUBLE) IS NULL
-UNION ALL SELECT INDEX_NR, 'engine_count: missing' FROM v_raw WHERE TRY_CAST(NUM_ENGS AS DOUBLE) IS NULL
-UNION ALL SELECT INDEX_NR, 'month: missing' FROM v_raw WHERE INCIDENT_MONTH IS NULL
-UNION ALL SELECT INDEX_NR, 'height_agl_ft: outside training range' FROM v_raw, l WHERE TRY_CAST(HEIGHT AS DOUBLE) < h0 OR TRY_CAST(HEIGHT AS DOUBLE) > h1
-UNION ALL SELECT INDEX_NR, 'speed_ias_knots: outside training range' FROM v_raw, l WHERE TRY_CAST(SPEED AS DOUBLE) < s0 OR TRY_CAST(SPEED AS DOUBLE) > s1
-UNION ALL SELECT INDEX_NR, 'aircraft_type: never seen in training' FROM v_raw WHERE AIRCRAFT NOT IN (SELECT AIRCRAFT FROM r)
-UNION ALL SELECT INDEX_NR, 'engine_type: never seen in training' FROM v_raw WHERE TYPE_ENG IS NOT NULL AND TYPE_ENG NOT IN (SELECT TYPE_ENG FROM r WHERE TYPE_ENG IS NOT NULL)),
+def _scenario_sql() -> str:
+    """One line per field: numbers missing or out of the training range, categories no training row has."""
+    raw = dict(scoring.fv.SCENARIO_RAW)
+    number_of = {f: f"TRY_CAST({raw[f]} AS DOUBLE)" for f in scoring.fv.SCENARIO_NUMERIC}
+    text_of = {f: f"coalesce({raw[f]}, 'NONE')" if f == "engine_position_secondary" else raw[f] for f in scoring.TEXT_FIELDS}
+    limits = ", ".join(f"min({x}) AS {f}_0, max({x}) AS {f}_1" for f, x in number_of.items())
+    lines = [f"SELECT INDEX_NR AS id, '{f}: missing' AS v FROM v_raw WHERE {x} IS NULL" for f, x in number_of.items()]
+    lines += [f"SELECT INDEX_NR, '{f}: outside training range' FROM v_raw, l WHERE {x} < {f}_0 OR {x} > {f}_1" for f, x in number_of.items()]
+    lines += [f"SELECT INDEX_NR, '{f}: never seen in training' FROM v_raw WHERE {x} IS NOT NULL AND {x} NOT IN (SELECT {x} FROM r WHERE {x} IS NOT NULL)" for f, x in text_of.items()]
+    return with_views("raw") + f""",
+t AS (SELECT *, TRY_CAST(INCIDENT_YEAR AS INT) AS yr FROM v_raw), r AS (SELECT * FROM t WHERE yr <= 2019),
+l AS (SELECT {limits} FROM r), p AS ({" UNION ALL ".join(lines)}),
 g AS (SELECT id, count(*) AS n, string_agg(v, '; ' ORDER BY v) AS vs FROM p GROUP BY 1)
-SELECT INDEX_NR AS scenario_id, n IS NULL AS is_valid, coalesce(n, 0) AS n_violations, coalesce(vs, '') AS violations FROM v_raw LEFT JOIN g ON id = INDEX_NR""")
+SELECT INDEX_NR AS scenario_id, n IS NULL AS is_valid, coalesce(n, 0) AS n_violations, coalesce(vs, '') AS violations FROM v_raw LEFT JOIN g ON id = INDEX_NR"""
+
+
+@query("scenario_validity", _scenario_sql())
 def scenario_validity(spark, sf_dir):
-    """Whole scenario table against categories and ranges of the training rows."""
+    """Whole scenario table against categories and ranges of the training rows, every field."""
     rows = splits.year_split(labelled_raw(spark, sf_dir), "INCIDENT_YEAR").where("split = 'train'")
     train = features.operational_core(rows).frame
-    seen = splits.seen_categories(train, ["aircraft_type", "engine_type"])
-    ranges = splits.numeric_ranges(train, ["height_agl_ft", "speed_ias_knots"])
-    return scoring.scenario_violations(scenario_rows(spark, sf_dir), seen, ranges, checked=["aircraft_type", "engine_type"])
+    seen = splits.seen_categories(train, scoring.TEXT_FIELDS)
+    ranges = splits.numeric_ranges(train, scoring.fv.SCENARIO_NUMERIC)
+    return scoring.scenario_violations(scenario_rows(spark, sf_dir), seen, ranges)
 
 
 @query("scenario_raw_rows", with_views("raw") + "SELECT INDEX_NR AS scenario_id, AIRCRAFT, ENG_2_POS, TRY_CAST(HEIGHT AS DOUBLE) AS HEIGHT FROM v_raw")

@@ -25,7 +25,7 @@ SELECT airport_id, site_id, round(distance_km, 3) AS distance_km, CASE WHEN reg1
   CASE WHEN reg1 = reg2 THEN CASE reg1 WHEN 'conus' THEN 'EPSG:5070' ELSE 'EPSG:3035' END END AS crs FROM pairs""")
 def pair_distance(spark, sf_dir):
     """Distance, method and CRS of every airport-site pair that occurs in the orders."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     met = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
     airports = view(spark, sf_dir, "airports").select("airport_id", geo.placed("longitude", "latitude").alias("_a"))
@@ -117,7 +117,7 @@ e AS (SELECT cell_a, cell_b, {_center_sql('cell_a', 1)}, {_center_sql('cell_b',
 SELECT cell_a, cell_b, round(geodesic_km, 3) AS distance_km FROM g""")
 def cell_distances(spark, sf_dir):
     """Geodesic kilometres between the cells of each order's airport and supplier site."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     a = view(spark, sf_dir, "airports").select(F.col("airport_id").alias("o_custkey"), geo.cell("latitude", "longitude").alias("cell_a"))
     s = view(spark, sf_dir, "sites").select(F.col("site_id").alias("l_suppkey"), geo.cell("latitude", "longitude").alias("cell_b"))

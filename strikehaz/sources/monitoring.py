@@ -118,7 +118,9 @@ def annual_species(lines: DataFrame) -> DataFrame:
     figures = F.array_append(F.slice(w, named + 1, years + 1), _from_right(w, 4))
     whole = _all_whole(F.concat(figures, F.array(_from_right(w, 3), _from_right(w, 2))))
     fits = (named > 1) & F.get(w, F.lit(0)).rlike(r"^\d+$") & _from_right(w, 1).rlike(r"^\(\d{4}\)$") & _from_right(w, 5).rlike(r"^[\d.]+$")
-    rows = lines.withColumn("_w", _words(F.col("line"))).where(F.when(fits, whole))
+    # through `inline` the words are a column of their own; as an expression every reading of them would split the line again
+    split = lines.select("*", F.inline(F.array(F.struct(_words(F.col("line")).alias("_w")))))
+    rows = split.where(F.when(fits, whole))
     return rows.select(
         F.array_join(F.slice(w, 2, named - 1), " ").alias("species"),
         *[_from_right(w, tail + years - i).try_cast("bigint").alias(f"year_{y}") for i, y in enumerate(YEARS)],
