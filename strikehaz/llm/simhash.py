@@ -257,6 +257,31 @@ def links(nodes: DataFrame, columns: tuple[str, ...] = ("print",), radius: int =
     return marked.repartition("mark").sortWithinPartitions("mark", "node").mapInArrow(compare, "u bigint, v bigint")
 
 
+def hooked(found: DataFrame) -> DataFrame:
+    """Distinct links (u < v) with the components of those found: every node hangs on its smallest neighbour, whose other neighbours hang on that one.
+
+    Copies meet under many keys, each time below another small node; those few small nodes are then
+    linked to each other instead of to all copies.  A node has at most some links for each of its keys, so no task gathers a hub.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, top = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u, v = batch.column("u").to_numpy(), batch.column("v").to_numpy()
+            first = np.concatenate([[v[0] != node], v[1:] != v[:-1]])
+            tops = u[np.maximum.accumulate(np.where(first, np.arange(len(u)), 0))]
+            if not first[0]:  # the node goes on from the batch before
+                tops[: int(first.argmax()) if first.any() else len(u)] = top
+            pairs = np.stack([tops, np.where(first, v, u)], 1)
+            pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+            node, top = v[-1], tops[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["u", "v"])
+
+    return found.repartition("v").sortWithinPartitions("v", "u").mapInArrow(run, "u bigint, v bigint").distinct()
+
+
 def in_blocks(rows: DataFrame, group: str, member: str, most: int) -> DataFrame:
     """Rows with the column `mark`; any two members of a group share a mark.
 
@@ -343,7 +368,7 @@ def near_kept(docs: DataFrame, least: float = 0.8, radius: int = 54, block: int
     for_python(docs, 100_000)
     nodes = stored(prints.groupBy("whole").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in (*PRINTS, "bands"))))
     prints = prints.drop("bands")
-    found = stored(links(nodes, PRINTS, radius, bands="bands"))
+    found = stored(hooked(links(nodes, PRINTS, radius, bands="bands")))
     released(spark)
     same = prints.join(nodes.select("whole", "node"), "whole").select("doc_id", "node")
     clusters = components(same.union(found)).toDF("doc_id", "label")

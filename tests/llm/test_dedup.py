@@ -149,6 +149,16 @@ def test_recall_of_near_copies(spark):
     assert min(found) >= 0.995
 
 
+def test_hooked_links_have_the_same_components(spark):
+    rng = np.random.default_rng(8)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2)) if a < b} | {(int(a), int(b)) for a in range(500, 505) for b in range(505, 900, 3)}
+    links = spark.createDataFrame(sorted(pairs), "u bigint, v bigint").repartition(5)
+    fewer = simhash.hooked(links)
+    assert sorted(components(fewer).collect()) == sorted(components(links).collect())
+    assert fewer.count() < len(pairs) / 2 and fewer.where("u >= v").count() == 0
+    assert simhash.hooked(links.where("false")).count() == 0
+
+
 def test_components_of_a_long_path(spark):
     path = spark.createDataFrame([(k, k + 1) for k in range(1, 60)] + [(100, 101), (7, 7)], "u bigint, v bigint")
     assert {(r.node, r.label) for r in components(path).collect()} == {(k, 1) for k in range(1, 61)} | {(100, 100), (101, 100)}
