@@ -46,8 +46,12 @@ class WaveletMatrix:
         return self._walk(wanted, ends) - self.start[wanted]
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Order of all suffixes by prefix doubling; zeros are separators that differ from one another."""
+def suffix_array(text: np.ndarray, context: int | None = None) -> np.ndarray:
+    """Order of all suffixes by prefix doubling; zeros are separators that differ from one another.
+
+    With `context`, at least the first `context` symbols are ordered and ties are left as they come: the intervals of
+    patterns up to that length are the same, since a step in front only asks how many suffixes come before.
+    """
     size = len(text)
     separators = text == 0
     rank = np.where(separators, np.cumsum(separators) - 1, text + int(separators.sum()))
@@ -58,17 +62,20 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         order = np.argsort(keys)
         ordered = keys[order]
         fresh = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        if fresh[-1] == size - 1:
+        span *= 2
+        if fresh[-1] == size - 1 or (context is not None and span >= context):
             return order
         rank = np.empty(size, np.int64)
         rank[order] = fresh
-        span *= 2
 
 
 class FMIndex:
-    """Backward search over many sequences of positive numbers, which separators keep apart."""
+    """Backward search over many sequences of positive numbers, which separators keep apart.
+
+    `context` bounds the length of the patterns that will be asked for; None allows any length.
+    """
 
-    def __init__(self, sequences: list[np.ndarray], symbols: int):
+    def __init__(self, sequences: list[np.ndarray], symbols: int, context: int | None = None):
         lengths = np.array([len(s) for s in sequences], np.int64)
         self.ends = np.cumsum(lengths + 1) - 1  # places of the separators
         self.lengths = lengths
@@ -76,7 +83,7 @@ class FMIndex:
         inside = np.ones(len(self.text), bool)
         inside[self.ends] = False
         self.text[inside] = np.concatenate(sequences)
-        self.order = suffix_array(self.text)
+        self.order = suffix_array(self.text, context)
         self.wavelet = WaveletMatrix(self.text[self.order - 1], symbols + 1)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=symbols + 1))])
 

@@ -41,6 +41,12 @@ def anchors(words: list[bytes], window: int) -> np.ndarray:
     return least
 
 
+def stretch_counts(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct anchors of a document and the number of stretches of each."""
+    starts = np.concatenate([[True], found[1:] != found[:-1]])[: len(found)]
+    return np.unique(found[starts], return_counts=True)
+
+
 def stretches(found: np.ndarray, wanted: np.ndarray, hot: np.ndarray) -> list[tuple[int, int, int, bool]]:
     """(anchor, first window, number of windows, hot) of the stretches whose anchor is wanted; `wanted` is sorted."""
     if not len(found) or not len(wanted):
@@ -69,15 +75,16 @@ def _table(kinds: list[tuple[str, pa.DataType]], rows: list[tuple], names: list[
 
 
 def _shared_anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, doc_id) of the anchors that at least two documents have, once for each document."""
+    """(anchor, doc_id, n) of the anchors that at least two documents have, once for each document, with its number of stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in rows_of(batches, "doc_id", "text"):
-            own = [np.unique(anchors(t.split(), window)) for t in texts]
+            own, counts = zip(*(stretch_counts(anchors(t.split(), window)) for t in texts))
             repeated = np.repeat(np.array(ids, np.int64), [len(a) for a in own])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(repeated)], ["anchor", "doc_id"])
+            columns = [pa.array(np.concatenate(own).view(np.int64)), pa.array(repeated), pa.array(np.concatenate(counts).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "doc_id", "n"])
 
-    pairs = stored_table(for_python(docs.where("doc_id IS NOT NULL")).mapInArrow(run, "anchor bigint, doc_id bigint"))
+    pairs = stored_table(for_python(docs.where("doc_id IS NOT NULL")).mapInArrow(run, "anchor bigint, doc_id bigint, n int"))
     several = pairs.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     shared = stored_table(pairs.join(several, "anchor"))
     released(docs.sparkSession, pairs)
@@ -101,7 +108,7 @@ def _cut(docs: DataFrame, shared: DataFrame, window: int, keep: bool) -> DataFra
     stretch of a document, by anchor and hash code.  words set: the words of a stretch, once
     for each task that met it, doc_id being the smallest one there.
     """
-    hot = shared.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot"))
+    hot = shared.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot"))
     wanted = (
         shared.join(hot, "anchor", "left").groupBy(F.col("doc_id").alias("id"))
         .agg(F.collect_list("anchor").alias("wanted"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
@@ -167,7 +174,7 @@ def first_owners(texts: list[bytes], owners: np.ndarray, window: int) -> tuple[n
     """The smallest owner of any text that holds a window, for all windows of all texts in order, and how many each text has."""
     numbers: dict[bytes, int] = {}
     sequences = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in t.split(b" ")], np.int64) for t in texts]
-    index = FMIndex(sequences, len(numbers))
+    index = FMIndex(sequences, len(numbers), context=window)
     low, high = index.matching(window)
     owner_at = np.repeat(owners, index.lengths + 1)[index.order]
     found = low >= 0

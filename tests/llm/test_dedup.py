@@ -191,6 +191,26 @@ def test_substring_dedup_equals_brute_force(edge_docs, real_docs, no_docs, monke
     assert substring_dedup.without_repeats(no_docs).count() == 0
 
 
+def test_anchor_in_many_surroundings(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 30)
+    rng = np.random.default_rng(3)
+    lines = [f"the same {k} words" for k in range(20_000)]
+    line = min(lines, key=lambda t: int(substring_dedup.anchors(t.encode().split(), 4)[0]))  # least hash: the anchor of all windows around it
+    rows = []
+    for doc_id in range(12):
+        parts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 12)) for _ in range(5)]
+        rows.append((doc_id, f" {line} ".join(parts)))
+    rows.append((12, "other start " + rows[4][1] + " other end"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    shared = substring_dedup._shared_anchors(docs, 13)
+    top = shared.groupBy("anchor").agg(F.count("*").alias("docs"), F.sum("n").alias("n")).orderBy(F.desc("n")).first()
+    assert top.docs <= 13 < 30 < top.n
+    for hot in (30, 10**6):
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
+        got = substring_dedup.without_repeats(docs, keep=False).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, _without_repeats(rows, 13)))
+
+
 def test_substring_dedup_returns_texts_and_spans(spark):
     shared = " ".join(f"s{k}" for k in range(15))
     docs = spark.createDataFrame([(1, f"a b {shared} c"), (2, f"x {shared} y z"), (3, "short")], "doc_id bigint, text string")
@@ -214,3 +234,13 @@ def test_index_parts():
     for start, s in zip(starts, sequences):
         for k in range(len(s) - 4):
             assert high[start + k] - low[start + k] == windows[tuple(s[k : k + 5])]
+
+
+def test_bounded_context_gives_the_same_intervals():
+    rng = np.random.default_rng(5)
+    sequences = [rng.integers(1, 4, n) for n in rng.integers(3, 60, 40)]
+    whole, bounded = FMIndex(sequences, 3), FMIndex(sequences, 3, context=5)
+    assert not np.array_equal(whole.order, bounded.order)
+    for size in (3, 5):
+        for a, b in zip(whole.matching(size), bounded.matching(size)):
+            assert np.array_equal(a, b)
