@@ -172,8 +172,10 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def first_owners(texts: list[bytes], owners: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """The smallest owner of any text that holds a window, for all windows of all texts in order, and how many each text has."""
-    numbers: dict[bytes, int] = {}
-    sequences = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in t.split(b" ")], np.int64) for t in texts]
+    words = b" ".join(texts).split(b" ")
+    numbers = {w: k for k, w in enumerate(dict.fromkeys(words), 1)}
+    codes = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+    sequences = np.split(codes, np.cumsum([t.count(b" ") + 1 for t in texts])[:-1])
     index = FMIndex(sequences, len(numbers), context=window)
     low, high = index.matching(window)
     owner_at = np.repeat(owners, index.lengths + 1)[index.order]
