@@ -99,6 +99,14 @@ def placed(lon: str, lat: str) -> Column:
     )
 
 
+def planar(region_name: str, lon: str, lat: str) -> Column:
+    """struct(x, y) in the plane of the region named by a column, for points outside its box as well."""
+    (ax, ay), (lx, ly) = _albers(lon, lat), _laea(lon, lat)
+    return F.expr(
+        f"named_struct('x', CASE {region_name} WHEN 'conus' THEN {ax} WHEN 'europe' THEN {lx} END, "
+        f"'y', CASE {region_name} WHEN 'conus' THEN {ay} WHEN 'europe' THEN {ly} END)")
+
+
 def great_circle(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
     """Haversine kilometres on the mean sphere as SQL; used for candidate bounds only."""
     h = (

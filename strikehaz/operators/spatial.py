@@ -146,6 +146,10 @@ def _depth(n_spots: int) -> tuple[float, ...]:
     return (*[size for i, (_, size) in enumerate(steps) if i == 0 or n_spots > steps[i - 1][0]], *([0.001] if n_spots > steps[-1][0] else []))
 
 
+REGION_KM = 7000.0  # no two points of a region are that far apart
+SPHERE = 1.006  # margin of great circles against the ellipsoid
+
+
 def _tree_key(lon: Column, lat: Column, size: float) -> Column:
     return F.floor((lat + 90) / size) * int(360 / size + 1) + F.floor((lon + 180) / size)
 
@@ -206,7 +210,7 @@ def branch_and_bound(
     tree depth follows the number of spots.
 
     `spots`: _slon, _slat, _sid and whatever `exact` reads to add `_d`;
-    `slack_km` is how much nearer than its anchor (_slon, _slat) a spot can be.
+    `slack_km` is how much nearer or farther than its anchor (_slon, _slat) a spot can be.
     """
     p = spread(points.where(on_globe(F.col("lat"), F.col("lon"))).distinct(), "lon", "lat")
     levels = levels or _depth(spots.count())
@@ -223,13 +227,16 @@ def branch_and_bound(
 
     def bounded(size: float) -> Column:
         inner = geo.KM_PER_DEGREE * size * 0.7072 + slack_km
-        low = f"({_arc('m.c')} - {inner}D) / {geo.MARGIN}D - 0.001D"
-        high = f"{_arc('m.r')} * {geo.MARGIN}D + 0.001D"
-        return F.expr(f"transform(_cells, m -> named_struct('key', m.key, 'low', {low}, 'high', {high}))")
+        # planar distances occur inside a region only, so far pairs and points outside the regions have the narrow margin
+        reach = f"named_struct('key', m.key, 'c', {_arc('m.c')} - {inner}D, 'r', {_arc('m.r')})"
+        margin = f"CASE WHEN _inside AND b.%s < {REGION_KM}D THEN {geo.MARGIN}D ELSE {SPHERE}D END"
+        low, high = f"b.c / ({margin % 'c'}) - 0.001D", f"b.r * ({margin % 'r'}) + {slack_km + 0.001}D"
+        return F.expr(f"transform(transform(_cells, m -> {reach}), b -> named_struct('key', b.key, 'low', {low}, 'high', {high}))")
 
     here = Window.partitionBy("lon", "lat")
-    ux, uy, uz = [f"_u{axis}" for axis in "xyz"]  # plain columns: struct fields would be recomputed per cell
-    state = p.withColumns({n: F.expr(e) for n, e in zip((ux, uy, uz), _axes("lon", "lat"))}).withColumn("_cells", children(0).scalar())
+    own = ["_ux", "_uy", "_uz", "_inside"]  # plain columns: struct fields would be recomputed per cell
+    state = p.withColumns({n: F.expr(e) for n, e in zip(own, _axes("lon", "lat"))}).withColumn("_inside", geo.region("lon", "lat").isNotNull())
+    state = state.withColumn("_cells", children(0).scalar())
     for level, size in enumerate(levels):
         if level:
             state = state.join(children(level), keys[:level])
@@ -237,8 +244,8 @@ def branch_and_bound(
         if level:
             state = state.withColumn("_best", F.min("_best").over(here))
         alive = F.expr("filter(_cells, c -> c.low <= _best)")
-        state = state.select("lon", "lat", ux, uy, uz, *keys[:level], F.explode(alive).alias("_cell"))
-        state = state.select("lon", "lat", ux, uy, uz, *keys[:level], F.col("_cell.key").alias(keys[level]))
+        state = state.select("lon", "lat", *own, *keys[:level], F.explode(alive).alias("_cell"))
+        state = state.select("lon", "lat", *own, *keys[:level], F.col("_cell.key").alias(keys[level]))
     pairs = exact(state.join(spots, keys))
     return pairs.groupBy("lon", "lat").agg(F.min(F.struct(F.col("_d").alias("d"), F.col("_sid").alias("id"))).alias("_hit"))
 

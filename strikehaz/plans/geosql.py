@@ -19,7 +19,7 @@ def region(lon: str, lat: str) -> str:
     )
 
 
-def _albers(lon: str, lat: str) -> tuple[str, str]:
+def albers(lon: str, lat: str) -> tuple[str, str]:
     rho = f"({geo.A!r} * sqrt({geo.ALBERS_C!r} - {geo.ALBERS_N!r} * {_q(f'radians({lat})')}) / {geo.ALBERS_N!r})"
     theta = f"({geo.ALBERS_N!r} * radians({lon} - ({geo.ALBERS_LON0!r})))"
     return f"({rho} * sin({theta}))", f"({geo.ALBERS_RHO0!r} - {rho} * cos({theta}))"
@@ -38,7 +38,7 @@ def _laea(lon: str, lat: str) -> tuple[str, str]:
 
 def placed_cte(name: str, source: str, lon: str, lat: str, keep: str) -> str:
     """CTE with `keep`, lon, lat, region and projected x, y of each row of `source`."""
-    (ax, ay), (lx, ly) = _albers("lon", "lat"), _laea("lon", "lat")
+    (ax, ay), (lx, ly) = albers("lon", "lat"), _laea("lon", "lat")
     return (
         f"{name} AS (SELECT *, CASE WHEN reg = 'conus' THEN {ax} WHEN reg = 'europe' THEN {lx} END AS x, "
         f"CASE WHEN reg = 'conus' THEN {ay} WHEN reg = 'europe' THEN {ly} END AS y FROM "

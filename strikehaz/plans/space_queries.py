@@ -155,24 +155,91 @@ def habitat_area(spark, sf_dir):
     return out.withColumn("area_km2", F.round("area_km2", 6))
 
 
-@query("habitat_distance", PLACED + """, h AS (SELECT DISTINCT -125 + ((p_partkey * 29) % 590) / 10e0 AS hlon, 24 + ((p_partkey * 43) % 260) / 10e0 AS hlat, p_size FROM part),
-h2 AS (SELECT hlon AS lon_a, hlat AS lat_a, least(hlon + p_size / 100e0, -66) AS lon_b, least(hlat + p_size / 50e0, 50) AS lat_b FROM h), """
-       + geosql.placed_cte("pa", "h2", "lon_a", "lat_a", "lon_a, lat_a, lon_b, lat_b") + ", "
-       + geosql.placed_cte("pb", "h2", "lon_b", "lat_b", "lon_a, lat_a, lon_b, lat_b") + """,
-e AS (SELECT pa.x AS ax, pa.y AS ay, pb.x AS bx, pb.y AS b_y FROM pa JOIN pb USING (lon_a, lat_a, lon_b, lat_b)),
+_EDGE_DISTANCE = PLACED + """, h AS (SELECT DISTINCT -125 + ((p_partkey * 29) % 590) / 10e0 AS hlon, 24 + ((p_partkey * 43) % 260) / 10e0 AS hlat, p_size FROM part),
+h2 AS (SELECT hlon AS lon_a, hlat AS lat_a, least(hlon + p_size / 100e0, -66) AS lon_b, least(hlat + p_size / 50e0, 50) AS lat_b FROM h), """ + (
+    geosql.placed_cte("pa", "h2", "lon_a", "lat_a", "lon_a, lat_a, lon_b, lat_b") + ", "
+    + geosql.placed_cte("pb", "h2", "lon_b", "lat_b", "lon_a, lat_a, lon_b, lat_b") + """,
+e AS (SELECT lon_a, lat_a, lon_b, lat_b, pa.x AS ax, pa.y AS ay, pb.x AS bx, pb.y AS b_y FROM pa JOIN pb USING (lon_a, lat_a, lon_b, lat_b)),
 d AS (SELECT airport_id, ax, ay, bx, b_y, a.x AS px, a.y AS py, CASE WHEN pow(bx - ax, 2) + pow(b_y - ay, 2) > 0 THEN
-  greatest(least(((a.x - ax) * (bx - ax) + (a.y - ay) * (b_y - ay)) / (pow(bx - ax, 2) + pow(b_y - ay, 2)), 1), 0) ELSE 0 END AS t FROM a CROSS JOIN e WHERE a.reg = 'conus')
-SELECT airport_id, round(min(sqrt(pow(px - (ax + (bx - ax) * t), 2) + pow(py - (ay + (b_y - ay) * t), 2))) / 1000, 3) AS distance_km FROM d GROUP BY 1""")
-def habitat_distance(spark, sf_dir):
-    """Kilometres to the nearest edge of a linear layer for the airports of the layer's region."""
+  greatest(least(((a.x - ax) * (bx - ax) + (a.y - ay) * (b_y - ay)) / (pow(bx - ax, 2) + pow(b_y - ay, 2)), 1), 0) ELSE 0 END AS t FROM a CROSS JOIN e WHERE a.reg = 'conus'),
+f0 AS (SELECT airport_id, lon, lat, lon_a, lat_a, lon_b, lat_b, cos(radians(lat)) AS shrink FROM a CROSS JOIN e WHERE a.reg IS DISTINCT FROM 'conus'),
+f1 AS (SELECT *, (lon_b - lon_a) * shrink AS dx, lat_b - lat_a AS dy FROM f0),
+f2 AS (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(least((((lon - lon_a) * shrink) * dx + (lat - lat_a) * dy) / (dx * dx + dy * dy), 1), 0) ELSE 0 END AS t FROM f1),
+f3 AS (SELECT airport_id, lon AS lon1, lat AS lat1, lon_a + (lon_b - lon_a) * t AS lon2, lat_a + (lat_b - lat_a) * t AS lat2 FROM f2), """
+    + geosql.geodesic_ctes("f3", "f") + """,
+water AS (SELECT airport_id, min(sqrt(pow(px - (ax + (bx - ax) * t), 2) + pow(py - (ay + (b_y - ay) * t), 2))) / 1000 AS distance_km FROM d GROUP BY 1
+  UNION ALL SELECT airport_id, min(geodesic_km) FROM f GROUP BY 1)""")
+
+
+def habitat_edges(spark, sf_dir):
+    """A linear layer: one edge per part, its length following the part size."""
     k, size = F.col("p_partkey"), F.col("p_size")
     lon, lat = -125 + (k * 29 % 590) / 10, 24 + (k * 43 % 260) / 10
-    edges = table(spark, sf_dir, "part").select(
+    return table(spark, sf_dir, "part").select(
         lon.alias("lon1"), lat.alias("lat1"), F.least(lon + size / 100, F.lit(-66.0)).alias("lon2"), F.least(lat + size / 50, F.lit(50.0)).alias("lat2")
     )
-    airports = view(spark, sf_dir, "airports")
-    inside = airports.where(geo.region("longitude", "latitude") == "conus")
-    return habitat.nearest_edge_distance(inside, edges, "airport_id").withColumn("distance_km", F.round("distance_km", 3))
+
+
+@query("habitat_distance", _EDGE_DISTANCE + " SELECT airport_id, round(distance_km, 3) AS distance_km FROM water")
+def habitat_distance(spark, sf_dir):
+    """Kilometres to the nearest edge of a linear layer for every airport, inside the layer's region or not."""
+    out = habitat.nearest_edge_distance(view(spark, sf_dir, "airports"), habitat_edges(spark, sf_dir), "airport_id")
+    return out.withColumn("distance_km", F.round("distance_km", 3))
+
+
+def habitat_polygons(spark, sf_dir):
+    """A polygon layer: one kite per part as wide as the part is large, every fifth with a hole, every second ring clockwise."""
+    k = F.col("p_partkey")
+    lon, lat, wide = -125 + (k * 29 % 590) / 10, 24 + (k * 43 % 260) / 10, F.lit(0.02) + F.col("p_size") / 100
+    part = table(spark, sf_dir, "part").select(
+        k.alias("polygon_id"), lon.alias("x"), lat.alias("y"),
+        F.explode(F.array(F.struct(wide.alias("w"), F.lit(False).alias("hole")), F.struct((wide / 2).alias("w"), F.lit(True).alias("hole")))).alias("r"))
+    x, y, w = F.col("x"), F.col("y"), F.col("r.w")
+    corners = [F.struct(a.alias("lon"), b.alias("lat")) for a, b in ((x - w, y), (x, y - w), (x + w, y), (x, y + w))]
+    ring = F.when(F.col("polygon_id") % 2 == 0, F.array(*corners[::-1])).otherwise(F.array(*corners))
+    rings = part.where(~F.col("r.hole") | (F.col("polygon_id") % 5 == 0)).select("polygon_id", F.col("r.hole").alias("hole"), ring.alias("ring"))
+    return habitat.polygon_edges(rings)
+
+
+def _clipped_sql(radius_km: float) -> str:
+    """CTE chain that ends in clipped(airport_id, area_km2) for the airports of the polygons' region."""
+    (x1, y1), (x2, y2) = geosql.albers("lon_1", "lat_1"), geosql.albers("lon_2", "lat_2")
+    square = f"{(radius_km * 1000) ** 2!r}"
+    return f"""
+k0 AS (SELECT p_partkey, -125 + ((p_partkey * 29) % 590) / 10e0 AS x, 24 + ((p_partkey * 43) % 260) / 10e0 AS y, 2e-2 + p_size / 100e0 AS w FROM part),
+k1 AS (SELECT x + u1 * w AS lon_1, y + v1 * w AS lat_1, x + u2 * w AS lon_2, y + v2 * w AS lat_2 FROM k0
+    CROSS JOIN (VALUES (-1, 0, 0, -1), (0, -1, 1, 0), (1, 0, 0, 1), (0, 1, -1, 0)) AS o(u1, v1, u2, v2)
+  UNION ALL SELECT x + u1 * w / 2, y + v1 * w / 2, x + u2 * w / 2, y + v2 * w / 2 FROM k0
+    CROSS JOIN (VALUES (0, -1, -1, 0), (1, 0, 0, -1), (0, 1, 1, 0), (-1, 0, 0, 1)) AS o(u1, v1, u2, v2) WHERE p_partkey % 5 = 0),
+k2 AS (SELECT {x1} AS x1, {y1} AS y1, {x2} AS x2, {y2} AS y2 FROM k1),
+k3 AS (SELECT airport_id, x1 - x AS ax, y1 - y AS ay, x2 - x AS bx, y2 - y AS b_y FROM a CROSS JOIN k2 WHERE reg = 'conus'),
+k4 AS (SELECT *, bx - ax AS dx, b_y - ay AS dy FROM k3),
+k5 AS (SELECT *, ax * dx + ay * dy AS along, dx * dx + dy * dy AS len2 FROM k4),
+k6 AS (SELECT *, sqrt(greatest(along * along - len2 * (ax * ax + ay * ay - {square}), 0)) AS room FROM k5),
+k7 AS (SELECT *, greatest(least((-along - room) / len2, 1), 0) AS t0, greatest(least((-along + room) / len2, 1), 0) AS t1 FROM k6),
+k8 AS (SELECT *, ax + t0 * dx AS ex, ay + t0 * dy AS ey, ax + t1 * dx AS lx, ay + t1 * dy AS ly FROM k7),
+clipped AS (SELECT airport_id, sum(({square} * (atan2(ax * ey - ay * ex, ax * ex + ay * ey) + atan2(lx * b_y - ly * bx, lx * bx + ly * b_y))
+  + (t1 - t0) * (ax * b_y - ay * bx)) / 2) / 1e6 AS area_km2 FROM k8 GROUP BY 1)"""
+
+
+@query("habitat_clipped_area", PLACED + "," + _clipped_sql(100.0) + """
+SELECT airport_id, CASE WHEN reg IS NOT NULL THEN abs(round(coalesce(area_km2, 0), 3)) END AS area_km2 FROM a LEFT JOIN clipped USING (airport_id)""")
+def habitat_clipped_area(spark, sf_dir):
+    """Exact area of polygons with holes inside the buffer of every airport."""
+    out = habitat.clipped_area(view(spark, sf_dir, "airports"), habitat_polygons(spark, sf_dir), "airport_id", 100.0)
+    return out.withColumn("area_km2", F.abs(F.round("area_km2", 3)))
+
+
+@query("environment_layers", _EDGE_DISTANCE + "," + _clipped_sql(10.0) + """
+SELECT airport_id, round(distance_km, 3) AS distance_to_water_km, CASE WHEN reg IS NOT NULL THEN abs(round(coalesce(area_km2, 0), 3)) END AS wetland_area_within_10km,
+  CAST(NULL AS DOUBLE) AS urban_area_within_10km, true AS habitat_data_available FROM a LEFT JOIN water USING (airport_id) LEFT JOIN clipped USING (airport_id)""")
+def environment_layers(spark, sf_dir):
+    """Environmental values from a linear and a polygon layer; layers that were not given stay null."""
+    made = habitat.environment(
+        view(spark, sf_dir, "airports"), water_edges=habitat_edges(spark, sf_dir), wetland=habitat_polygons(spark, sf_dir))
+    return made.select(
+        "airport_id", F.round("distance_to_water_km", 3).alias("distance_to_water_km"),
+        F.abs(F.round("wetland_area_within_10km", 3)).alias("wetland_area_within_10km"), "urban_area_within_10km", "habitat_data_available")
 
 
 @query("environment_features", with_views("airports") + """

@@ -1,5 +1,6 @@
 """Distance, look-back and as-of joins against brute force."""
 
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -186,3 +187,46 @@ def test_edge_distance_any_range(spark):
     edges = spark.createDataFrame([(-101.0, 40.5, -99.0, 40.5), (-90.0, 30.0, -89.0, 30.0)], "lon1 double, lat1 double, lon2 double, lat2 double")
     got = {r[0]: r[1] for r in habitat.nearest_edge_distance(points, edges, "airport_id").collect()}
     assert 50 < got[1] < 60 and got[2] > 10_000
+
+
+def _disc_area(spark, polygon, radius=1.0):
+    sides = spark.createDataFrame([(*a, *b) for a, b in zip(polygon, polygon[1:] + polygon[:1])], "ax double, ay double, bx double, by double")
+    return habitat.with_disc_part(sides, radius).agg(F.sum("part")).first()[0]
+
+
+def test_disc_part_against_closed_forms(spark):
+    box = lambda w, s, e, n: [(w, s), (e, s), (e, n), (w, n)]
+    assert _disc_area(spark, box(-3.0, -2.0, 5.0, 9.0)) == pytest.approx(math.pi, rel=1e-9)  # the disc lies inside
+    assert _disc_area(spark, box(-0.2, -0.1, 0.3, 0.4)) == pytest.approx(0.25, rel=1e-9)  # the polygon lies inside
+    assert _disc_area(spark, box(0.0, -5.0, 5.0, 5.0)) == pytest.approx(math.pi / 2, rel=1e-9)  # an edge through the centre
+    assert _disc_area(spark, box(0.0, 0.0, 5.0, 5.0)) == pytest.approx(math.pi / 4, rel=1e-9)  # a corner at the centre
+    for h in (0.1, 0.5, 0.99):
+        assert _disc_area(spark, box(h, -5.0, 5.0, 5.0)) == pytest.approx(math.acos(h) - h * math.sqrt(1 - h * h), rel=1e-9)
+    assert _disc_area(spark, box(1.0, -5.0, 5.0, 5.0)) == pytest.approx(0.0, abs=1e-12)  # touches
+    assert _disc_area(spark, box(2.0, 2.0, 5.0, 5.0)) == pytest.approx(0.0, abs=1e-12)
+    assert _disc_area(spark, box(-3.0, -2.0, 5.0, 9.0)[::-1]) == pytest.approx(-math.pi, rel=1e-9)
+
+
+def test_clipped_area_of_layers(spark):
+    points = spark.createDataFrame(
+        [(1, -100.0, 40.0), (2, -100.0, 40.0), (3, -80.0, 30.0), (4, 120.0, -30.0), (5, 10.0, 50.0), (6, None, 40.0)],
+        "airport_id long, longitude double, latitude double")
+
+    def box(polygon, lon, lat, half, hole=False, back=False):
+        ring = [(lon - half, lat - half), (lon + half, lat - half), (lon + half, lat + half), (lon - half, lat + half)]
+        return polygon, ring[::-1] if back else ring, hole
+
+    rows = [
+        box(1, -100.0, 40.0, 8.0), box(1, -100.0, 40.0, 0.02, hole=True),  # encloses the disc, whose middle is cut out
+        box(2, -100.3, 40.0, 0.001, back=True), box(3, -80.0, 30.0, 0.01), box(3, 10.0, 50.0, 0.01, back=True), (4, [(0.0, 0.0), (1.0, 1.0)], False),
+        (5, [(-100.1, 40.0), (None, 40.0), (-100.1, 40.1)], False),
+    ]
+    rings = spark.createDataFrame(rows, "polygon_id long, ring array<struct<lon: double, lat: double>>, hole boolean")
+    edges = habitat.polygon_edges(rings)
+    got = {r[0]: r[1] for r in habitat.clipped_area(points, edges, "airport_id", 10.0).collect()}
+    km2 = lambda lat, half: (2 * half) ** 2 * 111.03 * 111.32 * math.cos(math.radians(lat))
+    assert got[1] == got[2] == pytest.approx(math.pi * 100 - km2(40, 0.02), rel=1e-3)
+    assert got[3] == pytest.approx(km2(30, 0.01), rel=1e-2) and got[5] == pytest.approx(km2(50, 0.01), rel=1e-2)
+    assert got[4] is None and got[6] is None and len(got) == 6
+    assert {r[1] for r in habitat.clipped_area(points, edges.limit(0), "airport_id", 10.0).collect()} == {0.0, None}
+    assert habitat.environment(points, wetland=edges).where("habitat_data_available AND wetland_area_within_10km > 0").count() == 4
