@@ -13,7 +13,7 @@ from strikehaz.functions.coerce import number
 from strikehaz.functions.names import species_group
 from strikehaz.functions.times import local_to_utc, micros
 from strikehaz.operators.spatial import nearest, within_radius
-from strikehaz.operators.temporal import HOUR, latest_before, lookback_sums
+from strikehaz.operators.temporal import HOUR, in_blocks, latest_before, lookback_sums
 from strikehaz.session import durable
 
 GROUPS = ["large_bird", "waterfowl", "gull", "raptor"]
@@ -84,7 +84,7 @@ def lookback_totals(
     asked = _query_frame(queries, id_col, at_col)
     instants = asked.select("lon", "lat", "at").distinct()
     pairs = within_radius(instants.select("lon", "lat").distinct(), sites.select("site_id", "longitude", "latitude"), radius_km)
-    reach = durable(instants.join(pairs.select("lon", "lat", "site_id"), ["lon", "lat"]))
+    reach = in_blocks(instants.join(pairs.select("lon", "lat", "site_id"), ["lon", "lat"]))
     labels = list(windows_hours)
     sums = lookback_sums(
         reach, session_measures(counts), key="site_id", at="at", ts="ts", group_by=["lon", "lat", "at"],
@@ -143,7 +143,7 @@ def activity_features(
     )
     closest = durable(nearest(places, stations)).withColumnRenamed("distance_km", "distance_to_nearest_site_km")
 
-    reach = durable(instants.join(pairs.where(covered).select("lon", "lat", "site_id"), ["lon", "lat"]))
+    reach = in_blocks(instants.join(pairs.where(covered).select("lon", "lat", "site_id"), ["lon", "lat"]))
     measures = durable(session_measures(counts))
     week = ["effort_rows", "hours", "heading_weight", *[f"axis_{i}" for i in range(4)], *[f"birds_{g}" for g in GROUPS]]
     values = {"rows": list(fv.WINDOWS_HOURS), "birds": list(fv.WINDOWS_HOURS)}

@@ -1,11 +1,9 @@
-"""Look-back and as-of joins in linear time.
-
-Observations and query instants are merged into one ordered stream per key and
-time chunk; running totals (or the last value) are read off at the instants.
-No query-observation pair is ever produced.  A chunk is one maximal window
-longer than its step, observations are copied to the few chunks they can
-matter in, so a busy key splits by time and no state crosses chunks.  Equal
-(key, instant) pairs are asked for once.
+"""Look-back and as-of joins without query-observation pairs.
+
+Look-back sums are differences of running totals that each key and time chunk packs into one
+sorted array; as-of joins merge observations and query instants into one ordered stream and ask
+for equal (key, instant) pairs once.  A chunk is one maximal window longer than its step, observations are copied
+to the few chunks they can matter in, so a busy key splits by time and no state crosses chunks.
 """
 
 from __future__ import annotations
@@ -16,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strikehaz.session import durable
+
 HOUR = 3_600_000_000  # microseconds
 
 
@@ -34,6 +34,24 @@ def _copied(observations: DataFrame, ts: str, span: int, step: int) -> DataFrame
     return observations.withColumn("_chunk", F.explode(F.sequence(home - (copies - 1), home)))
 
 
+def _below(sorted_values: Column, halvings: Column, bound: Column) -> Column:
+    """How many entries of a sorted array are below `bound`, by binary search; `halvings` holds falling powers of two."""
+    def step(found: Column, width: Column) -> Column:
+        last = F.get(sorted_values, found + width - 1)  # null beyond the end
+        return F.when(last < bound, found + width).otherwise(found)
+
+    return F.aggregate(halvings, F.lit(0), step)
+
+
+BLOCK = 1 << 14  # asked instants that meet one packed line at once, at most
+
+
+def in_blocks(instants: DataFrame) -> DataFrame:
+    """`instants` with `_block`, a number that at most BLOCK rows share, written down so that a lost task cannot renumber them."""
+    numbered = instants.withColumn("_block", F.shiftright(F.monotonically_increasing_id(), int(math.log2(BLOCK))))
+    return durable(numbered)
+
+
 def lookback_sums(
     instants: DataFrame, measures: DataFrame, *, key: str, at: str, ts: str, values: dict[str, list[str]],
     windows: dict[str, int], group_by: list[str], step: int | None = None,
@@ -45,43 +63,45 @@ def lookback_sums(
     one row per `group_by` with `<value>_<label>`; instants that meet nothing
     still appear, with zeros, so callers decide between null and 0 by a row count.
 
-    Totals depend on (key, instant) only, so these are reduced to distinct pairs before
-    the stream is built: many places that ask for one busy key at one time are one mark.  A
-    smaller `step` spreads a busy key's instants over more groups at the price of more
-    copies of its (already aggregated) measures.
+    Each key and chunk packs its instants and running totals into one sorted array, and the asked instants
+    meet it a block (`in_blocks`) at once: the edges of the windows are found by binary search, and a sum is the difference of
+    two totals.  However many places ask for one busy key, no block grows; no array is longer than the distinct instants of `span + step` of
+    one key, a bound of the clock and not of the data.  A smaller `step` shortens it at the price of more copies of
+    the (already aggregated) measures.
     """
     span = max(windows.values())
     step = step or span
+    order = Window.partitionBy("_key", "_chunk").orderBy("_ts").rowsBetween(Window.unboundedPreceding, 0)
     seen = _copied(measures.where(F.col(ts).isNotNull()), ts, span, step).select(
-        F.col(key).alias("_key"), "_chunk", F.col(ts).alias("_ts"), F.lit(1).alias("_kind"), F.lit(None).cast(instants.schema[at].dataType).alias("_at"),
-        F.lit(None).cast("string").alias("_mark"), *[F.col(v).cast("double").alias(v) for v in values],
-    )
-    edges = F.array(
-        F.struct(F.lit("now").alias("mark"), F.col("_at").alias("ts")),
-        *[F.struct(F.lit(label).alias("mark"), (F.col("_at") - length).alias("ts")) for label, length in windows.items()],
-    )
-    pairs = instants.select(F.col(key).alias("_key"), F.col(at).alias("_at")).distinct()
-    marks = (
-        pairs.withColumn("_chunk", _chunk(F.col("_at") - span, step)).withColumn("_edge", F.explode(edges))
-        .select(
-            "_key", "_chunk", F.col("_edge.ts").alias("_ts"), F.lit(0).alias("_kind"), "_at", F.col("_edge.mark").alias("_mark"),
-            *[F.lit(None).cast("double").alias(v) for v in values],
-        )
-    )
-    order = Window.partitionBy("_key", "_chunk").orderBy("_ts", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    running = seen.unionByName(marks).select(
-        "_kind", "_mark", "_key", "_at", *[F.coalesce(F.sum(v).over(order), F.lit(0.0)).alias(v) for v in values],
-    ).where(F.col("_kind") == 0)
-
-    def total(value: str, label: str) -> Column:
-        signed = F.when(F.col("_mark") == "now", F.col(value)).when(F.col("_mark") == label, -F.col(value))
-        return F.sum(signed).alias(f"{value}_{label}")
+        F.col(key).alias("_key"), "_chunk", F.col(ts).alias("_ts"), *[F.col(v).cast("double").alias(v) for v in values])
+    running = seen.select("_key", "_chunk", "_ts", F.struct(*[F.coalesce(F.sum(v).over(order), F.lit(0.0)).alias(v) for v in values]).alias("_sums"))
+    packed = running.groupBy("_key", "_chunk").agg(F.sort_array(F.collect_list(F.struct("_ts", "_sums"))).alias("_line")).select(
+        F.col("_key").alias("_of"), F.col("_chunk").alias("_part"), F.col("_line._ts").alias("_times"), F.col("_line._sums").alias("_totals"))
+
+    if "_block" not in instants.columns:
+        instants = in_blocks(instants)
+    pair = F.struct(F.col(at).alias("_at"), *group_by)
+    asked = instants.groupBy(F.col(key).alias("_key"), _chunk(F.col(at) - span, step).alias("_chunk"), "_block").agg(F.collect_list(pair).alias("_asked"))
+    met = asked.join(packed, F.col("_key").eqNullSafe(F.col("_of")) & (F.col("_chunk") == F.col("_part")), "left")
+    bits = F.ceil(F.log2(F.coalesce(F.size("_times"), F.lit(0)) + 1)).cast("int")
+    met = met.withColumn("_halvings", F.when(bits > 0, F.transform(
+        F.sequence(bits - 1, F.lit(0), F.lit(-1)), lambda b: F.pow(F.lit(2.0), b).cast("int"))).otherwise(F.array().cast("array<int>")))
+
+    def edges(pair: Column) -> Column:
+        ends = {"now": 0, **windows}
+        return F.struct(*[pair[c].alias(c) for c in group_by], *[
+            _below(F.col("_times"), F.col("_halvings"), pair["_at"] - length).alias(f"_{name}") for name, length in ends.items()])
+
+    def sums(edge: Column) -> Column:
+        def total(value: str, name: str) -> Column:
+            return F.coalesce(F.get(F.col("_totals"), edge[f"_{name}"] - 1)[value], F.lit(0.0))
+
+        return F.struct(*[edge[c].alias(c) for c in group_by], *[
+            (total(v, "now") - total(v, label)).alias(f"{v}_{label}") for v, labels in values.items() for label in labels])
 
     names = [f"{v}_{label}" for v, labels in values.items() for label in labels]
-    totals = running.groupBy("_key", "_at").agg(*[total(v, label) for v, labels in values.items() for label in labels])
-    asked = instants.select(*group_by, F.col(key).alias("_asked_key"), F.col(at).alias("_asked_at"))
-    same = F.col("_asked_key").eqNullSafe(F.col("_key")) & F.col("_asked_at").eqNullSafe(F.col("_at"))
-    return asked.join(totals, same).groupBy(*group_by).agg(*[F.sum(n).alias(n) for n in names])
+    hits = met.select(F.explode(F.transform(F.transform("_asked", edges), sums)).alias("_hit")).select("_hit.*")
+    return hits.groupBy(*group_by).agg(*[F.sum(n).alias(n) for n in names])
 
 
 def latest_before(

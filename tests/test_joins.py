@@ -144,6 +144,21 @@ def test_lookback_equals_brute_force(spark, step_days):
         assert r.latest == (max(past) if past else None)
 
 
+def test_lookback_of_one_busy_key_and_missing_values(spark):
+    """Every place asks for one key at one instant; a missing key, instant or measure gives zeros, not lost rows."""
+    day = 24 * temporal.HOUR
+    m = spark.createDataFrame([("A", i * temporal.HOUR, 1.0 if i % 2 else None) for i in range(48)], "k string, ts long, v double")
+    busy = spark.range(40_000).selectExpr("id AS i", "'A' AS k", f"{2 * day} AS at")
+    odd = spark.createDataFrame([(-1, None, 2 * day), (-2, "A", None), (-3, "B", 2 * day)], "i long, k string, at long")
+    blocks = temporal.in_blocks(busy.unionByName(odd))
+    assert blocks.groupBy("_block").count().agg(F.max("count")).first()[0] <= temporal.BLOCK
+    got = temporal.lookback_sums(blocks, m, key="k", at="at", ts="ts", values={"v": ["1d"]}, windows={"1d": day}, group_by=["i"])
+    found = got.groupBy((F.col("i") >= 0).alias("busy"), "v_1d").agg(F.count_distinct("i").alias("n")).collect()
+    assert {(r.busy, r.v_1d): r.n for r in found} == {(True, 12.0): 40_000, (False, 0.0): 3}
+    none = temporal.lookback_sums(busy.limit(2), m.where("false"), key="k", at="at", ts="ts", values={"v": ["1d"]}, windows={"1d": day}, group_by=["i"])
+    assert [r.v_1d for r in none.collect()] == [0.0, 0.0]
+
+
 def _weather(spark, observations, at, **kw):
     q = spark.createDataFrame([(1, -100.0, 40.0, at)], "qid long, longitude double, latitude double, query_timestamp_utc timestamp")
     w = spark.createDataFrame(observations, "station_id string, longitude double, latitude double, timestamp_utc timestamp, temperature_c double")
