@@ -235,17 +235,20 @@ def _lat_from_q(q: Column) -> Column:
     )
 
 
+def lonlat(region_name: Column, x: Column, y: Column) -> Column:
+    """struct(lon, lat) of a position in the plane of a region."""
+    alon, alat = _albers_lonlat(x, y)
+    llon, llat = _laea_lonlat(x, y)
+    conus = region_name == "conus"
+    return F.struct(F.when(conus, alon).otherwise(llon).alias("lon"), F.when(conus, alat).otherwise(llat).alias("lat"))
+
+
 def buffer_ring(point: Column, radius_km: float, corners: int = 64) -> Column:
     """Closed ring of struct(lon, lat): the planar circle around a `placed` point, null outside the regions."""
     angles = F.transform(F.sequence(F.lit(0), F.lit(corners)), lambda i: (i % corners) * (2 * math.pi / corners))
 
     def corner(angle: Column) -> Column:
-        x = point["x"] + F.cos(angle) * (radius_km * 1000)
-        y = point["y"] + F.sin(angle) * (radius_km * 1000)
-        alon, alat = _albers_lonlat(x, y)
-        llon, llat = _laea_lonlat(x, y)
-        conus = point["region"] == "conus"
-        return F.struct(F.when(conus, alon).otherwise(llon).alias("lon"), F.when(conus, alat).otherwise(llat).alias("lat"))
+        return lonlat(point["region"], point["x"] + F.cos(angle) * (radius_km * 1000), point["y"] + F.sin(angle) * (radius_km * 1000))
 
     return F.when(point["region"].isNotNull(), F.transform(angles, corner))
 

@@ -22,40 +22,88 @@ def _along(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Colum
     return F.greatest(F.least(t, F.lit(1.0)), F.lit(0.0))
 
 
+PLANE_PIECE_KM = 10.0  # longest piece of an edge in the plane of its region
+FREE_PIECE_KM = 200.0  # longest piece of an edge in longitude and latitude
+
+
+def _side(kind_region: Column, flat: bool) -> Column:
+    """Number of a kind of pieces: 0 for edges without a common region, else odd in the plane of a region and even outside it."""
+    known = [F.when(kind_region == name, 2 * i + (1 if flat else 2)) for i, name in enumerate(REGIONS)]
+    return F.coalesce(*known, F.lit(0))
+
+
+def _sees(region: Column, kind: Column) -> Column:
+    """Points of a region meet its edges in the plane; all others meet them in longitude and latitude."""
+    seen = kind == 0
+    for i, name in enumerate(REGIONS):
+        here = F.coalesce(region == name, F.lit(False))
+        seen = seen | ((kind == 2 * i + 1) & here) | ((kind == 2 * i + 2) & ~here)
+    return seen
+
+
+def edge_pieces(edges: DataFrame) -> DataFrame:
+    """Pieces of bounded length with their anchor (_slon, _slat), half length `_half` and `_kind`, as the search wants them.
+
+    An edge with both ends in one region is cut twice: along its straight line in the plane of the region, for
+    points of that region, and along its line in longitude and latitude for all others.  A piece in the plane
+    keeps its projected ends (ax, ay)-(bx, by), any other its ends lon1, lat1, lon2, lat2.  Repeated edges count once; edges that lack a
+    coordinate have no pieces.
+    """
+    c = F.col
+    ends = ("lon1", "lat1", "lon2", "lat2")
+    known = edges.select(*[c(n).cast("double").alias(n) for n in ends]).dropna().distinct()
+    known = known.withColumns({"_a": geo.placed("lon1", "lat1"), "_b": geo.placed("lon2", "lat2")})
+    shared = F.when(c("_a.region") == c("_b.region"), c("_a.region"))
+    sides = known.withColumn("_in", shared).withColumn("_flat", F.explode(F.when(
+        shared.isNotNull(), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+    # a line of constant slope is at most as long as its longitudes measured where it is nearest to the equator
+    nearest = F.when(c("lat1") * c("lat2") <= 0, 0.0).otherwise(F.least(F.abs("lat1"), F.abs("lat2")))
+    free = F.hypot(c("lat2") - c("lat1"), (c("lon2") - c("lon1")) * F.cos(F.radians(nearest))) * geo.KM_PER_DEGREE
+    flat = F.hypot(c("_b.x") - c("_a.x"), c("_b.y") - c("_a.y")) / 1000
+    sides = sides.withColumn("_km", F.when(c("_flat"), flat).otherwise(free))
+    sides = sides.withColumn("_n", F.greatest(F.ceil(c("_km") / F.when(c("_flat"), PLANE_PIECE_KM).otherwise(FREE_PIECE_KM)), F.lit(1)))
+    cut = sides.withColumn("_i", F.explode(F.sequence(F.lit(1), c("_n")))).withColumns({"_t0": (c("_i") - 1) / c("_n"), "_t1": c("_i") / c("_n")})
+
+    def at(first: Column, last: Column, t: Column) -> Column:
+        return first + (last - first) * t
+
+    out = {}
+    for end, t in (("a", c("_t0")), ("b", c("_t1")), ("m", (c("_t0") + c("_t1")) / 2)):
+        out |= {f"{end}x": at(c("_a.x"), c("_b.x"), t), f"{end}y": at(c("_a.y"), c("_b.y"), t)}
+        out |= {f"{end}lon": at(c("lon1"), c("lon2"), t), f"{end}lat": at(c("lat1"), c("lat2"), t)}
+    cut = cut.withColumns(out).withColumn("_m", geo.lonlat(c("_in"), c("mx"), c("my")))
+    return cut.select(
+        F.when(c("_flat"), c("_m.lon")).otherwise(c("mlon")).alias("_slon"), F.when(c("_flat"), c("_m.lat")).otherwise(c("mlat")).alias("_slat"),
+        F.lit(0).alias("_sid"), (c("_km") / c("_n") * (geo.MARGIN / 2)).alias("_half"),
+        F.when(c("_flat"), _side(c("_in"), True)).otherwise(_side(c("_in"), False)).alias("_kind"), c("_flat").alias("flat"), "ax", "ay", "bx", "by",
+        c("alon").alias("lon1"), c("alat").alias("lat1"), c("blon").alias("lon2"), c("blat").alias("lat2"))
+
+
 def with_edge_distance_km(pairs: DataFrame) -> DataFrame:
-    """Adds `_d`, the distance of (lon, lat) to the edge (lon1, lat1)-(lon2, lat2).
+    """Adds `_d`, the distance of (lon, lat) to a piece of `edge_pieces`.
 
-    Planar inside one region, else geodesic to the edge point nearest in a local plane.
+    Planar inside one region, else geodesic to the point of the piece nearest in a local plane.
     """
     c = F.col
-    placed = pairs.withColumns({
-        "_p": geo.placed("lon", "lat"), "_s": geo.placed("lon1", "lat1"), "_e": geo.placed("lon2", "lat2"),
-    })
-    p, s, e = c("_p"), c("_s"), c("_e")
-    same = F.coalesce((p["region"] == s["region"]) & (p["region"] == e["region"]), F.lit(False))
-    shrink = F.cos(F.radians("lat"))
-    t = F.when(same, _along(p["x"], p["y"], s["x"], s["y"], e["x"], e["y"])).otherwise(
+    placed = pairs.withColumn("_p", geo.placed("lon", "lat"))
+    p, shrink = c("_p"), F.cos(F.radians("lat"))
+    t = F.when(c("flat"), _along(p["x"], p["y"], c("ax"), c("ay"), c("bx"), c("by"))).otherwise(
         _along(c("lon") * shrink, c("lat"), c("lon1") * shrink, c("lat1"), c("lon2") * shrink, c("lat2"))
     )
-    planar = F.hypot(p["x"] - (s["x"] + (e["x"] - s["x"]) * c("_t")), p["y"] - (s["y"] + (e["y"] - s["y"]) * c("_t"))) / 1000
+    planar = F.hypot(p["x"] - (c("ax") + (c("bx") - c("ax")) * c("_t")), p["y"] - (c("ay") + (c("by") - c("ay")) * c("_t"))) / 1000
     free = geo.geodesic_km("lon", "lat", "(lon1 + (lon2 - lon1) * _t)", "(lat1 + (lat2 - lat1) * _t)")
-    return placed.withColumn("_same", same).withColumn("_t", t).withColumn("_d", F.when(c("_same"), planar).otherwise(free))
+    return placed.withColumn("_t", t).withColumn("_d", F.when(c("flat"), planar).otherwise(free))
 
 
 def nearest_edge_distance(points: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
     """Kilometres from each point to the nearest polygon or line edge, at any distance.
 
-    `edges`: lon1, lat1, lon2, lat2, one row per edge.  Edges are held by their
-    midpoint; half the longest edge widens the search bounds, so the result is
-    exact however long edges are (short ones prune better).
+    `edges`: lon1, lat1, lon2, lat2, one row per edge.  Edges are cut into pieces of bounded length, so a long
+    edge widens no bound beyond half a piece, and only those of the cells it crosses.  Points
+    without usable coordinates, and all points of an empty layer, have null.
     """
-    e = [F.col(c) for c in ("lon1", "lat1", "lon2", "lat2")]
-    longest = edges.agg(F.expr(f"max({geo.great_circle('lon1', 'lat1', 'lon2', 'lat2')})")).first()[0] or 0.0
-    spots = edges.select(
-        *e, ((e[0] + e[2]) / 2).alias("_slon"), ((e[1] + e[3]) / 2).alias("_slat"), F.lit(0).alias("_sid")
-    ).distinct()
-    located = points.select(id_col, F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
-    hits = branch_and_bound(located.select("lon", "lat"), spots, with_edge_distance_km, slack_km=geo.MARGIN * longest / 2)
+    located = points.select(id_col, F.col("longitude").cast("double").alias("lon"), F.col("latitude").cast("double").alias("lat"))
+    hits = branch_and_bound(located.select("lon", "lat"), edge_pieces(edges), with_edge_distance_km, sees=_sees)
     return located.join(hits, ["lon", "lat"], "left").select(id_col, F.col("_hit.d").alias("distance_km"))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from strikehaz.fixed_values import COVERAGE_RADIUS_KM, HALF_LIFE_KM, RADII_KM
 from strikehaz.functions import geo
+from strikehaz.session import durable
 from strikehaz.functions.coerce import on_globe
 
 
@@ -147,6 +148,7 @@ def _depth(n_spots: int) -> tuple[float, ...]:
 
 
 REGION_KM = 7000.0  # no two points of a region are that far apart
+KIND = 10 ** 12  # root keys of one kind of spots are below that
 SPHERE = 1.006  # margin of great circles against the ellipsoid
 
 
@@ -197,8 +199,8 @@ def nearest(
 
 
 def branch_and_bound(
-    points: DataFrame, spots: DataFrame, exact: Callable[[DataFrame], DataFrame], *, slack_km: float = 0.0,
-    levels: tuple[float, ...] | None = None,
+    points: DataFrame, spots: DataFrame, exact: Callable[[DataFrame], DataFrame], *,
+    sees: Callable[[Column, Column], Column] | None = None, levels: tuple[float, ...] | None = None,
 ) -> DataFrame:
     """(lon, lat, _hit struct(d, id)): the spot with the least `exact` distance per distinct point.
 
@@ -209,34 +211,40 @@ def branch_and_bound(
     100 children (648 at the root), so no array here grows with the data.  The
     tree depth follows the number of spots.
 
-    `spots`: _slon, _slat, _sid and whatever `exact` reads to add `_d`;
-    `slack_km` is how much nearer or farther than its anchor (_slon, _slat) a spot can be.
+    `spots`: _slon, _slat, _sid and whatever `exact` reads to add `_d`.  Optional: `_half`, the kilometres a spot can be
+    nearer or farther than its anchor (_slon, _slat), which widens the bounds of its own cells only; and `_kind`, a small number:
+    each kind has its own root cells, and a point meets the kinds for which `sees(region of the point, kind)` is true.
     """
     p = spread(points.where(on_globe(F.col("lat"), F.col("lon"))).distinct(), "lon", "lat")
+    absent = {n: F.lit(v) for n, v in (("_half", 0.0), ("_kind", 0)) if n not in spots.columns}
+    spots = durable(spots.withColumns(absent) if absent else spots)  # read for the depth and once per level
     levels = levels or _depth(spots.count())
     keys = [f"_k{i}" for i in range(len(levels))]
     for key, size in zip(keys, levels):
         spots = spots.withColumn(key, _tree_key(F.col("_slon"), F.col("_slat"), size))
+    spots = spots.withColumn(keys[0], F.col("_kind").cast("long") * KIND + F.col(keys[0]))
 
     def children(level: int) -> DataFrame:
-        cells = spots.groupBy(*keys[: level + 1]).agg(F.min(F.struct("_slon", "_slat")).alias("_rep"))
-        clon, clat = _tree_center(F.col(keys[level]), levels[level])
+        cells = spots.groupBy(*keys[: level + 1]).agg(F.min(F.struct("_slon", "_slat")).alias("_rep"), F.max("_half").alias("_s"))
+        clon, clat = _tree_center(F.col(keys[level]) % KIND, levels[level])
         cells = cells.withColumns({"_clon": clon, "_clat": clat}).withColumns({"_c": _unit("_clon", "_clat"), "_r": _unit("_rep._slon", "_rep._slat")})
-        member = F.struct(F.col(keys[level]).alias("key"), F.col("_c").alias("c"), F.col("_r").alias("r"))
+        member = F.struct(F.col(keys[level]).alias("key"), F.col("_c").alias("c"), F.col("_r").alias("r"), F.col("_s").alias("s"))
         return cells.groupBy(*keys[:level]).agg(F.collect_list(member).alias("_cells"))
 
     def bounded(size: float) -> Column:
-        inner = geo.KM_PER_DEGREE * size * 0.7072 + slack_km
+        inner = geo.KM_PER_DEGREE * size * 0.7072
         # planar distances occur inside a region only, so far pairs and points outside the regions have the narrow margin
-        reach = f"named_struct('key', m.key, 'c', {_arc('m.c')} - {inner}D, 'r', {_arc('m.r')})"
+        reach = f"named_struct('key', m.key, 'c', {_arc('m.c')} - {inner}D - m.s, 'r', {_arc('m.r')}, 's', m.s)"
         margin = f"CASE WHEN _inside AND b.%s < {REGION_KM}D THEN {geo.MARGIN}D ELSE {SPHERE}D END"
-        low, high = f"b.c / ({margin % 'c'}) - 0.001D", f"b.r * ({margin % 'r'}) + {slack_km + 0.001}D"
+        low, high = f"b.c / ({margin % 'c'}) - 0.001D", f"b.r * ({margin % 'r'}) + b.s + 0.001D"
         return F.expr(f"transform(transform(_cells, m -> {reach}), b -> named_struct('key', b.key, 'low', {low}, 'high', {high}))")
 
     here = Window.partitionBy("lon", "lat")
     own = ["_ux", "_uy", "_uz", "_inside"]  # plain columns: struct fields would be recomputed per cell
-    state = p.withColumns({n: F.expr(e) for n, e in zip(own, _axes("lon", "lat"))}).withColumn("_inside", geo.region("lon", "lat").isNotNull())
-    state = state.withColumn("_cells", children(0).scalar())
+    state = p.withColumns({n: F.expr(e) for n, e in zip(own, _axes("lon", "lat"))}).withColumn("_region", geo.region("lon", "lat"))
+    state = state.withColumn("_inside", F.col("_region").isNotNull()).withColumn("_cells", children(0).scalar())
+    if sees:
+        state = state.withColumn("_cells", F.filter("_cells", lambda m: sees(F.col("_region"), F.floor(m["key"] / F.lit(KIND)))))
     for level, size in enumerate(levels):
         if level:
             state = state.join(children(level), keys[:level])

@@ -204,6 +204,42 @@ def test_edge_distance_any_range(spark):
     assert 50 < got[1] < 60 and got[2] > 10_000
 
 
+def test_edges_across_a_continent(spark):
+    """Cut edges give the distance of whole ones in the plane, few candidate pairs, and pieces of bounded length anywhere."""
+    rng = random.Random(8)
+    long_edges = [(-124.0, 48.9, -67.0, 45.0), (-120.0, 25.0, -70.0, 49.0), (-10.0, 36.0, 40.0, 70.0), (-60.0, -40.0, 150.0, 60.0)]
+    short = [(x, y, x + 0.01, y + 0.02) for x, y in ((rng.uniform(-124, -67), rng.uniform(25, 49)) for _ in range(400))]
+    odd = [(None, 1.0, 2.0, 3.0), (-100.0, 40.0, -100.0, 40.0), (-100.0, 40.0, -100.0, 40.0)]
+    edges = spark.createDataFrame(long_edges + short + odd, "lon1 double, lat1 double, lon2 double, lat2 double")
+    places = [(i, rng.uniform(-124, -67), rng.uniform(25, 49)) for i in range(30)] + [(100 + i, rng.uniform(-180, 180), rng.uniform(-80, 80)) for i in range(10)]
+    points = spark.createDataFrame(places + [(900, None, 40.0), (901, 10.0, 95.0)], "airport_id long, longitude double, latitude double")
+    got = {r[0]: r[1] for r in habitat.nearest_edge_distance(points, edges, "airport_id").collect()}
+    pieces = habitat.edge_pieces(edges).cache()
+    assert pieces.where("_half > IF(flat, 5, 100) * 1.05 + 1e-6").count() == 0
+    every = spark.createDataFrame(places, "airport_id long, lon double, lat double").crossJoin(pieces)
+    every = every.where(habitat._sees(geo.region("lon", "lat"), F.col("_kind")))
+    for r in habitat.with_edge_distance_km(every).groupBy("airport_id").agg(F.min("_d").alias("d")).collect():
+        assert abs(got[r.airport_id] - r.d) < 1e-9
+    assert got[900] is None and got[901] is None
+    # whole edges of the region in its plane
+    plane = edges.where("lon1 BETWEEN -125 AND -66 AND lat1 > 24").dropna()
+    sides = plane.select(geo.placed("lon1", "lat1").alias("a"), geo.placed("lon2", "lat2").alias("b")).where("a.region = 'conus' AND b.region = 'conus'").collect()
+    for r in points.where("airport_id < 100").select("airport_id", geo.placed("longitude", "latitude").alias("p")).collect():
+        def whole(a, b):
+            dx, dy = b.x - a.x, b.y - a.y
+            t = max(0.0, min(1.0, ((r.p.x - a.x) * dx + (r.p.y - a.y) * dy) / max(dx * dx + dy * dy, 1e-12)))
+            return math.hypot(r.p.x - a.x - dx * t, r.p.y - a.y - dy * t) / 1000
+        assert abs(got[r.airport_id] - min(whole(s.a, s.b) for s in sides)) < 1e-6
+    met = []
+    def counted(pairs):
+        met.append(pairs.count())
+        return habitat.with_edge_distance_km(pairs)
+    spatial.branch_and_bound(points.selectExpr("longitude AS lon", "latitude AS lat"), habitat.edge_pieces(edges), counted, sees=habitat._sees).collect()
+    assert met[0] < every.count() / 20
+    empty = habitat.nearest_edge_distance(points, edges.where("false"), "airport_id").collect()
+    assert len(empty) == 42 and all(r.distance_km is None for r in empty)
+
+
 def _disc_area(spark, polygon, radius=1.0):
     sides = spark.createDataFrame([(*a, *b) for a, b in zip(polygon, polygon[1:] + polygon[:1])], "ax double, ay double, bx double, by double")
     return habitat.with_disc_part(sides, radius).agg(F.sum("part")).first()[0]
