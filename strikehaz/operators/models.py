@@ -262,34 +262,82 @@ def local_contributions(model, encoder: Encoder, df: DataFrame, background: Data
     )
 
 
+def column_parts(model, encoder: Encoder, df: DataFrame, keep: list[str]) -> DataFrame:
+    """`keep`, `margin` and `parts`: what each numeric, then each categorical column of the encoder adds to the margin of a linear model.
+
+    Reads the scaled numerics and the category numbers, so no one-hot vector is unpacked; unseen categories add 0.
+    """
+    coef = [float(c) for c in model.coefficients.toArray()]
+    labels = next(s for s in encoder.stages.stages if hasattr(s, "labelsArray")).labelsArray
+    rows = encoder.transform(df).withColumn("_x", vector_to_array("_scaled"))
+    parts, first = [F.lit(c) * F.col("_x")[i] for i, c in enumerate(coef[: len(encoder.numeric)])], len(encoder.numeric)
+    for name, values in zip(encoder.categorical, labels):
+        weights = F.lit(coef[first: first + len(values)]) if len(values) else F.array().cast("array<double>")
+        parts.append(F.coalesce(F.get(weights, F.col(f"{name}__i").cast("int")), F.lit(0.0)))
+        first += len(values)
+    summed = rows.select(*keep, F.array(*parts).alias("parts"))
+    return summed.withColumn("margin", F.aggregate("parts", F.lit(float(model.intercept)), lambda s, v: s + v))
+
+
+def _shuffled(ids: DataFrame, id_col: str, repeats: int, seed: int, order) -> DataFrame:
+    """(repeat, id, _other): every row with another one, a true permutation for each repeat.
+
+    Two seeded orders are numbered side by side for all repeats, in slices: no global sort, no task beyond a slice.
+    """
+    drawn = durable(ids.select(F.col(id_col).alias("_id"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")))
+
+    def numbered(second: int, name: str) -> DataFrame:
+        rows = drawn.select("repeat", F.col("_id").alias(name), order(F.col("_id"), F.col("repeat") * 2 + (seed + second)).alias("_h"), F.lit(1).alias("_one"))
+        return running_totals(rows, ["_h"], ["_one"], ["repeat"]).select("repeat", name, F.col("below__one").alias("_rank"))
+
+    return numbered(0, "_id").join(numbered(1, "_other"), ["repeat", "_rank"]).select("repeat", "_id", "_other")
+
+
+def _drops(aucs: DataFrame, base: float | None) -> DataFrame:
+    drop = F.lit(base).cast("double") - F.col("roc_auc")
+    return aucs.groupBy("feature").agg(F.avg(drop).alias("mean_roc_auc_drop"), F.stddev_pop(drop).alias("std_roc_auc_drop"))
+
+
+def additive_importance(
+    scored: DataFrame, id_col: str, columns: list[str], label: str = "y", repeats: int = 5, seed: int = 42, order=F.xxhash64,
+) -> DataFrame:
+    """Permutation importance of a scorer that adds up its columns, from one encoding pass.
+
+    `scored`: id, label, `margin` and `parts`, one number for each of `columns` (see `column_parts`); ids are unique.  A shuffle swaps one
+    part, so no row is encoded or scored again: all (column, repeat) curves come from one histogram of swapped margins.
+    `order(id, salt)` gives the seeded orders.  Same permutations and result as `permutation_importance`; an empty
+    frame gives no rows, one class alone null.
+    """
+    rows = durable(scored.select(F.col(id_col).alias("_id"), F.col(label).alias("y"), F.col("margin").cast("double").alias("p"), "parts"))
+    base = rank_metrics(rows).first()
+    theirs = rows.select(F.col("_id").alias("_other"), F.col("parts").alias("_theirs"))
+    paired = _shuffled(rows, "_id", repeats, seed, order).join(rows, "_id").join(theirs, "_other")
+    # an unchanged part leaves the margin as it was, to the last bit
+    swapped = F.zip_with("parts", "_theirs", lambda mine, other: F.when(mine == other, F.col("p")).otherwise(F.col("p") - mine + other))
+    curves = paired.select("repeat", "y", F.posexplode(swapped).alias("_column", "p"))
+    aucs = rank_metrics(curves, by=["_column", "repeat"])
+    return _drops(aucs.withColumn("feature", F.get(F.lit(columns), F.col("_column"))), base["roc_auc"] if base else None)
+
+
 def permutation_importance(
-    score, df: DataFrame, id_col: str, columns: list[str], label: str = "y", repeats: int = 5, seed: int = 42,
+    score, df: DataFrame, id_col: str, columns: list[str], label: str = "y", repeats: int = 5, seed: int = 42, parts=None,
 ) -> DataFrame:
     """(feature, mean_roc_auc_drop, std_roc_auc_drop): AUC lost when one column is shuffled.
 
-    `score(df)` returns the frame with `p`.  A shuffle pairs each row with
-    another through two seeded hash orders whose ranks are computed in slices,
-    so it is a true permutation without a global sort.
+    `score(df)` returns the frame with `p`; every column and repeat is scored.  For a linear model give `parts(df)` (see
+    `column_parts`) instead, which swaps parts of margins and scores nothing twice.
     """
+    if parts is not None:
+        return additive_importance(parts(df), id_col, columns, label, repeats, seed)
     base = rank_metrics(score(df).select(F.col(label).alias("y"), "p")).first()["roc_auc"]
-
-    def ranks(rows: DataFrame, salt: int) -> DataFrame:
-        hashed = rows.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(salt)))
-        return running_totals(hashed.withColumn("_one", F.lit(1)), ["_h"], ["_one"]).select(*rows.columns, F.col("below__one").alias("_rank"))
-
+    others = df.select(F.col(id_col).alias("_other"), *[F.col(c).alias(f"_o_{c}") for c in columns])
+    here = _shuffled(df, id_col, repeats, seed, F.xxhash64).join(df, F.col("_id") == df[id_col]).drop("_id")
+    paired = durable(here.join(others, "_other"))
     scored = None
-    for r in range(repeats):
-        here = ranks(df, seed + 2 * r)
-        there = ranks(df.select(id_col, *columns), seed + 2 * r + 1).select("_rank", *[F.col(c).alias(f"_o_{c}") for c in columns])
-        paired = durable(here.join(there, "_rank"))
-        for c in columns:
-            one = score(paired.withColumn(c, F.col(f"_o_{c}"))).select(
-                F.lit(c).alias("feature"), F.lit(r).alias("repeat"), F.col(label).alias("y"), "p"
-            )
-            scored = one if scored is None else scored.unionByName(one)
-    aucs = rank_metrics(scored, by=["feature", "repeat"])
-    drop = F.lit(base) - F.col("roc_auc")
-    return aucs.groupBy("feature").agg(F.avg(drop).alias("mean_roc_auc_drop"), F.stddev_pop(drop).alias("std_roc_auc_drop"))
+    for c in columns:
+        one = score(paired.withColumn(c, F.col(f"_o_{c}"))).select(F.lit(c).alias("feature"), "repeat", F.col(label).alias("y"), "p")
+        scored = one if scored is None else scored.unionByName(one)
+    return _drops(rank_metrics(scored, by=["feature", "repeat"]), base)
 
 
 # --- saved models ------------------------------------------------------------------

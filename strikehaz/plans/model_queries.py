@@ -1,6 +1,6 @@
 """Model queries: trained on the year split of the strike table, scored on all of it.
 
-Scores depend on MLlib's own numerics, so these have no SQL twin; the tables
+Scores depend on MLlib's own numerics, so all but `additive_importance` have no SQL twin; the tables
 around them (splits, features, metrics) do.
 """
 
@@ -12,6 +12,7 @@ from strikehaz.operators import explain, features, metrics, models, scoring, spl
 from strikehaz.operators.species import species_risk
 from strikehaz.plans.registry import query
 from strikehaz.plans.strike_queries import labelled_raw
+from strikehaz.plans.views import table
 
 
 def framed(spark, sf_dir, builder=features.operational_core, target="damage_binary"):
@@ -149,7 +150,31 @@ def permutation_importance(spark, sf_dir):
     def score(df):
         return model.transform(encoder.transform(df)).select("*", models.probability().alias("p"))
 
-    return models.permutation_importance(score, validation, "id", columns)
+    def parts(df):
+        return models.column_parts(model, encoder, df, ["id", "y"])
+
+    return models.permutation_importance(score, validation, "id", columns, parts=parts)
+
+
+@query("additive_importance", """WITH s AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y, [(1995 - year(o_orderdate)) / 2e0, floor(o_totalprice / 1000) / 64e0, CAST(substr(o_orderpriority, 1, 1) AS INT) / 4e0] AS parts FROM orders),
+m AS (SELECT *, 25e-2 + parts[1] + parts[2] + parts[3] AS p FROM s),
+z AS (SELECT r, id, row_number() OVER (PARTITION BY r ORDER BY md5(id || ':' || (42 + 2 * r))) AS here, row_number() OVER (PARTITION BY r ORDER BY md5(id || ':' || (43 + 2 * r))) AS there FROM s CROSS JOIN range(5) t(r)),
+w AS (SELECT a.r, a.id, b.id AS other FROM z a JOIN z b ON a.r = b.r AND a.here = b.there),
+x AS (SELECT w.r, k, i.y, CASE WHEN k = 0 THEN i.p ELSE i.p - i.parts[k] + o.parts[k] END AS p FROM w JOIN m i ON i.id = w.id JOIN m o ON o.id = w.other CROSS JOIN range(4) t(k) WHERE k > 0 OR w.r = 0),
+h AS (SELECT k, r, p, sum(y) AS pos, sum(1 - y) AS neg FROM x GROUP BY 1, 2, 3),
+c AS (SELECT *, sum(neg) OVER (PARTITION BY k, r ORDER BY p) - neg AS below FROM h),
+u AS (SELECT k, r, sum(pos * (below + neg / 2e0)) / (sum(pos) * sum(neg)) AS auc FROM c GROUP BY 1, 2)
+SELECT ['order_year', 'total_price', 'priority'][k] AS feature, round(avg(b.auc - u.auc), 9) AS mean_roc_auc_drop, round(stddev_pop(b.auc - u.auc), 9) AS std_roc_auc_drop
+FROM u, (SELECT auc FROM u WHERE k = 0) b WHERE k > 0 GROUP BY 1""")
+def additive_importance(spark, sf_dir):
+    """AUC lost by each column of a stated additive scorer over all orders, with shuffles that SQL can repeat."""
+    parts = F.array(
+        (1995 - F.year("o_orderdate")) / 2.0, F.floor(F.col("o_totalprice") / 1000) / 64.0, F.substring("o_orderpriority", 1, 1).cast("int") / 4.0)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").cast("int").alias("y"), parts.alias("parts"))
+    rows = rows.withColumn("margin", F.aggregate("parts", F.lit(0.25), lambda s, v: s + v))
+    out = models.additive_importance(
+        rows, "id", ["order_year", "total_price", "priority"], order=lambda i, salt: F.md5(F.concat_ws(":", i.cast("string"), salt.cast("string"))))
+    return out.withColumns({c: F.round(c, 9) for c in ("mean_roc_auc_drop", "std_roc_auc_drop")})
 
 
 @query("region_slice")

@@ -4,6 +4,7 @@ import inspect
 
 import pytest
 from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
@@ -65,6 +66,31 @@ def test_contributions_add_up_and_planted_signal_is_found(spark):
     assert total.join(logit, "id").agg(F.max(F.abs(F.col("z") - F.col("l")))).first()[0] < 1e-6
 
 
+def test_importance_from_parts_equals_scoring_every_shuffle(spark):
+    df = spark.range(500).select(
+        "id", (F.pmod(F.xxhash64("id"), F.lit(100)) / 10.0).alias("x"), F.when(F.col("id") % 9 > 0, F.pmod(F.col("id"), F.lit(7)) * 1.0).alias("gaps"),
+        F.concat(F.lit("k"), F.pmod(F.xxhash64("id", F.lit(3)), F.lit(4)).cast("string")).alias("c"), F.lit("a").alias("same"))
+    df = df.withColumn("y", F.when(F.col("x") + F.when(F.col("c") == "k1", 4.0).otherwise(0.0) > 6, 1.0).otherwise(0.0))
+    encoder = models.fit_dense(df, ["x", "gaps"], ["c", "same"], threshold=1)
+    model = models.fit_logistic(encoder.transform(df))
+    columns = ["x", "gaps", "c", "same"]
+    unseen = df.withColumn("c", F.when(F.col("id") % 50 == 0, "new").otherwise(F.col("c")))
+
+    def score(frame):
+        return model.transform(encoder.transform(frame)).select("*", vector_to_array("rawPrediction")[1].alias("p"))
+
+    def parts(frame):
+        return models.column_parts(model, encoder, frame, ["id", "y"])
+
+    margins = parts(unseen).join(score(unseen).select("id", "p"), "id")
+    assert margins.agg(F.max(F.abs(F.col("margin") - F.col("p")))).first()[0] < 1e-9
+    plain = {r.feature: (r[1], r[2]) for r in models.permutation_importance(score, unseen, "id", columns, repeats=2).collect()}
+    fast = {r.feature: (r[1], r[2]) for r in models.permutation_importance(None, unseen, "id", columns, repeats=2, parts=parts).collect()}
+    assert plain.keys() == fast.keys() == set(columns) and fast["same"] == (0.0, 0.0) and fast["x"][0] > 0.2
+    assert all(abs(plain[c][0] - fast[c][0]) < 1e-3 and abs(plain[c][1] - fast[c][1]) < 1e-3 for c in columns)
+    assert models.permutation_importance(None, unseen.where("false"), "id", columns, repeats=2, parts=parts).count() == 0
+
+
 def test_model_queries_run_the_whole_job(spark, monkeypatch):
     """All columns, all grid points and the operators' own numbers of trees and repeats reach the operators."""
     from strikehaz import fixed_values as fv
