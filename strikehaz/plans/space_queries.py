@@ -9,6 +9,7 @@ from strikehaz.operators import habitat, layers, quality, spatial
 from strikehaz.plans import geosql
 from strikehaz.plans.registry import query
 from strikehaz.plans.views import table, view, with_views
+from strikehaz.session import durable
 
 PLACED = (
     with_views("airports", "sites") + ", "
@@ -137,6 +138,17 @@ def buffer_polygons(spark, sf_dir):
     ).select("airport_id", F.coalesce("_w", F.lit(False)).alias("has_polygon"), "buffer_unavailable_reason", "n_corners", "buffer_radius_km")
 
 
+@query("buffer_corners", PLACED + """ SELECT airport_id, CAST(i AS INT) AS corner, round(50000 * cos(2 * pi() * (i % 64) / 64)) + 0e0 AS east_m, round(50000 * sin(2 * pi() * (i % 64) / 64)) + 0e0 AS north_m
+FROM a CROSS JOIN range(65) t(i) WHERE reg IS NOT NULL""")
+def buffer_corners(spark, sf_dir):
+    """Every corner of the 50 km buffers, projected back: metres east and north of its airport in the plane of the region."""
+    rings = layers.buffer_layer(view(spark, sf_dir, "airports"), 50.0).select("airport_id", "ring", geo.placed("longitude", "latitude").alias("p"))
+    rings = durable(rings)  # else each corner is worked out anew from its airport's coordinates
+    corners = rings.select("airport_id", "p", F.posexplode("ring").alias("corner", "c")).select("airport_id", "p", "corner", "c.lon", "c.lat")
+    corners = corners.withColumn("region", F.col("p.region")).withColumn("back", geo.planar("region", "lon", "lat"))
+    return corners.select("airport_id", "corner", *[(F.round(F.col(f"back.{a}") - F.col(f"p.{a}")) + 0.0).alias(n) for a, n in (("x", "east_m"), ("y", "north_m"))])
+
+
 def habitat_cells(spark, sf_dir):
     """A gridded layer: one patch per part, its area following the part size."""
     k = F.col("p_partkey")
