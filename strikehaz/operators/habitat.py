@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strikehaz.fixed_values import REGIONS
 from strikehaz.functions import geo
-from strikehaz.operators.spatial import branch_and_bound, within_radius
+from strikehaz.operators.spatial import branch_and_bound, exchanged, spread, within_radius
 from strikehaz.schemas import ENVIRONMENT
 from strikehaz.session import durable
 
@@ -114,7 +114,8 @@ def area_within(points: DataFrame, cells: DataFrame, id_col: str, radius_km: flo
     when its centre is in range, so the error is bounded by the cells on the rim.
     """
     spots = points.select(F.col("longitude").alias("lon"), F.col("latitude").alias("lat")).distinct()
-    areas = within_radius(spots, cells.select("longitude", "latitude", "area_km2"), radius_km).groupBy("lon", "lat").agg(
+    centres = cells.groupBy("longitude", "latitude").agg(F.sum("area_km2").alias("area_km2"))
+    areas = within_radius(spots, centres, radius_km).groupBy("lon", "lat").agg(
         F.sum("area_km2").alias("area")
     )
     located = points.select(id_col, F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
@@ -188,7 +189,7 @@ def clipped_area(points: DataFrame, edges: DataFrame, id_col: str, radius_km: fl
     radius = radius_km * 1000.0
     span = 2 * radius
     known = F.col("lon1") + F.col("lat1") + F.col("lon2") + F.col("lat2")
-    sides = edges.where(F.col("polygon_id").isNotNull()).select(
+    sides = spread(edges.where(F.col("polygon_id").isNotNull()), "polygon_id", "lon1", "lat1").select(
         "polygon_id", "lon1", "lat1", "lon2", "lat2", F.explode(F.array(*[F.lit(r) for r in REGIONS])).alias("region"))
     sides = sides.select(
         "polygon_id", "region", known.isNotNull().alias("known"), geo.planar("region", "lon1", "lat1").alias("a"), geo.planar("region", "lon2", "lat2").alias("b"))
@@ -211,9 +212,9 @@ def clipped_area(points: DataFrame, edges: DataFrame, id_col: str, radius_km: fl
         "lon", "lat", F.col("p.region").alias("region"), F.col("p.x").alias("px"), F.col("p.y").alias("py"),
         F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("level"))
     asked = asked.withColumn("cx", F.floor(F.col("px") / size)).withColumn("cy", F.floor(F.col("py") / size))
-    pairs = asked.join(held, ["region", "level", "cx", "cy"]).where("px BETWEEN west AND east AND py BETWEEN south AND north").select(
+    pairs = asked.join(exchanged(held), ["region", "level", "cx", "cy"]).where("px BETWEEN west AND east AND py BETWEEN south AND north").select(
         "lon", "lat", "px", "py", "polygon_id", "region")
-    moved = pairs.join(sides, ["polygon_id", "region"]).select(
+    moved = pairs.join(exchanged(sides), ["polygon_id", "region"]).select(
         "lon", "lat", (F.col("a.x") - F.col("px")).alias("ax"), (F.col("a.y") - F.col("py")).alias("ay"),
         (F.col("b.x") - F.col("px")).alias("bx"), (F.col("b.y") - F.col("py")).alias("by"))
     areas = with_disc_part(moved, radius).groupBy("lon", "lat").agg((F.sum("part") / 1e6).alias("area"))

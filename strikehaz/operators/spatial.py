@@ -64,6 +64,15 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(parts, F.xxhash64(*by))
 
 
+def exchanged(df: DataFrame) -> DataFrame:
+    """The side of a join that may be far larger than its files or its lineage suggest: always shuffled and sorted.
+
+    Spark's own estimate knows neither how many rows an explode makes nor how far a file unpacks, and would
+    send such a side whole through the driver.
+    """
+    return df.hint("merge")
+
+
 def within_radius(
     left: DataFrame, right: DataFrame, radius_km: float, *,
     left_lon: str = "lon", left_lat: str = "lat", right_lon: str = "longitude", right_lat: str = "latitude",
@@ -82,7 +91,7 @@ def within_radius(
         "_cell", F.explode(_cap_cells(right_lon, right_lat, radius_km))
     )
     keep = [c for c in l.columns if not c.startswith("_")] + [c for c in right.columns]
-    met = l.join(r, "_cell").where(_close(radius_km, left_lon, left_lat, right_lon, right_lat))
+    met = l.join(exchanged(r), "_cell").where(_close(radius_km, left_lon, left_lat, right_lon, right_lat))
     return met.withColumn("distance_km", geo.distance_km("_p", "_q")).where(
         F.col("distance_km") <= radius_km
     ).select(*keep, "distance_km")
@@ -247,14 +256,14 @@ def branch_and_bound(
         state = state.withColumn("_cells", F.filter("_cells", lambda m: sees(F.col("_region"), F.floor(m["key"] / F.lit(KIND)))))
     for level, size in enumerate(levels):
         if level:
-            state = state.join(children(level), keys[:level])
+            state = state.join(exchanged(children(level)), keys[:level])
         state = state.withColumn("_cells", bounded(size)).withColumn("_best", F.expr("array_min(_cells.high)"))
         if level:
             state = state.withColumn("_best", F.min("_best").over(here))
         alive = F.expr("filter(_cells, c -> c.low <= _best)")
         state = state.select("lon", "lat", *own, *keys[:level], F.explode(alive).alias("_cell"))
         state = state.select("lon", "lat", *own, *keys[:level], F.col("_cell.key").alias(keys[level]))
-    pairs = exact(state.join(spots, keys))
+    pairs = exact(state.join(exchanged(spots), keys))
     return pairs.groupBy("lon", "lat").agg(F.min(F.struct(F.col("_d").alias("d"), F.col("_sid").alias("id"))).alias("_hit"))
 
 
