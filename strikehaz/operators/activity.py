@@ -12,8 +12,9 @@ from strikehaz.functions import geo
 from strikehaz.functions.coerce import number
 from strikehaz.functions.names import species_group
 from strikehaz.functions.times import local_to_utc, micros
+from strikehaz.operators.around import around, window_distinct, window_sums
 from strikehaz.operators.spatial import nearest, within_radius
-from strikehaz.operators.temporal import HOUR, in_blocks, latest_before, lookback_sums
+from strikehaz.operators.temporal import HOUR, latest_before
 from strikehaz.session import durable
 
 GROUPS = ["large_bird", "waterfowl", "gull", "raptor"]
@@ -84,11 +85,10 @@ def lookback_totals(
     asked = _query_frame(queries, id_col, at_col)
     instants = asked.select("lon", "lat", "at").distinct()
     pairs = within_radius(instants.select("lon", "lat").distinct(), sites.select("site_id", "longitude", "latitude"), radius_km)
-    reach = in_blocks(instants.join(pairs.select("lon", "lat", "site_id"), ["lon", "lat"]))
     labels = list(windows_hours)
-    sums = lookback_sums(
-        reach, session_measures(counts), key="site_id", at="at", ts="ts", group_by=["lon", "lat", "at"],
-        values={"rows": labels, "birds": labels}, windows={k: h * HOUR for k, h in windows_hours.items()},
+    sums = sums_around(
+        instants, durable(pairs.select("lon", "lat", "site_id", "distance_km")), durable(session_measures(counts).select("site_id", "ts", "rows", "birds")),
+        radius_km, values={"rows": labels, "birds": labels}, windows={k: h * HOUR for k, h in windows_hours.items()},
     )
     found = asked.join(sums, ["lon", "lat", "at"], "left")
     return found.select(
@@ -96,27 +96,34 @@ def lookback_totals(
     )
 
 
-def species_richness(reach: DataFrame, counts: DataFrame, hours: int = 168) -> DataFrame:
+def sums_around(
+    instants: DataFrame, pairs: DataFrame, measures: DataFrame, radius_km: float, *, values: dict[str, list[str]], windows: dict[str, int],
+) -> DataFrame:
+    """Sums of measures over [at - window, at) per (lon, lat, at), over all sites of `pairs`; no rows where nothing can be near."""
+    span = max(windows.values())
+    found = around(
+        instants, pairs, measures.select("site_id", "ts", *values), window_sums(values, windows),
+        key="site_id", ts="ts", radius_km=radius_km, back=span, step=span)
+    return found.groupBy("lon", "lat", "at").agg(*[F.sum(c).alias(c) for c in found.columns if c not in ("lon", "lat", "at")])
+
+
+def species_richness(instants: DataFrame, pairs: DataFrame, counts: DataFrame, radius_km: float, hours: int = 168) -> DataFrame:
     """Distinct species over the look-back window per (lon, lat, at).
 
-    Days that lie wholly inside the window give one row with their set of species; only
-    the two edge days are met species by species, by their first and last instant.
+    A species of a site and day (or window, if that is shorter) is met by its first and last instant only:
+    between these it never leaves a window.
     """
     span = hours * HOUR
     key = F.coalesce("species_scientific_name", "species_common_name")
     ts = micros(F.col("count_timestamp_utc"))
     daily = counts.where(F.col("count_timestamp_utc").isNotNull() & key.isNotNull()).groupBy(
-        "site_id", F.floor(ts / F.lit(DAY)).alias("_day"), key.alias("_species")
+        "site_id", F.floor(ts / F.lit(min(DAY, span))).alias("_day"), key.alias("species")
     ).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
-    sets = daily.groupBy("site_id", "_day").agg(
-        F.collect_list("_species").alias("_all"), F.collect_list(F.struct("_species", "_first", "_last")).alias("_each"))
-    first, last = F.floor((F.col("at") - span) / F.lit(DAY)), F.floor(F.col("at") / F.lit(DAY))
-    days = reach.select("lon", "lat", "at", "site_id", F.explode(F.sequence(first, last)).alias("_day"))
-    edge = (F.col("_day") == first) | (F.col("_day") == last)
-    inside = F.filter("_each", lambda e: (e["_first"] < F.col("at")) & (e["_last"] >= F.col("at") - span))
-    met = F.when(edge, F.transform(inside, lambda e: e["_species"])).otherwise(F.col("_all"))
-    found = days.join(sets, ["site_id", "_day"]).select("lon", "lat", "at", met.alias("_met")).where(F.size("_met") > 0)
-    return found.groupBy("lon", "lat", "at").agg(F.size(F.array_distinct(F.flatten(F.collect_list("_met")))).cast("bigint").alias("richness"))
+    edges = daily.select("site_id", "species", F.explode(F.array_distinct(F.array("_first", "_last"))).alias("ts"))
+    found = around(
+        instants, pairs, durable(edges), window_distinct("species", span, "richness"),
+        key="site_id", ts="ts", radius_km=radius_km, back=span, step=2 * span, deal="species")
+    return found.groupBy("lon", "lat", "at").agg(F.sum("richness").alias("richness"))
 
 
 def activity_features(
@@ -143,18 +150,16 @@ def activity_features(
     )
     closest = durable(nearest(places, stations)).withColumnRenamed("distance_km", "distance_to_nearest_site_km")
 
-    reach = in_blocks(instants.join(pairs.where(covered).select("lon", "lat", "site_id"), ["lon", "lat"]))
+    reach = pairs.where(covered).select("lon", "lat", "site_id", "distance_km")
     measures = durable(session_measures(counts))
     week = ["effort_rows", "hours", "heading_weight", *[f"axis_{i}" for i in range(4)], *[f"birds_{g}" for g in GROUPS]]
     values = {"rows": list(fv.WINDOWS_HOURS), "birds": list(fv.WINDOWS_HOURS)}
     values |= {v: ["7d"] for v in week}
     for kind, label in TYPED.items():
         values |= {f"birds_{kind}": [label], f"rows_{kind}": [label]}
-    sums = lookback_sums(
-        reach, measures, key="site_id", at="at", ts="ts", group_by=["lon", "lat", "at"], values=values,
-        windows={k: h * HOUR for k, h in fv.WINDOWS_HOURS.items()},
-    )
-    richness = species_richness(reach, counts)
+    sums = sums_around(
+        instants, reach, measures, coverage_radius_km, values=values, windows={k: h * HOUR for k, h in fv.WINDOWS_HOURS.items()})
+    richness = species_richness(instants, reach, counts, coverage_radius_km)
     ages = latest_before(
         instants.join(closest.select("lon", "lat", F.col("nearest_site_id").alias("site_id")), ["lon", "lat"]),
         measures.select("site_id", "ts"), key="site_id", at="at", ts="ts",
