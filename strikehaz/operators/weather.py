@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from strikehaz.fixed_values import WEATHER_MAX_AGE_HOURS, WEATHER_MAX_KM
 from strikehaz.functions.times import micros
+from strikehaz.operators.around import around, nearest_fresh
 from strikehaz.operators.spatial import within_radius
-from strikehaz.operators.temporal import HOUR, asof_within
+from strikehaz.operators.temporal import HOUR
+from strikehaz.session import durable
 
 
 def asof_weather(
@@ -37,11 +39,12 @@ def asof_weather(
     )
     instants = asked.select("lon", "lat", "at").distinct()
     pairs = within_radius(instants.select("lon", "lat").distinct(), stations, max_distance_km)
-    tries = instants.join(pairs.select("lon", "lat", "station_id", "distance_km"), ["lon", "lat"])
-    found = asof_within(
-        tries, obs, key="station_id", at="at", ts="ts", payload=["measured"],
-        max_age=int(max_age_hours * HOUR), either_side=allow_future,
-    ).where(F.col("hit").isNotNull())
+    types = dict(obs.dtypes)
+    age = int(max_age_hours * HOUR)
+    found = around(
+        instants, durable(pairs.select("lon", "lat", "station_id", "distance_km")), obs,
+        nearest_fresh("station_id", types["station_id"], "measured", types["measured"], age, allow_future),
+        key="station_id", ts="ts", radius_km=max_distance_km, back=age, ahead=age if allow_future else 0, step=max(age, 24 * HOUR))
     best = found.groupBy("lon", "lat", "at").agg(
         F.min_by(F.struct("station_id", "distance_km", "age", "hit"), F.struct("distance_km", "station_id")).alias("best")
     )
@@ -49,5 +52,5 @@ def asof_weather(
         id_col, F.col("best").isNotNull().alias("weather_available"), F.col("best.station_id").alias("station_id"),
         F.col("best.distance_km").alias("weather_station_distance_km"),
         (F.col("best.age") / F.lit(HOUR // 60)).alias("weather_observation_age_minutes"),
-        *[F.col(f"best.hit.measured.{m}").alias(m) for m in measures],
+        *[F.col(f"best.hit.{m}").alias(m) for m in measures],
     )
