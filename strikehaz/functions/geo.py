@@ -8,6 +8,7 @@ Local Geometry (1970), for the ellipsoid.  Everything is evaluated in the JVM.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -206,6 +207,11 @@ def cell_distance_km(a: str, b: str) -> Column:
 
 # --- buffers (D4) --------------------------------------------------------------
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, as in `_geodesic`."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _albers_lonlat(x: Column, y: Column) -> tuple[Column, Column]:
     dy = F.lit(ALBERS_RHO0) - y
     rho = F.sqrt(x * x + dy * dy)
@@ -225,14 +231,13 @@ def _laea_lonlat(x: Column, y: Column) -> tuple[Column, Column]:
 
 def _lat_from_q(q: Column) -> Column:
     """Latitude whose authalic q is given, by the series in the authalic latitude."""
-    beta = F.asin(F.greatest(F.least(q / LAEA_QP, F.lit(1.0)), F.lit(-1.0)))
     e4, e6 = E2 ** 2, E2 ** 3
-    return F.degrees(
+    return _let(F.asin(F.greatest(F.least(q / LAEA_QP, F.lit(1.0)), F.lit(-1.0))), lambda beta: F.degrees(
         beta
         + F.sin(beta * 2) * (E2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040)
         + F.sin(beta * 4) * (23 * e4 / 360 + 251 * e6 / 3780)
         + F.sin(beta * 6) * (761 * e6 / 45360)
-    )
+    ))
 
 
 def lonlat(region_name: Column, x: Column, y: Column) -> Column:
@@ -247,10 +252,10 @@ def buffer_ring(point: Column, radius_km: float, corners: int = 64) -> Column:
     """Closed ring of struct(lon, lat): the planar circle around a `placed` point, null outside the regions."""
     angles = F.transform(F.sequence(F.lit(0), F.lit(corners)), lambda i: (i % corners) * (2 * math.pi / corners))
 
-    def corner(angle: Column) -> Column:
-        return lonlat(point["region"], point["x"] + F.cos(angle) * (radius_km * 1000), point["y"] + F.sin(angle) * (radius_km * 1000))
+    def spot(angle: Column) -> Column:
+        return F.struct((point["x"] + F.cos(angle) * (radius_km * 1000)).alias("x"), (point["y"] + F.sin(angle) * (radius_km * 1000)).alias("y"))
 
-    return F.when(point["region"].isNotNull(), F.transform(angles, corner))
+    return F.when(point["region"].isNotNull(), F.transform(F.transform(angles, spot), lambda c: lonlat(point["region"], c["x"], c["y"])))
 
 
 def ring_wkt(ring: Column) -> Column:

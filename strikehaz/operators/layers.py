@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strikehaz.functions import geo
+from strikehaz.operators.spatial import spread
 
 
 @dataclass(frozen=True)
@@ -91,7 +92,8 @@ def geo_table(df: DataFrame, lon: str = "longitude", lat: str = "latitude") -> D
 
 def buffer_layer(airports: DataFrame, radius_km: float, corners: int = 64) -> DataFrame:
     """Airports with their planar buffer as WKT; outside the regions a null polygon and the reason."""
-    located = airports.withColumn("_p", geo.placed("longitude", "latitude"))
+    # placed before the exchange, else each corner works its airport's position out anew
+    located = spread(airports.withColumn("_p", geo.placed("longitude", "latitude")), "longitude", "latitude", *airports.columns[:1])
     ring = located.withColumn("ring", geo.buffer_ring(F.col("_p"), radius_km, corners))
     return ring.select(
         *airports.columns, "ring", geo.ring_wkt(F.col("ring")).alias("geometry_wkt"),
