@@ -13,11 +13,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strikehaz import fixed_values as fv
 from strikehaz.operators.metrics import log_loss, rank_metrics
-from strikehaz.operators.ordered import running_totals
+from strikehaz.operators.ordered import SLICE_ROWS
 from strikehaz.operators.scoring import risk_band, score_class
+from strikehaz.operators.spatial import exchanged
 from strikehaz.operators.splits import bucket_rare, frequent_categories
 from strikehaz.session import durable
 
@@ -279,18 +281,37 @@ def column_parts(model, encoder: Encoder, df: DataFrame, keep: list[str]) -> Dat
     return summed.withColumn("margin", F.aggregate("parts", F.lit(float(model.intercept)), lambda s, v: s + v))
 
 
+def _leading(key: Column, kind: str) -> Column:
+    """The leading 16 bits of a hash as a number from 0, in the order of the hash: an integer of eight bytes, or binary."""
+    if kind == "bigint":
+        return F.shiftright(key, 48) + 32768
+    if kind == "binary":
+        return F.conv(F.hex(F.substring(key, 1, 2)), 16, 10).cast("bigint")
+    raise ValueError(f"An order must be bigint or binary, not {kind}")
+
+
 def _shuffled(ids: DataFrame, id_col: str, repeats: int, seed: int, order) -> DataFrame:
     """(repeat, id, _other): every row with another one, a true permutation for each repeat.
 
-    Two seeded orders are numbered side by side for all repeats, in slices: no global sort, no task beyond a slice.
+    Two seeded orders are numbered side by side for all repeats, in slices by the leading bits of the hashes: no global sort, no task beyond
+    a slice.  Only ids travel, hashes are worked out again where they are sorted.  `ids` is read several times; callers cut its lineage.
     """
-    drawn = durable(ids.select(F.col(id_col).alias("_id"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")))
+    known = ids.select(F.col(id_col).alias("_id"))
+    each = min(1 << 16, max(1, -(-known.count() // SLICE_ROWS)))
 
     def numbered(second: int, name: str) -> DataFrame:
-        rows = drawn.select("repeat", F.col("_id").alias(name), order(F.col("_id"), F.col("repeat") * 2 + (seed + second)).alias("_h"), F.lit(1).alias("_one"))
-        return running_totals(rows, ["_h"], ["_one"], ["repeat"]).select("repeat", name, F.col("below__one").alias("_rank"))
+        drawn = known.select(F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"), F.col("_id").alias(name))
+        key = order(F.col(name), F.col("repeat") * 2 + (seed + second))
+        kind = drawn.select(key.alias("h")).dtypes[0][1]
+        dealt = drawn.withColumn("_slice", F.shiftright(_leading(key, kind) * each, 16).cast("int"))
+        before = Window.partitionBy("repeat").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = dealt.groupBy("repeat", "_slice").agg(F.count("*").alias("n"))
+        sizes = sizes.select("repeat", "_slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_below"))
+        row = F.row_number().over(Window.partitionBy("repeat", "_slice").orderBy(key, name)) - 1
+        rows = dealt.repartition(each * repeats, "repeat", "_slice").withColumn("_row", row)
+        return rows.join(sizes, ["repeat", "_slice"]).select("repeat", name, (F.col("_row") + F.col("_below")).alias("_rank"))
 
-    return numbered(0, "_id").join(numbered(1, "_other"), ["repeat", "_rank"]).select("repeat", "_id", "_other")
+    return numbered(0, "_id").join(exchanged(numbered(1, "_other")), ["repeat", "_rank"]).select("repeat", "_id", "_other")
 
 
 def _drops(aucs: DataFrame, base: float | None) -> DataFrame:
@@ -305,13 +326,13 @@ def additive_importance(
 
     `scored`: id, label, `margin` and `parts`, one number for each of `columns` (see `column_parts`); ids are unique.  A shuffle swaps one
     part, so no row is encoded or scored again: all (column, repeat) curves come from one histogram of swapped margins.
-    `order(id, salt)` gives the seeded orders.  Same permutations and result as `permutation_importance`; an empty
+    `order(id, salt)` gives the seeded orders, a hash as bigint or binary.  Same permutations and result as `permutation_importance`; an empty
     frame gives no rows, one class alone null.
     """
     rows = durable(scored.select(F.col(id_col).alias("_id"), F.col(label).alias("y"), F.col("margin").cast("double").alias("p"), "parts"))
     base = rank_metrics(rows).first()
     theirs = rows.select(F.col("_id").alias("_other"), F.col("parts").alias("_theirs"))
-    paired = _shuffled(rows, "_id", repeats, seed, order).join(rows, "_id").join(theirs, "_other")
+    paired = _shuffled(rows, "_id", repeats, seed, order).join(exchanged(theirs), "_other").drop("_other").join(exchanged(rows), "_id")
     # an unchanged part leaves the margin as it was, to the last bit
     swapped = F.zip_with("parts", "_theirs", lambda mine, other: F.when(mine == other, F.col("p")).otherwise(F.col("p") - mine + other))
     curves = paired.select("repeat", "y", F.posexplode(swapped).alias("_column", "p"))
@@ -331,7 +352,7 @@ def permutation_importance(
         return additive_importance(parts(df), id_col, columns, label, repeats, seed)
     base = rank_metrics(score(df).select(F.col(label).alias("y"), "p")).first()["roc_auc"]
     others = df.select(F.col(id_col).alias("_other"), *[F.col(c).alias(f"_o_{c}") for c in columns])
-    here = _shuffled(df, id_col, repeats, seed, F.xxhash64).join(df, F.col("_id") == df[id_col]).drop("_id")
+    here = _shuffled(durable(df.select(id_col)), id_col, repeats, seed, F.xxhash64).join(df, F.col("_id") == df[id_col]).drop("_id")
     paired = durable(here.join(others, "_other"))
     scored = None
     for c in columns:

@@ -173,7 +173,7 @@ def additive_importance(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").cast("int").alias("y"), parts.alias("parts"))
     rows = rows.withColumn("margin", F.aggregate("parts", F.lit(0.25), lambda s, v: s + v))
     out = models.additive_importance(
-        rows, "id", ["order_year", "total_price", "priority"], order=lambda i, salt: F.md5(F.concat_ws(":", i.cast("string"), salt.cast("string"))))
+        rows, "id", ["order_year", "total_price", "priority"], order=lambda i, salt: F.unhex(F.md5(F.concat_ws(":", i.cast("string"), salt.cast("string")))))
     return out.withColumns({c: F.round(c, 9) for c in ("mean_roc_auc_drop", "std_roc_auc_drop")})
 
 
