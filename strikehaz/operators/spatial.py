@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -59,9 +59,11 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
 
     Hashing the hash keeps this exchange from being dropped as a repeat of an earlier one on the same columns.
     """
-    spark = df.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(parts, F.xxhash64(*by))
+    return df.repartition(spread_parts(df.sparkSession), F.xxhash64(*by))
+
+
+def spread_parts(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def exchanged(df: DataFrame) -> DataFrame:
@@ -84,22 +86,28 @@ def within_radius(
     """
     l = spread(left.where(on_globe(F.col(left_lat), F.col(left_lon))), left_lon, left_lat)
     r = right.where(on_globe(F.col(right_lat), F.col(right_lon)))
-    l = l.withColumn("_p", geo.placed(left_lon, left_lat)).withColumn(
+    cells = spread_parts(l.sparkSession)
+    l = l.withColumn("_p", geo.placed(left_lon, left_lat)).withColumn("_u", _unit(left_lon, left_lat)).withColumn(
         "_cell", _home_cell(left_lon, left_lat, radius_km)
-    )
-    r = r.withColumn("_q", geo.placed(right_lon, right_lat)).withColumn(
+    ).repartition(cells, "_cell")
+    r = r.withColumn("_q", geo.placed(right_lon, right_lat)).withColumn("_v", _unit(right_lon, right_lat)).withColumn(
         "_cell", F.explode(_cap_cells(right_lon, right_lat, radius_km))
-    )
+    ).repartition(cells, "_cell")  # by number: few bytes make very many pairs, so no partitions are merged by their size
     keep = [c for c in l.columns if not c.startswith("_")] + [c for c in right.columns]
-    met = l.join(exchanged(r), "_cell").where(_close(radius_km, left_lon, left_lat, right_lon, right_lat))
-    return met.withColumn("distance_km", geo.distance_km("_p", "_q")).where(
-        F.col("distance_km") <= radius_km
-    ).select(*keep, "distance_km")
-
-
-def _close(radius_km: float, lon1: str, lat1: str, lon2: str, lat2: str) -> Column:
-    """Great-circle bound that no pair in range can miss; spares the exact distance for the corners of the cells."""
-    return F.expr(f"{geo.great_circle(lon1, lat1, lon2, lat2)} <= {radius_km * geo.MARGIN + 0.001}D")
+    met = l.join(exchanged(r), "_cell").where(_close(radius_km))
+    # the join tests plain expressions only; a column of the task keeps Spark from moving the exact distance, which has
+    # lambdas, into the join, where it would be worked out twice and the join no longer compiled
+    exact = met.withColumns({"distance_km": geo.distance_km("_p", "_q"), "_task": F.spark_partition_id()})
+    return exact.where((F.col("distance_km") <= radius_km) & (F.col("_task") >= 0)).select(*keep, "distance_km")
+
+
+def _close(radius_km: float) -> Column:
+    """Pairs in one plane by their distance there, others by a great-circle bound that no pair in range can miss: no trigonometry for each pair."""
+    least = math.cos(min((radius_km * geo.MARGIN + 0.001) / geo.EARTH_KM, math.pi))
+    limit = radius_km * 1000 * (1 + 1e-9) + 0.001
+    return F.expr(
+        f"CASE WHEN _p.region = _q.region THEN (_p.x - _q.x) * (_p.x - _q.x) + (_p.y - _q.y) * (_p.y - _q.y) <= {limit * limit!r}D "
+        f"ELSE _u.x * _v.x + _u.y * _v.y + _u.z * _v.z >= {least!r}D END")
 
 
 def site_links(airports: DataFrame, sites: DataFrame, radius_km: float = COVERAGE_RADIUS_KM) -> DataFrame:

@@ -41,7 +41,8 @@ def pair_distance(spark, sf_dir):
 @query("airport_site_links", PAIRS + " SELECT airport_id, site_id, round(distance_km, 6) AS distance_km FROM pairs WHERE distance_km <= 250")
 def airport_site_links(spark, sf_dir):
     """Every airport-site pair within 250 km."""
-    return spatial.site_links(view(spark, sf_dir, "airports"), view(spark, sf_dir, "sites")).withColumn("distance_km", F.round("distance_km", 6))
+    links = spatial.site_links(view(spark, sf_dir, "airports"), view(spark, sf_dir, "sites"))
+    return links.withColumn("distance_km", F.floor(F.col("distance_km") * 1e6 + 0.5) / 1e6)  # plain arithmetic: F.round makes a decimal of each pair
 
 
 @query("linked_sites", PAIRS + " SELECT site_id, site_name FROM v_sites WHERE site_id IN (SELECT site_id FROM pairs WHERE distance_km <= 100)")
