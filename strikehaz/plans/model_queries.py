@@ -13,14 +13,19 @@ from strikehaz.operators.species import species_risk
 from strikehaz.plans.registry import query
 from strikehaz.plans.strike_queries import labelled_raw
 from strikehaz.plans.views import table
+from strikehaz.session import durable
 
 
 def framed(spark, sf_dir, builder=features.operational_core, target="damage_binary"):
-    """(feature set, train, validation, test) of the principal population's labelled strikes with `y`, `id` and `region`."""
+    """(feature set, train, validation, test) of the principal population's labelled strikes with `y`, `id` and `region`.
+
+    The raw text is read and parsed once: encoders, fits and scores each read the splits several times.
+    """
     rows = splits.year_split(targets.principal_population(labelled_raw(spark, sf_dir)).where(F.col(target).isNotNull()), "INCIDENT_YEAR")
     keyed = rows.withColumns({"y": F.col(target).cast("double"), "id": F.col("INDEX_NR").cast("bigint"), "region": F.col("FAAREGION")})
     built = builder(keyed, ["id", "y", "region", "split"])
-    parts = [built.frame.where(F.col("split") == s) for s in ("train", "validation", "test")]
+    frame = durable(built.frame)
+    parts = [frame.where(F.col("split") == s) for s in ("train", "validation", "test")]
     return built, *parts
 
 
