@@ -11,17 +11,20 @@ occurrences and with it the smallest document id.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strikehaz.llm.common import for_python, gram_hashes, released, rows_of, stored_table, whole_text, word_hashes
+from strikehaz.llm.common import for_python, gram_hashes, released, rows_of, stored_table, whole_text
 from strikehaz.llm.fm_index import FMIndex
+from strikehaz.llm.word_places import by_size, numbered, place_hashes, word_places
 
 ANCHOR = 4
 PIECE = 64  # windows of a stretch; longer ones are cut, which loses no window
@@ -29,49 +32,66 @@ SHARD_WORDS = 1_000_000
 HOT = 10_000  # stretches of an anchor; beyond, they are dealt out window by window
 
 
-def anchors(words: list[bytes], window: int) -> np.ndarray:
-    """The anchor of every window of the words."""
-    grams = gram_hashes(word_hashes(words), min(ANCHOR, window))
+class Stretches(NamedTuple):
+    """The stretches of some texts, and where the words of the joined texts are."""
+
+    joined: bytes
+    starts: np.ndarray  # first byte of each word
+    ends: np.ndarray
+    first: np.ndarray  # number of the first word of each text, and of all words
+    text: np.ndarray  # of each stretch from here on: number of its text
+    anchor: np.ndarray
+    start: np.ndarray  # its first window in the text
+    windows: np.ndarray
+
+
+def _least(hashes: np.ndarray, window: int) -> np.ndarray:
+    """The smallest hash among the runs of ANCHOR words in each window."""
+    grams = gram_hashes(hashes, min(ANCHOR, window))
     spread = window - min(ANCHOR, window) + 1
     if len(grams) < spread:
         return np.empty(0, np.uint64)
-    least = grams[: len(grams) - spread + 1].copy()
-    for k in range(1, spread):
-        np.minimum(least, grams[k : k + len(least)], out=least)
-    return least
-
-
-def stretch_counts(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct anchors of a document and the number of stretches of each."""
-    starts = np.concatenate([[True], found[1:] != found[:-1]])[: len(found)]
-    return np.unique(found[starts], return_counts=True)
-
-
-def stretches(found: np.ndarray, wanted: np.ndarray, hot: np.ndarray) -> list[tuple[int, int, int, bool]]:
-    """(anchor, first window, number of windows, hot) of the stretches whose anchor is wanted; `wanted` is sorted."""
-    if not len(found) or not len(wanted):
-        return []
-    signed = found.view(np.int64)
-    edges = np.flatnonzero(np.concatenate([[True], signed[1:] != signed[:-1], [True]]))
-    own = signed[edges[:-1]]
-    at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
-    kept = wanted[at] == own
-    out = []
-    for anchor, a, b, is_hot in zip(own[kept].tolist(), edges[:-1][kept].tolist(), edges[1:][kept].tolist(), hot[at[kept]].tolist()):
-        piece = 1 if is_hot else PIECE
-        if b - a <= piece:
-            out.append((anchor, a, b - a, is_hot))
-        else:
-            out.extend((anchor, start, min(piece, b - start), is_hot) for start in range(a, b, piece))
-    return out
+    taken = 1
+    while taken < spread:
+        more = min(taken, spread - taken)
+        grams = np.minimum(grams[:-more], grams[more:])
+        taken += more
+    return grams
+
+
+def anchors(words: list[bytes], window: int) -> np.ndarray:
+    """The anchor of every window of the words."""
+    joined = b" ".join(words)
+    return _least(place_hashes(joined, *word_places(joined)), window)
+
+
+def stretches(texts: list[bytes], window: int) -> Stretches:
+    """The stretches of each text, in order."""
+    joined = b" ".join(texts)
+    starts, ends = word_places(joined)
+    behind = np.cumsum([len(t) + 1 for t in texts])
+    first = np.concatenate([[0], np.searchsorted(starts, behind)])
+    least = _least(place_hashes(joined, starts, ends), window).view(np.int64)
+    sizes = np.maximum(np.diff(first) - window + 1, 0)  # windows of each text
+    found = np.concatenate([least[a : a + n] for a, n in zip(first.tolist(), sizes.tolist())])
+    before = np.cumsum(sizes) - sizes
+    fresh = np.concatenate([[True], found[1:] != found[:-1]])[: len(found)]
+    fresh[before[sizes > 0]] = True
+    at = np.flatnonzero(fresh)
+    text = np.repeat(np.arange(len(texts)), sizes)[at]
+    return Stretches(joined, starts, ends, first, text, found[at], at - before[text], np.diff(at, append=len(found)))
+
+
+def _columns(kinds: list[tuple[str, pa.DataType]], size: int, **columns) -> pa.RecordBatch:
+    """Columns as a batch of `size` rows; those not given are null."""
+    made = [pa.array(columns[n], k) if n in columns else pa.nulls(size, k) for n, k in kinds]
+    return pa.RecordBatch.from_arrays(made, [n for n, _ in kinds])
 
 
 def _table(kinds: list[tuple[str, pa.DataType]], rows: list[tuple], names: list[str] | None = None) -> pa.RecordBatch:
     """Rows as a batch; `names` are the columns they have, all others are null."""
     names = names or [n for n, _ in kinds]
-    columns = dict(zip(names, list(zip(*rows)) or [()] * len(names)))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(columns[n], k) if n in columns else pa.nulls(len(rows), k) for n, k in kinds], [n for n, _ in kinds])
+    return _columns(kinds, len(rows), **dict(zip(names, list(zip(*rows)) or [()] * len(names))))
 
 
 def _shared_anchors(docs: DataFrame, window: int) -> DataFrame:
@@ -79,12 +99,19 @@ def _shared_anchors(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in rows_of(batches, "doc_id", "text"):
-            own, counts = zip(*(stretch_counts(anchors(t.split(), window)) for t in texts))
-            repeated = np.repeat(np.array(ids, np.int64), [len(a) for a in own])
-            columns = [pa.array(np.concatenate(own).view(np.int64)), pa.array(repeated), pa.array(np.concatenate(counts).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["anchor", "doc_id", "n"])
-
-    pairs = stored_table(for_python(docs.where("doc_id IS NOT NULL")).mapInArrow(run, "anchor bigint, doc_id bigint, n int"))
+            done = 0
+            for some in by_size(texts):
+                found = stretches(some, window)
+                order = np.lexsort((found.anchor, found.text))
+                text, anchor = found.text[order], found.anchor[order]
+                fresh = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])[: len(text)])
+                doc_ids = np.array(ids[done : done + len(some)], np.int64)[text[fresh]]
+                counts = np.diff(fresh, append=len(text)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[fresh]), pa.array(doc_ids), pa.array(counts)], ["anchor", "doc_id", "n"])
+                done += len(some)
+
+    read = docs.where("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text"))
+    pairs = stored_table(for_python(read).mapInArrow(run, "anchor bigint, doc_id bigint, n int"))
     several = pairs.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     shared = stored_table(pairs.join(several, "anchor"))
     released(docs.sparkSession, pairs)
@@ -116,40 +143,56 @@ def _cut(docs: DataFrame, shared: DataFrame, window: int, keep: bool) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
-        met: dict[tuple[int, bytes], list] = {}
+        met: dict[bytes, list] = {}
 
         def combined() -> pa.RecordBatch:
-            rows = [(first, anchor, code, count, is_hot, words) for (anchor, words), (first, code, count, is_hot) in met.items()]
+            rows = [(*known, words) for words, known in met.items()]
             return _table(CUT, rows, ["doc_id", "anchor", "code", "windows", "hot", "words"])
 
-        for columns in rows_of(batches, "doc_id", "version", "text", "wanted", "hot"):
+        for batch in batches:
+            ids, versions, packed = (batch.column(n).to_pylist() for n in ("doc_id", "version", "text"))
+            asked = batch.column("wanted").is_valid().to_pylist()
+            wanted = np.unique(batch.column("wanted").flatten().to_numpy())
+            hot = np.isin(wanted, batch.column("hot").flatten().to_numpy())
             texts: list[tuple] = []
-            places: list[tuple] = []
-            for doc_id, version, packed, asked, hot_ones in zip(*columns):
-                text = unpacker.decompress(packed)
-                words = text.split()
-                if not asked and not keep:
-                    texts.append((doc_id, version, len(words), hashlib.sha256(text).hexdigest(), None))
-                    continue
-                texts.append((doc_id, version, len(words), None, packed))
-                if not asked:
-                    continue
-                wanted_here = np.sort(np.array(asked, np.int64))
-                hot_here = np.isin(wanted_here, np.array(hot_ones, np.int64))
-                for anchor, start, count, is_hot in stretches(anchors(words, window), wanted_here, hot_here):
-                    part = b" ".join(words[start : start + count + window - 1])
-                    known = met.get((anchor, part))
+
+            def opened() -> Iterator[bytes]:
+                for doc_id, version, small, is_asked in zip(ids, versions, packed, asked):
+                    text = unpacker.decompress(small)
+                    n_words = text.count(b" ") + 1 if text else 0
+                    if is_asked or keep:
+                        texts.append((doc_id, version, n_words, None, small))
+                    else:
+                        texts.append((doc_id, version, n_words, hashlib.sha256(text).hexdigest(), None))
+                    if is_asked:
+                        yield text
+
+            rows = np.flatnonzero(asked)
+            done = 0
+            for some in by_size(opened()):
+                found = stretches(some, window)
+                own = rows[done : done + len(some)]
+                done += len(some)
+                text, start, windows, at = _pieces(found, wanted, hot)
+                anchor, is_hot = wanted[at], hot[at]
+                word = found.first[text] + start
+                doc_ids = np.array([ids[k] for k in own], np.int64)[text]
+                codes = []
+                places = found.starts[word].tolist(), found.ends[word + windows + window - 2].tolist()
+                for doc_id, a, count, h, begin, end in zip(doc_ids.tolist(), anchor.tolist(), windows.tolist(), is_hot.tolist(), *places):
+                    part = found.joined[begin:end]
+                    known = met.get(part)
                     if known is None:
-                        known = met[anchor, part] = [doc_id, _signed_hash(part), count, is_hot]
+                        known = met[part] = [doc_id, a, _signed_hash(part), count, h]
                     elif doc_id < known[0]:
                         known[0] = doc_id
-                    places.append((doc_id, version, anchor, known[1], start, count))
+                    codes.append(known[2])
+                version = np.array([versions[k] for k in own], np.int64)[text]
+                yield _columns(CUT, len(codes), doc_id=doc_ids, version=version, anchor=anchor, code=codes, start=start.astype(np.int32), windows=windows.astype(np.int32))
+                if len(met) >= COMBINED:
+                    yield combined()
+                    met.clear()
             yield _table(CUT, texts, ["doc_id", "version", "n_words", "kept", "text"])
-            for start in range(0, len(places), 50_000):
-                yield _table(CUT, places[start : start + 50_000], ["doc_id", "version", "anchor", "code", "start", "windows"])
-            if len(met) >= COMBINED:
-                yield combined()
-                met.clear()
         yield combined()
 
     light = for_python(docs).mapInArrow(_packed, "doc_id bigint, version bigint, text binary")
@@ -157,6 +200,21 @@ def _cut(docs: DataFrame, shared: DataFrame, window: int, keep: bool) -> DataFra
     return stored_table(joined.mapInArrow(run, CUT_SCHEMA))
 
 
+def _pieces(found: Stretches, wanted: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first window, number of windows and place in `wanted`, which is sorted, of the stretches with a wanted anchor, cut to length."""
+    if not len(wanted):
+        return (np.empty(0, np.int64),) * 4
+    at = np.minimum(np.searchsorted(wanted, found.anchor), len(wanted) - 1)
+    kept = np.flatnonzero(wanted[at] == found.anchor)
+    at = at[kept]
+    size = np.where(hot[at], 1, PIECE)
+    pieces = -(-found.windows[kept] // size)
+    of = np.repeat(np.arange(len(kept)), pieces)
+    skipped = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * size[of]
+    kept = kept[of]
+    return found.text[kept], found.start[kept] + skipped, np.minimum(size[of], found.windows[kept] - skipped), at[of]
+
+
 def _signed_hash(words: bytes) -> int:
     code = xxhash.xxh64_intdigest(words)
     return code - (1 << 64) if code >> 63 else code
@@ -172,21 +230,20 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def first_owners(texts: list[bytes], owners: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """The smallest owner of any text that holds a window, for all windows of all texts in order, and how many each text has."""
-    words = b" ".join(texts).split(b" ")
-    numbers = {w: k for k, w in enumerate(dict.fromkeys(words), 1)}
-    codes = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-    sequences = np.split(codes, np.cumsum([t.count(b" ") + 1 for t in texts])[:-1])
-    index = FMIndex(sequences, len(numbers), context=window)
+    numbers, symbols = numbered(b" ".join(texts))
+    lengths = np.fromiter((t.count(b" ") + 1 for t in texts), np.int64, len(texts))
+    index = FMIndex.joined(numbers, lengths, symbols, context=window)
     low, high = index.matching(window)
     owner_at = np.repeat(owners, index.lengths + 1)[index.order]
-    found = low >= 0
-    lows = np.unique(low[found])
-    highs = np.empty(len(index.text) + 1, np.int64)
-    highs[low[found]] = high[found]
+    found = np.flatnonzero(low >= 0)
+    low, high = low[found], high[found]
+    highs = np.zeros(len(index.text) + 1, np.int64)
+    highs[low] = high
+    lows = np.flatnonzero(highs)
     bounds = np.stack([lows, highs[lows]], 1).ravel()  # intervals of different windows never overlap
     by_low = np.empty(len(index.text) + 1, np.int64)
     by_low[lows] = np.minimum.reduceat(np.concatenate([owner_at, owner_at[:1]]), bounds)[::2]
-    return by_low[low[found]], index.lengths - window + 1
+    return by_low[low], index.lengths - window + 1
 
 
 def _repeated(cut: DataFrame, window: int) -> DataFrame:
@@ -196,20 +253,21 @@ def _repeated(cut: DataFrame, window: int) -> DataFrame:
     shards = max(1, -(-int(size) // SHARD_WORDS))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int, bytes], int] = {}
+        held: dict[bytes, list] = {}
         shard = None
 
         def found() -> pa.RecordBatch:
-            owners = np.array(list(held.values()), np.int64)
-            mins, counts = first_owners([words for _, _, words in held], owners, window)
-            earlier = mins < np.repeat(owners, counts)
-            ends = np.cumsum(counts)
-            seen: list[bytes | None] = [None] * len(held)
-            for k in np.flatnonzero(np.add.reduceat(earlier, ends - counts)).tolist():
-                seen[k] = np.packbits(earlier[ends[k] - counts[k] : ends[k]], bitorder="little").tobytes()
-            return _table(
+            anchor, code, first = zip(*held.values())
+            owners = np.array(first, np.int64)
+            mins, counts = first_owners(list(held), owners, window)
+            of = np.repeat(np.arange(len(held)), counts)
+            earlier = np.flatnonzero(mins < owners[of])
+            bits = np.zeros((len(held), -(-int(counts.max()) // 8) * 8), bool)
+            bits[of[earlier], earlier - (np.cumsum(counts) - counts)[of[earlier]]] = True
+            seen = [row.tobytes() if some else None for row, some in zip(np.packbits(bits, axis=1, bitorder="little"), bits.any(axis=1).tolist())]
+            return _columns(
                 [("anchor", pa.int64()), ("code", pa.int64()), ("first", pa.int64()), ("seen", pa.binary())],
-                [(anchor, code, own, s) for (anchor, code, _), own, s in zip(held, owners.tolist(), seen)])
+                len(held), anchor=anchor, code=code, first=owners, seen=seen)
 
         for columns in rows_of(batches, "shard", "anchor", "code", "words", "first"):
             for name, anchor, code, words, first in zip(*columns):
@@ -217,7 +275,11 @@ def _repeated(cut: DataFrame, window: int) -> DataFrame:
                     yield found()
                     held = {}
                 shard = name
-                held[anchor, code, words] = min(first, held.get((anchor, code, words), first))
+                known = held.get(words)
+                if known is None:
+                    held[words] = [anchor, code, first]
+                elif first < known[2]:
+                    known[2] = first
         if held:
             yield found()
 
@@ -257,40 +319,61 @@ def without_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
-        for columns in rows_of(batches, "doc_id", "n_words", "kept", "text", "parts"):
-            rows = []
-            for doc_id, n_words, kept, packed, parts in zip(*columns):
-                if kept is not None:
-                    rows.append((doc_id, n_words, 0, kept))
-                    continue
-                words = unpacker.decompress(packed).split()
-                going = covered(parts or [], len(words), window)
-                left = b" ".join(w for w, g in zip(words, going.tolist()) if not g)
-                row = (doc_id, n_words, int(going.sum()), hashlib.sha256(left).hexdigest())
-                if keep:
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], going, [False]]).astype(np.int8)))
-                    row += (left.decode("utf-8", "replace"), edges.reshape(-1, 2).tolist())
-                rows.append(row)
+        for batch in batches:
+            ids, sizes, kept, packed = (batch.column(n).to_pylist() for n in ("doc_id", "n_words", "kept", "text"))
+            rows = [(doc_id, size, 0, digest, *([""] * keep), *([[]] * keep)) for doc_id, size, digest in zip(ids, sizes, kept)]
+            cutting = [k for k, digest in enumerate(kept) if digest is None]
+            done = 0
+            for texts in by_size(unpacker.decompress(packed[k]) for k in cutting):
+                own = cutting[done : done + len(texts)]
+                done += len(texts)
+                first = np.concatenate([[0], np.cumsum([sizes[k] for k in own])])
+                going = covered(batch.column("parts").slice(own[0], own[-1] + 1 - own[0]), np.array(own) - own[0], first, window)
+                for k, words, left in zip(own, np.split(going, first[1:-1]), _left(texts, first, going)):
+                    rows[k] = (ids[k], sizes[k], int(np.count_nonzero(words)), hashlib.sha256(left).hexdigest())
+                    if keep:
+                        edges = np.flatnonzero(np.diff(np.concatenate([[False], words, [False]]).astype(np.int8)))
+                        rows[k] += (left.decode("utf-8", "replace"), edges.reshape(-1, 2).tolist())
             yield _table(kinds, rows)
 
     return for_python(joined).mapInArrow(run, schema)
 
 
-def covered(parts: list[dict], size: int, window: int) -> np.ndarray:
-    """Which words a removed window covers; `seen` has a bit for each window of a part, null means all."""
-    change = np.zeros(size + 1, np.int64)
-    for part in parts:
-        if part["seen"] is None:
-            change[part["start"]] += 1
-            change[part["start"] + part["windows"] + window - 1] -= 1
-        else:
-            bits = np.unpackbits(np.frombuffer(part["seen"], np.uint8), bitorder="little")[: part["windows"]]
-            starts = part["start"] + np.flatnonzero(bits)
-            np.add.at(change, starts, 1)
-            np.add.at(change, starts + window, -1)
+def covered(parts: pa.ListArray, rows: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
+    """Which words a removed window covers, for the texts of these rows; `first` has the number of the first word of each, and of all.
+
+    `seen` has a bit for each window of a part, null means all.  Other rows than `rows` have no parts.
+    """
+    counts = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False)[rows]
+    start, windows, seen = parts.flatten().flatten()
+    start = start.to_numpy() + np.repeat(first[:-1], counts)
+    all_gone = seen.is_null().to_numpy(zero_copy_only=False)
+    begins, ends = [start[all_gone]], [(start + windows.to_numpy() + window - 1)[all_gone]]
+    if not all_gone.all():
+        bits = seen.drop_null().to_pylist()
+        width = max(map(len, bits))
+        packed = np.frombuffer(b"".join(b.ljust(width, b"\0") for b in bits), np.uint8).reshape(-1, width)
+        part, nth = np.nonzero(np.unpackbits(packed, axis=1, bitorder="little"))
+        begins.append(start[~all_gone][part] + nth)
+        ends.append(begins[1] + window)
+    change = np.bincount(np.concatenate(begins), minlength=first[-1] + 1) - np.bincount(np.concatenate(ends), minlength=first[-1] + 1)
     return np.cumsum(change[:-1]) > 0
 
 
+def _left(texts: list[bytes], first: np.ndarray, going: np.ndarray) -> Iterable[bytes]:
+    """The words of each text that do not go, with one space between, as they have in the texts."""
+    joined = b" ".join(texts)
+    starts, ends = word_places(joined)
+    edge = np.zeros(len(going) + 1, bool)  # before this word a text begins
+    edge[first] = True
+    gone = np.concatenate([[True], going, [True]])
+    begin = np.flatnonzero(~going & (gone[:-2] | edge[:-1]))
+    end = np.flatnonzero(~going & (gone[2:] | edge[1:]))
+    runs = [joined[a:b] for a, b in zip(starts[begin].tolist(), ends[end].tolist())]
+    upto = np.searchsorted(begin, first).tolist()
+    return (b" ".join(runs[a:b]) for a, b in zip(upto, upto[1:]))
+
+
 def _removed(cut: DataFrame, window: int) -> DataFrame:
     """(id, of, parts): the parts of each document whose windows go."""
     places = cut.where("start IS NOT NULL").select("doc_id", "version", "anchor", "code", "start", "windows")

@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from strikehaz.llm import exact_dedup, simhash, substring_dedup
+from strikehaz.llm import exact_dedup, simhash, substring_dedup, word_places
 from strikehaz.llm.components import components
 from strikehaz.llm.fm_index import FMIndex, WaveletMatrix, suffix_array
 
@@ -244,3 +244,61 @@ def test_bounded_context_gives_the_same_intervals():
     for size in (3, 5):
         for a, b in zip(whole.matching(size), bounded.matching(size)):
             assert np.array_equal(a, b)
+
+
+def test_anchors_need_no_call_for_each_word(monkeypatch):
+    calls = []
+    true = xxhash.xxh64_intdigest
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda *a: calls.append(a) or true(*a))
+    words = [b"w%d" % (k % 700) for k in range(5000)] + [b"x" * 200]
+    found = substring_dedup.anchors(words, 13)
+    assert len(found) == len(words) - 12 and len(calls) <= 1  # the long word
+    assert np.array_equal(found[700:1400], found[1400:2100])
+
+
+def test_intervals_of_one_place_are_counted_once(monkeypatch):
+    counted = []
+    true = WaveletMatrix.rank
+    monkeypatch.setattr(WaveletMatrix, "rank", lambda self, wanted, ends: counted.append(len(ends)) or true(self, wanted, ends))
+    rng = np.random.default_rng(4)
+    sequences = [rng.integers(1, 5000, 40) for _ in range(100)]
+    low, high = FMIndex(sequences, 5000).matching(13)
+    assert (high - low)[low >= 0].tolist() == [1] * 2800
+    assert sum(counted) < 1.2 * 4000
+
+
+def test_index_finds_no_pattern_that_is_missing():
+    index = FMIndex([np.array([1, 2, 3]), np.array([2, 2])], 4)
+    low, high = np.array([0]), np.array([len(index.text)])
+    for symbol, places in ((3, 1), (1, 0), (4, 0), (2, 0)):  # 3 once, then 1 3 and so on never
+        low, high = index.step(np.array([symbol]), low, high)
+        assert (high - low).tolist() == [places]
+
+
+def test_words_by_places(monkeypatch):
+    texts = [b"", b" ", b"a", b" a\tb\x0b\x0cc\r\nd  ", b"a\0 a a\0\0", "\u00a0x \u2003 y\x85z \x1c \x1f".encode(), b"q" * 64 + b" " + b"q" * 65 + b" " + b"q" * 65 + b"\n" + b"q" * 63]
+    texts += [b" ".join(texts * 3), bytes(np.random.default_rng(2).choice(np.frombuffer(b"ab \t\0\xff", np.uint8), 5000))]
+    for weak in (False, True):
+        if weak:
+            monkeypatch.setattr(word_places, "place_hashes", lambda text, starts, ends: (ends - starts).astype(np.uint64))
+        for text in texts:
+            words = text.split()
+            starts, ends = word_places.word_places(text)
+            assert [text[a:b] for a, b in zip(starts, ends)] == words
+            numbers, size = word_places.numbered(text)
+            assert len(numbers) == len(words) and len(set(zip(words, numbers.tolist()))) == len(set(words)) == len(set(numbers.tolist())) == size
+            if not weak:
+                hashes = word_places.place_hashes(text, starts, ends)
+                assert len(set(zip(words, hashes.tolist()))) == len(set(words)) == len(set(hashes.tolist()))
+    assert list(word_places.by_size([])) == [] and [t for g in word_places.by_size(iter(texts)) for t in g] == texts
+
+
+def test_kept_texts_of_long_passages(spark, edge_docs):
+    long = " ".join(f"p{k}" for k in range(300))
+    rows = [(r.doc_id, r.text) for r in edge_docs.collect()]
+    rows += [(1000, f"{long} a"), (1001, f"b c {long[5:]}"), (1002, long), (1003, " ".join([long] * 2)), (1004, f"{long[:400]} between  {long[400:]}\tend"), (1005, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = substring_dedup.without_repeats(docs).collect()
+    assert sorted(str(tuple(r)[:4]) for r in got) == sorted(map(str, _without_repeats(rows, 13)))
+    for r in got:
+        assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 and sum(b - a for a, b in r.removed) == r.n_removed
